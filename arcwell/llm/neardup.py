@@ -5,11 +5,13 @@
    the smallest doc_id.
 2. Bands of registers are grouped. In each group that holds more than one set, every
    document is paired with one pivot only: first the smallest doc_id, then the one
-   with the most links so far. A joint likelihood estimate from all registers drops
+   with the most links so far; of its pivots, a document is held against those that
+   it shares the most groups with (what this leaves out, step 3 finishes). A joint likelihood estimate from all registers drops
    hopeless pairs; the others are confirmed on their full sets.
 3. Groups that are one component by then are done: no other pair in them can change
    the answer. The documents of the others are finished exactly by a prefix-filter
-   join, where a pair within the threshold must share one of its rarest shingles.
+   join, where a pair within the threshold must share one of its rarest shingles, at
+   places that leave room for enough others.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from fractions import Fraction
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
@@ -33,6 +35,8 @@ BANDS, ROWS = 48, 5
 BASE, RATE, TOP = 1.001, 20.0, 65534
 #: Pairs estimated this far below the threshold (7 standard errors) aren't confirmed.
 SLACK = 0.2
+#: Pivots that a document is held against in each turn.
+PIVOTS = 3
 #: Counters by which shingles are ordered from rare to frequent.
 SLOTS = 1 << 18
 
@@ -178,7 +182,8 @@ def confirm(pairs: DataFrame, docs: DataFrame, k: int, threshold: Fraction) -> D
 
 def prefix_pairs(sets: DataFrame, labels: DataFrame, threshold: Fraction) -> DataFrame:
     """Pairs of different components that share a shingle of their prefixes: their
-    rarest ``n - ceil(threshold * n) + 1``. Every pair within the threshold does."""
+    rarest ``n - ceil(threshold * n) + 1``, in one order over all documents. Every pair
+    within the threshold does."""
     spark = sets.sparkSession
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,10 +208,12 @@ def prefix_pairs(sets: DataFrame, labels: DataFrame, threshold: Fraction) -> Dat
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(m) for m in batch.column(1)], pa.int64()), pa.array(out, pa.list_(pa.int64()))], ["doc_id", "n", "prefix"])
 
     rare = sets.select("doc_id", "members").mapInArrow(prefix, "doc_id long, n long, prefix array<long>").join(labels, "doc_id")
-    rare = rare.select("doc_id", "n", "label", F.explode("prefix").alias("shingle"))
-    a = rare.select("shingle", F.col("doc_id").alias("u"), F.col("n").alias("nu"), F.col("label").alias("lu"))
-    b = rare.select("shingle", F.col("doc_id").alias("v"), F.col("n").alias("nv"), F.col("label").alias("lv"))
-    fits = threshold.denominator * F.least("nu", "nv") >= threshold.numerator * F.greatest("nu", "nv")
+    rare = rare.select("doc_id", "n", "label", F.posexplode("prefix").alias("place", "shingle"))
+    a = rare.select("shingle", F.col("doc_id").alias("u"), F.col("n").alias("nu"), F.col("label").alias("lu"), F.col("place").alias("pu"))
+    b = rare.select("shingle", F.col("doc_id").alias("v"), F.col("n").alias("nv"), F.col("label").alias("lv"), F.col("place").alias("pv"))
+    # Of a pair's first common shingle on, both must hold the overlap that it needs.
+    room = F.least(F.col("nu") - F.col("pu"), F.col("nv") - F.col("pv"))
+    fits = (threshold.numerator + threshold.denominator) * room >= threshold.numerator * (F.col("nu") + F.col("nv"))
     return a.join(b, "shingle").where((F.col("u") > F.col("v")) & (F.col("lu") != F.col("lv")) & fits).select("u", "v").distinct()
 
 
@@ -238,9 +245,15 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: Fraction = Fraction(
             placed = grouped.join(degree, "doc_id", "left").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
             placed = placed.select("doc_id", "key", F.coalesce("label", "doc_id").alias("label"), F.coalesce("d", F.lit(0)).alias("d"))
             open_keys = placed.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.max_by(F.struct("doc_id", "label"), F.struct("d", -F.col("doc_id"))).alias("top")).where("a < b")
-            pairs = placed.join(open_keys, "key").where("label <> top.label").select(F.greatest("doc_id", "top.doc_id").alias("u"), F.least("doc_id", "top.doc_id").alias("v")).distinct()
+            pairs = placed.join(open_keys, "key").where("label <> top.label").select("doc_id", F.col("top.doc_id").alias("pivot"))
         else:
-            pairs = grouped.where("doc_id <> low").select(F.col("doc_id").alias("u"), F.col("low").alias("v")).distinct()
+            pairs = grouped.where("doc_id <> low").select("doc_id", F.col("low").alias("pivot"))
+        most = Window.partitionBy("doc_id").orderBy(F.desc("n"), "pivot")
+        pairs = pairs.groupBy("doc_id", "pivot").agg(F.count("*").alias("n")).withColumn("r", F.row_number().over(most)).where(F.col("r") <= PIVOTS)
+        pairs = pairs.select(F.greatest("doc_id", "pivot").alias("u"), F.least("doc_id", "pivot").alias("v")).distinct()
+        if turn:
+            pairs = pairs.join(held, ["u", "v"], "left_anti")
+        held = pairs = checkpoint(pairs)
         sketches = own.select("doc_id", "regs", "n_shingles")
         found = checkpoint(confirm(likely(pairs, sketches, float(threshold)), docs, k, threshold))
         links = found if links is None else links.union(found)
