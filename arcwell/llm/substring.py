@@ -6,11 +6,15 @@ of that round puts l left and r right. Names depend on the symbols alone, so all
 executors agree on them without a shuffle, and equal substrings are parsed alike
 except for at most 1, 2 and 4 words a side in the three rounds.
 
-Two neighbouring symbols of the last round (2 to 16 words) are an anchor. Of the
-anchors that start in each stretch of ``window - 30`` words the longest is kept (ties
-by name), so any two equal windows share one. Anchors that occur in two documents
-reveal where repeats can be; only there are the windows themselves named and compared,
-which verifies every repeat exactly and finds those of each anchor's other documents.
+Two neighbouring symbols of the last round (2 to 16 words) are an anchor. A window's
+anchor is the longest (ties by name) of those that start in its middle stretch of
+``window - 30`` words: equal windows have equal anchors. Anchor names that occur in two
+different texts are set in a bitmap of bounded size; only windows whose anchor is in it
+are named themselves and compared, which verifies every repeat exactly. (A fuller
+bitmap lets more windows through; it never loses one.)
+
+Copies of a whole text are settled first: all but the one of the smallest id lose
+everything, and take no further part.
 
 Runs of one word stay runs of equal symbols (naming one by its length would make a
 window's parse depend on words outside it); their anchors are equal and collapse to
@@ -24,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import BROADCAST_ROWS, checkpoint
@@ -34,6 +38,9 @@ ROUNDS = 3
 #: Longest anchor and words lost at a window's ends, by ROUNDS; what is left of a
 #: window for anchors to start in.
 SPAN, LOST = 2 * 2**ROUNDS, 2**ROUNDS - 1
+NONE = np.uint64(2**64 - 1)
+#: Bits of the anchor bitmap: 8 for each shared name, within these bounds (128 MB).
+LEAST_BITS, MOST_BITS = 1 << 20, 1 << 30
 _STEP = 0xA0761D6478BD642F
 _STEP_INV = pow(_STEP, -1, 2**64)
 
@@ -57,20 +64,29 @@ def parse(words: Words, names: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
     return names, at, size, text
 
 
-def anchors(words: Words, names: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Kept anchors: name, first word, number of words, text."""
+def anchor_keys(words: Words, names: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Anchors: name, first word, key (least is best, lowest bit unset); the width of a
+    window's middle stretch."""
     symbol, at, size, text = parse(words, names)
     both = np.flatnonzero(text[:-1] == text[1:]) if len(text) > 1 else np.zeros(0, np.int64)
     name = mix(symbol[both] * np.uint64(_STEP) + symbol[both + 1] + np.uint64(0x1234567))
-    span = size[both] + size[both + 1]
-    width = window - 2 * LOST - SPAN
-    none = np.uint64(2**64 - 1)
-    key = np.full(len(names) + 2 * width, none)
-    key[at[both]] = ((np.uint64(63) - span.astype(np.uint64)) << np.uint64(58)) | (name >> np.uint64(6))
-    least = sliding(key, width, np.minimum)  # over [i, i + width)
-    most = sliding(least[::-1].copy(), width, np.maximum)[::-1]  # over (i - width, i]
-    kept = np.flatnonzero(most[at[both]] == key[at[both]])
-    return name[kept], at[both][kept], span[kept], text[both][kept]
+    span = (size[both] + size[both + 1]).astype(np.uint64)
+    key = ((np.uint64(63) - span) << np.uint64(58)) | (name >> np.uint64(7)) << np.uint64(1)
+    return name, at[both], key, window - 2 * LOST - SPAN
+
+
+def middles(n: int, at: np.ndarray, key: np.ndarray, width: int) -> np.ndarray:
+    """The least key that starts in the middle stretch of the window at each word."""
+    held = np.full(n + LOST + width, NONE)
+    held[at] = key
+    return sliding(held, width, np.minimum)[LOST : LOST + n]
+
+
+def windows_inside(words: Words, window: int) -> np.ndarray:
+    """Whether a window of its own text begins at each word."""
+    n = len(words.starts)
+    last = np.repeat(words.first[1:], np.diff(words.first))
+    return np.arange(n) + window <= last
 
 
 def sliding(x: np.ndarray, width: int, least: np.ufunc) -> np.ndarray:
@@ -96,74 +112,106 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumn("_id", F.col("doc_id").cast("long")).withColumn("_key", F.xxhash64(F.coalesce("text", F.lit(""))))
 
 
-def _chosen(docs: DataFrame, wanted: DataFrame, how: str) -> DataFrame:
-    """Rows of ``docs`` whose (_id, _key) is in ``wanted``, or isn't."""
-    few = wanted.count() <= BROADCAST_ROWS
-    return docs.join(F.broadcast(wanted) if few else wanted, ["_id", "_key"], how)
-
-
 def _digest(parts: list[bytes]) -> str:
     return hashlib.sha256(b" ".join(parts)).hexdigest()
 
 
-def summaries(docs: DataFrame, window: int) -> DataFrame:
-    """_id, _key, doc_id, n_words, the digest of all words, and anchors."""
+def summaries(docs: DataFrame) -> DataFrame:
+    """_id, _key, n_words and the digest of all words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in chunks(batches):
+            own = [(t or b"").split() for t in texts]  # bytes split at the six ASCII spaces, and only those
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([len(w) for w in own], pa.int64()), pa.array([_digest(w) for w in own], pa.string())], ["_id", "_key", "n_words", "digest"])
+
+    return docs.select("_id", "text", "_key").mapInArrow(run, "_id long, _key long, n_words long, digest string")
+
+
+def copies_of(docs: DataFrame) -> DataFrame:
+    """(_id, _key) of texts that a smaller id has too."""
+    ids = docs.where("_id IS NOT NULL AND text IS NOT NULL").select("_id", "_key")
+    first = ids.groupBy("_key").agg(F.min("_id").alias("low"), F.max("_id").alias("high")).where("low < high").select("_key", "low")
+    return ids.join(first, "_key").where("_id > low").select("_id", "_key").distinct()
+
+
+def anchor_names(docs: DataFrame, window: int) -> DataFrame:
+    """(_id, names): the distinct names of each document's window anchors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
             for batch, texts in chunks(batches):
                 words = Words(texts)
-                names = words.hashes()
-                name, at, span, text = anchors(words, names, window)
-                cut = np.searchsorted(text, np.arange(len(texts) + 1))
-                first = words.first
-                rows = [slice(a, b) for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
-                long = np.diff(first) >= window
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0), batch.column(2),
-                        pa.array(np.diff(first), pa.int64()),
-                        pa.array([_digest((t or b"").split()) for t in texts]),
-                        pa.array([name[r].view(np.int64) if k else [] for r, k in zip(rows, long, strict=True)], pa.list_(pa.int64())),
-                        pa.array([(at[r] - first[i]).astype(np.int32) * 32 + span[r].astype(np.int32) if k else [] for i, (r, k) in enumerate(zip(rows, long, strict=True))], pa.list_(pa.int32())),
-                    ],
-                    ["_id", "_key", "n_words", "digest", "names", "places"],
-                )
-
-    return docs.select("_id", "text", "_key").mapInArrow(run, "_id long, _key long, n_words long, digest string, names array<long>, places array<int>")
-
-
-def covered_starts(docs: DataFrame, told: DataFrame, window: int) -> DataFrame:
-    """(_id, _key, starts): word offsets of the windows that also start in a document
-    with a smaller id. Rows without an id take no part."""
-    flat = told.where("_id IS NOT NULL").select("_id", "_key", F.explode(F.arrays_zip("names", "places")).alias("a")).select("_id", "_key", F.col("a.names").alias("name"), F.col("a.places").alias("place"))
-    met = flat.groupBy("name").agg(F.min("_id").alias("low"), F.max("_id").alias("high")).where("low < high").select("name")
-    spots = checkpoint(flat.join(met, "name", "left_semi").groupBy("_id", "_key").agg(F.collect_set("place").alias("places")))
-    chosen = _chosen(docs.select("_id", "_key", "text"), spots.select("_id", "_key"), "left_semi").dropDuplicates(["_id", "_key"])
-    held = chosen.join(spots, ["_id", "_key"]).select("_id", "text", "_key", "places")
+                name, at, key, width = anchor_keys(words, words.hashes(), window)
+                best = middles(len(words.starts), at, key, width)[windows_inside(words, window)]
+                kept = np.isin(key, np.unique(best))
+                text = np.searchsorted(words.first, at[kept], side="right") - 1
+                name = name[kept]
+                cut = np.searchsorted(text, np.arange(len(texts) + 1)).tolist()
+                out = [np.unique(name[a:b]).view(np.int64) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int64()))], ["_id", "names"])
+
+    return docs.select("_id", "text").mapInArrow(run, "_id long, names array<long>")
+
+
+def bitmap(names: DataFrame) -> np.ndarray:
+    """The names of two documents or more as a bitmap of bounded size."""
+    shared = names.select("_id", F.explode("names").alias("name")).groupBy("name").agg(F.min("_id").alias("low"), F.max("_id").alias("high")).where("low < high").select("name")
+    shared = checkpoint(shared)
+    bits = LEAST_BITS
+    wanted = 8 * shared.count()
+    while bits < min(wanted, MOST_BITS):
+        bits *= 2
+    slot = shared.select(F.pmod("name", F.lit(bits)).alias("slot"))
+    out = np.zeros(bits // 8, dtype=np.uint8)
+    for r in slot.groupBy(F.bitmap_bucket_number("slot").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("b")).toLocalIterator():
+        # Buckets count from 1 with slot 1 at position 0; slot 0 is position 0 of bucket 0.
+        own = np.unpackbits(np.frombuffer(r["b"], np.uint8), bitorder="little")
+        at = np.flatnonzero(own) + (r["k"] - 1) * 32768 + 1 if r["k"] else np.zeros(1, np.int64)
+        at = at % bits
+        np.bitwise_or.at(out, at >> 3, (1 << (at & 7)).astype(np.uint8))
+    return out
+
+
+def covered_starts(docs: DataFrame, window: int) -> DataFrame:
+    """(_id, tag, starts): word offsets of the windows that also start in a document of
+    a smaller id. tag tells apart the texts of a repeated id."""
+    told = docs.sparkSession.sparkContext.broadcast(bitmap(anchor_names(docs, window)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = told.value
         with np.errstate(over="ignore"):
             for batch, texts in chunks(batches):
                 words = Words(texts)
-                names, first = words.hashes(), words.first
-                starts, found = [], []
-                for i, places in enumerate(batch.column(3)):
-                    a, b = int(first[i]), int(first[i + 1])
-                    place = places.values.to_numpy()
-                    at, end = place >> 5, (place >> 5) + (place & 31)
-                    edge = np.zeros(b - a + 2, dtype=np.int32)
-                    np.add.at(edge, np.maximum(end - window, 0), 1)
-                    np.add.at(edge, np.minimum(at, b - a - window) + 1, -1)
-                    s = np.flatnonzero(np.cumsum(edge[: b - a - window + 1]) > 0)
-                    starts.append(s.astype(np.int32))
-                    found.append(window_names(names[a:b], window)[s].view(np.int64))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(starts, pa.list_(pa.int32())), pa.array(found, pa.list_(pa.int64()))], ["_id", "_key", "starts", "windows"])
-
-    named = checkpoint(held.mapInArrow(run, "_id long, _key long, starts array<int>, windows array<long>"))
-    each = named.select("_id", "_key", F.explode(F.arrays_zip("windows", "starts")).alias("w")).select("_id", "_key", F.col("w.windows").alias("name"), F.col("w.starts").alias("start"))
-    first = each.groupBy("name").agg(F.min("_id").alias("low"), F.max("_id").alias("high")).where("low < high").select("name", "low")
-    return each.join(first, "name").where("_id > low").groupBy("_id", "_key").agg(F.collect_set("start").alias("starts"))
+                names = words.hashes()
+                name, at, key, width = anchor_keys(words, names, window)
+                slot = (name & np.uint64(len(bits) * 8 - 1)).astype(np.int64)
+                key |= ((bits[slot >> 3] >> (slot & 7)) & 1).astype(np.uint64)
+                best = middles(len(names), at, key, width)
+                hit = np.flatnonzero(windows_inside(words, window) & (best & np.uint64(1) == 1))
+                total = window_names(names, window)[hit].view(np.int64) if len(hit) else np.zeros(0, np.int64)
+                cut = np.searchsorted(hit, words.first)
+                begins, sizes, found = [], [], []
+                for i, (a, b) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)):
+                    own = hit[a:b] - words.first[i]
+                    edge = np.flatnonzero(np.diff(own) != 1) + 1
+                    begin = np.concatenate(([0], edge)) if b > a else edge
+                    begins.append(own[begin].astype(np.int32))
+                    sizes.append(np.diff(np.append(begin, b - a)).astype(np.int32))
+                    found.append(total[a:b])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(begins, pa.list_(pa.int32())), pa.array(sizes, pa.list_(pa.int32())), pa.array(found, pa.list_(pa.int64()))], ["_id", "_key", "begins", "sizes", "windows"])
+
+    named = docs.select("_id", "text", "_key").mapInArrow(run, "_id long, _key long, begins array<int>, sizes array<int>, windows array<long>").where(F.size("windows") > 0)
+    named = checkpoint(named)
+    first = named.select("_id", F.explode("windows").alias("name")).groupBy("name").agg(F.min("_id").alias("low"), F.max("_id").alias("high")).where("low < high").select("name", "low")
+    starts = F.flatten(F.zip_with("begins", "sizes", lambda b, n: F.sequence(b, b + n - 1)))
+    place = F.shiftleft(tag(F.col("_key")), 32)
+    each = named.select("_id", place.alias("t"), F.explode(F.arrays_zip(F.col("windows").alias("name"), starts.alias("start"))).alias("w")).select("_id", F.col("w.name").alias("name"), F.col("t").bitwiseOR(F.col("w.start").cast("long")).alias("place"))
+    lost = each.join(first, "name").where("_id > low").select("_id", F.shiftright("place", 32).alias("tag"), F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("start"))
+    return lost.groupBy("_id", "tag").agg(F.collect_set("start").alias("starts"))
+
+
+def tag(key: Column) -> Column:
+    return key.bitwiseAND(F.lit(0x7FFFFFFF))
 
 
 def _removed(n: int, starts: np.ndarray, window: int) -> np.ndarray:
@@ -173,22 +221,36 @@ def _removed(n: int, starts: np.ndarray, window: int) -> np.ndarray:
     return np.cumsum(edge[:n]) > 0
 
 
+def _chosen(docs: DataFrame, wanted: DataFrame, how: str, by: list[str]) -> DataFrame:
+    """Rows of ``docs`` that are in ``wanted``, or aren't."""
+    few = wanted.count() <= BROADCAST_ROWS
+    return docs.join(F.broadcast(wanted) if few else wanted, by, how)
+
+
 def _rewritten(docs: DataFrame, starts: DataFrame, window: int) -> DataFrame:
-    """_id, _key, n_words, n_removed, digest and the kept text of documents that lose words."""
-    chosen = _chosen(docs.select("_id", "_key", "text"), starts.select("_id", "_key"), "left_semi").dropDuplicates(["_id", "_key"])
+    """_id, _key, n_removed, digest and the kept text of documents that lose some words."""
+    tagged = docs.select("_id", "_key", "text").withColumn("tag", tag(F.col("_key")))
+    chosen = _chosen(tagged, starts.select("_id", "tag"), "left_semi", ["_id", "tag"]).dropDuplicates(["_id", "_key"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in chunks(batches):
-            out: list[list] = [[], [], [], []]
+            out: list[list] = [[], [], []]
             for t, s in zip(texts, batch.column(3), strict=True):
-                own = t.split()  # bytes split at the six ASCII spaces, and only those
+                own = t.split()
                 gone = _removed(len(own), s.values.to_numpy(), window)
                 kept = b" ".join(w for w, g in zip(own, gone.tolist(), strict=True) if not g)
-                for column, x in zip(out, (len(own), int(gone.sum()), hashlib.sha256(kept).hexdigest(), kept.decode()), strict=True):
+                for column, x in zip(out, (int(gone.sum()), hashlib.sha256(kept).hexdigest(), kept.decode()), strict=True):
                     column.append(x)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2]), pa.array(out[3], pa.string())], ["_id", "_key", "n_words", "n_removed", "digest", "kept"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), pa.array(out[2], pa.string())], ["_id", "_key", "n_removed", "digest", "kept"])
+
+    return chosen.join(starts, ["_id", "tag"]).select("_id", "text", "_key", "starts").mapInArrow(run, "_id long, _key long, n_removed long, digest string, kept string")
+
 
-    return chosen.join(starts, ["_id", "_key"]).select("_id", "text", "_key", "starts").mapInArrow(run, "_id long, _key long, n_words long, n_removed long, digest string, kept string")
+def _plan(keyed: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:
+    """Copies (_id, _key), and the lost windows of all other texts."""
+    copies = checkpoint(copies_of(keyed.select("_id", "_key", "text")))
+    others = _chosen(keyed.select("_id", "_key", "text").where("_id IS NOT NULL"), copies, "left_anti", ["_id", "_key"])
+    return copies, checkpoint(covered_starts(others, window))
 
 
 def digest(docs: DataFrame, window: int = 50) -> DataFrame:
@@ -201,22 +263,27 @@ def digest(docs: DataFrame, window: int = 50) -> DataFrame:
     ignored; an empty table gives no rows.
     """
     keyed = _keyed(docs.select("doc_id", "text"))
-    told = checkpoint(summaries(keyed, window))
-    starts = checkpoint(covered_starts(keyed, told, window))
+    copies, starts = _plan(keyed, window)
     cut = _rewritten(keyed, starts, window).select("_id", "_key", "n_removed", F.col("digest").alias("cut"))
-    out = told.select("_id", "_key", "n_words", "digest").join(cut, ["_id", "_key"], "left")
-    return out.select(F.col("_id").alias("doc_id"), "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("cut", "digest").alias("kept_sha256"))
+    out = summaries(keyed).join(cut, ["_id", "_key"], "left").join(copies.withColumn("copy", F.lit(True)), ["_id", "_key"], "left")
+    gone = F.col("copy").isNotNull() & (F.col("n_words") >= window)
+    return out.select(
+        F.col("_id").alias("doc_id"), "n_words", F.when(gone, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
+        F.when(gone, F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.coalesce("cut", "digest")).alias("kept_sha256"),
+    )
 
 
 def strip(docs: DataFrame, window: int = 50) -> DataFrame:
     """``docs`` with the text of documents that lose words replaced by the kept words,
     joined by one space (n_chars, if there, follows); all other rows are unchanged."""
     keyed = _keyed(docs)
-    told = checkpoint(summaries(keyed.select("_id", "text", "_key"), window).select("_id", "_key", "names", "places"))
-    starts = checkpoint(covered_starts(keyed.select("_id", "_key", "text"), told, window))
-    names = starts.select("_id", "_key")
-    cut = _rewritten(keyed.select("_id", "_key", "text"), starts, window).select("_id", "_key", "kept")
-    changed = _chosen(keyed, names, "left_semi").join(cut, ["_id", "_key"]).withColumn("text", F.col("kept"))
+    copies, starts = _plan(keyed, window)
+    cut = _rewritten(keyed, starts, window).select("_id", "_key", "kept")
+    names = checkpoint(cut.select("_id", "_key"))
+    enough = F.regexp_count("text", F.lit("[^\\x20\\x09-\\x0D]+")) >= window
+    copied = _chosen(keyed, copies, "left_semi", ["_id", "_key"]).withColumn("text", F.when(enough, "").otherwise(F.col("text")))
+    changed = _chosen(keyed, names, "left_semi", ["_id", "_key"]).join(cut, ["_id", "_key"]).withColumn("text", F.col("kept")).select(*docs.columns).unionByName(copied.select(*docs.columns))
     if "n_chars" in docs.columns:
         changed = changed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return _chosen(keyed, names, "left_anti").select(*docs.columns).unionByName(changed.select(*docs.columns))
+    rest = _chosen(_chosen(keyed, names, "left_anti", ["_id", "_key"]), copies, "left_anti", ["_id", "_key"])
+    return rest.select(*docs.columns).unionByName(changed)
