@@ -74,7 +74,7 @@ def identify(docs: DataFrame, declared: Column, host: Column, suffix: Column | N
         logs = told.value
         with np.errstate(over="ignore"):
             for batch, texts in chunks(batches):
-                raw = b"\0\0".join([b"", *(t or b"" for t in texts), b""])
+                raw = b"\0\0".join([b"", *(t or b"" for t in texts), b"", b""])
                 buf = np.frombuffer(raw, np.uint8)
                 at = np.cumsum([2, *(len(t or b"") + 2 for t in texts)])[:-1]
                 sizes = np.fromiter((len(t or b"") for t in texts), np.int64, len(texts))
