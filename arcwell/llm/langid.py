@@ -66,7 +66,9 @@ def identify(docs: DataFrame, declared: Column, host: Column, suffix: Column | N
     spark = docs.sparkSession
     suffix = F.lit(None).cast("string") if suffix is None else suffix
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", declared.alias("declared"), host.alias("host"), suffix.alias("suffix"), (declared if training is None else training).alias("_label"))
-    sample = base.where((F.octet_length("text") <= TRAIN_BYTES) & F.col("_label").isNotNull()).orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS)
+    fit_rows = base.where((F.octet_length("text") <= TRAIN_BYTES) & F.col("_label").isNotNull() & F.col("doc_id").isNotNull())
+    chosen = fit_rows.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS)  # ids alone are ranked
+    sample = fit_rows.join(F.broadcast(chosen), "doc_id", "left_semi").limit(2 * TRAIN_ROWS)
     langs, logs = fit([(r["_label"], r["text"].encode()) for r in sample.select("_label", "text").collect()])
     told = spark.sparkContext.broadcast(logs)
 

@@ -147,7 +147,8 @@ def top_k(table: DataFrame, k: int = 5, modulus: int = 50, scale: int = 256) ->
         if dim * most * most >= EXACT:
             raise ValueError("inner products beyond 2**53 can't be computed exactly")
         own = held.where(F.col("dim") == dim).select("vec_id", "v")
-        sample = own.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()
+        chosen = own.select("vec_id").orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE)  # ids alone are ranked
+        sample = own.join(F.broadcast(chosen), "vec_id", "left_semi").limit(2 * SAMPLE).collect()
         s_ids, s = np.array([r["vec_id"] for r in sample]), np.array([r["v"] for r in sample]).reshape(-1, dim)
         blocks = -(-n // QUERY_BLOCK)
         for block in range(blocks):
