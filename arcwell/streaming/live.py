@@ -47,7 +47,7 @@ def incremental(now: DataFrame, cache: DataFrame, facts: DataFrame, extract: Cal
     full run."""
     fresh = changed_files(now, cache)
     same = now.select("file").join(fresh.select("file"), "file", "left_anti")
-    return facts.join(same, "file", "left_semi").unionByName(extract(fresh.select("file", "text")))
+    return facts.join(same, "file", "left_semi").unionByName(extract(fresh.select("file", "text"))).select(*facts.columns)
 
 
 def fan_out(events: DataFrame, sinks: list[Callable[[DataFrame, int], None]], folder: str, **trigger):
