@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import BROADCAST_ROWS, checkpoint
+from .shared import checkpoint, small
 from .textscan import Words, chunks, mix, powers
 
 #: 48 bands of 5 registers: a pair at 0.75 shares no band once in 400,000.
@@ -122,8 +122,7 @@ def sketch(docs: DataFrame, k: int) -> DataFrame:
 
 def full_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     """(doc_id, members) for the documents in ``wanted`` (doc_id), from their texts."""
-    ids = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
-    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id", "left_semi")
+    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(small(wanted), "doc_id", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
@@ -164,6 +163,8 @@ def likely(pairs: DataFrame, sketches: DataFrame, threshold: float) -> DataFrame
             keep[s] = likelihood_jaccard(x, y, n_a[s].to_numpy(float), n_b[s].to_numpy(float)) >= threshold - SLACK
         return pd.Series(keep)
 
+    ids = checkpoint(pairs.select(F.col("u").alias("doc_id")).union(pairs.select("v")).distinct())
+    sketches = sketches.join(small(ids), "doc_id", "left_semi")
     left = sketches.select(F.col("doc_id").alias("u"), F.col("regs").alias("ru"), F.col("n_shingles").alias("nu"))
     right = sketches.select(F.col("doc_id").alias("v"), F.col("regs").alias("rv"), F.col("n_shingles").alias("nv"))
     met = pairs.join(left, "u").join(right, "v").where((F.least("nu", "nv") >= threshold * F.greatest("nu", "nv") - 1e-9) & near("ru", "rv", "nu", "nv"))
@@ -226,24 +227,23 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: Fraction = Fraction(
     one node with the links of each. A null doc_id has a null component and is kept.
     Extra columns are ignored; an empty table gives no rows.
     """
-    table = checkpoint(sketch(docs, k))
+    table = checkpoint(sketch(docs, k).withColumn("row", F.monotonically_increasing_id()))
     filled = table.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    reps = filled.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"))
-    members = checkpoint(filled.select("doc_id", "s1", "s2").join(reps, ["s1", "s2"]).select("doc_id", "rep").distinct())
-    same = members.where("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
+    reps = checkpoint(filled.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.min("row").alias("row")))
+    same = checkpoint(filled.select("doc_id", "s1", "s2").join(reps, ["s1", "s2"]).where("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v")))
 
-    own = filled.join(reps.select(F.col("rep").alias("doc_id"), "s1", "s2"), ["doc_id", "s1", "s2"], "left_semi").dropDuplicates(["doc_id", "s1", "s2"])
+    # One row of each set, under the smallest doc_id that has it.
+    own = table.select("row", "n_shingles", "regs", "bands").join(small(reps.select("row", F.col("rep").alias("doc_id"))), "row")
     banded = own.select("doc_id", F.explode("bands").alias("key"))
-    met = banded.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("key", "low")
-    grouped = checkpoint(banded.join(met, "key"))  # documents that share a band with another set
+    met = checkpoint(banded.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("key", "low"))
+    grouped = checkpoint(banded.join(small(met), "key"))  # documents that share a band with another set
 
-    links = None
-    labels = None
+    known = same  # links, or the stars that stand for them
     for turn in range(2):
         if turn:
-            degree = links.select(F.explode(F.array("u", "v")).alias("doc_id")).groupBy("doc_id").agg(F.count("*").alias("d"))
-            placed = grouped.join(degree, "doc_id", "left").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-            placed = placed.select("doc_id", "key", F.coalesce("label", "doc_id").alias("label"), F.coalesce("d", F.lit(0)).alias("d"))
+            degree = found.select(F.explode(F.array("u", "v")).alias("doc_id")).groupBy("doc_id").agg(F.count("*").alias("d"))
+            about = checkpoint(degree.join(labels, "doc_id", "full"))
+            placed = grouped.join(small(about), "doc_id", "left").select("doc_id", "key", F.coalesce("label", "doc_id").alias("label"), F.coalesce("d", F.lit(0)).alias("d"))
             open_keys = placed.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.max_by(F.struct("doc_id", "label"), F.struct("d", -F.col("doc_id"))).alias("top")).where("a < b")
             pairs = placed.join(open_keys, "key").where("label <> top.label").select("doc_id", F.col("top.doc_id").alias("pivot"))
         else:
@@ -254,16 +254,15 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: Fraction = Fraction(
         if turn:
             pairs = pairs.join(held, ["u", "v"], "left_anti")
         held = pairs = checkpoint(pairs)
-        sketches = own.select("doc_id", "regs", "n_shingles")
-        found = checkpoint(confirm(likely(pairs, sketches, float(threshold)), docs, k, threshold))
-        links = found if links is None else links.union(found)
-        labels = checkpoint(components(links.union(same)))
+        found = checkpoint(confirm(likely(pairs, own.select("doc_id", "regs", "n_shingles"), float(threshold)), docs, k, threshold))
+        labels = checkpoint(components(found.union(known)).withColumnRenamed("node", "doc_id"))
+        known = labels.select(F.col("doc_id").alias("u"), F.col("label").alias("v"))
 
-    placed = grouped.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "key", F.coalesce("label", "doc_id").alias("label"))
+    placed = grouped.join(small(labels), "doc_id", "left").select("doc_id", "key", F.coalesce("label", "doc_id").alias("label"))
     left = placed.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a < b").select("key")
     rest = checkpoint(placed.join(left, "key", "left_semi").select("doc_id", "label").distinct())
     sets = checkpoint(full_sets(docs, rest.select("doc_id").distinct(), k))
-    links = links.union(confirm(prefix_pairs(sets, rest, threshold), docs, k, threshold))
-    labels = components(links.union(same)).withColumnRenamed("node", "doc_id")
+    found = confirm(prefix_pairs(sets, rest, threshold), docs, k, threshold)
+    labels = components(found.union(known)).withColumnRenamed("node", "doc_id")
     out = table.select("doc_id", "n_shingles").join(labels, "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("label", "doc_id").alias("component_id"), F.coalesce(F.coalesce("label", "doc_id") == F.col("doc_id"), F.lit(True)).alias("kept"))

@@ -9,7 +9,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Sides of at most this many rows of one or two integers (16 MB) may be broadcast.
+#: Sides of at most this many rows of up to three integers (24 MB) may be broadcast.
 BROADCAST_ROWS = 1_000_000
 
 
@@ -38,11 +38,14 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def small(df: DataFrame) -> DataFrame:
+    """A table of a few integers a row, marked for broadcast while its rows are few."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def drop_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """Rows of ``docs`` whose doc_id isn't in ``ids``: broadcast while they are few."""
-    ids = checkpoint(ids)
-    few = ids.count() <= BROADCAST_ROWS
-    return docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_anti")
+    return docs.join(small(checkpoint(ids)), "doc_id", "left_anti")
 
 
 _own_folders: dict[str, str] = {}
