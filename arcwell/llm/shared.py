@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 #: Sides of at most this many rows of up to three integers (24 MB) may be broadcast.
 BROADCAST_ROWS = 1_000_000
+#: Rows that Spark hands to a Python worker at once, about a chunk of texts. Spark's own
+#: 10,000 rows of text are 20 MB and more on both sides of the pipe.
+ARROW_ROWS, ARROW_KEY, ARROW_DEFAULT = "500", "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,8 +57,11 @@ _shipped: set[str] = set()
 
 def ship(spark: SparkSession) -> SparkSession:
     """Send this package to the executors, once per application, so that their Python
-    workers can import it wherever they run."""
+    workers can import it wherever they run; and hand them smaller batches, unless the
+    session has a size of its own."""
     context = spark.sparkContext
+    if spark.conf.get(ARROW_KEY) == ARROW_DEFAULT:
+        spark.conf.set(ARROW_KEY, ARROW_ROWS)
     if context.applicationId not in _shipped:
         package = Path(__file__).resolve().parents[1]
         to = Path(tempfile.mkdtemp(prefix="arcwell-")) / "arcwell_package.zip"

@@ -7,6 +7,7 @@ Hashes depend on bytes alone, so every executor names equal words alike.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,6 +28,7 @@ _R_INV = pow(_R, -1, 2**64)
 _SEP = np.zeros(256, dtype=bool)
 _SEP[[0x20, 9, 10, 11, 12, 13]] = True
 _powers: dict[str, np.ndarray] = {}
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
 
 
 def powers(base: int, n: int, key: str) -> np.ndarray:
@@ -43,6 +45,16 @@ def powers(base: int, n: int, key: str) -> np.ndarray:
     return have[:n]
 
 
+def release() -> None:
+    """Give freed memory back to the system, tables made for one very long text too:
+    workers outlive their tasks, and an executor holds several."""
+    for key in [k for k, v in _powers.items() if len(v) > 2 * CHUNK_BYTES]:
+        del _powers[key]
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser on unsigned 64-bit values."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -83,14 +95,17 @@ class Words:
 
 def chunks(batches: Iterator[pa.RecordBatch], limit: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes | None]]]:
     """Slices of the batches whose ``text`` column holds about ``limit`` bytes."""
-    for batch in batches:
-        texts = batch.column(batch.schema.get_field_index("text")).cast(pa.large_binary()).to_pylist()
-        begin, held = 0, 0
-        for i, t in enumerate(texts):
-            size = len(t or b"") + 1
-            if held and held + size > limit:
-                yield batch.slice(begin, i - begin), texts[begin:i]
-                begin, held = i, 0
-            held += size
-        if begin < len(texts):
-            yield batch.slice(begin), texts[begin:]
+    try:
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index("text")).cast(pa.large_binary()).to_pylist()
+            begin, held = 0, 0
+            for i, t in enumerate(texts):
+                size = len(t or b"") + 1
+                if held and held + size > limit:
+                    yield batch.slice(begin, i - begin), texts[begin:i]
+                    begin, held = i, 0
+                held += size
+            if begin < len(texts):
+                yield batch.slice(begin), texts[begin:]
+    finally:
+        release()
