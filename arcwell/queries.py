@@ -14,7 +14,7 @@ from .functions import scalars
 from .operators import govern, graph, metrics, search
 from .plans import facts
 from .plans.session import table
-from .sources import extract, lines
+from .sources import extract, lines, metrics_scan, structure
 from .streaming import live
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -390,6 +390,39 @@ def name_fallback_match(spark, sf):
     return rest.join(n, "source").select(F.format_string("page/%d", "page_id").alias("file"), "n")
 
 
+# The next four read small source files: the driver's tables hold no code.
+SOURCES = [
+    ("db/s.sql", "CREATE TABLE app.orders (\n id INT PRIMARY KEY,\n total NUMERIC(10, 2) NOT NULL,\n who INT,\n FOREIGN KEY (who) REFERENCES people (id)\n);"),
+    ("s/kitA.osw", '{"a": "Other"}'), ("x/KitAController.tsx", "export const noop = (): number => 42;"), ("x/Other.ts", "function pick(a) { if (a && b) { return a ? 1 : 2; } }"), ("y/Other.ts", ""),
+    ("Pay.java", "package a.pay;\ninterface Pay {}"), ("S.java", "package a.x;\nimport a.pay.Pay;\nclass S implements Pay {}"), ("W.java", "package w;\nimport a.pay.*;\nclass W {}"), ("Z.java", "package z;\nclass Z {}"),
+]
+
+
+def _sources(spark):
+    return spark.createDataFrame(SOURCES, "file string, text string")
+
+
+@query("SELECT * FROM (VALUES ('orders', 'id', 'INT', false, true, NULL), ('orders', 'total', 'NUMERIC(10, 2)', false, false, NULL), ('orders', 'who', 'INT', true, false, 'people')) AS t(table_name, column_name, type, nullable, primary_key, ref_table)")
+def schema_tables(spark, sf):
+    return structure.db_tables(_sources(spark)).select("table_name", "column_name", "type", "nullable", "primary_key", "ref_table")
+
+
+@query("SELECT * FROM (VALUES ('x/KitAController.tsx', 'noop', 1, 1, 0, 0), ('x/Other.ts', 'pick', 1, 4, 4, 2)) AS t(file, name, line_no, cyclomatic, cognitive, max_nesting)")
+def function_metrics(spark, sf):
+    return metrics_scan.function_metrics(_sources(spark))
+
+
+@query("SELECT * FROM (VALUES ('s/kitA.osw', 'x/KitAController.tsx', 'resolved'), ('s/kitA.osw', 'x/Other.ts', 'inferred'), ('s/kitA.osw', 'y/Other.ts', 'inferred')) AS t(from_id, to_id, confidence)")
+def screen_links(spark, sf):
+    return structure.screen_links(_sources(spark))
+
+
+@query("SELECT * FROM (VALUES ('Pay.java', 'Pay', 'a.pay.Pay', 2), ('S.java', 'Pay', 'a.pay.Pay', 1), ('W.java', 'Pay', 'a.pay.Pay', 3), ('Z.java', 'Pay', 'a.pay.Pay', 4)) AS t(file, simple, full_name, tier)")
+def type_resolution(spark, sf):
+    d = _sources(spark)
+    return structure.resolve_types(d.select("file", F.lit("Pay").alias("simple")), structure.java_types(d), d)
+
+
 # -- Search -------------------------------------------------------------------------------
 
 
