@@ -8,7 +8,7 @@ documents of the language that text and declaration alone suggest.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +25,15 @@ EVIDENCE = 40.0
 DECLARED, SUFFIX = 0.9, 0.8
 #: Strength of the priors, in documents.
 STRENGTH = 10.0
-#: Rows (of the least hashes) and bytes a row that the text model is fitted on at most.
-TRAIN_ROWS, TRAIN_BYTES, LANGUAGES = 8_000, 8_192, 64
+#: Rows that the text model is fitted on, about: as many of each language, but no fewer
+#: than TRAIN_LEAST where it has them; the first TRAIN_BYTES bytes of each.
+TRAIN_ROWS, TRAIN_LEAST, TRAIN_BYTES = 8_000, 32, 8_192
+#: Trigrams that all languages' mean counts for in each language's model.
+SMOOTHING = 4_096.0
+#: Languages so many nats behind the best are left out of a document's list. A prior
+#: moves two languages apart by less than 60 (for 10**9 documents), and what is another
+#: 50 behind is beyond the precision of float64.
+NEAR = 110.0
 #: Languages of country suffixes (fixed values).
 COUNTRIES = {"fr": "fr", "de": "de", "at": "de", "es": "es", "mx": "es", "uk": "en", "us": "en", "ie": "en", "au": "en"}
 
@@ -42,38 +49,62 @@ def trigrams(raw: np.ndarray) -> np.ndarray:
     return ((x[:-2] * np.uint32(0x9E3779B1) + x[1:-1] * np.uint32(0x85EBCA77) + x[2:] * np.uint32(0xC2B2AE3D)) * np.uint32(0x27D4EB2F)) >> np.uint32(32 - BITS)
 
 
-def fit(rows: list[tuple[str, bytes]]) -> tuple[list[str], np.ndarray]:
-    """Languages and log probabilities of trigram slots (slots x languages)."""
-    langs = sorted({lang for lang, _ in rows})[:LANGUAGES]
-    counts = np.full((1 << BITS, max(1, len(langs))), 0.5)
+def fit(rows: Iterable[tuple[str, bytes]], langs: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Log probabilities of trigram slots (models x slots) and each language's model.
+
+    Each language's counts are smoothed towards the mean of all languages, which is the
+    model of the languages without a text, if there are any: the last one.
+    """
+    counts: dict[str, np.ndarray] = {}
     for lang, text in rows:
-        if lang in langs and len(text) > 2:
-            counts[:, langs.index(lang)] += np.bincount(trigrams(np.frombuffer(text, np.uint8)), minlength=1 << BITS)
-    return langs, np.log(counts / counts.sum(0)).astype(np.float32)
+        if len(text) > 2:
+            own = counts.setdefault(lang, np.zeros(1 << BITS, np.uint32))
+            own += np.bincount(trigrams(np.frombuffer(text, np.uint8)), minlength=1 << BITS).astype(np.uint32)
+    fitted = sorted(counts)
+    mean = np.full(1 << BITS, 1.0 / (1 << BITS))
+    if fitted:
+        mean = 0.1 * mean + 0.9 * sum(counts[x] / counts[x].sum() for x in fitted) / len(fitted)
+    logs = np.empty((len(fitted) + (len(fitted) < max(1, len(langs))), 1 << BITS), np.float32)
+    for i, x in enumerate(fitted):
+        logs[i] = np.log((counts[x] + SMOOTHING * mean) / (counts[x].sum() + SMOOTHING))
+    logs[len(fitted) :] = np.log(mean)
+    at = {x: i for i, x in enumerate(fitted)}
+    return logs, np.array([at.get(x, len(fitted)) for x in langs], np.int64)
 
 
 def identify(docs: DataFrame, declared: Column, host: Column, suffix: Column | None = None, training: Column | None = None, least: float = 0.5) -> DataFrame:
     """One row per row of ``docs``: doc_id, lang, confidence, declared, rejected.
 
-    The text model is fitted on a bounded sample of rows with a declared language
-    (``training``, else ``declared``). A text without a letter (null and empty ones
-    too) has lang null, confidence 0 and is rejected; so is one whose best language is
-    less likely than ``least``. A null declaration, host or suffix is no evidence.
-    Ties go to the first language by code point. Repeated rows are judged alike; extra
-    columns are ignored; without any declaration all are rejected; an empty table
-    gives no rows.
+    The languages are all those that any row is labelled with (``training``, else
+    ``declared``), declares or has a suffix of. The text model is fitted on a bounded
+    sample of each one's labelled rows, drawn by hash; a language without any has the
+    mean of the others as its text likelihood. The driver and each worker hold about
+    0.4 MB a language. A text without a letter (null and empty ones too) has lang null,
+    confidence 0 and is rejected; so is one whose best language is less likely than
+    ``least``. A null declaration, host or suffix is no evidence. Ties go to the first
+    language by code point. Repeated rows are judged alike; extra columns are ignored;
+    without any language all are rejected; an empty table gives no rows.
     """
     spark = docs.sparkSession
     suffix = F.lit(None).cast("string") if suffix is None else suffix
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", declared.alias("declared"), host.alias("host"), suffix.alias("suffix"), (declared if training is None else training).alias("_label"))
-    fit_rows = base.where((F.octet_length("text") <= TRAIN_BYTES) & F.col("_label").isNotNull() & F.col("doc_id").isNotNull())
-    chosen = fit_rows.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS)  # ids alone are ranked
-    sample = fit_rows.join(F.broadcast(chosen), "doc_id", "left_semi").limit(2 * TRAIN_ROWS)
-    langs, logs = fit([(r["_label"], r["text"].encode()) for r in sample.select("_label", "text").collect()])
-    told = spark.sparkContext.broadcast(logs)
+    country = F.element_at(F.create_map(*[F.lit(x) for pair in COUNTRIES.items() for x in pair]), F.coalesce("suffix", F.lit("")))
+    # Equal rows have equal hashes, so rows are counted and drawn by different hashes.
+    drawn = F.when(F.octet_length("text") > 2, F.xxhash64("doc_id", "text"))
+    named = F.array(F.struct(F.col("_label").alias("x"), drawn.alias("h")), *[F.struct(c.alias("x"), F.lit(None).cast("long").alias("h")) for c in (F.col("declared"), country)])
+    found = base.select(F.explode(named).alias("n")).select("n.x", "n.h").where("x IS NOT NULL").groupBy("x").agg(F.approx_count_distinct("h").alias("n")).collect()
+    langs = sorted(r["x"] for r in found)
+    k = max(1, len(langs))
+    share = max(TRAIN_LEAST, TRAIN_ROWS // k)
+    cuts = [(r["x"], int(min(2**63 - 1, -(2**63) + 2**64 * share // r["n"]))) for r in found if r["n"]]
+    labelled = base.join(F.broadcast(spark.createDataFrame(cuts, "_label string, cut long")), "_label").withColumn("h", drawn).where("h <= cut")
+    sample = labelled.groupBy("_label", "h").agg(F.first(F.substring(F.col("text").cast("binary"), 1, TRAIN_BYTES)).alias("piece"))
+    logs, model = fit(((r["_label"], bytes(r["piece"])) for r in sample.select("_label", "piece").collect()), langs)
+    told = spark.sparkContext.broadcast((logs, model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        logs = told.value
+        logs, model = told.value
+        place = {x: i for i, x in enumerate(langs)}
         with np.errstate(over="ignore"):
             for batch, texts in chunks(batches):
                 raw = b"\0\0".join([b"", *(t or b"" for t in texts), b"", b""])
@@ -85,50 +116,50 @@ def identify(docs: DataFrame, declared: Column, host: Column, suffix: Column | N
                 n = np.maximum(sizes - 2, 1)
                 weight = np.minimum(n, EVIDENCE) / n * (sizes > 2)
                 inside = np.ones(len(slots), np.int8)  # not those across the ends of texts
-                for k in (-2, -1, 0, 1):
-                    inside[np.minimum(at + sizes + k, len(slots) - 1)] = 0
+                for i in (-2, -1, 0, 1):
+                    inside[np.minimum(at + sizes + i, len(slots) - 1)] = 0
                 inside[: at[0]] = 0
-                score = np.stack([np.add.reduceat(logs[slots, k] * inside, at) * weight for k in range(logs.shape[1])], 1)
-                yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in (0, 2, 3, 4)), pa.array(letters > 0), pa.array(list(score.astype(np.float64)), pa.list_(pa.float64()))], ["doc_id", "declared", "host", "suffix", "lettered", "text_log"])
-
-    seen = checkpoint(base.drop("_label").mapInArrow(run, "doc_id long, declared string, host string, suffix string, lettered boolean, text_log array<double>"))
-    k = max(1, len(langs))
-
-    def claim(claimed: Column, right: float) -> Column:
-        """Logs of a claim's chance by language; zeros for none or an unknown one."""
-        known = F.coalesce(claimed.isin(langs), F.lit(False))
-        return F.array(*[F.when(known, F.when(claimed == x, float(np.log(right))).otherwise(float(np.log((1 - right) / max(1, k - 1))))).otherwise(0.0) for x in langs or [""]])
+                by_model = np.stack([np.add.reduceat(own[slots] * inside, at) * weight for own in logs], 1).astype(np.float64)
+                score = by_model[:, model] if langs else by_model
+                for column, right in ((1, DECLARED), (4, SUFFIX)):
+                    claims = [place.get(x, -1) for x in batch.column(column).to_pylist()]
+                    for row, claimed in enumerate(claims):
+                        if claimed >= 0:
+                            score[row] += np.log((1 - right) / max(1, k - 1))
+                            score[row, claimed] += np.log(right) - np.log((1 - right) / max(1, k - 1))
+                row, lang = np.nonzero(score >= score.max(1)[:, None] - NEAR)
+                ends = pa.array(np.searchsorted(row, np.arange(len(texts) + 1)), pa.int32())
+                near, near_log = pa.ListArray.from_arrays(ends, pa.array(lang, pa.int32())), pa.ListArray.from_arrays(ends, pa.array(score[row, lang]))
+                yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), pa.array(letters > 0), pa.array(score.argmax(1), pa.int32()), near, near_log], ["doc_id", "declared", "host", "suffix", "lettered", "guess", "near", "log"])
+
+    shown = base.select("doc_id", "declared", "host", "suffix", country.alias("country"), "text")
+    seen = checkpoint(shown.mapInArrow(run, "doc_id long, declared string, host string, suffix string, lettered boolean, guess int, near array<int>, log array<double>"))
+    counts = checkpoint(seen.where("lettered").groupBy("host", "suffix", "guess").agg(F.count("*").cast("double").alias("n")))
+    overall = np.ones(k)
+    for r in counts.groupBy("guess").agg(F.sum("n").alias("n")).collect():
+        overall[r["guess"]] += r["n"]
+    overall = F.array(*[F.lit(float(x)) for x in overall / overall.sum()])
+    hosted = counts.where("host IS NOT NULL")
 
-    def plus(*parts: Column) -> Column:
-        out = parts[0]
-        for p in parts[1:]:
-            out = F.zip_with(out, p, lambda a, b: a + b)
-        return out
+    def tally(rows: DataFrame, *by: str) -> DataFrame:
+        return rows.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("guess", "n"))).alias("n"), F.sum("n").alias("total"))
 
-    def best(scores: Column) -> Column:
-        return (F.array_position(scores, F.array_max(scores)) - 1).cast("int")
+    by_host = tally(hosted, "host", "suffix").toDF("_host", "_suffix", "host_n", "host_total")
+    by_suffix = tally(hosted.groupBy("suffix", "guess").agg(F.sum("n").alias("n")), "suffix").toDF("_s", "suffix_n", "suffix_total")
+    priors = by_host.join(by_suffix, F.col("_suffix").eqNullSafe(F.col("_s"))).drop("_s")
 
-    country = F.element_at(F.create_map(*[F.lit(x) for pair in COUNTRIES.items() for x in pair]), F.coalesce("suffix", F.lit("")))
-    fused = seen.withColumn("log", plus(F.col("text_log"), claim(F.col("declared"), DECLARED), claim(country, SUFFIX))).drop("text_log").withColumn("guess", best(F.col("log")))
-    counted = fused.where("lettered")
-    tally = [F.sum(F.when(F.col("guess") == i, 1.0).otherwise(0.0)) for i in range(k)]
-    by_host = counted.where("host IS NOT NULL").groupBy("host", "suffix").agg(F.array(*tally).alias("host_n"))
-    by_suffix = by_host.groupBy("suffix").agg(F.array(*[F.sum(F.get("host_n", F.lit(i))) for i in range(k)]).alias("suffix_n"))
-    overall = counted.agg(F.array(*tally).alias("n")).first()["n"]
-    overall = np.array([x or 0.0 for x in overall or [0.0] * k]) + 1.0
-    overall = F.array(*[F.lit(float(x)) for x in overall / overall.sum()])
+    def smooth(i: Column, n: str, total: str, towards: Column) -> Column:
+        return (F.coalesce(F.element_at(n, i), F.lit(0.0)) + STRENGTH * towards) / (F.col(total) + STRENGTH)
 
-    def smooth(n: Column, towards: Column) -> Column:
-        total = F.aggregate(n, F.lit(0.0), lambda s, x: s + x)
-        return F.zip_with(n, towards, lambda x, p: (x + STRENGTH * p) / (total + STRENGTH))
+    def prior(i: Column) -> Column:
+        general = F.get(overall, i)
+        return F.log(F.coalesce(smooth(i, "host_n", "host_total", smooth(i, "suffix_n", "suffix_total", general)), general))
 
-    priors = by_host.join(by_suffix.withColumnRenamed("suffix", "_s"), F.col("suffix").eqNullSafe(F.col("_s"))).select(
-        F.col("host").alias("_host"), F.col("suffix").alias("_suffix"), F.transform(smooth(F.col("host_n"), smooth(F.col("suffix_n"), overall)), lambda p: F.log(p)).alias("prior")
-    )
-    met = fused.join(priors, (F.col("host") == F.col("_host")) & F.col("suffix").eqNullSafe(F.col("_suffix")), "left")
-    met = met.withColumn("log", plus(F.col("log"), F.coalesce("prior", F.transform(overall, lambda p: F.log(p)))))
+    met = seen.join(priors, (F.col("host") == F.col("_host")) & F.col("suffix").eqNullSafe(F.col("_suffix")), "left")
+    met = met.select("doc_id", "declared", "lettered", "near", F.zip_with("near", "log", lambda i, x: x + prior(i)).alias("log"))
     top = F.array_max("log")
     sure = 1 / F.aggregate("log", F.lit(0.0), lambda s, x: s + F.exp(x - top))
-    lang = F.when(F.col("lettered") & F.lit(bool(langs)), F.element_at(F.array(*map(F.lit, langs or [""])), best(F.col("log")) + 1))
+    best = F.get("near", F.array_position("log", top).cast("int") - 1)
+    lang = F.when(F.col("lettered") & F.lit(bool(langs)), F.get(F.array(*map(F.lit, langs or [""])), best))
     out = met.select("doc_id", lang.alias("lang"), F.when(lang.isNotNull(), sure).otherwise(0.0).alias("confidence"), "declared")
     return out.withColumn("rejected", F.col("lang").isNull() | (F.col("confidence") < least))

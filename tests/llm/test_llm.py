@@ -348,6 +348,56 @@ def test_op9_language(spark, none):
     assert langid.identify(none, F.col("lang"), F.col("source")).count() == 0
 
 
+def told_languages(spark, rows, **more):
+    ship(spark)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, label string, host string, suffix string")
+    more = {"training": F.col("label")} | more
+    return {r["doc_id"]: r for r in langid.identify(docs, F.col("lang"), F.col("host"), **more).collect()}
+
+
+def words_of(k, n, rng):
+    """n words that only language k has."""
+    letters = random.Random(k).sample("abcdefghijklmnopqrstuvwxyz", 6)
+    return " ".join("".join(rng.choice(letters) for _ in range(5)) for _ in range(n))
+
+
+def test_op9_has_every_language(spark, monkeypatch):
+    """More than 64, one with long texts alone, and rare ones: each undeclared document
+    is told from the labelled ones."""
+    monkeypatch.setattr(langid, "TRAIN_ROWS", 80)
+    rng, rows = random.Random(5), []
+    for k in range(80):
+        for i in range(4 if k else 600):
+            text = words_of(k, 1500 if k == 79 else 200, rng)
+            rows.append((len(rows), text, None, f"l{k:02}" if i else None, f"h{i}", None))
+    got = told_languages(spark, rows)
+    want = {(r[0], f"l{k:02}") for r, k in zip(rows, [0] * 600 + [k for k in range(1, 80) for _ in range(4)], strict=True)}
+    assert {(i, r["lang"]) for i, r in got.items()} == want
+
+
+def test_op9_language_without_training(spark):
+    """A declared language that no label names is told where the text is unlike others'."""
+    rng = random.Random(6)
+    rows = [(i, words_of(i % 2, 40, rng), f"l{i % 2}", f"l{i % 2}", "h", None) for i in range(100)]
+    rows += [(100 + i, words_of(2, 40, rng), "l2", None, "h", None) for i in range(5)]
+    got = told_languages(spark, rows)
+    assert all(got[i]["lang"] == f"l{i % 2}" for i in range(100))
+    assert all(got[100 + i]["lang"] == "l2" for i in range(5))
+
+
+def test_op9_suffix(spark):
+    """Texts of two bytes say nothing: the country's suffix decides, and a host's prior
+    is drawn to its suffix's."""
+    rng = random.Random(7)
+    rows = [(i, words_of(i % 2, 40, rng), ("de", "fr")[i % 2], ("de", "fr")[i % 2], f"h{i % 2}", ("at", "fr")[i % 2]) for i in range(100)]
+    rows += [(100, "ab", None, None, "new", "at"), (101, "ab", None, None, "new", "fr"), (102, "ab", None, None, None, None)]
+    rows += [(200 + i, "ab", None, None, None, "mx") for i in range(30)]
+    got = told_languages(spark, rows, suffix=F.col("suffix"))
+    assert [got[i]["lang"] for i in range(100, 103)] == ["de", "fr", "de"]
+    assert all(got[200 + i]["lang"] == "es" for i in range(30))
+    assert got[100]["confidence"] > told_languages(spark, rows)[100]["confidence"]
+
+
 def kept_words(rows, window=50):
     first, split = {}, {}
     for r in sorted((r for r in rows if r[0] is not None), key=lambda r: r[0]):
