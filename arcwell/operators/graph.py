@@ -16,6 +16,8 @@ from ..plans.session import checkpoint
 EDGE = ["from_id", "to_id", "from_kind", "to_kind", "via", "confidence"]
 #: Edges that the driver takes for path search (about 100 MB); more stay distributed.
 DRIVER_EDGES = 500_000
+#: Levels after which the plan of all known nodes is cut.
+COMPACT = 32
 
 
 def union_edges(*families: DataFrame) -> DataFrame:
@@ -62,6 +64,8 @@ def reach(edges: DataFrame, seeds: DataFrame, max_depth: int = 10, reverse: bool
             break
         known += new
         seen = seen.union(front)
+        if depth % COMPACT == 0:
+            seen = checkpoint(seen)
     steps.unpersist()
     return seen.select("id", "depth", F.when(F.col("sure") == 1, "resolved").otherwise("inferred").alias("confidence"))
 
@@ -89,25 +93,26 @@ def resolve_id(nodes: DataFrame, text: str) -> DataFrame:
     return found.orderBy("tier", F.length("id"), "id")
 
 
-def routes(edges: DataFrame, start: str, end: str, k: int = 3, max_visited: int = 5000) -> list[list[tuple[str, str, str]]]:
+def routes(edges: DataFrame, start: str, end: str, k: int = 3) -> list[list[tuple[str, str, str]]]:
     """Up to k simple routes from ``start`` along dependencies to ``end``, shortest
-    first, as lists of (node, via, confidence).
+    first, then by ids, as lists of (node, via, confidence).
 
-    The driver takes only the edges between nodes that are reachable from one end and
-    reach the other; if there are more than DRIVER_EDGES, one shortest route's worth of
-    levels is searched by joins and an error is raised beyond it.
+    The search is exact at every size, without a bound on nodes or levels. Beyond
+    DRIVER_EDGES, the driver takes only the edges between nodes that are reachable from
+    one end and reach the other; if these are too many as well, each route is searched
+    by joins, a level at a time.
     """
     spark = edges.sparkSession
-    induced = edges
+    induced, driven = edges, True
     if edges.limit(DRIVER_EDGES + 1).count() > DRIVER_EDGES:
-        one = reach(edges, spark.createDataFrame([(start,)], "id string"), 50, False, max_visited).select("id")
-        two = reach(edges, spark.createDataFrame([(end,)], "id string"), 50, True, max_visited).select("id")
-        both = one.join(two, "id", "left_semi")
+        one = reach(edges, spark.createDataFrame([(start,)], "id string"), 1 << 40, False).select("id")
+        two = reach(edges, spark.createDataFrame([(end,)], "id string"), 1 << 40, True).select("id")
+        both = checkpoint(one.join(two, "id", "left_semi"))
         induced = edges.join(both.withColumnRenamed("id", "from_id"), "from_id", "left_semi").join(both.withColumnRenamed("id", "to_id"), "to_id", "left_semi")
-        if induced.limit(DRIVER_EDGES + 1).count() > DRIVER_EDGES:
-            raise ValueError("too many edges between the two nodes for a path search")
+        induced = checkpoint(induced.groupBy("from_id", "to_id").agg(F.min(F.struct("via", "confidence")).alias("told")).select("from_id", "to_id", "told.*"))
+        driven = induced.count() <= DRIVER_EDGES
     out: dict[str, dict[str, tuple[str, str]]] = {}
-    for r in induced.select("from_id", "to_id", "via", "confidence").collect():
+    for r in induced.select("from_id", "to_id", "via", "confidence").collect() if driven else []:
         told = out.setdefault(r[0], {})
         told[r[1]] = min(told.get(r[1], (r[2], r[3])), (r[2], r[3]))
 
@@ -126,20 +131,48 @@ def routes(edges: DataFrame, start: str, end: str, k: int = 3, max_visited: int
                     todo.append(b)
         return None
 
-    first = shortest(start, set(), set())
+    def joined(begin: str, banned_edges: set[tuple[str, str]], banned: set[str]) -> list[str] | None:
+        """What ``shortest`` finds, in levels from the end: each node keeps its smallest
+        next one, so that the path is the smallest of the shortest ones here too."""
+        steps = induced.select("from_id", "to_id")
+        if banned:
+            steps = steps.where(~F.col("from_id").isin(banned) & ~F.col("to_id").isin(banned))
+        for a, b in banned_edges:
+            steps = steps.where((F.col("from_id") != a) | (F.col("to_id") != b))
+        levels = [checkpoint(spark.createDataFrame([(end, None)], "id string, next string"))]
+        seen = levels[0].select("id")
+        while not levels[-1].where(F.col("id") == begin).count():
+            met = steps.join(levels[-1].select(F.col("id").alias("to_id")), "to_id").groupBy(F.col("from_id").alias("id")).agg(F.min("to_id").alias("next"))
+            levels.append(checkpoint(met.join(seen, "id", "left_anti")))
+            if levels[-1].isEmpty():
+                return None
+            seen = seen.union(levels[-1].select("id"))
+            if len(levels) % COMPACT == 0:
+                seen = checkpoint(seen)
+        path = [begin]
+        for level in levels[:0:-1]:
+            path.append(level.where(F.col("id") == path[-1]).first()["next"])
+        return path
+
+    search = shortest if driven else joined
+    first = search(start, set(), set())
     found, spare = ([first] if first else []), []
     while found and len(found) < k:
         last = found[-1]
         for i in range(len(last) - 1):
             root = last[: i + 1]
             cut = {(p[i], p[i + 1]) for p in found if p[: i + 1] == root}
-            tail = shortest(root[-1], cut, set(root[:-1]))
+            tail = search(root[-1], cut, set(root[:-1]))
             if tail and root[:-1] + tail not in spare + found:
                 spare.append(root[:-1] + tail)
         if not spare:
             break
         spare.sort(key=lambda p: (len(p), p))
         found.append(spare.pop(0))
+    if not driven and (used := sorted({x for p in found for x in zip(p, p[1:], strict=False)})):
+        pairs = spark.createDataFrame(used, "from_id string, to_id string")
+        for r in induced.join(F.broadcast(pairs), ["from_id", "to_id"]).select("from_id", "to_id", "via", "confidence").collect():
+            out.setdefault(r[0], {})[r[1]] = (r[2], r[3])
     return [[(b, *out[a][b]) if a else (b, "", "") for a, b in zip(["", *p[:-1]], p, strict=True)] for p in found]
 
 

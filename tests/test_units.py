@@ -36,6 +36,25 @@ def test_diamond_and_chain(spark):
     assert {(r["id"], r["depth"]) for r in graph.impact(d, "A").collect()} == {("B", 1), ("C", 1), ("D", 2)}
 
 
+def test_routes_beyond_the_driver(spark, monkeypatch):
+    """A hub of more than 5,000 nodes and a route of more than 50 hops hide nothing."""
+    monkeypatch.setattr(graph, "DRIVER_EDGES", 100)
+    pairs = [("n0", f"leaf{i}") for i in range(5100)] + [(f"n{i}", f"n{i + 1}") for i in range(52)]
+    (path,) = graph.routes(edges(spark, pairs), "n0", "n52", 3)
+    assert [n for n, _, _ in path] == [f"n{i}" for i in range(53)]
+
+
+def test_routes_by_joins_are_the_driver_s(spark, monkeypatch):
+    import random
+
+    rng = random.Random(4)
+    e = edges(spark, sorted({(f"a{rng.randrange(9)}", f"a{rng.randrange(9)}") for _ in range(24)})).where("from_id <> to_id")
+    want = graph.routes(e, "a0", "a5", 3), graph.routes(e, "a0", "nowhere", 3)
+    assert len(want[0]) == 3 and want[1] == []
+    monkeypatch.setattr(graph, "DRIVER_EDGES", 3)
+    assert (graph.routes(e, "a0", "a5", 3), graph.routes(e, "a0", "nowhere", 3)) == want
+
+
 def test_strong_components_and_communities(spark):
     e = edges(spark, [("a", "b"), ("b", "a"), ("x", "y"), ("y", "z"), ("z", "x"), ("z", "q")])
     got = {r["id"]: r["component"] for r in graph.strong_components(e).collect()}
