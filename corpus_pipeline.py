@@ -13,15 +13,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arcwell.llm import langid, mixing, neardup, packing, substring
-from arcwell.llm.shared import drop_ids, shared_folder, ship
+from arcwell.llm.shared import checkpoint, drop_ids, shared_folder, ship, small
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told; those without one go."""
+    """Documents whose language can be told; each row without one goes, whatever its id.
+
+    Rows are named by a 64-bit hash of all that their verdict depends on, nulls too.
+    """
     ship(spark)
-    told = langid.identify(docs, F.col("lang"), F.col("source"))
-    rejected = told.groupBy("doc_id").agg(F.min("rejected").alias("gone")).where("gone").select("doc_id")
-    return drop_ids(docs, rejected)
+    parts = ["doc_id", "text", "lang", "source"]
+    named = docs.withColumn("_row", F.xxhash64(*parts, *[F.col(x).isNull() for x in parts]))
+    told = langid.identify(named.drop("doc_id").withColumnRenamed("_row", "doc_id"), F.col("lang"), F.col("source"))
+    rejected = told.where("rejected").select(F.col("doc_id").alias("_row")).distinct()
+    return named.join(small(checkpoint(rejected)), "_row", "left_anti").select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

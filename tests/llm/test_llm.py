@@ -439,6 +439,16 @@ def test_op10_random_repeats(spark):
         assert r["kept_sha256"] == hashlib.sha256(" ".join(want[r["doc_id"]]).encode()).hexdigest()
 
 
+def test_pipeline_drops_each_rejected_row(spark):
+    """Null ids and ids that an accepted row has too keep no text without a letter."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    rows = [(1, "some words here", "en", "s", 1), (1, " 123 ", "en", "s", 1), (None, "", "en", "s", 1), (None, None, None, None, 0), (None, "other words here", "en", "s", 1), (2, "12", "en", None, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = pipeline.language_id(spark, docs, "")
+    assert kept.columns == docs.columns
+    assert {tuple(r) for r in kept.collect()} == {rows[0], rows[4]}
+
+
 def test_pipeline_by_stage(spark):
     pipeline = pytest.importorskip("corpus_pipeline")
     rows = [(r[0], r[1], "en", r[3], r[4]) for r in ROWS]
