@@ -10,10 +10,10 @@ Two neighbouring symbols of the last round (2 to 16 words) are an anchor. A wind
 anchor is the longest (ties by name) of those that start in its middle stretch of
 ``window - 30`` words: equal windows have equal anchors. Anchor names that occur in two
 different texts are set in a bitmap of bounded size; only windows whose anchor is in it
-are named themselves and compared, which verifies every repeat exactly. (A fuller
-bitmap lets more windows through; it never loses one.)
+are named themselves and compared. (A fuller bitmap lets more windows through; it never
+loses one.) A repeat is equality of 64-bit hashes: words aren't compared after that.
 
-Copies of a whole text are settled first: all but the one of the smallest id lose
+Copies of a whole text, by a 64-bit hash of it, are settled first: all but the one of the smallest id lose
 everything, and take no further part.
 
 Runs of one word stay runs of equal symbols (naming one by its length would make a
