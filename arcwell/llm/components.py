@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import checkpoint
+from .shared import checkpoint, join_one
 
 
 def _ordered(edges: DataFrame) -> DataFrame:
@@ -23,14 +23,14 @@ def components(links: DataFrame) -> DataFrame:
     """(node, label) for every node of ``links`` (u, v) but the smallest of each
     component: label is the smallest node reachable. Each round's edges are
     checkpointed; neighbourhoods are only ever reduced to their minimum, so a hub needs
-    no list of its neighbours."""
+    no list of its neighbours, and a hub's edges are joined where they lie."""
     edges = checkpoint(_ordered(links))
     while not _stars(edges):
         both = edges.union(edges.select(F.col("v"), F.col("u")).toDF("u", "v"))
-        least = both.groupBy("u").agg(F.min("v").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
-        large = _ordered(large)
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.toDF("u", "v"))
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        large = join_one(both, least, "u", "n").where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
+        large = checkpoint(_ordered(large))
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = join_one(large, least, "u", "n").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", "m"))
         edges = checkpoint(_ordered(small))
     return edges.select(F.col("u").alias("node"), F.col("v").alias("label"))

@@ -15,8 +15,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import checkpoint
+from .shared import checkpoint, small
 from .textscan import chunks
+from .urls import parts
 
 BITS = 16
 #: Trigrams that a text counts for at most: neighbours aren't independent evidence.
@@ -26,7 +27,8 @@ DECLARED, SUFFIX = 0.9, 0.8
 #: Strength of the priors, in documents.
 STRENGTH = 10.0
 #: Rows that the text model is fitted on, about: as many of each language, but no fewer
-#: than TRAIN_LEAST where it has them; the first TRAIN_BYTES bytes of each.
+#: than TRAIN_LEAST where it has them; of a longer text, TRAIN_BYTES bytes from a place
+#: drawn by its hash.
 TRAIN_ROWS, TRAIN_LEAST, TRAIN_BYTES = 8_000, 32, 8_192
 #: Trigrams that all languages' mean counts for in each language's model.
 SMOOTHING = 4_096.0
@@ -98,7 +100,9 @@ def identify(docs: DataFrame, declared: Column, host: Column, suffix: Column | N
     share = max(TRAIN_LEAST, TRAIN_ROWS // k)
     cuts = [(r["x"], int(min(2**63 - 1, -(2**63) + 2**64 * share // r["n"]))) for r in found if r["n"]]
     labelled = base.join(F.broadcast(spark.createDataFrame(cuts, "_label string, cut long")), "_label").withColumn("h", drawn).where("h <= cut")
-    sample = labelled.groupBy("_label", "h").agg(F.first(F.substring(F.col("text").cast("binary"), 1, TRAIN_BYTES)).alias("piece"))
+    raw = F.col("text").cast("binary")
+    piece = F.substring(raw, F.pmod("h", F.greatest(F.octet_length("text") - TRAIN_BYTES + 1, F.lit(1))).cast("int") + 1, F.lit(TRAIN_BYTES))
+    sample = labelled.groupBy("_label", "h").agg(F.first(piece).alias("piece"))
     logs, model = fit(((r["_label"], bytes(r["piece"])) for r in sample.select("_label", "piece").collect()), langs)
     told = spark.sparkContext.broadcast((logs, model))
 
@@ -146,7 +150,7 @@ def identify(docs: DataFrame, declared: Column, host: Column, suffix: Column | N
 
     by_host = tally(hosted, "host", "suffix").toDF("_host", "_suffix", "host_n", "host_total")
     by_suffix = tally(hosted.groupBy("suffix", "guess").agg(F.sum("n").alias("n")), "suffix").toDF("_s", "suffix_n", "suffix_total")
-    priors = by_host.join(by_suffix, F.col("_suffix").eqNullSafe(F.col("_s"))).drop("_s")
+    priors = small(checkpoint(by_host.join(by_suffix, F.col("_suffix").eqNullSafe(F.col("_s"))).drop("_s")))
 
     def smooth(i: Column, n: str, total: str, towards: Column) -> Column:
         return (F.coalesce(F.element_at(n, i), F.lit(0.0)) + STRENGTH * towards) / (F.col(total) + STRENGTH)
@@ -163,3 +167,30 @@ def identify(docs: DataFrame, declared: Column, host: Column, suffix: Column | N
     lang = F.when(F.col("lettered") & F.lit(bool(langs)), F.get(F.array(*map(F.lit, langs or [""])), best))
     out = met.select("doc_id", lang.alias("lang"), F.when(lang.isNotNull(), sure).otherwise(0.0).alias("confidence"), "declared")
     return out.withColumn("rejected", F.col("lang").isNull() | (F.col("confidence") < least))
+
+
+def read_pages(pages: DataFrame) -> DataFrame:
+    """(doc_id, text, declared, host, suffix) of (page_id, url, html): the language that the
+    markup declares (the root's lang or xml:lang, else a content-language; its first
+    subtag, lower-case), the address's host and last label, and the markup's text without
+    scripts, styles, comments and tags. Null or absent parts are null."""
+    html = F.coalesce("html", F.lit(""))
+
+    def found(pattern: str) -> Column:
+        return F.nullif(F.lower(F.regexp_extract(html, pattern, 1)), F.lit(""))
+
+    told = F.coalesce(found("(?is)<html\\b[^>]*?[\\s:]lang\\s*=\\s*[\"']?([a-z]{2,3})\\b"), found("(?is)<meta\\b[^>]*content-language[^>]*?content\\s*=\\s*[\"']?([a-z]{2,3})\\b"))
+    text = F.regexp_replace(html, "(?is)<(script|style)\\b.*?</\\1\\s*>|<!--.*?-->|<[^>]*>", " ")
+    host = F.nullif(parts(F.col("url"))[0], F.lit(""))
+    suffix = F.when(F.contains(host, F.lit(".")), F.substring_index(host, ".", -1))
+    return pages.select(F.col("page_id").alias("doc_id"), text.alias("text"), told.alias("declared"), host.alias("host"), suffix.alias("suffix"))
+
+
+def identify_pages(pages: DataFrame) -> DataFrame:
+    """One row per row of ``pages`` (page_id, url, html): page_id, lang, confidence,
+    declared, rejected, by the page's text, its markup's language, its address's suffix
+    and its host. A null or empty html has no text and is rejected; a null url has no host
+    and no suffix; repeated rows are judged alike; extra columns are ignored; an empty
+    table gives no rows."""
+    told = identify(read_pages(pages), F.col("declared"), F.col("host"), F.col("suffix"))
+    return told.withColumnRenamed("doc_id", "page_id")

@@ -5,9 +5,48 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import checkpoint, small
+
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 
+ADDED = ("size", "source_size", "target", "rate", "copies", "taken")
+
+
+def sized(docs: DataFrame) -> DataFrame:
+    """(doc, doc_id, source, size): all columns of a row are one struct, so that no name of
+    theirs meets one of ours."""
+    words = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long")
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col("doc_id").alias("doc_id"), F.col("source").alias("source"), words.alias("size"))
+
+
+def goals(rows: DataFrame, weights: tuple[int, ...], share: float, most: float) -> DataFrame:
+    """(source, source_size, target, rate), a row a source, from (source, size)."""
+    totals = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
+    order = Window.orderBy(F.col("source").asc_nulls_last())
+    weigh = F.element_at(F.array(*map(F.lit, weights)), ((F.row_number().over(order) - 1) % len(weights)).cast("int") + 1)
+    weighed = totals.withColumn("weight", weigh).withColumn("cap", most * F.col("source_size"))
+    # In order of cap per weight the full sources come first: one pass finds the level.
+    filled = Window.orderBy(F.col("cap") / F.col("weight"), F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    everything = Window.partitionBy().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    level = (share * F.sum("source_size").over(everything) - F.coalesce(F.sum("cap").over(filled), F.lit(0.0))) / (F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(filled), F.lit(0)))
+    # The level rises while full sources are set aside and falls after: its top is it.
+    leveled = weighed.withColumn("level", level).withColumn("level", F.max("level").over(everything))
+    out = leveled.select("source", "source_size", F.least(F.col("weight") * F.col("level"), "cap").alias("target"))
+    return out.withColumn("rate", F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0)))
+
+
+def _rated(docs: DataFrame, weights: tuple[int, ...], share: float, most: float, seed: str) -> DataFrame:
+    """The rows of ``sized`` with their source's goal and their copies. The goals, a row a
+    source, are broadcast while they are few, so that no text is shuffled."""
+    rows = sized(docs)
+    goal = small(checkpoint(goals(rows.select("source", "size"), weights, share, most))).withColumnRenamed("source", "of")
+    met = rows.join(goal, F.col("source").eqNullSafe(F.col("of"))).drop("of")
+    drawn = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 13), 16, 10).cast("double") / float(1 << 52)
+    copies = F.floor("rate") + (drawn < F.col("rate") - F.floor("rate")).cast("long")
+    return met.withColumn("copies", copies.cast("long"))
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: str = "mix") -> DataFrame:
     """All columns of ``docs`` (same-named ones replaced) and size, source_size,
     target, rate, copies, taken.
@@ -23,29 +62,15 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.
     The targets come from one row per source: rows are summed before any shuffle, and a
     source of any size is one number.
     """
-    plain = docs.drop("size", "source_size", "target", "rate", "copies", "taken")
-    sized = plain.withColumn("size", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long"))
-    totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    weigh = F.element_at(F.array(*map(F.lit, weights)), ((F.row_number().over(order) - 1) % len(weights)).cast("int") + 1)
-    weighed = totals.withColumn("weight", weigh).withColumn("cap", most * F.col("source_size"))
-    # In order of cap per weight the full sources come first: one pass finds the level.
-    filled = Window.orderBy(F.col("cap") / F.col("weight"), F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.partitionBy().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    level = (share * F.sum("source_size").over(everything) - F.coalesce(F.sum("cap").over(filled), F.lit(0.0))) / (F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(filled), F.lit(0)))
-    # The level rises while full sources are set aside and falls after: its top is it.
-    leveled = weighed.withColumn("level", level).withColumn("level", F.max("level").over(everything))
-    goals = leveled.select(F.col("source").alias("_source"), "source_size", F.least(F.col("weight") * F.col("level"), "cap").alias("target"))
-    goals = goals.withColumn("rate", F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0)))
-    met = sized.join(goals, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    drawn = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 13), 16, 10).cast("double") / float(1 << 52)
-    copies = F.floor("rate") + (drawn < F.col("rate") - F.floor("rate")).cast("long")
-    return met.withColumn("copies", copies.cast("long")).withColumn("taken", F.col("size") * F.col("copies"))
+    met = _rated(docs, weights, share, most, seed).withColumn("taken", F.col("size") * F.col("copies"))
+    return met.select(*[F.col(f"doc.`{c}`") for c in docs.columns if c.lower() not in ADDED], *ADDED)
 
 
-def materialise(mixed: DataFrame, columns: list[str]) -> DataFrame:
-    """The mix itself: each document as often as it is taken."""
-    return mixed.where("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*columns)
+def materialise(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: str = "mix") -> DataFrame:
+    """The mix itself: each row of ``docs``, all its columns unchanged whatever their
+    names, as often as ``mix`` takes it."""
+    met = _rated(docs, weights, share, most, seed).where("copies > 0")
+    return met.select("doc", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("turn")).select("doc.*")
 
 
 ORACLE_SQL = """

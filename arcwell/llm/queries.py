@@ -6,7 +6,6 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from . import langid, mixing, neardup, packing, search, substring, tokens, toxicity, urls, webp
 from .shared import ship, table
@@ -16,42 +15,61 @@ PATTERN = public_tokenizers.PATTERN
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each piece of each document lies, see ``packing.pack``: null text is the closing id
+    alone, repeats and null ids are packed each, no rows give no rows."""
     return packing.pack(table(ship(spark), sf_dir, "documents"), VOCABULARY, PATTERN, 2048)
 
 
 def op2_setsketch_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The component of each document, see ``neardup.near_duplicates``: null and wordless texts
+    stand alone, repeats of an id are one node, no rows give no rows."""
     return neardup.near_duplicates(table(ship(spark), sf_dir, "documents"))
 
 
 def op3_ftrl_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A score for each document, see ``toxicity.score``: null and wordless texts score by the
+    bias, repeats alike, 0.5 without labels, no rows give no rows."""
     return toxicity.score(table(ship(spark), sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix takes of each document, see ``mixing.mix``: a null source is one, null texts
+    have size 0, equal ids are drawn alike, no rows give no rows."""
     return mixing.mix(table(ship(spark), sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A verdict for each page, see ``urls.judge``: a null URL has no host and no rule, repeats
+    are judged alike, no rows give no rows."""
     return urls.judge(table(ship(spark), sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
 def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 best of each query, see ``search.top_k``: unusable vectors take no part, ties go to
+    the smaller id, no rows give no rows."""
     return search.top_k(table(ship(spark), sf_dir, "embeddings"), 5)
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of each document, see ``tokens.token_counts``: null and empty texts have none,
+    repeats are counted each, no rows give no rows."""
     return tokens.token_counts(table(ship(spark), sf_dir, "documents"), VOCABULARY, PATTERN)
 
 
 def op8_lossless_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored forms of each text, see ``webp.media``: a null text is an empty one, equal texts
+    have equal rows, no rows give no rows."""
     return webp.media(table(ship(spark), sf_dir, "documents"))
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return langid.identify(table(ship(spark), sf_dir, "documents"), F.col("lang"), F.col("source"))
+    """The language of every page, see ``langid.identify_pages``."""
+    return langid.identify_pages(table(ship(spark), sf_dir, "pages"))
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each document loses, see ``substring.digest``: null, empty and short texts lose
+    nothing, nor do rows of one id to each other, no rows give no rows."""
     return substring.digest(table(ship(spark), sf_dir, "documents"), 50)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import zipfile
 from pathlib import Path
@@ -11,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Sides of at most this many rows of up to three integers (24 MB) may be broadcast.
 BROADCAST_ROWS = 1_000_000
+#: Keys of more rows than this are joined by a broadcast, see ``join_one``.
+HOT_ROWS = 1_000
 #: Rows that Spark hands to a Python worker at once, about a chunk of texts. Spark's own
 #: 10,000 rows of text are 20 MB and more on both sides of the pipe.
 ARROW_ROWS, ARROW_KEY, ARROW_DEFAULT = "500", "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
@@ -21,12 +24,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``, which all executors share; one of our
-    own only where the session names none, as in tests."""
+    """The folder of ``spark.checkpoint.dir``, which all executors share. Where the session
+    names none, a temporary one, but only in a local session, whose executors are this
+    machine's; on a cluster that is an error."""
     context = spark.sparkContext
     named = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if context.applicationId not in _own_folders:
         _own_folders[context.applicationId] = tempfile.mkdtemp(prefix="arcwell-")
     return _own_folders[context.applicationId]
@@ -51,6 +57,27 @@ def drop_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(small(checkpoint(ids)), "doc_id", "left_anti")
 
 
+def drop_folder(spark: SparkSession, folder: str) -> None:
+    """Delete a folder wherever Spark's own paths lie."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def join_one(many: DataFrame, one: DataFrame, key: str, count: str) -> DataFrame:
+    """``many`` joined with ``one``, which has each key once and in ``count`` how many rows
+    of ``many`` have it. Rows of hot keys meet a broadcast of these keys' rows, so that no
+    task gets a whole hot key; the others are shuffled. A key is hot from HOT_ROWS rows on,
+    and from a millionth of all rows on: the broadcast has BROADCAST_ROWS rows at most."""
+    one = checkpoint(one)
+    total = one.agg(F.coalesce(F.sum(count), F.lit(0))).first()[0]
+    least = max(HOT_ROWS, total // BROADCAST_ROWS)
+    hot, cold = one.where(F.col(count) > least).drop(count), one.where(F.col(count) <= least).drop(count)
+    met = many.join(cold, key)
+    if hot.isEmpty():
+        return met
+    return many.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key).unionByName(many.join(F.broadcast(hot), key))
+
+
 _own_folders: dict[str, str] = {}
 _shipped: set[str] = set()
 

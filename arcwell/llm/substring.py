@@ -11,10 +11,11 @@ anchor is the longest (ties by name) of those that start in its middle stretch o
 ``window - 30`` words: equal windows have equal anchors. Anchor names that occur in two
 different texts are set in a bitmap of bounded size; only windows whose anchor is in it
 are named themselves and compared. (A fuller bitmap lets more windows through; it never
-loses one.) A repeat is equality of 64-bit hashes: words aren't compared after that.
+loses one.) A window's name is 64 bits, and each repeat is verified by 64 other bits of
+it: where documents that share a name differ in these, they are grouped by all 128.
 
-Copies of a whole text, by a 64-bit hash of it, are settled first: all but the one of the smallest id lose
-everything, and take no further part.
+Copies of a whole text, by 128 bits of two hashes of it, are settled first: all but the
+one of the smallest id lose everything, and take no further part.
 
 Runs of one word stay runs of equal symbols (naming one by its length would make a
 window's parse depend on words outside it); their anchors are equal and collapse to
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import BROADCAST_ROWS, checkpoint
+from .shared import BROADCAST_ROWS, checkpoint, join_one, small
 from .textscan import Words, chunks, mix, powers
 
 ROUNDS = 3
@@ -41,8 +42,7 @@ SPAN, LOST = 2 * 2**ROUNDS, 2**ROUNDS - 1
 NONE = np.uint64(2**64 - 1)
 #: Bits of the anchor bitmap: 8 for each shared name, within these bounds (128 MB).
 LEAST_BITS, MOST_BITS = 1 << 20, 1 << 30
-_STEP = 0xA0761D6478BD642F
-_STEP_INV = pow(_STEP, -1, 2**64)
+_STEP, _OTHER_STEP = 0xA0761D6478BD642F, 0xE7037ED1A0B428DB
 
 
 def parse(words: Words, names: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -99,17 +99,20 @@ def sliding(x: np.ndarray, width: int, least: np.ufunc) -> np.ndarray:
     return out
 
 
-def window_names(names: np.ndarray, window: int) -> np.ndarray:
+def window_names(names: np.ndarray, window: int, step: int = _STEP) -> np.ndarray:
     """A 64-bit name of each ``window`` words from each word on."""
     n = len(names)
     if n < window:
         return np.zeros(0, np.uint64)
-    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(names * powers(_STEP, n, "window"), dtype=np.uint64)))
-    return mix((total[window:] - total[:-window]) * powers(_STEP_INV, n, "window-inverse")[: n - window + 1])
+    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(names * powers(step, n, f"window {step}"), dtype=np.uint64)))
+    return mix((total[window:] - total[:-window]) * powers(pow(step, -1, 2**64), n, f"inverse {step}")[: n - window + 1])
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("_id", F.col("doc_id").cast("long")).withColumn("_key", F.xxhash64(F.coalesce("text", F.lit(""))))
+    """(doc, _id, text, _key): all columns of a row are one struct, so that no name of
+    theirs meets one of ours."""
+    text = F.col("text")
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col("doc_id").cast("long").alias("_id"), text.alias("text"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("_key"))
 
 
 def _digest(parts: list[bytes]) -> str:
@@ -129,9 +132,9 @@ def summaries(docs: DataFrame) -> DataFrame:
 
 def copies_of(docs: DataFrame) -> DataFrame:
     """(_id, _key) of texts that a smaller id has too."""
-    ids = docs.where("_id IS NOT NULL AND text IS NOT NULL").select("_id", "_key")
-    first = ids.groupBy("_key").agg(F.min("_id").alias("low"), F.max("_id").alias("high")).where("low < high").select("_key", "low")
-    return ids.join(first, "_key").where("_id > low").select("_id", "_key").distinct()
+    ids = docs.where("_id IS NOT NULL AND text IS NOT NULL").select("_id", F.struct("_key", F.xxhash64(F.lit("other"), "text").alias("other")).alias("whole"))
+    first = ids.groupBy("whole").agg(F.min("_id").alias("low"), F.max("_id").alias("high"), F.count("*").alias("n")).where("low < high").select("whole", "low", "n")
+    return join_one(ids, first, "whole", "n").where("_id > low").select("_id", "whole._key").distinct()
 
 
 def anchor_names(docs: DataFrame, window: int) -> DataFrame:
@@ -188,9 +191,9 @@ def covered_starts(docs: DataFrame, window: int) -> DataFrame:
                 key |= ((bits[slot >> 3] >> (slot & 7)) & 1).astype(np.uint64)
                 best = middles(len(names), at, key, width)
                 hit = np.flatnonzero(windows_inside(words, window) & (best & np.uint64(1) == 1))
-                total = window_names(names, window)[hit].view(np.int64) if len(hit) else np.zeros(0, np.int64)
+                total, other = ((window_names(x, window, step)[hit] if len(hit) else np.zeros(0, np.uint64)).view(np.int64) for x, step in ((names, _STEP), (mix(names), _OTHER_STEP)))
                 cut = np.searchsorted(hit, words.first)
-                begins, sizes, found = [], [], []
+                begins, sizes, found, checks = [], [], [], []
                 for i, (a, b) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)):
                     own = hit[a:b] - words.first[i]
                     edge = np.flatnonzero(np.diff(own) != 1) + 1
@@ -198,15 +201,35 @@ def covered_starts(docs: DataFrame, window: int) -> DataFrame:
                     begins.append(own[begin].astype(np.int32))
                     sizes.append(np.diff(np.append(begin, b - a)).astype(np.int32))
                     found.append(total[a:b])
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(begins, pa.list_(pa.int32())), pa.array(sizes, pa.list_(pa.int32())), pa.array(found, pa.list_(pa.int64()))], ["_id", "_key", "begins", "sizes", "windows"])
+                    checks.append(other[a:b])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(begins, pa.list_(pa.int32())), pa.array(sizes, pa.list_(pa.int32())), *(pa.array(x, pa.list_(pa.int64())) for x in (found, checks))], ["_id", "_key", "begins", "sizes", "windows", "checks"])
 
-    named = docs.select("_id", "text", "_key").mapInArrow(run, "_id long, _key long, begins array<int>, sizes array<int>, windows array<long>").where(F.size("windows") > 0)
-    named = checkpoint(named)
-    first = named.select("_id", F.explode("windows").alias("name")).groupBy("name").agg(F.min("_id").alias("low"), F.max("_id").alias("high")).where("low < high").select("name", "low")
+    named = docs.select("_id", "text", "_key").mapInArrow(run, "_id long, _key long, begins array<int>, sizes array<int>, windows array<long>, checks array<long>").where(F.size("windows") > 0)
+    return removals(checkpoint(named))
+
+
+def removals(named: DataFrame) -> DataFrame:
+    """(_id, tag, starts) of the windows whose 128 bits a smaller id has too, from the runs
+    of windows of each text (begins, sizes) and their two names (windows, checks)."""
+    pairs = F.arrays_zip(F.col("windows").alias("name"), F.col("checks").alias("check"))
+    held = named.select("_id", F.explode(pairs).alias("w")).select("_id", "w.name", "w.check")
+    first = held.groupBy("name").agg(F.min("_id").alias("low"), F.max("_id").alias("high"), F.count("*").alias("n"), F.min("check").alias("one"), F.max("check").alias("two"))
+    first = checkpoint(first.where("low < high").select("name", "low", "n", (F.col("one") == F.col("two")).alias("sure")))
     starts = F.flatten(F.zip_with("begins", "sizes", lambda b, n: F.sequence(b, b + n - 1)))
     place = F.shiftleft(tag(F.col("_key")), 32)
-    each = named.select("_id", place.alias("t"), F.explode(F.arrays_zip(F.col("windows").alias("name"), starts.alias("start"))).alias("w")).select("_id", F.col("w.name").alias("name"), F.col("t").bitwiseOR(F.col("w.start").cast("long")).alias("place"))
-    lost = each.join(first, "name").where("_id > low").select("_id", F.shiftright("place", 32).alias("tag"), F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("start"))
+
+    def each(source: DataFrame, *more: str) -> DataFrame:
+        zipped = F.arrays_zip(F.col("windows").alias("name"), F.col("checks").alias("check"), starts.alias("start"))
+        rows = source.select("_id", place.alias("t"), F.explode(zipped).alias("w"))
+        return rows.select("_id", F.col("w.name").alias("name"), *[F.col(f"w.{x}").alias(x) for x in more], F.col("t").bitwiseOR(F.col("w.start").cast("long")).alias("place"))
+
+    lost = join_one(each(named), first.where("sure").select("name", "low", "n"), "name", "n").where("_id > low").select("_id", "place")
+    unsure = first.where("NOT sure").select("name")
+    if not unsure.isEmpty():  # names that different windows share: grouped by all 128 bits
+        mixed = each(named, "check").join(small(checkpoint(unsure)), "name", "left_semi").withColumn("both", F.struct("name", "check"))
+        true = mixed.groupBy("both").agg(F.min("_id").alias("low"), F.max("_id").alias("high"), F.count("*").alias("n")).where("low < high").select("both", "low", "n")
+        lost = lost.unionByName(join_one(mixed.select("_id", "both", "place"), true, "both", "n").where("_id > low").select("_id", "place"))
+    lost = lost.select("_id", F.shiftright("place", 32).alias("tag"), F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("start"))
     return lost.groupBy("_id", "tag").agg(F.collect_set("start").alias("starts"))
 
 
@@ -275,15 +298,18 @@ def digest(docs: DataFrame, window: int = 50) -> DataFrame:
 
 def strip(docs: DataFrame, window: int = 50) -> DataFrame:
     """``docs`` with the text of documents that lose words replaced by the kept words,
-    joined by one space (n_chars, if there, follows); all other rows are unchanged."""
+    joined by one space (n_chars, if there, follows); all other rows and columns are
+    unchanged, whatever their names. Nulls, repeats, ties and empty tables as in
+    ``digest``; a copy that loses all its words stays, with an empty text."""
     keyed = _keyed(docs)
     copies, starts = _plan(keyed, window)
     cut = _rewritten(keyed, starts, window).select("_id", "_key", "kept")
     names = checkpoint(cut.select("_id", "_key"))
     enough = F.regexp_count("text", F.lit("[^\\x20\\x09-\\x0D]+")) >= window
-    copied = _chosen(keyed, copies, "left_semi", ["_id", "_key"]).withColumn("text", F.when(enough, "").otherwise(F.col("text")))
-    changed = _chosen(keyed, names, "left_semi", ["_id", "_key"]).join(cut, ["_id", "_key"]).withColumn("text", F.col("kept")).select(*docs.columns).unionByName(copied.select(*docs.columns))
+    copied = _chosen(keyed, copies, "left_semi", ["_id", "_key"]).select("doc", F.when(enough, "").otherwise(F.col("text")).alias("kept"))
+    changed = _chosen(keyed, names, "left_semi", ["_id", "_key"]).join(cut, ["_id", "_key"]).select("doc", "kept").unionByName(copied)
+    doc = F.col("doc").withField("text", F.col("kept"))
     if "n_chars" in docs.columns:
-        changed = changed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+        doc = doc.withField("n_chars", F.length("kept").cast(docs.schema["n_chars"].dataType))
     rest = _chosen(_chosen(keyed, names, "left_anti", ["_id", "_key"]), copies, "left_anti", ["_id", "_key"])
-    return rest.select(*docs.columns).unionByName(changed)
+    return rest.select("doc").unionByName(changed.select(doc.alias("doc"))).select("doc.*")

@@ -19,10 +19,10 @@ from .textscan import Words, chunks, mix
 
 BITS = 20
 ALPHA, BETA, L1, L2, EPOCHS = 4.0, 1.0, 6.0, 0.01, 8
-#: Labelled rows that the model is fitted on at most: those of the least doc_id hashes.
-TRAIN_ROWS = 10_000
-#: Longest text (bytes) among them, so that what the driver gathers is bounded.
-TRAIN_BYTES = 32_768
+#: Labelled rows that the model is fitted on at most, those of the least hashes, whole
+#: texts of any length; and their bytes in all. A byte of text has at most 1.5 features of
+#: 4 bytes, so the driver gathers at most 6 * TRAIN_BYTES.
+TRAIN_ROWS, TRAIN_BYTES = 10_000, 32 << 20
 
 
 def grams(words: Words) -> Iterator[tuple[np.ndarray, int]]:
@@ -60,11 +60,22 @@ def fit(rows: list[tuple[np.ndarray, int]]) -> tuple[np.ndarray, float]:
 
 
 def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
-    """Fit on labelled rows outside the held-out fold (crc32(doc_id) mod 5 = 0)."""
+    """Fit on labelled rows outside the held-out fold (crc32(doc_id) mod 5 = 0): at most
+    TRAIN_ROWS different ones, in order of a hash, as long as their texts hold no more
+    than TRAIN_BYTES together (one that doesn't fit any more is passed over)."""
     known = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
     known = known.where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS)
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.octet_length("text") <= TRAIN_BYTES).join(F.broadcast(chosen), "doc_id")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    own = texts.join(F.broadcast(chosen), "doc_id").withColumn("h", F.xxhash64("doc_id", "text"))
+    sizes = own.select("h", F.octet_length("text").alias("size")).distinct().orderBy("h").limit(TRAIN_ROWS).collect()
+    left, wanted = TRAIN_BYTES, []
+    for r in sizes:
+        if r["size"] <= left:
+            left -= r["size"]
+            wanted.append((r["h"],))
+    picked = F.broadcast(docs.sparkSession.createDataFrame(wanted, "h long"))
+    own = own.join(picked, "h").dropDuplicates(["h"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):

@@ -3,7 +3,10 @@
 Everything is DataFrame functions. Trees are grown from counts of equal feature bins
 over all labelled URLs (those that a rule decides), one grouped aggregation a level;
 the driver sees at most (nodes x features x bins) sums, and a grown tree is a nested
-CASE expression.
+CASE expression. Both labels weigh the same in total. Statistics of a suffix or ending
+are out of fold for the URLs that they are made of, so that the trees can't read a
+label back from its own count. A value that no (other) labelled URL has is missing: a
+split on it says the mean of its sides.
 """
 
 from __future__ import annotations
@@ -14,10 +17,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import checkpoint
+from .shared import checkpoint, small
 
 RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block"))
-TREES, DEPTH, BINS, RATE, RIDGE, PRIOR = 10, 3, 16, 0.4, 1.0, 20.0
+TREES, DEPTH, BINS, RATE, RIDGE, PRIOR, FOLDS, MISSING = 10, 3, 16, 0.4, 1.0, 20.0, 5, -1
 NUMBERS = ("f_length", "f_host", "f_depth", "f_digits", "f_entropy", "f_params", "f_labels", "f_hyphens", "f_suffix", "f_ending")
 
 
@@ -72,63 +75,95 @@ class Node:
     feature: int = -1
     bin: int = -1
     value: float = 0.0
+    share: float = 0.5
     left: Node | None = None
     right: Node | None = None
 
     def expression(self, bins: Column) -> Column:
+        """Its value for an array of bins; a missing one (MISSING) has the mean of both
+        sides, each weighing what its labelled URLs do."""
         if self.left is None:
             return F.lit(self.value)
-        return F.when(F.get(bins, F.lit(self.feature)) <= self.bin, self.left.expression(bins)).otherwise(self.right.expression(bins))
+        one, two, bin_ = self.left.expression(bins), self.right.expression(bins), F.get(bins, F.lit(self.feature))
+        return F.when(bin_ == MISSING, F.lit(self.share) * one + F.lit(1 - self.share) * two).when(bin_ <= self.bin, one).otherwise(two)
 
 
 def binned(cuts: list[list[float]]) -> Column:
-    """The bin of each feature: how many of its cuts lie below it."""
-    return F.array(*[sum((F.when(F.col(f) > c, 1).otherwise(0) for c in cut), F.lit(0)) for f, cut in zip(NUMBERS, cuts, strict=True)])
+    """The bin of each feature: how many of its cuts lie below it; MISSING for a null."""
+    return F.array(*[F.when(F.col(f).isNull(), MISSING).otherwise(sum((F.when(F.col(f) > c, 1).otherwise(0) for c in cut), F.lit(0))) for f, cut in zip(NUMBERS, cuts, strict=True)])
 
 
-def grow(train: DataFrame, margin: Column) -> Node:
-    """One tree on (bins, n, bad): gradients of the logistic loss at ``margin``."""
-    root, level = Node(), []
-    p = 1 / (1 + F.exp(-margin))
+def grow(train: DataFrame) -> Node:
+    """One tree on (bins, n, bad, margin): gradients of the logistic loss at ``margin``. A
+    level is one job; its sums also give the values of the nodes below it."""
+    root = Node()
+    p = 1 / (1 + F.exp(-F.col("margin")))
     base = train.select("bins", (F.col("n") * p - F.col("bad")).alias("g"), (F.col("n") * p * (1 - p)).alias("h"))
     level = [root]
-    for depth in range(DEPTH + 1):
-        place = F.lit(0)
+    for _ in range(DEPTH):
         number = {id(x): i for i, x in enumerate(level)}
 
         def at(node: Node) -> Column:
             if node.left is None:
                 return F.lit(number.get(id(node), -1))
-            return F.when(F.get(F.col("bins"), F.lit(node.feature)) <= node.bin, at(node.left)).otherwise(at(node.right))
+            bin_ = F.get(F.col("bins"), F.lit(node.feature))
+            return F.when(bin_ == MISSING, -1).when(bin_ <= node.bin, at(node.left)).otherwise(at(node.right))
 
-        place = at(root)
-        sums = base.select(place.alias("node"), "g", "h", F.posexplode("bins").alias("feature", "bin")).where("node >= 0")
+        sums = base.select(at(root).alias("node"), "g", "h", F.posexplode("bins").alias("feature", "bin")).where("node >= 0")
         got: dict[tuple[int, int], dict[int, tuple[float, float]]] = {}
         for r in sums.groupBy("node", "feature", "bin").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).collect():
             got.setdefault((r["node"], r["feature"]), {})[r["bin"]] = (r["g"], r["h"])
         following = []
         for i, node in enumerate(level):
-            own = got.get((i, 0), {})
-            g, h = math.fsum(x for x, _ in own.values()), math.fsum(x for _, x in own.values())
-            node.value = round(-RATE * g / (h + RIDGE), 9)
-            best = (1e-6, -1, -1)
-            for f in range(len(NUMBERS)):
-                gl = hl = 0.0
-                cells = got.get((i, f), {})
-                for b in sorted(cells)[:-1]:
-                    gl, hl = gl + cells[b][0], hl + cells[b][1]
-                    gain = round(gl * gl / (hl + RIDGE) + (g - gl) ** 2 / (h - hl + RIDGE) - g * g / (h + RIDGE), 9)
-                    if hl >= 1 and h - hl >= 1 and gain > best[0]:
-                        best = (gain, f, b)
-            if best[1] >= 0 and depth < DEPTH:
-                node.feature, node.bin, node.left, node.right = best[1], best[2], Node(), Node()
-                following += [node.left, node.right]
+            split(node, [got.get((i, f), {}) for f in range(len(NUMBERS))])
+            following += [n for n in (node.left, node.right) if n]
         level = following
         if not level:
             break
     return root
 
 
+def split(node: Node, cells: list[dict[int, tuple[float, float]]]) -> None:
+    """The node's value, and its best split with the values of both sides, from the sums
+    of gradients and curvatures by bin of each feature. Ties go to the first feature and
+    the lowest bin."""
+    g, h = math.fsum(x for x, _ in cells[0].values()), math.fsum(x for _, x in cells[0].values())
+    node.value = leaf(g, h)
+    best = (1e-6, -1, -1, 0.0, 0.0, 0.0, 0.0)
+    for f, own in enumerate(cells):
+        bins = sorted(b for b in own if b != MISSING)
+        whole_g, whole_h = (math.fsum(own[b][i] for b in bins) for i in (0, 1))
+        gl = hl = 0.0
+        for b in bins[:-1]:
+            gl, hl = gl + own[b][0], hl + own[b][1]
+            gr, hr = whole_g - gl, whole_h - hl
+            gain = round(gl * gl / (hl + RIDGE) + gr * gr / (hr + RIDGE) - whole_g * whole_g / (whole_h + RIDGE), 9)
+            if hl >= 1 and hr >= 1 and gain > best[0]:
+                best = (gain, f, b, gl, hl, gr, hr)
+    if best[1] >= 0:
+        node.feature, node.bin, node.share = best[1], best[2], round(best[4] / (best[4] + best[6]), 9)
+        node.left, node.right = Node(value=leaf(*best[3:5])), Node(value=leaf(*best[5:]))
+
+
+def leaf(g: float, h: float) -> float:
+    return round(-RATE * g / (h + RIDGE), 9)
+
+
+def rated(told: DataFrame, column: str, name: str) -> DataFrame:
+    """Adds the share of blocked URLs of each row's ``column``, both labels weighing the
+    same: of the other folds alone for a labelled row. Null for a value without any."""
+    weight = F.col("weight")
+    sums = told.where("said IS NOT NULL").groupBy(column, "fold").agg(F.sum(weight).alias("n"), F.sum(F.when(F.col("said") == "block", weight).otherwise(0.0)).alias("bad"))
+    sums = checkpoint(sums)
+    whole = sums.groupBy(column).agg(F.sum("n").alias("all_n"), F.sum("bad").alias("all_bad"))
+    own = sums.select(column, "fold", F.col("n").alias("own_n"), F.col("bad").alias("own_bad"))
+    met = told.join(small(checkpoint(whole)), column, "left").join(small(own), [column, "fold"], "left")
+    labelled = F.col("said").isNotNull()
+    n, bad = (F.coalesce(F.col("all_" + x), F.lit(0.0)) - F.when(labelled, F.coalesce("own_" + x, F.lit(0.0))).otherwise(0.0) for x in ("n", "bad"))
+    # Rounded: sums of weights in another order differ in their last digits.
+    return met.withColumn(name, F.when(n > 1e-9, F.round((bad + PRIOR / 2) / (n + PRIOR), 9))).drop("all_n", "all_bad", "own_n", "own_bad")
+
+
 def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES) -> DataFrame:
     """One row per row of ``pages``: page_id, host, path, rule, verdict, score.
 
@@ -138,28 +173,28 @@ def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES) -> DataF
     rule. Without a labelled URL every score is 0 (allow). Repeated rows are judged
     alike; extra columns are ignored; an empty table gives no rows.
     """
-    told = features(pages.select("page_id", "url")).withColumn("ruled", decide(F.col("host"), F.col("path"), rules))
-    told = checkpoint(told.select("page_id", "host", "path", "suffix", "ending", "ruled.rule", "ruled.said", *[f for f in NUMBERS if f not in ("f_suffix", "f_ending")]))
-    labelled = told.where("said IS NOT NULL")
-    bad = F.sum(F.when(F.col("said") == "block", 1.0).otherwise(0.0))
-    total = labelled.agg(F.count("*").alias("n"), F.coalesce(bad, F.lit(0.0)).alias("bad")).first()
-    mean = (total["bad"] + 1) / (total["n"] + 2)
-    if not total["n"]:
+    told = features(pages.select("page_id", "url")).withColumn("ruled", decide(F.col("host"), F.col("path"), rules)).withColumn("fold", F.pmod(F.xxhash64("url"), F.lit(FOLDS)))
+    told = checkpoint(told.select("page_id", "host", "path", "suffix", "ending", "fold", "ruled.rule", "ruled.said", *[f for f in NUMBERS if f not in ("f_suffix", "f_ending")]))
+    total = told.where("said IS NOT NULL").groupBy("said").agg(F.count("*").alias("n")).collect()
+    if not total:
         return told.select("page_id", "host", "path", "rule", F.lit("allow").alias("verdict"), F.lit(0.0).alias("score"))
+    weights = {r["said"]: sum(x["n"] for x in total) / (2 * r["n"]) for r in total}
+    weight = F.when(F.col("said") == "block", weights.get("block", 1.0)).when(F.col("said") == "allow", weights.get("allow", 1.0))
+    told = told.withColumn("weight", weight)
     for column, name in (("suffix", "f_suffix"), ("ending", "f_ending")):
-        rates = labelled.groupBy(column).agg(F.count("*").alias("n"), bad.alias("bad")).select(column, ((F.col("bad") + PRIOR * mean) / (F.col("n") + PRIOR)).alias(name))
-        told = told.join(rates, column, "left").withColumn(name, F.coalesce(name, F.lit(mean)))
+        told = rated(told, column, name)
     known = told.where("said IS NOT NULL")
     steps = [i / BINS for i in range(1, BINS)]
     found = known.agg(*[F.percentile_approx(f, steps, 10_000).alias(f) for f in NUMBERS]).first()
     cuts = [sorted(set(found[f] or [])) for f in NUMBERS]
     told = told.withColumn("bins", binned(cuts))
-    train = checkpoint(told.where("said IS NOT NULL").groupBy("bins").agg(F.count("*").alias("n"), bad.alias("bad")))
-    first = math.log(mean / (1 - mean))
-    margin = F.lit(first)
+    bad = F.sum(F.when(F.col("said") == "block", F.col("weight")).otherwise(0.0))
+    train = told.where("said IS NOT NULL").groupBy("bins").agg(F.sum("weight").alias("n"), bad.alias("bad")).withColumn("margin", F.lit(0.0))
+    margin = F.lit(0.0)
     for _ in range(TREES):
-        margin = margin + grow(train, margin).expression(F.col("bins"))
-    score = 1 / (1 + F.exp(-margin))
-    out = told.withColumn("score", score)
+        train = checkpoint(train)  # with the margin so far: a level evaluates one tree
+        tree = grow(train).expression(F.col("bins"))
+        margin, train = margin + tree, train.withColumn("margin", F.col("margin") + tree)
+    out = told.withColumn("score", 1 / (1 + F.exp(-margin)))
     said = F.coalesce("said", F.when(F.col("score") >= 0.5, "block").otherwise("allow"))
     return out.select("page_id", "host", "path", "rule", said.alias("verdict"), "score")

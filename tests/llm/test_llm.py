@@ -67,6 +67,16 @@ def test_op7_counts(docs, none, ids):
     assert tokens.token_counts(none, VOCABULARY, PATTERN).count() == 0
 
 
+def test_op7_lengths_are_broadcast(spark):
+    """What the table has is answered from it: its lengths decide, nothing is encoded."""
+    texts = spark.createDataFrame([("the cat sat the cat sat",)] * 3, "text string")
+    told = tokens.vocabulary(texts, VOCABULARY, PATTERN, lengths=True).value
+    assert set(told["frequent"]) == {"cat", "sat", "the"} and all(isinstance(n, int) for n in told["frequent"].values())
+    one = tokens.Encoder(told["spec"], PATTERN, {"cat": 70}, True)
+    assert one.encode(["a cat cat"]) == [141] and one.missed == 0
+    assert one.encode(["a dog cat", "a dog"]) == [1 + 1 + 70, 2] and one.missed == 1
+
+
 def test_op1_packing(docs, none, ids):
     got = packing.pack(docs, VOCABULARY, PATTERN, 256).collect()
     want = sorted((str(i), k, s, n, zlib.crc32(np.array([*x, 0], "<u4")[s : s + n].tobytes())) for i, x in ids for k, (s, n) in enumerate(packing.cut_points(len(x) + 1, 256)))
@@ -182,6 +192,40 @@ def test_op2_prefix_join_alone(spark):
     assert got == {(a, b) for a in range(15) for b in range(a)}
 
 
+def test_op2_bands_at_the_threshold():
+    """Pairs at 0.75 share so many bands that none is one in 10**9."""
+    rng = np.random.default_rng(9)
+    shared = []
+    with np.errstate(over="ignore"):
+        for _ in range(150):
+            x = rng.integers(0, 2**64, 250, dtype=np.uint64)
+            keys = neardup.band_keys(neardup.registers([x[:200], np.concatenate((x[:180], x[200:240]))]))  # 180 of 240
+            shared.append(int((keys[0] == keys[1]).sum()))
+    each = np.mean(shared) / neardup.BANDS
+    assert min(shared) > 0 and abs(each - 0.75**neardup.ROWS) < 0.03 and (1 - each) ** neardup.BANDS < 1e-9
+
+
+def test_op2_pairs_across_components_alone(spark):
+    """A component of n members and one stray that share a rare shingle make n pairs."""
+    common = list(range(1000, 1060))
+    sets = [(k, [*common, 5000 + k]) for k in range(60)] + [(99, [*common, 7])]
+    df = spark.createDataFrame(sets, "doc_id long, members array<long>")
+    labels = spark.createDataFrame([(k, 0) for k in range(60)] + [(99, 99)], "doc_id long, label long")
+    got = {tuple(r) for r in neardup.prefix_pairs(df, labels, Fraction(3, 4)).collect()}
+    assert got == {(99, k) for k in range(60)}
+
+
+def test_join_one_splits_hot_keys(spark, monkeypatch):
+    from arcwell.llm import shared
+
+    many = spark.createDataFrame([(1, i) for i in range(50)] + [(2, 7), (3, 8)], "k long, x long")
+    one = many.groupBy("k").agg(F.min("x").alias("m"), F.count("*").alias("n")).where("k < 3")
+    want = sorted([(1, i, 0) for i in range(50)] + [(2, 7, 7)])
+    for hot in (1000, 10):
+        monkeypatch.setattr(shared, "HOT_ROWS", hot)
+        assert sorted(map(tuple, shared.join_one(many, one, "k", "n").select("k", "x", "m").collect())) == want
+
+
 def test_setsketch_estimate():
     rng = np.random.default_rng(0)
     with np.errstate(over="ignore"):
@@ -207,6 +251,46 @@ def test_op3_scores(spark, docs, none):
     assert {r["score"] for r in toxicity.score(docs, labels.limit(0)).collect()} == {0.5}
 
 
+def test_op3_is_ftrl_proximal():
+    """Weights equal those of a plain per-coordinate implementation."""
+    rng = random.Random(4)
+    rows = [(sorted(rng.sample(range(40), 6)), rng.random() < 0.4) for _ in range(80)]
+    got, bias = toxicity.fit([(np.array(at), int(y)) for at, y in rows])
+    a, b, l1, l2 = toxicity.ALPHA, toxicity.BETA, toxicity.L1, toxicity.L2
+    z, n, bz, bn = {}, {}, 0.0, 0.0
+
+    def weight(i):
+        zi = z.get(i, 0.0)
+        return 0.0 if abs(zi) <= l1 else -(zi - (l1 if zi > 0 else -l1)) / ((b + n.get(i, 0.0) ** 0.5) / a + l2)
+
+    for _ in range(toxicity.EPOCHS):
+        for at, y in rows:
+            w = {i: weight(i) for i in at}
+            wb = -bz / ((b + bn**0.5) / a)
+            g = 1 / (1 + np.exp(-(sum(w.values()) + wb))) - y
+            for i in at:
+                z[i] = z.get(i, 0.0) + g - ((n.get(i, 0.0) + g * g) ** 0.5 - n.get(i, 0.0) ** 0.5) / a * w[i]
+                n[i] = n.get(i, 0.0) + g * g
+            bz += g - ((bn + g * g) ** 0.5 - bn**0.5) / a * wb
+            bn += g * g
+    assert np.allclose([got[i] for i in range(40)], [weight(i) for i in range(40)], atol=1e-5)
+    assert np.count_nonzero(got) == sum(weight(i) != 0 for i in range(40)) < 40
+
+
+def test_op3_sample_is_bounded(spark, monkeypatch):
+    """Repeats of a row count once, long texts train, and bytes are bounded."""
+    ship(spark)
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda rows: (seen.append(len(rows)), (np.zeros(1 << toxicity.BITS, np.float32), 0.0))[1])
+    ids = [i for i in range(40) if zlib.crc32(str(i).encode()) % 5][:12]
+    rows = [(ids[0], "same text")] * 500 + [(i, f"w{i} " * 30_000) for i in ids[1:]]
+    docs_, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, 1) for i in ids], "doc_id long, toxic int")
+    toxicity.train(docs_, labels)
+    monkeypatch.setattr(toxicity, "TRAIN_BYTES", 400_000)
+    toxicity.train(docs_, labels)
+    assert seen[0] == 12 and 3 <= seen[1] <= 5
+
+
 def test_op4_targets(docs, none):
     got = mixing.mix(docs).collect()
     size = {}
@@ -227,7 +311,32 @@ def test_op4_targets(docs, none):
         assert abs(r["target"] - want) < 1e-6 and r["taken"] <= 2 * r["size"] and r["source_size"] == size[r["source"]]
     assert mixing.mix(none).count() == 0
     copies = sum(r["copies"] for r in got)
-    assert mixing.materialise(mixing.mix(docs), ["doc_id", "text"]).count() == copies
+    assert mixing.materialise(docs).count() == copies
+
+
+CLASHES = ("size", "Source_Size", "target", "rate", "copies", "taken", "_source", "_copy", "_id", "_key", "_row", "kept", "doc", "row", "turn", "of", "h", "tag", "starts", "n", "count", "low")
+
+
+@pytest.fixture(scope="module")
+def clashing(spark):
+    ship(spark)
+    extra = "".join(f", `{c}` string" for c in CLASHES)
+    return spark.createDataFrame([(*r[:5], *CLASHES) for r in ROWS], "doc_id long, text string, lang string, source string, n_chars long" + extra)
+
+
+def test_clashing_columns_are_kept(spark, clashing):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    docs_ = clashing
+    for name, stage in pipeline.STAGES:
+        out = stage(spark, docs_, "")
+        if name != "best_fit_packing":
+            assert out.columns == clashing.columns
+            docs_ = spark.createDataFrame(out.collect(), out.schema)
+            assert docs_.count() > 10 and {tuple(r)[5:] for r in docs_.collect()} == {CLASHES}
+        else:
+            assert out.count() >= docs_.count()
+    mixed = mixing.mix(clashing)
+    assert dict(mixed.dtypes)["size"] == "bigint" and {"kept", "doc", "of"} <= set(mixed.columns)
 
 
 def test_op5_rules(spark):
@@ -242,6 +351,39 @@ def test_op5_rules(spark):
     assert urls.judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
 
+def test_op5_split_is_the_best_of_all():
+    """Against trying every threshold of every feature on the rows themselves."""
+    rng = random.Random(6)
+    rows = [([rng.choice([-1, 0, 1, 2, 3]) for _ in urls.NUMBERS], rng.uniform(-1, 1), rng.uniform(0.5, 1)) for _ in range(60)]
+    cells = [{} for _ in urls.NUMBERS]
+    for bins, g, h in rows:
+        for f, b in enumerate(bins):
+            cells[f][b] = tuple(x + y for x, y in zip(cells[f].get(b, (0, 0)), (g, h), strict=True))
+    node = urls.Node()
+    urls.split(node, cells)
+
+    def gain(f, at):
+        part = [[r for r in rows if r[0][f] >= 0 and (r[0][f] <= at) == side] for side in (True, False)]
+        g, h = ([sum(r[i] for r in p) for p in part] for i in (1, 2))
+        return sum(x * x / (y + urls.RIDGE) for x, y in zip(g, h, strict=True)) - sum(g) ** 2 / (sum(h) + urls.RIDGE)
+
+    every = {(f, at): gain(f, at) for f in range(len(urls.NUMBERS)) for at in (0, 1, 2)}
+    assert every[node.feature, node.bin] == pytest.approx(max(every.values()))
+    left = [r for r in rows if 0 <= r[0][node.feature] <= node.bin]
+    assert node.left.value == pytest.approx(-urls.RATE * sum(r[1] for r in left) / (sum(r[2] for r in left) + urls.RIDGE), abs=1e-8)
+
+
+def test_op5_verdicts_differ(spark):
+    ship(spark)
+    p = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url")
+    p = p.unionByName(spark.createDataFrame([(10**9, "http://long.example.org/" + "a/b?c=1&" * 20_000)], p.schema))
+    got = urls.judge(p).collect()
+    assert len(got) == p.count()
+    assert {r["verdict"] for r in got if not r["rule"]} == {"allow", "block"}
+    known = [r for r in got if r["rule"]]
+    assert np.mean([(r["score"] >= 0.5) == (r["verdict"] == "block") for r in known]) > 0.7
+
+
 def test_op6_search(spark):
     ship(spark)
     rng = np.random.default_rng(4)
@@ -258,15 +400,57 @@ def test_op6_search(spark):
     assert search.top_k(df.limit(0), 5).count() == 0
 
 
-def test_op6_tree_holds_its_rows():
-    x = np.random.default_rng(1).integers(-100, 100, (3000, 6)).astype(float)
-    todo = [search.cover_tree(x)]
-    while todo:
-        n = todo.pop()
-        assert (np.sqrt(((x[n.rows] - n.center) ** 2).sum(1)) <= n.radius + 1e-9).all()
-        if n.children:
-            assert sorted(np.concatenate([c.rows for c in n.children])) == sorted(n.rows)
-        todo += n.children
+def test_op6_tree_levels():
+    """Nesting, covering, separation, and every row below one node."""
+    rng = np.random.default_rng(1)
+    for x in (rng.integers(-100, 100, (3000, 6)), rng.integers(-9, 9, (40, 5))[rng.integers(0, 40, 2000)] * 50 + rng.integers(-2, 2, (2000, 5)), np.ones((500, 3))):
+        x = x.astype(float)
+        todo, nodes = [search.cover_tree(x)], 0
+        while todo:
+            n = todo.pop()
+            nodes += 1
+            assert n.point in n.rows and np.sqrt(((x[n.rows] - x[n.point]) ** 2).sum(1)).max() <= n.radius + 1e-6
+            if n.children:
+                assert n.children[0].point == n.point
+                assert sorted(np.concatenate([c.rows for c in n.children])) == sorted(n.rows)
+                assert all(c.radius <= n.scale + 1e-6 for c in n.children)
+                apart = np.sqrt(((n.centers[:, None] - n.centers[None]) ** 2).sum(2)) + 1e9 * np.eye(len(n.children))
+                assert apart.min() >= n.scale - 1e-6
+            todo += n.children
+        assert nodes > 10 or len(set(map(tuple, x))) == 1
+
+
+def test_op6_clusters_are_pruned():
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(40, 32))[rng.integers(0, 40, 12000)] + 0.1 * rng.normal(size=(12000, 32))
+    x = np.floor(256 * x / np.linalg.norm(x, axis=1, keepdims=True))
+    ids, q = np.arange(12000), x[:240]
+    best = search.Best(240, 5, search._floors(q, ids[:240], x[::6], ids[::6], 5))
+    pieces = [slice(i, i + 500) for i in range(0, 12000, 500)]  # Spark's batches: trees are larger than these
+    batches = [search.pa.RecordBatch.from_arrays([search.pa.array(ids[p]), search.pa.array(list(x[p]))], ["vec_id", "v"]) for p in pieces]
+    sizes = []
+    for own, rows in search._trees(iter(batches), 32):
+        sizes.append(len(own))
+        search.search_block(q, ids[:240], search.cover_tree(q), rows, own, best)
+    products = q @ x.T
+    products[ids[:240], ids[:240]] = -np.inf
+    assert (best.score == -np.sort(-products, axis=1)[:, :5]).all()
+    assert max(sizes) >= search.TREE_ROWS and best.products < 0.1 * 240 * 12000
+
+
+def test_op6_large_values(spark):
+    """One vector beyond 2**53 costs no other its result, and is compared exactly."""
+    ship(spark)
+    big = float(2**40)
+    rows = [(i, [float(i % 7), 1.0]) for i in range(60)] + [(100, [big, 1.0]), (101, [big, 1.0 + 1 / 256]), (102, [1e30, 0.0]), (103, [1e307, 0.0])]
+    got = {}
+    for r in search.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3), 3).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    good = {i: [int(np.floor(256 * x)) for x in v] for i, v in rows if i != 103}
+    for q in (0, 50, 100):
+        clamp = lambda s: max(-(2**63), min(2**63 - 1, s))
+        want = sorted((-clamp(sum(a * b for a, b in zip(good[q], v, strict=True))), i) for i, v in good.items() if i != q)[:3]
+        assert sorted(got[q]) == [(k + 1, i, -s) for k, (s, i) in enumerate(want)]
 
 
 def test_op8_media(docs, none):
@@ -398,6 +582,41 @@ def test_op9_suffix(spark):
     assert got[100]["confidence"] > told_languages(spark, rows)[100]["confidence"]
 
 
+def test_op9_pages_by_evidence(spark):
+    """Held-out pages: what each kind of evidence tells alone, and all of them together."""
+    ship(spark)
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    read = langid.read_pages(pages).withColumn("held", F.crc32(F.col("doc_id").cast("string")) % 5 == 0).persist()
+    true = {r["doc_id"]: r["declared"] for r in read.collect()}
+    held = {r["doc_id"] for r in read.where("held").collect()}
+    assert len(held) > 30 and set(true.values()) == {"en", "de", "fr", "es"}
+    label, none = F.when(~F.col("held"), F.col("declared")), F.lit(None).cast("string")
+    mute = F.when(F.col("held"), F.lit("ab")).otherwise(F.col("text"))
+
+    def right(docs, declared, host, suffix):
+        got = langid.identify(docs, declared, host, suffix, training=label).collect()
+        return np.mean([r["lang"] == true[r["doc_id"]] for r in got if r["doc_id"] in held])
+
+    common = max(np.mean([true[i] == x for i in held]) for x in ("en", "de"))
+    text = right(read, none, none, none)
+    markup = right(read.withColumn("text", mute), F.col("declared"), none, none)
+    host = right(read.withColumn("text", mute), label, F.col("host"), F.col("suffix"))
+    every = right(read, label, F.col("host"), F.col("suffix"))
+    assert text > 0.9 and markup == 1.0 and host >= common - 0.1 and every >= text - 0.03
+    read.unpersist()
+
+
+def test_op9_reads_markup(spark):
+    ship(spark)
+    rows = [(1, "HTTPS://A.example.FR/x", '<HTML class=x xml:lang="FR-ca"><script>var a="b"</script><p>les <b>mots'), (2, None, "<html><meta http-equiv='Content-Language' content='de'>wort"), (3, "nothing", None), (4, "http://h/", "text alone"), (5, "http://x.net/", "<style>p{}</style><!-- c -->" + "mot " * 200_000)]
+    got = {r["doc_id"]: r for r in langid.read_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [(got[i]["declared"], got[i]["host"], got[i]["suffix"]) for i in range(1, 6)] == [("fr", "a.example.fr", "fr"), ("de", None, None), (None, None, None), (None, "h", None), (None, "x.net", "net")]
+    assert got[1]["text"].split() == ["les", "mots"] and got[3]["text"] == "" and len(got[5]["text"].split()) == 200_000
+    told = langid.identify_pages(spark.createDataFrame([*rows, rows[0]], "page_id long, url string, html string").withColumn("lang", F.lit("clash"))).collect()
+    assert len(told) == 6 and {r["page_id"] for r in told if r["rejected"]} >= {3}
+    assert langid.identify_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
 def kept_words(rows, window=50):
     first, split = {}, {}
     for r in sorted((r for r in rows if r[0] is not None), key=lambda r: r[0]):
@@ -426,6 +645,15 @@ def test_op10_windows(docs, none):
     assert substring.digest(none).count() == 0 and substring.strip(none).count() == 0
 
 
+def test_op10_verifies_names(spark):
+    """Windows of equal names that differ in their other 64 bits are no repeats, and repeats
+    among them are found."""
+    rows = [(1, 0, [0], [2], [5, 6], [50, 60]), (2, 0, [3], [2], [5, 6], [51, 60]), (3, 0, [9], [1], [5], [50]), (4, 0, [1], [1], [5], [51])]
+    named = spark.createDataFrame(rows, "_id long, _key long, begins array<int>, sizes array<int>, windows array<long>, checks array<long>")
+    got = {r["_id"]: sorted(r["starts"]) for r in substring.removals(named).collect()}
+    assert got == {2: [4], 3: [9], 4: [1]}
+
+
 def test_op10_random_repeats(spark):
     ship(spark)
     rng = random.Random(11)
@@ -473,3 +701,53 @@ def test_pipeline_by_stage(spark):
     for r in five:
         used[r["sequence_id"]] = used.get(r["sequence_id"], 0) + r["length"]
     assert max(used.values()) <= 2048
+
+
+def test_pipeline_runs(spark, tmp_path):
+    """All of ``run`` over a folder, against its stages by brute force; an empty table too."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    rows = [(*r[:5], "x") for r in ROWS if r[0] is not None][:-1]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, kept string"
+    spark.createDataFrame(rows, schema).repartition(3).write.parquet(str(tmp_path / "a/documents.parquet"))
+    got = pipeline.run(spark, str(tmp_path / "a")).collect()
+    left = [r for r in rows if re.search(r"[^\W\d_]", r[1] or "")]
+    top = components(left)
+    left = [r for r in left if top[r[0]] == r[0]]
+    words = kept_words(left)
+    texts = {r[0]: r[1] if len(words[r[0]]) == len(WORD.findall(r[1])) else " ".join(words[r[0]]) for r in left}
+    mixed = mixing.mix(spark.createDataFrame([(i, t, {r[0]: r[3] for r in left}[i]) for i, t in texts.items()], "doc_id long, text string, source string")).collect()
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(VOCABULARY)
+    want = []
+    for r in mixed:
+        ids = [*t.encode(r["text"], add_special_tokens=False).ids, 0]
+        want += [(r["doc_id"], k, s, n, zlib.crc32(np.array(ids[s : s + n], "<u4").tobytes())) for k, (s, n) in enumerate(packing.cut_points(len(ids), 2048))] * r["copies"]
+    assert sorted(tuple(r)[:5] for r in got) == sorted(want)
+    spark.createDataFrame([], schema).write.parquet(str(tmp_path / "b/documents.parquet"))
+    assert pipeline.run(spark, str(tmp_path / "b")).count() == 0
+
+
+@pytest.mark.parametrize("name", ["op4_source_mixing", "op6_exact_top_k"])
+def test_registered_queries_equal_their_sql(spark, name):
+    import duckdb
+
+    from arcwell.llm import queries
+
+    sf = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    got = queries.queries()[name](spark, sf)
+    told = con.sql(f"SELECT {', '.join(got.columns)} FROM ({queries.oracle_sql()[name]})").fetchall()
+    assert sorted(map(tuple, got.collect())) == sorted(told)
+
+
+@pytest.mark.parametrize("name,key,table", [("op1_best_fit_packing", "doc_id", "documents"), ("op2_setsketch_near_dedup", "doc_id", "documents"), ("op3_ftrl_toxicity", "doc_id", "documents"), ("op5_url_filters", "page_id", "pages"), ("op7_token_counts", "doc_id", "documents"), ("op8_lossless_webp", "doc_id", "documents"), ("op9_language_id", "page_id", "pages"), ("op10_substring_dedup", "doc_id", "documents")])
+def test_registered_queries_cover_their_table(spark, name, key, table):
+    from arcwell.llm import queries
+
+    got = queries.queries()[name](spark, "/root/testdata/sf0.001")
+    ids = [r[0] for r in spark.read.parquet(f"/root/testdata/sf0.001/{table}.parquet").select(key).collect()]
+    found = [r[key] for r in got.collect()]
+    assert set(found) == set(ids) and (name.startswith("op1_") or len(found) == len(ids))
