@@ -8,9 +8,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Fixed values of the contract.
-FRONTEND = ("tsx", "jsx", "vue", "html", "css", "scss")
-DATABASE = ("sql", "pks", "pkb", "prc", "fnc", "trg", "pls")
-ROLE_SUFFIXES = ("Controller", "Service", "ServiceImpl", "Repository", "Component", "Module", "Util", "Utils", "Helper", "Dao", "Dto")
+FRONTEND = ("tsx", "jsx", "vue", "html", "css", "scss", "less", "osw")
+DATABASE = ("sql", "plsql", "pls", "pck", "pks", "pkb", "prc", "fnc", "trg", "pkg")
+FRONTEND_FOLDERS = ("frontend", "front", "ui", "web", "webapp", "client", "pages", "components", "views")
+FRONTEND_FOLDER_END = "(^|[-_.])(frontend|front|ui|web|client)$"
+ROLE_SUFFIXES = (
+    "Controller", "Service", "Repository", "Manager", "Handler", "Helper", "Utils", "Util", "Impl", "Facade", "Adapter", "Factory", "Provider", "Processor", "Builder", "Mapper", "Component",
+    "Module", "Resolver", "Interceptor", "Guard", "Filter", "Validator", "Converter", "Transformer", "Listener", "Consumer", "Producer", "Publisher", "Subscriber", "Observer", "Dao", "Bo", "Vo",
+    "Dto", "Entity", "Model", "Bean", "Page", "View", "Screen", "Widget", "Store", "Reducer", "Selector", "Action", "Saga", "Effect", "Hook", "Composable",
+)
 
 
 def half_up(x: Column, places: int = 0) -> Column:
@@ -31,7 +37,7 @@ def cosine(a: Column, b: Column) -> Column:
 def file_layer(path: Column, ext: Column) -> Column:
     """database, frontend or backend of a file."""
     parts = F.split(F.lower(path), "/")
-    front = F.exists(parts, lambda p: p.isin("frontend", "ui", "pages", "components", "screens") | p.endswith("-frontend"))
+    front = F.exists(parts, lambda p: p.isin(*FRONTEND_FOLDERS) | p.rlike(FRONTEND_FOLDER_END))
     return F.when(F.lower(ext).isin(*DATABASE), "database").when(F.lower(ext).isin(*FRONTEND) | (F.lower(ext).isin("ts", "js", "json", "md") & front), "frontend").otherwise("backend")
 
 
@@ -56,15 +62,25 @@ def risk_label(coupling: Column, lines: Column) -> Column:
     return F.when((coupling > 50) | (lines > 1000), "critical").when((coupling > 20) | (lines > 500), "high").when((coupling > 10) | (lines > 300), "medium").when(coupling > 4, "low").otherwise("clean")
 
 
-def responsibility(name: Column) -> Column:
-    """A label from a file name: one role suffix off, camel case split, at most 60."""
-    base = F.regexp_replace(name, "\\.[^.]*$", "")
-    bare = F.regexp_replace(base, f"({'|'.join(sorted(ROLE_SUFFIXES, key=len, reverse=True))})$", "")
-    return F.substring(F.lower(F.regexp_replace(F.regexp_replace(bare, "([A-Z]+)([A-Z][a-z])", "$1 $2"), "([a-z0-9])([A-Z])", "$1 $2")), 1, 60)
+def spoken(name: Column) -> Column:
+    """Camel case, dashes and underscores as spaces, lower case."""
+    apart = F.regexp_replace(F.regexp_replace(name, "([a-z])([A-Z])", "$1 $2"), "([A-Z]+)([A-Z][a-z])", "$1 $2")
+    return F.trim(F.lower(F.regexp_replace(apart, "[-_]", " ")))
+
+
+def responsibility(path: Column, type_name: Column | None = None, module: Column | None = None) -> Column:
+    """A label of at most 60 characters: the type's name, else the file's, without one role
+    suffix; a label of one character gives way to the module's name, else the file's."""
+    base = F.regexp_replace(F.element_at(F.split(path, "/"), -1), "(.)\\.[^.]*$", "$1")
+    name = base if type_name is None else F.coalesce(type_name, base)
+    bare = F.trim(F.regexp_replace(name, f"(?i)({'|'.join(ROLE_SUFFIXES)})$", ""))
+    label = spoken(F.when(bare != "", bare).otherwise(name))
+    other = spoken(base if module is None else F.coalesce(module, base))
+    return F.substring(F.when(F.length(label) > 1, label).otherwise(other), 1, 60)
 
 
 def grade(score: Column) -> Column:
-    return F.when(score >= 90, "A").when(score >= 75, "B").when(score >= 60, "C").when(score >= 40, "D").otherwise("F")
+    return F.when(score >= 90, "A").when(score >= 75, "B").when(score >= 60, "C").when(score >= 40, "D").otherwise("E")
 
 
 def difficulty(hours: Column) -> Column:
@@ -108,3 +124,38 @@ def url_template(url: Column) -> Column:
     bare = F.regexp_replace(bare, "^https?://[^/]+", "")
     bare = F.regexp_replace(bare, "^/?api(/v[0-9]+)?(/|$)", "/")
     return F.regexp_replace(F.regexp_replace(bare, "\\{[^}/]*\\}|:[a-z_][a-z0-9_]*|\\$\\{[^}]*\\}", "*"), "^/+|/+$", "")
+
+
+def sanitized(name: Column) -> Column:
+    """An id: all but letters, digits and underscores to one underscore, at most 50."""
+    return F.substring(F.regexp_replace(F.regexp_replace(name, "[^a-zA-Z0-9_]", "_"), "_+", "_"), 1, 50)
+
+
+def repository_slug(url: Column) -> Column:
+    """owner/name of a remote in its ssh or https form; null for others."""
+    return F.nullif(F.regexp_extract(F.trim(url), "^(?:https?://[^/]+/|ssh://[^/]+/|[^@/]+@[^:/]+:)([^/]+/[^/]+?)(?:\\.git)?/?$", 1), F.lit(""))
+
+
+def days_since(day: Column, today: Column) -> Column:
+    """Whole days, 0 for days to come."""
+    return F.greatest(F.datediff(today, day), F.lit(0))
+
+
+def path_segments(path: Column) -> Column:
+    """Segments of a URL path: lower case, without query, trailing slash and api prefix."""
+    bare = F.split(F.lower(F.regexp_replace(path, "/+$", "")), "\\?")[0]
+    bare = F.regexp_replace(F.regexp_replace(bare, "^/api/v[0-9]+", ""), "^/api", "")
+    return F.filter(F.split(bare, "/"), lambda p: p != "")
+
+
+def route_segments(route: Column) -> Column:
+    """The same of an endpoint's route, parameters as ``*``."""
+    return path_segments(F.regexp_replace(route, "\\{[^}]+\\}|:[^/]+", "*"))
+
+
+def domain_keyword(path: Column) -> Column:
+    """What a file's name says of its domain: without extension and one role suffix."""
+    name = F.regexp_replace(F.element_at(F.split(path, "/"), -1), "\\.(java|ts|tsx|js|jsx|py|cs|kt)$", "")
+    name = F.regexp_replace(name, "(?i)[-_](service|controller|resource|api|client|repository|repo|facade|handler|component|module)$", "")
+    name = F.regexp_replace(name, "(?i)(Controller|Service|Resource|Api|Client|Repository|Facade|Handler|Component|Module)$", "")
+    return F.regexp_replace(F.lower(name), "[^a-z0-9]", "")

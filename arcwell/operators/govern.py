@@ -7,11 +7,15 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import glob_pattern, iso_week
 
-# Allowed moves of the triage state machine (fixed values).
-MOVES = [
-    ("needs-triage", "needs-info"), ("needs-triage", "ready-for-agent"), ("needs-triage", "wontfix"), ("needs-info", "needs-triage"), ("needs-info", "ready-for-agent"),
-    ("needs-info", "wontfix"), ("ready-for-agent", "in-progress"), ("ready-for-agent", "wontfix"), ("in-progress", "done"), ("in-progress", "needs-triage"),
-]
+# States of the triage machine and where each may go (fixed values).
+MOVES = {
+    "needs-triage": ("needs-info", "ready-for-agent", "ready-for-human", "wontfix"),
+    "needs-info": ("needs-triage",),
+    "ready-for-agent": ("needs-triage", "done"),
+    "ready-for-human": ("needs-triage", "done"),
+    "wontfix": ("needs-triage",),
+    "done": (),
+}
 
 
 def new_rows(head: DataFrame, base: DataFrame, key: list[str]) -> DataFrame:
@@ -38,7 +42,7 @@ def gates(one: DataFrame, limits: dict[str, Column]) -> DataFrame:
 
 def triage_moves(requests: DataFrame) -> DataFrame:
     """Requests (id, state, wanted) with whether the move is allowed."""
-    moves = F.broadcast(requests.sparkSession.createDataFrame(MOVES, "state string, wanted string").withColumn("ok", F.lit(True)))
+    moves = F.broadcast(requests.sparkSession.createDataFrame([(a, b) for a, to in MOVES.items() for b in to], "state string, wanted string").withColumn("ok", F.lit(True)))
     return requests.join(moves, ["state", "wanted"], "left").select("id", "state", "wanted", F.coalesce("ok", F.lit(False)).alias("allowed"))
 
 
@@ -49,9 +53,11 @@ def triage_sync(queue: DataFrame, candidates: DataFrame) -> DataFrame:
 
 
 def memory_latest(entries: DataFrame, bound: int | None = None) -> DataFrame:
-    """The latest entry by entity, kind and the first 80 characters of its summary."""
-    order = Window.partitionBy("entity", "kind", F.substring("summary", 1, 80)).orderBy(F.desc("ts"), F.desc("id"))
-    out = entries.withColumn("r", F.row_number().over(order)).where("r = 1").drop("r")
+    """The latest entry by entity, kind and the first 80 characters of its summary, whatever
+    their case. One entry a key survives the map side."""
+    row = F.struct(*[F.col(c) for c in entries.columns])
+    key = ("entity", "kind", F.substring(F.lower("summary"), 1, 80).alias("said"))
+    out = entries.groupBy(*key).agg(F.max_by(row, F.struct("ts", "id")).alias("row")).select("row.*")
     return out.orderBy(F.desc("ts"), F.desc("id")).limit(bound) if bound else out
 
 
@@ -76,17 +82,21 @@ def archive_weeks(entries: DataFrame, keep: int) -> DataFrame:
 
 
 def dispatch(events: DataFrame, cap: int = 5, failures: int = 2) -> DataFrame:
-    """The decision for each (id, ts, entity, trigger, failed_before): a second one of a
-    key and day is a duplicate; then the daily cap; then the failure breaker. Only
-    dispatched rows use the cap."""
-    day = F.to_date("ts")
-    first = Window.partitionBy("entity", "trigger", day).orderBy("ts", "id")
-    e = events.withColumn("day", day).withColumn("turn", F.row_number().over(first))
-    fit = (F.col("turn") == 1) & (F.col("failed_before") < failures)
-    used = F.sum(F.when(fit, 1).otherwise(0)).over(Window.partitionBy("day").orderBy("ts", "id").rowsBetween(Window.unboundedPreceding, -1))
-    e = e.withColumn("used", F.coalesce(used, F.lit(0)))
-    said = F.when(F.col("turn") > 1, "duplicate").when(F.col("used") >= cap, "capped").when(F.col("failed_before") >= failures, "blocked").otherwise("dispatched")
-    return e.select("id", "day", said.alias("decision"))
+    """The decision for each (id, ts, entity, trigger, failed_before), in order of ts and id:
+    a key that was dispatched before on that day is a duplicate; then the daily cap; then
+    the failure breaker. Only dispatched events make duplicates and use the cap.
+
+    The first event of a key that the breaker lets through is dispatched unless the cap is
+    reached: one row a key and day is ranked, and all events are held against these.
+    """
+    e = events.withColumn("day", F.to_date("ts")).withColumn("at", F.struct("ts", "id"))
+    firsts = e.where(F.col("failed_before") < failures).groupBy("day", "entity", "trigger").agg(F.min("at").alias("first"))
+    sent = firsts.withColumn("turn", F.row_number().over(Window.partitionBy("day").orderBy("first"))).where(F.col("turn") <= cap)
+    last = sent.where(F.col("turn") == cap).select("day", F.col("first").alias("last"))
+    keys = [F.col(f"e.{c}").eqNullSafe(F.col(f"s.{c}")) for c in ("day", "entity", "trigger")]
+    met = e.alias("e").join(sent.drop("turn").alias("s"), keys, "left").select("e.*", "s.first").join(last, "day", "left")
+    said = F.when(F.col("at") > F.col("first"), "duplicate").when(F.col("at") > F.col("last") if cap else F.lit(True), "capped").when(F.col("failed_before") >= failures, "blocked").otherwise("dispatched")
+    return met.select("id", "day", said.alias("decision"))
 
 
 def portfolio(projects: DataFrame) -> DataFrame:

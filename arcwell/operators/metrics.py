@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import debt, difficulty, grade, half_up
+from ..functions.scalars import debt, difficulty, grade, half_up, offender
 
 
 def churn(touches: DataFrame) -> DataFrame:
@@ -79,11 +79,67 @@ def file_metrics(files: DataFrame) -> DataFrame:
     return files.withColumn("debt", d).withColumn("hotspot", (F.col("complexity") > 15) & (F.col("coupling_in") > 3))
 
 
-def module_metrics(files: DataFrame) -> DataFrame:
-    return files.groupBy("module").agg(
-        F.count("*").alias("files"), half_up(F.avg("complexity"), 1).alias("avg_complexity"), F.max("complexity").cast("long").alias("max_complexity"),
-        F.min_by("file", F.struct(-F.col("complexity"), "file")).alias("worst_file"), F.sum("debt").alias("debt"), F.count_if("hotspot").alias("hotspots"),
+def module_metrics(files: DataFrame, shown: int = 5) -> DataFrame:
+    """A row a module: whole-number averages (couplings to one place), maxima, sums, the most
+    complex file and the first ``shown`` hotspots. max_nesting is 0 where files have none."""
+    nesting = F.max("max_nesting") if "max_nesting" in files.columns else F.lit(0)
+    out = files.groupBy("module").agg(
+        F.count("*").alias("files"), half_up(F.avg("complexity")).cast("long").alias("avg_complexity"), F.max("complexity").cast("long").alias("max_complexity"),
+        F.min_by("file", F.struct(-F.col("complexity"), "file")).alias("worst_file"), half_up(F.avg("cognitive")).cast("long").alias("avg_cognitive"), nesting.cast("long").alias("max_nesting"),
+        F.sum("lines").alias("lines"), half_up(F.avg("coupling_in"), 1).alias("avg_coupling_in"), F.sum("debt").alias("debt"),
     )
+    first = files.where("hotspot").withColumn("r", F.row_number().over(Window.partitionBy("module").orderBy("file"))).where(F.col("r") <= shown)
+    first = first.groupBy("module").agg(F.array_sort(F.collect_list("file")).alias("hotspots"))
+    return out.join(first, "module", "left").withColumn("hotspots", F.coalesce("hotspots", F.array().cast("array<string>")))
+
+
+def project_totals(files: DataFrame, functions: DataFrame) -> DataFrame:
+    """One row: debt, hotspots, and offending functions (cyclomatic, cognitive, max_nesting)."""
+    one = files.agg(F.coalesce(F.sum("debt"), F.lit(0)).alias("debt"), F.count_if("hotspot").alias("hotspots"))
+    bad = functions.agg(F.count_if(offender(F.col("cyclomatic"), F.col("cognitive"), F.col("max_nesting"))).alias("offenders"))
+    return one.crossJoin(F.broadcast(bad))  # one row each
+
+
+def complex_functions(functions: DataFrame, offenders: bool = False, n: int | None = None) -> DataFrame:
+    """Functions, the most complex first."""
+    out = functions.where(offender(F.col("cyclomatic"), F.col("cognitive"), F.col("max_nesting"))) if offenders else functions
+    out = out.orderBy(F.desc("cyclomatic"), F.desc("cognitive"), "file", "name")
+    return out.limit(n) if n else out
+
+
+def counts_by(facts: DataFrame, *by: str) -> DataFrame:
+    """Facts by language, level, pattern or type."""
+    return facts.groupBy(*by).agg(F.count("*").alias("n"))
+
+
+def churn_of_files(files: DataFrame, touched: DataFrame) -> DataFrame:
+    """All of ``files`` with the commits and fixes of ``touched`` (file, commits, fixes), 0
+    where it has none."""
+    return files.join(touched, "file", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("commits", "fixes")})
+
+
+def knowledge_order(modules: DataFrame) -> DataFrame:
+    """(module, bus_factor, share): what hangs on the fewest people first."""
+    return modules.orderBy("bus_factor", F.desc("share"), "module")
+
+
+def token_statistics(calls: DataFrame) -> DataFrame:
+    """(tool, calls, tokens, average, most) of (tool, tokens)."""
+    return calls.groupBy("tool").agg(F.count("*").alias("calls"), F.sum("tokens").alias("tokens"), half_up(F.avg("tokens")).cast("long").alias("average"), F.max("tokens").alias("most"))
+
+
+def module_descriptors(files: DataFrame) -> DataFrame:
+    """(module, files, languages, tokens) of (module, language, size_bytes)."""
+    return files.groupBy("module").agg(F.count("*").alias("files"), F.array_sort(F.collect_set("language")).alias("languages"), F.ceil(F.sum("size_bytes") / 4).alias("tokens"))
+
+
+def trend(snapshots: DataFrame, n: int = 20) -> DataFrame:
+    """The last ``n`` snapshots (ts, score) in time order, scaled to 0 to 1 between their least
+    and largest score (0.5 where these are equal)."""
+    last = snapshots.orderBy(F.desc("ts")).limit(n)
+    ends = last.agg(F.min("score").alias("lo"), F.max("score").alias("hi"))
+    level = F.when(F.col("hi") > F.col("lo"), (F.col("score") - F.col("lo")) / (F.col("hi") - F.col("lo"))).otherwise(0.5)
+    return last.crossJoin(F.broadcast(ends)).select("ts", "score", half_up(level, 4).alias("level")).orderBy("ts")
 
 
 def roi(modules: DataFrame, rate: float = 100.0, hours_per_point: float = 0.5) -> DataFrame:
@@ -92,6 +148,17 @@ def roi(modules: DataFrame, rate: float = 100.0, hours_per_point: float = 0.5) -
     return rescale(h.withColumn("days", half_up(F.col("hours") / 8, 1)), rate)
 
 
+def roi_files(files: DataFrame, rate: float = 100.0, hours_per_point: float = 0.5, n: int = 40) -> DataFrame:
+    """Hours and cost of each file's debt, the most first."""
+    h = files.where("debt > 0").select("file", "debt", half_up(F.col("debt") * hours_per_point, 1).alias("hours"))
+    return rescale(h, rate).orderBy(F.desc("debt"), "file").limit(n)
+
+
+def saved_hours(impacted: DataFrame, minutes: float = 5.0) -> DataFrame:
+    """One row: hours saved by ``minutes`` a node of (impacted)."""
+    return impacted.agg(half_up(F.coalesce(F.sum("impacted"), F.lit(0)) * minutes / 60, 1).alias("hours_saved"))
+
+
 def rescale(costs: DataFrame, rate: float) -> DataFrame:
     """Costs at another rate, from the hours already rounded."""
     return costs.withColumn("cost", half_up(F.col("hours") * rate).cast("long"))

@@ -14,7 +14,7 @@ from .functions import scalars
 from .operators import govern, graph, metrics, search
 from .plans import facts
 from .plans.session import table
-from .sources import extract, lines, metrics_scan, structure
+from .sources import extract, lines
 from .streaming import live
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -50,9 +50,14 @@ USERS = """
 us AS (SELECT 'u' || user_id AS file, count(*) AS commits, count(*) FILTER (WHERE event_type = 'error') AS fixes, count(DISTINCT event_type) AS complexity, count(DISTINCT ts::DATE) AS coupling FROM events GROUP BY 1)"""
 LINES = """
 ln AS (SELECT 'doc/' || doc_id AS file, unnest(range(1, len(l) + 1)) AS line_no, unnest(l) AS text FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents))"""
-TERMS = """
+TERMS = f"""
 spl AS (SELECT 'doc/' || doc_id AS file, unnest(list_distinct(string_split_regex(lower(regexp_replace(regexp_replace(coalesce(text, ''), '([A-Z]+)([A-Z][a-z])', '\\1 \\2', 'g'), '([a-z0-9])([A-Z])', '\\1 \\2', 'g')), '[^a-z]+'))) AS term FROM documents),
-po AS (SELECT * FROM spl WHERE length(term) >= 3 AND term NOT IN ('the','and','for','with','that','this','from','are','was','not','select','insert','update','delete','where','into'))"""
+po AS (SELECT * FROM spl WHERE length(term) >= 3 AND term NOT IN ({", ".join(repr(w) for w in [*search.STOP, *search.SQL_WORDS])}))"""
+BM25 = """
+sz AS (SELECT file, count(*) AS dl FROM po GROUP BY 1), w AS (SELECT count(*) AS docs, avg(dl) AS av FROM sz), q AS (SELECT unnest(['thre', 'ing', 'ero']) AS prefix), h AS (SELECT file, prefix, count(*) AS tf FROM po JOIN q ON starts_with(term, prefix) GROUP BY 1, 2), d AS (SELECT prefix, count(*) AS df FROM h GROUP BY 1),
+i AS (SELECT prefix, CASE WHEN (docs - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE) > 1 THEN ln((docs - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) ELSE 1e-6::DOUBLE END AS idf FROM d, w),
+x AS (SELECT h.file, sum(idf * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (1 - 0.75::DOUBLE + 0.75::DOUBLE * dl / av))) AS x FROM h JOIN i USING (prefix) JOIN sz USING (file), w GROUP BY 1),
+bm AS (SELECT file, floor(x * 10 + 0.5::DOUBLE) / 10.0::DOUBLE AS score FROM x ORDER BY score DESC, file LIMIT 20)"""
 MEMORY = """
 mem AS (SELECT event_id AS id, ts, 'u' || user_id AS entity, event_type AS kind, coalesce(props, '') AS summary, CASE event_type WHEN 'purchase' THEN 'worked' WHEN 'error' THEN 'failed' ELSE 'none' END AS result FROM events)"""
 
@@ -117,10 +122,11 @@ def impact_two_hop_confidence(spark, sf):
     return graph.impact(facts.typed_edges(spark, sf), "nation:3", 2, 1 << 40).select("id", "depth", "confidence")
 
 
-@query(f"WITH RECURSIVE {STEPS.format(least=3)}, r AS (SELECT min(to_id) AS id, 0 AS depth FROM steps UNION SELECT s.from_id, r.depth + 1 FROM steps s JOIN r ON s.to_id = r.id WHERE r.depth < 3) SELECT id, min(depth) AS depth FROM r GROUP BY id HAVING min(depth) > 0")
+@query(f"WITH RECURSIVE {STEPS.format(least=3)}, r AS (SELECT min(to_id) AS id, 0 AS depth FROM steps UNION SELECT s.from_id, r.depth + 1 FROM steps s JOIN r ON s.to_id = r.id WHERE r.depth < 12), m AS (SELECT id, min(depth) AS depth FROM r GROUP BY id), c AS (SELECT depth, sum(count(*)) OVER (ORDER BY depth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS known FROM m GROUP BY depth) SELECT id, depth FROM m JOIN c USING (depth) WHERE depth > 0 AND known < 20")
 def file_impact_capped(spark, sf):
+    """No level is begun once 20 nodes are known (the contract's 200, for a graph this small)."""
     e = facts.user_steps(spark, sf, 3)
-    return graph.reach(e, e.agg(F.min("to_id").alias("id")), 3).where("depth > 0").select("id", "depth")
+    return graph.reach(e, e.agg(F.min("to_id").alias("id")), 12, max_nodes=20).where("depth > 0").select("id", "depth")
 
 
 @query(f"WITH RECURSIVE {STEPS.format(least=3)}, r AS (SELECT min(from_id) AS id, 0 AS depth FROM steps UNION SELECT s.to_id, r.depth + 1 FROM steps s JOIN r ON s.from_id = r.id WHERE r.depth < 8) SELECT id, min(depth) AS depth FROM r GROUP BY id")
@@ -129,11 +135,12 @@ def shortest_path_length(spark, sf):
     return graph.reach(e, e.agg(F.min("from_id").alias("id")), 8, reverse=False).select("id", "depth")
 
 
-@query("SELECT * FROM (VALUES (1, 'D>B>A', 3), (2, 'D>C>A', 3)) AS t(route, nodes, length)")
+@query("WITH p AS (SELECT 'nation:' || n_nationkey AS n, row_number() OVER (ORDER BY 'nation:' || n_nationkey) AS r FROM nation WHERE n_regionkey = 2) SELECT CAST(r AS INTEGER) AS route, 'all>' || n || '>region:2' AS nodes, 3 AS length FROM p WHERE r <= 3")
 def k_routes_diamond(spark, sf):
-    rows = [("D", "B"), ("D", "C"), ("B", "A"), ("C", "A")]
-    e = spark.createDataFrame([(a, b, "call", "resolved") for a, b in rows], "from_id string, to_id string, via string, confidence string")
-    found = graph.routes(e, "D", "A", 3)
+    """The first three of all routes from one node through every nation to a region."""
+    n = table(spark, sf, "nation").select(F.concat(F.lit("nation:"), F.col("n_nationkey").cast("string")).alias("id"), F.concat(F.lit("region:"), F.col("n_regionkey").cast("string")).alias("of"))
+    e = n.select(F.lit("all").alias("from_id"), F.col("id").alias("to_id")).unionByName(n.select(F.col("id").alias("from_id"), F.col("of").alias("to_id"))).withColumns({"via": F.lit("call"), "confidence": F.lit("resolved")})
+    found = graph.routes(e, "all", "region:2", 3)
     return spark.createDataFrame([(i + 1, ">".join(n for n, _, _ in p), len(p)) for i, p in enumerate(found)], "route int, nodes string, length int")
 
 
@@ -219,7 +226,7 @@ def node_profile(spark, sf):
     return e.agg(F.count_if(~mine).alias("callers"), F.count_if(mine).alias("callees"), F.array_join(F.slice(F.array_sort(F.collect_set(F.when(mine, F.col("to_id")))), 1, 20), ",").alias("uses")).select(F.lit("nation:7").alias("id"), "callers", "callees", "uses")
 
 
-@query()
+@query("SELECT 'region:' || r_regionkey AS id, 0 AS depth FROM region WHERE r_regionkey IN (SELECT n_regionkey FROM nation) UNION ALL SELECT 'nation:' || n_nationkey, 1 FROM nation UNION ALL SELECT 'customer:' || c_custkey, 2 FROM customer UNION ALL SELECT 'supplier:' || s_suppkey, 2 FROM supplier")
 def inheritance_depth(spark, sf):
     return graph.inheritance_depth(facts.upper_edges(spark, sf))
 
@@ -233,12 +240,13 @@ def churn_by_file(spark, sf):
     return metrics.churn(facts.touches(spark, sf))
 
 
-@query("""WITH b AS (SELECT DISTINCT user_id AS basket, event_type || '/' || coalesce(CAST(json_extract_string(props, '$.k') AS VARCHAR), '') AS item FROM events), s AS (SELECT basket FROM b GROUP BY 1 HAVING count(*) BETWEEN 2 AND 200),
+@query("""WITH b AS (SELECT DISTINCT user_id || ':' || CAST(ts::DATE AS VARCHAR) AS basket, event_type || '/' || coalesce(CAST(json_extract_string(props, '$.k') AS VARCHAR), '') AS item FROM events), s AS (SELECT basket FROM b GROUP BY 1 HAVING count(*) BETWEEN 2 AND 40),
 k AS (SELECT * FROM b JOIN s USING (basket)), p AS (SELECT x.item AS a, y.item AS b, count(*) AS together FROM k x JOIN k y ON x.basket = y.basket AND x.item < y.item GROUP BY 1, 2 HAVING count(*) >= 2), c AS (SELECT item, count(*) AS k FROM b GROUP BY 1),
 o AS (SELECT p.a, p.b, together, floor(together / least(x.k, y.k)::DOUBLE * 100.0::DOUBLE + 0.5::DOUBLE) / 100.0::DOUBLE AS degree FROM p JOIN c x ON x.item = p.a JOIN c y ON y.item = p.b) SELECT * FROM o WHERE degree >= 0.3 ORDER BY degree DESC, together DESC, a, b LIMIT 200""")
 def change_coupling(spark, sf):
     item = F.concat("event_type", F.lit("/"), F.coalesce(F.get_json_object("props", "$.k"), F.lit("")))
-    return metrics.change_coupling(table(spark, sf, "events").select(F.col("user_id").alias("basket"), item.alias("item")), most=200)
+    basket = F.concat(F.col("user_id").cast("string"), F.lit(":"), F.to_date("ts").cast("string"))
+    return metrics.change_coupling(table(spark, sf, "events").select(basket.alias("basket"), item.alias("item")))
 
 
 BUS = f"WITH {SHARES}, r AS (SELECT *, coalesce(sum(touches) OVER (PARTITION BY module ORDER BY touches DESC, author ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(touches) OVER (PARTITION BY module) AS total FROM sh) SELECT module, CAST(sum(CASE WHEN 2 * before {{op}} total THEN 1 ELSE 0 END) AS BIGINT) AS bus_factor, count(*) AS authors FROM r GROUP BY module"
@@ -291,9 +299,12 @@ def debt_score(spark, sf):
     return metrics.file_metrics(facts.parts(spark, sf)).select("file", "debt", "hotspot")
 
 
-@query(f"WITH {PARTS} SELECT module, count(*) AS files, floor(avg(complexity) * 10.0::DOUBLE + 0.5::DOUBLE) / 10.0::DOUBLE AS avg_complexity, max(complexity) AS max_complexity, (array_agg(file ORDER BY complexity DESC, file))[1] AS worst_file, CAST(sum(debt) AS BIGINT) AS debt, count(*) FILTER (WHERE hotspot) AS hotspots FROM pd GROUP BY module")
+@query(f"""WITH {PARTS}, hs AS (SELECT module, string_agg(file, ',' ORDER BY file) AS hotspots FROM (SELECT *, row_number() OVER (PARTITION BY module ORDER BY file) AS r FROM pd WHERE hotspot) WHERE r <= 5 GROUP BY module),
+m AS (SELECT module, count(*) AS files, CAST(floor(avg(complexity) + 0.5::DOUBLE) AS BIGINT) AS avg_complexity, max(complexity) AS max_complexity, (array_agg(file ORDER BY complexity DESC, file))[1] AS worst_file, CAST(floor(avg(cognitive) + 0.5::DOUBLE) AS BIGINT) AS avg_cognitive, CAST(0 AS BIGINT) AS max_nesting, CAST(sum(lines) AS BIGINT) AS lines,
+ floor(avg(coupling_in) * 10.0::DOUBLE + 0.5::DOUBLE) / 10.0::DOUBLE AS avg_coupling_in, CAST(sum(debt) AS BIGINT) AS debt FROM pd GROUP BY module) SELECT m.*, coalesce(hotspots, '') AS hotspots FROM m LEFT JOIN hs USING (module)""")
 def module_metrics(spark, sf):
-    return metrics.module_metrics(metrics.file_metrics(facts.parts(spark, sf)))
+    d = metrics.module_metrics(metrics.file_metrics(facts.parts(spark, sf)))
+    return d.withColumn("hotspots", F.array_join("hotspots", ","))
 
 
 ROI = f"WITH {PARTS}, m AS (SELECT module, CAST(sum(debt) AS BIGINT) AS debt FROM pd GROUP BY 1 HAVING sum(debt) > 0), h AS (SELECT *, floor(debt * 0.5::DOUBLE * 10 + 0.5::DOUBLE) / 10.0::DOUBLE AS hours FROM m) SELECT *, floor(hours / 8 * 10 + 0.5::DOUBLE) / 10.0::DOUBLE AS days, CAST(floor(hours * {{rate}}::DOUBLE + 0.5::DOUBLE) AS BIGINT) AS cost FROM h"
@@ -311,26 +322,35 @@ def roi_rescale(spark, sf):
 
 @query("""WITH s AS (SELECT (SELECT count(*) FROM part WHERE p_size > 45)::DOUBLE AS debt, (SELECT count(*) FROM events WHERE event_type = 'error')::DOUBLE AS risks, (SELECT count(*) FROM orders WHERE o_orderstatus = 'P')::DOUBLE AS violations, (SELECT count(*) FROM customer WHERE c_acctbal < 0)::DOUBLE AS dead, (SELECT count(*) FROM part WHERE p_size > 40)::DOUBLE AS coupled, (SELECT count(*) FROM lineitem WHERE l_returnflag = 'N')::DOUBLE AS unresolved, (SELECT count(*) FROM lineitem)::DOUBLE AS edges, (SELECT count(*) FROM lineitem)::DOUBLE AS lines, (SELECT count(*) FROM orders)::DOUBLE AS files),
 p AS (SELECT floor(least(debt / (lines / 1000) / 2, 25) * 10 + 0.5::DOUBLE) / 10.0::DOUBLE AS p_debt, floor(least(2 * risks / (lines / 1000), 25) * 10 + 0.5::DOUBLE) / 10.0::DOUBLE AS p_risks, floor(least(200 * violations / files, 15) * 10 + 0.5::DOUBLE) / 10.0::DOUBLE AS p_violations, floor(least(100 * dead / files, 10) * 10 + 0.5::DOUBLE) / 10.0::DOUBLE AS p_dead, floor(least(100 * coupled / files, 15) * 10 + 0.5::DOUBLE) / 10.0::DOUBLE AS p_coupling, floor(least(100 * unresolved / edges / 10, 10) * 10 + 0.5::DOUBLE) / 10.0::DOUBLE AS p_resolution FROM s),
-q AS (SELECT *, greatest(0.0::DOUBLE, floor((100 - (p_debt + p_risks + p_violations + p_dead + p_coupling + p_resolution)) * 10 + 0.5::DOUBLE) / 10.0::DOUBLE) AS score FROM p) SELECT *, CASE WHEN score >= 90 THEN 'A' WHEN score >= 75 THEN 'B' WHEN score >= 60 THEN 'C' WHEN score >= 40 THEN 'D' ELSE 'F' END AS grade FROM q""")
+q AS (SELECT *, greatest(0.0::DOUBLE, floor((100 - (p_debt + p_risks + p_violations + p_dead + p_coupling + p_resolution)) * 10 + 0.5::DOUBLE) / 10.0::DOUBLE) AS score FROM p) SELECT *, CASE WHEN score >= 90 THEN 'A' WHEN score >= 75 THEN 'B' WHEN score >= 60 THEN 'C' WHEN score >= 40 THEN 'D' ELSE 'E' END AS grade FROM q""")
 def health_score(spark, sf):
-    def one(name: str, where: str, alias: str) -> DataFrame:
-        return table(spark, sf, name).where(where).agg(F.count("*").cast("double").alias(alias))
+    def counts(name: str, **where: str) -> DataFrame:
+        return table(spark, sf, name).agg(*[F.count_if(F.expr(w)).cast("double").alias(alias) for alias, w in where.items()])
 
-    s = one("part", "p_size > 45", "debt")
-    for name, where, alias in [("events", "event_type = 'error'", "risks"), ("orders", "o_orderstatus = 'P'", "violations"), ("customer", "c_acctbal < 0", "dead"), ("part", "p_size > 40", "coupled"), ("lineitem", "l_returnflag = 'N'", "unresolved"), ("lineitem", "true", "edges"), ("lineitem", "true", "lines"), ("orders", "true", "files")]:
-        s = s.crossJoin(one(name, where, alias))
+    s = counts("part", debt="p_size > 45", coupled="p_size > 40")
+    for d in (counts("events", risks="event_type = 'error'"), counts("orders", violations="o_orderstatus = 'P'", files="true"), counts("customer", dead="c_acctbal < 0"), counts("lineitem", unresolved="l_returnflag = 'N'", edges="true", lines="true")):
+        s = s.crossJoin(d)  # one row each
     return metrics.health(s)
 
 
 # -- Lines and extractors --------------------------------------------------------------
 
-SECRETS = [("secret", "critical", "Secret in text", ["(?i)(token|secret|password|api_key)\\s*[:=]\\s*[\"'][^\"']{3,}[\"']"], []), ("mail", "medium", "Mail address", ["[0-9A-Za-z._-]+@[0-9A-Za-z.-]+\\.[a-z]+"], [])]
 
 
-@query(f"""WITH {LINES}, h AS (SELECT 'secret' AS rule, 'critical' AS level, 'Secret in text' AS title, file, line_no FROM ln WHERE regexp_matches(text, '(?i)(token|secret|password|api_key)\\s*[:=]\\s*["''][^"'']{{3,}}["'']') UNION ALL SELECT 'mail', 'medium', 'Mail address', file, line_no FROM ln WHERE regexp_matches(text, '[0-9A-Za-z._-]+@[0-9A-Za-z.-]+\\.[a-z]+'))
-SELECT rule, level, title, file, CAST(min(line_no) AS INTEGER) AS line_no FROM h GROUP BY 1, 2, 3, 4""")
+def _rule_sql(rule: str, all_of: list[str], none_of: list[str]) -> str:
+    quoted = lambda p: p.replace("'", "''")
+    hit = " AND ".join(f"regexp_matches(text, '{quoted(p)}')" for p in all_of)
+    if rule == "weak-crypto":  # no comment mark before the first of two words, or before the last character
+        return hit + r" AND NOT contains(CASE WHEN regexp_matches(text, '\b(MD5|SHA1)') THEN regexp_extract(text, '^(.*?)\b(?:MD5|SHA1)', 1) ELSE left(text, length(text) - 1) END, '//')"
+    return hit + "".join(f" AND NOT regexp_matches(text, '{quoted(p)}')" for p in none_of)
+
+
+HITS = " UNION ALL ".join(f"SELECT '{i}' AS rule, '{level}' AS level, '{title}' AS title, file, line_no FROM ln WHERE {_rule_sql(i, a, n)}" for i, level, title, a, n in extract.RISKS)
+
+
+@query(f"WITH {LINES}, h AS ({HITS}) SELECT rule, level, title, file, CAST(min(line_no) AS INTEGER) AS line_no FROM h GROUP BY 1, 2, 3, 4")
 def risk_rules_docs(spark, sf):
-    return extract.rule_hits(lines.file_lines(facts.doc_files(spark, sf)), SECRETS)
+    return extract.rule_hits(lines.file_lines(facts.doc_files(spark, sf)))
 
 
 @query(f"WITH {LINES} SELECT file, CAST(line_no AS INTEGER) AS line_no, CAST(length(string_agg(text, ' ') OVER (PARTITION BY file ORDER BY line_no ROWS BETWEEN 2 PRECEDING AND 4 FOLLOWING)) AS INTEGER) AS n FROM ln")
@@ -367,10 +387,10 @@ def url_extract(spark, sf):
     return p.select("file", F.explode(F.regexp_extract_all("text", F.lit('href="([^"]*)"'), 1)).alias("href")).groupBy("file", "href").agg(F.count("*").alias("n"))
 
 
-@query("""WITH c AS (SELECT 'page/' || page_id AS file, url, string_split(trim(regexp_replace(regexp_replace(lower(url), '[?#].*$', ''), '^https?://[^/]+', ''), '/'), '/') AS s FROM pages)
+@query("""WITH c AS (SELECT 'page/' || page_id AS file, regexp_replace(url, '^https?://[^/]+', '') AS url, string_split(trim(regexp_replace(regexp_replace(lower(url), '[?#].*$', ''), '^https?://[^/]+', ''), '/'), '/') AS s FROM pages)
 SELECT file, url, '/' || s[1] || '/:id' AS route FROM c WHERE len(s) = 2 AND s[1] IN ('en', 'fr', 'de', 'es')""")
 def url_match(spark, sf):
-    calls = facts.page_files(spark, sf).select("file", F.lit(1).alias("line_no"), F.lit("GET").alias("method"), "url")
+    calls = facts.page_files(spark, sf).select("file", F.lit(1).alias("line_no"), F.lit("GET").alias("method"), F.regexp_replace("url", "^https?://[^/]+", "").alias("url"))
     routes = spark.createDataFrame([(f"/{x}/:id", "routes.ts") for x in ("en", "fr", "de", "es")], "route string, file string")
     return extract.match_calls(calls, routes).select("file", "url", "route")
 
@@ -390,39 +410,6 @@ def name_fallback_match(spark, sf):
     return rest.join(n, "source").select(F.format_string("page/%d", "page_id").alias("file"), "n")
 
 
-# The next four read small source files: the driver's tables hold no code.
-SOURCES = [
-    ("db/s.sql", "CREATE TABLE app.orders (\n id INT PRIMARY KEY,\n total NUMERIC(10, 2) NOT NULL,\n who INT,\n FOREIGN KEY (who) REFERENCES people (id)\n);"),
-    ("s/kitA.osw", '{"a": "Other"}'), ("x/KitAController.tsx", "export const noop = (): number => 42;"), ("x/Other.ts", "function pick(a) { if (a && b) { return a ? 1 : 2; } }"), ("y/Other.ts", ""),
-    ("Pay.java", "package a.pay;\ninterface Pay {}"), ("S.java", "package a.x;\nimport a.pay.Pay;\nclass S implements Pay {}"), ("W.java", "package w;\nimport a.pay.*;\nclass W {}"), ("Z.java", "package z;\nclass Z {}"),
-]
-
-
-def _sources(spark):
-    return spark.createDataFrame(SOURCES, "file string, text string")
-
-
-@query("SELECT * FROM (VALUES ('orders', 'id', 'INT', false, true, NULL), ('orders', 'total', 'NUMERIC(10, 2)', false, false, NULL), ('orders', 'who', 'INT', true, false, 'people')) AS t(table_name, column_name, type, nullable, primary_key, ref_table)")
-def schema_tables(spark, sf):
-    return structure.db_tables(_sources(spark)).select("table_name", "column_name", "type", "nullable", "primary_key", "ref_table")
-
-
-@query("SELECT * FROM (VALUES ('x/KitAController.tsx', 'noop', 1, 1, 0, 0), ('x/Other.ts', 'pick', 1, 4, 4, 2)) AS t(file, name, line_no, cyclomatic, cognitive, max_nesting)")
-def function_metrics(spark, sf):
-    return metrics_scan.function_metrics(_sources(spark))
-
-
-@query("SELECT * FROM (VALUES ('s/kitA.osw', 'x/KitAController.tsx', 'resolved'), ('s/kitA.osw', 'x/Other.ts', 'inferred'), ('s/kitA.osw', 'y/Other.ts', 'inferred')) AS t(from_id, to_id, confidence)")
-def screen_links(spark, sf):
-    return structure.screen_links(_sources(spark))
-
-
-@query("SELECT * FROM (VALUES ('Pay.java', 'Pay', 'a.pay.Pay', 2), ('S.java', 'Pay', 'a.pay.Pay', 1), ('W.java', 'Pay', 'a.pay.Pay', 3), ('Z.java', 'Pay', 'a.pay.Pay', 4)) AS t(file, simple, full_name, tier)")
-def type_resolution(spark, sf):
-    d = _sources(spark)
-    return structure.resolve_types(d.select("file", F.lit("Pay").alias("simple")), structure.java_types(d), d)
-
-
 # -- Search -------------------------------------------------------------------------------
 
 
@@ -431,11 +418,13 @@ def postings(spark, sf):
     return search.terms(facts.doc_files(spark, sf)).groupBy("term").agg(F.count("*").alias("df"))
 
 
-@query(f"""WITH {TERMS}, sz AS (SELECT file, count(*) AS dl FROM po GROUP BY 1), w AS (SELECT count(*) AS docs, avg(dl) AS av FROM sz), q AS (SELECT unnest(['thre', 'ing', 'ero']) AS prefix), h AS (SELECT file, prefix, count(*) AS tf FROM po JOIN q ON starts_with(term, prefix) GROUP BY 1, 2), d AS (SELECT prefix, count(*) AS df FROM h GROUP BY 1),
-s AS (SELECT h.file, sum(ln(1 + (docs - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (1 - 0.75::DOUBLE + 0.75::DOUBLE * dl / av))) AS x FROM h JOIN d USING (prefix) JOIN sz USING (file), w GROUP BY 1)
-SELECT file, floor(x * 1000 + 0.5::DOUBLE) / 1000.0::DOUBLE AS score FROM s ORDER BY score DESC, file LIMIT 20""")
+def _terms(spark, sf):
+    return facts.doc_files(spark, sf).select("file", search.term_array(F.col("text")).alias("terms"))
+
+
+@query(f"WITH {TERMS}, {BM25} SELECT * FROM bm")
 def bm25_prefix(spark, sf):
-    return search.bm25(search.terms(facts.doc_files(spark, sf)), ["thre", "ing", "ero"])
+    return search.bm25(_terms(spark, sf), ["thre", "ing", "ero"])
 
 
 @query(f"WITH {TERMS} SELECT file, CAST(sum((CASE WHEN term = 'than' THEN 2 WHEN starts_with(term, 'than') THEN 1 ELSE 0 END) + (CASE WHEN term = 'her' THEN 2 WHEN starts_with(term, 'her') THEN 1 ELSE 0 END)) AS BIGINT) AS score FROM po GROUP BY file HAVING score > 0 ORDER BY score DESC, file LIMIT 20")
@@ -443,12 +432,13 @@ def inverted_score(spark, sf):
     return search.inverted_score(search.terms(facts.doc_files(spark, sf)), ["than", "her"])
 
 
-VEC = "v AS (SELECT 'v' || vec_id AS file, list_transform(embedding, lambda e: e::DOUBLE) AS e FROM embeddings), s AS (SELECT v.file, floor(list_cosine_similarity(v.e, q.e) * 1000 + 0.5::DOUBLE) / 1000.0::DOUBLE AS score FROM v, v q WHERE q.file = 'v0')"
+VEC = "v AS (SELECT 'doc/' || vec_id AS file, list_transform(embedding, lambda e: e::DOUBLE) AS e FROM embeddings), s AS (SELECT v.file, floor(list_cosine_similarity(v.e, q.e) * 1000 + 0.5::DOUBLE) / 1000.0::DOUBLE AS score FROM v, v q WHERE q.file = 'doc/0')"
 
 
 def _vectors(spark, sf, n):
-    v = table(spark, sf, "embeddings").select(F.format_string("v%d", "vec_id").alias("file"), F.col("embedding").alias("vec"))
-    return search.vector_top(v, v.where("file = 'v0'").first()["vec"], n)
+    t = table(spark, sf, "embeddings")
+    v = t.select(F.format_string("doc/%d", "vec_id").alias("file"), F.col("embedding").alias("vec"))
+    return search.vector_top(v, t.where("vec_id = 0").first()["embedding"], n)
 
 
 @query(f"WITH {VEC} SELECT * FROM s ORDER BY score DESC, file LIMIT 20")
@@ -456,11 +446,11 @@ def cosine_topk(spark, sf):
     return _vectors(spark, sf, 20)
 
 
-@query(f"""WITH {VEC}, a AS (SELECT file, row_number() OVER (ORDER BY score DESC, file) AS r FROM s ORDER BY score DESC, file LIMIT 20), b AS (SELECT 'v' || vec_id AS file, row_number() OVER (ORDER BY vec_id % 97 DESC, 'v' || vec_id) AS r FROM embeddings ORDER BY vec_id % 97 DESC, 'v' || vec_id LIMIT 20)
-SELECT coalesce(a.file, b.file) AS file, CASE WHEN b.r IS NULL THEN 'vec' WHEN a.r IS NULL THEN 'fts' ELSE 'both' END AS origin, floor((coalesce(1.0::DOUBLE / (60 + b.r), 0) + coalesce(1.0::DOUBLE / (60 + a.r), 0)) * 10000 + 0.5::DOUBLE) / 10000.0::DOUBLE AS score FROM a FULL JOIN b ON a.file = b.file ORDER BY score DESC, file LIMIT 10""")
+@query(f"""WITH {VEC}, {TERMS}, {BM25}, b AS (SELECT file, row_number() OVER (ORDER BY score DESC, file) AS r FROM (SELECT * FROM s ORDER BY score DESC, file LIMIT 20)), a AS (SELECT file, row_number() OVER (ORDER BY score DESC, file) AS r FROM bm)
+SELECT coalesce(a.file, b.file) AS file, CASE WHEN a.r IS NULL THEN 'vec' WHEN b.r IS NULL THEN 'fts' ELSE 'both' END AS origin, floor((coalesce(1.0::DOUBLE / (60 + a.r), 0) + coalesce(1.0::DOUBLE / (60 + b.r), 0)) * 10000 + 0.5::DOUBLE) / 10000.0::DOUBLE AS score FROM a FULL JOIN b ON a.file = b.file ORDER BY score DESC, file LIMIT 10""")
 def rrf_fusion(spark, sf):
-    other = table(spark, sf, "embeddings").select(F.format_string("v%d", "vec_id").alias("file"), (F.col("vec_id") % 97).alias("score")).orderBy(F.desc("score"), "file").limit(20)
-    return search.fuse(other, _vectors(spark, sf, 20))
+    """Text search of the documents and vector search of the same ids."""
+    return search.fuse(search.bm25(_terms(spark, sf), ["thre", "ing", "ero"], 20), _vectors(spark, sf, 20))
 
 
 @query("SELECT n_name AS name, CASE WHEN lower(n_name) = 'united' THEN 100.0::DOUBLE WHEN starts_with(lower(n_name), 'united') THEN 80.0::DOUBLE WHEN contains(lower(n_name), 'united') THEN 60.0::DOUBLE ELSE 40.0::DOUBLE * (CASE WHEN contains(lower(n_name), 'united') THEN 1 ELSE 0 END) END AS score FROM nation")
@@ -518,10 +508,16 @@ def arch_rules(spark, sf):
     return govern.arch_rules(facts.typed_edges(spark, sf), [("no-order-part", "error", "order:*", "part:1*"), ("no-supplier", "warn", "**", "supplier:*")])
 
 
-@query("WITH r AS (SELECT conv_id * 1000 + turn AS id, CASE role WHEN 'user' THEN 'needs-triage' WHEN 'assistant' THEN 'ready-for-agent' ELSE 'needs-info' END AS state FROM conversations) SELECT id, state, 'needs-info' AS wanted, state = 'needs-triage' AS allowed FROM r")
+STATES = "needs-triage needs-info ready-for-agent ready-for-human wontfix done".split()
+
+
+@query(f"""WITH s AS (SELECT unnest(range(0, 6)) AS k, unnest({STATES}) AS name), pairs AS (SELECT a.name AS state, b.name AS wanted FROM s a, s b),
+r AS (SELECT l.l_orderkey * 100 + l.l_linenumber AS id, a.name AS state, b.name AS wanted FROM lineitem l JOIN s a ON a.k = l.l_orderkey % 6 JOIN s b ON b.k = l.l_partkey % 6)
+SELECT id, state, wanted, coalesce((state = 'needs-triage' AND wanted IN ('needs-info', 'ready-for-agent', 'ready-for-human', 'wontfix')) OR (state IN ('needs-info', 'wontfix') AND wanted = 'needs-triage') OR (state IN ('ready-for-agent', 'ready-for-human') AND wanted IN ('needs-triage', 'done')), false) AS allowed FROM r""")
 def triage_transitions(spark, sf):
-    state = F.when(F.col("role") == "user", "needs-triage").when(F.col("role") == "assistant", "ready-for-agent").otherwise("needs-info")
-    return govern.triage_moves(table(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), state.alias("state"), F.lit("needs-info").alias("wanted")))
+    """Every pair of states."""
+    state = lambda c: F.get(F.array(*map(F.lit, STATES)), (F.col(c) % 6).cast("int"))
+    return govern.triage_moves(table(spark, sf, "lineitem").select((F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("id"), state("l_orderkey").alias("state"), state("l_partkey").alias("wanted")))
 
 
 @query("SELECT doc_id AS id, 'done' AS state FROM labels UNION ALL SELECT DISTINCT doc_id, 'needs-triage' FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
@@ -529,7 +525,7 @@ def triage_sync(spark, sf):
     return govern.triage_sync(table(spark, sf, "labels").select(F.col("doc_id").alias("id"), F.lit("done").alias("state")), table(spark, sf, "documents").select(F.col("doc_id").alias("id")))
 
 
-@query(f"WITH {MEMORY} SELECT id FROM (SELECT *, row_number() OVER (PARTITION BY entity, kind, substr(summary, 1, 80) ORDER BY ts DESC, id DESC) AS r FROM mem) WHERE r = 1")
+@query(f"WITH {MEMORY} SELECT id FROM (SELECT *, row_number() OVER (PARTITION BY entity, kind, substr(lower(summary), 1, 80) ORDER BY ts DESC, id DESC) AS r FROM mem) WHERE r = 1")
 def memory_dedup(spark, sf):
     return govern.memory_latest(facts.memory(spark, sf)).select("id")
 
@@ -544,10 +540,13 @@ def memory_archive_week(spark, sf):
     return govern.archive_weeks(facts.memory(spark, sf), 1000)
 
 
-@query("""WITH e AS (SELECT event_id AS id, ts, 'u' || user_id AS entity, event_type AS trigger_, ts::DATE AS day, user_id % 3 AS f, row_number() OVER (PARTITION BY user_id, event_type, ts::DATE ORDER BY ts, event_id) AS turn FROM events),
-u AS (SELECT *, coalesce(sum(CASE WHEN turn = 1 AND f < 2 THEN 1 ELSE 0 END) OVER (PARTITION BY day ORDER BY ts, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM e) SELECT id, day, CASE WHEN turn > 1 THEN 'duplicate' WHEN used >= 5 THEN 'capped' WHEN f >= 2 THEN 'blocked' ELSE 'dispatched' END AS decision FROM u""")
+@query("""WITH RECURSIVE e AS (SELECT event_id AS id, ts::DATE AS day, 'u' || user_id || ':' || event_type AS key, (user_id + event_id) % 3 AS f, row_number() OVER (PARTITION BY ts::DATE ORDER BY ts, event_id) AS turn FROM events),
+w AS (SELECT id, day, turn, CASE WHEN f >= 2 THEN 'blocked' ELSE 'dispatched' END AS decision, CASE WHEN f >= 2 THEN []::VARCHAR[] ELSE [key] END AS sent FROM e WHERE turn = 1
+ UNION ALL SELECT e.id, e.day, e.turn, d.decision, CASE d.decision WHEN 'dispatched' THEN list_append(w.sent, e.key) ELSE w.sent END FROM w JOIN e ON e.day = w.day AND e.turn = w.turn + 1,
+ LATERAL (SELECT CASE WHEN list_contains(w.sent, e.key) THEN 'duplicate' WHEN len(w.sent) >= 5 THEN 'capped' WHEN e.f >= 2 THEN 'blocked' ELSE 'dispatched' END AS decision) d)
+SELECT id, day, decision FROM w""")
 def dispatch_decision(spark, sf):
-    e = table(spark, sf, "events").select(F.col("event_id").alias("id"), "ts", F.format_string("u%d", "user_id").alias("entity"), F.col("event_type").alias("trigger"), (F.col("user_id") % 3).alias("failed_before"))
+    e = table(spark, sf, "events").select(F.col("event_id").alias("id"), "ts", F.format_string("u%d", "user_id").alias("entity"), F.col("event_type").alias("trigger"), ((F.col("user_id") + F.col("event_id")) % 3).alias("failed_before"))
     return govern.dispatch(e)
 
 
@@ -556,9 +555,11 @@ def debounce_sessions(spark, sf):
     return live.debounce(table(spark, sf, "events").select("ts"), "15 minutes")
 
 
-@query("SELECT event_id FROM events WHERE (event_type = 'error' AND value >= 10)")
+@query("SELECT event_id FROM events WHERE (event_type = 'error' AND value >= 10) OR (event_type IN ('purchase', 'click') AND user_id % 2 = 0) OR event_type = 'view'")
 def alert_filter(spark, sf):
-    e = table(spark, sf, "events").select("event_id", F.when(F.col("event_type") == "error", "health-down").otherwise("other").alias("type"), F.lit("warn").alias("severity"), F.col("value").alias("magnitude"))
+    kinds = {"error": "health-down", "purchase": "risk-new", "click": "rule-violation", "view": "ci-failure"}
+    kind = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in kinds.items() for x in kv]), F.col("event_type")), F.lit("other"))
+    e = table(spark, sf, "events").select("event_id", kind.alias("type"), F.when(F.col("user_id") % 2 == 0, "critical").otherwise("warn").alias("severity"), F.col("value").alias("magnitude"))
     return live.alerts(e).select("event_id")
 
 
@@ -589,8 +590,12 @@ def intersect_users(spark, sf):
 
 
 def queries() -> dict[str, Query]:
-    return dict(QUERIES)
+    from . import code_queries  # registers itself
+
+    return dict(code_queries.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
+    from . import code_queries
+
+    return dict(code_queries.SQL)

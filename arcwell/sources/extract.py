@@ -8,27 +8,53 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalars import domain_keyword, path_segments, route_segments
 from .lines import context, first_by, last_marker, next_meaningful, resettable
 
 # Risk rules (fixed values): id, level, title, all of, none of.
 RISKS = [
     ("todo", "low", "Pending work", ["(?i)\\b(todo|fixme|hack|xxx)\\b"], []),
-    ("sql-injection", "critical", "SQL by concatenation", ["(?i)[\"'`]\\s*(select|insert|update|delete|drop|alter)\\s", "\\+"], []),
-    ("command-injection", "critical", "Process launch with variable", ["(?i)(exec|spawn|Runtime\\.getRuntime\\(\\)\\.exec|ProcessBuilder)\\s*\\(", "(\\+|\\$\\{)"], []),
-    ("eval", "critical", "Dynamic evaluation", ["\\beval\\(\\s*[^\"'`)\\s]"], ["^\\s*(//|\\*|#)"]),
-    ("empty-catch", "medium", "Empty catch", ["catch\\s*(\\([^)]*\\))?\\s*\\{\\s*(\\}|$)"], []),
-    ("weak-crypto", "high", "Weak cryptography", ["\\b(MD5|SHA1|SHA-1|DES|RC4|RC2)\\b"], ["//.*\\b(MD5|SHA1|SHA-1|DES|RC4|RC2)\\b"]),
-    ("insecure-random", "high", "Insecure random", ["(Math\\.random\\(|new Random\\()", "(?i)(token|password|secret|key|session|nonce)"], []),
-    ("cors", "high", "Open CORS", ["(Access-Control-Allow-Origin.*\\*|@CrossOrigin\\s*\\(?\\s*(origins\\s*=\\s*)?\"\\*\"|origin:\\s*['\"]\\*['\"])"], []),
-    ("tls-off", "critical", "TLS verification off", ["(rejectUnauthorized:\\s*false|NODE_TLS_REJECT_UNAUTHORIZED|verify\\s*=\\s*False|InsecureSkipVerify:\\s*true)"], []),
-    ("sensitive-log", "high", "Sensitive value logged", ["(?i)(console\\.log|logger?\\.(info|debug|warn|error)|System\\.out\\.print|print)\\s*\\(", "(?i)(password|senha|token|secret|cpf|credit)"], []),
-    ("hard-coded", "critical", "Hard-coded credential", ["(?i)(password|passwd|pwd|secret|api_?key)\\s*[:=]\\s*[\"'][^\"']{3,}[\"']"], []),
+    ("sql-injection", "critical", "SQL by concatenation", ["(?i)['\"`]\\s*(select|insert|update|delete|drop|alter)\\b", "\\+"], []),
+    ("command-injection", "critical", "Process launch with variable", ["Runtime\\.getRuntime\\(\\)\\.exec\\s*\\(|new\\s+ProcessBuilder\\s*\\(", "\\+|\\$\\{"], []),
+    ("eval", "critical", "Dynamic evaluation", ["\\beval\\s*\\([^'\")\\s]"], ["^\\s*//"]),
+    ("empty-catch", "medium", "Empty catch", ["catch\\s*\\([^)]*\\)\\s*\\{\\s*\\}|catch\\s*\\([^)]*\\)\\s*$"], []),
+    ("weak-crypto", "high", "Weak cryptography", ["\\b(MD5|SHA1|SHA-1|DES|RC4|RC2)\\b"], ["^(?:(?!\\b(?:MD5|SHA1)).)*//."]),
+    ("insecure-random", "high", "Insecure random", ["Math\\.random\\s*\\(\\)", "(?i)token|password|secret|key|nonce|salt|seed|rand"], []),
+    ("cors", "high", "Open CORS", ["cors\\s*\\(\\s*\\{[^}]*origin\\s*:\\s*['\"`]\\*['\"`]|allowedOrigins.*\\*|setHeader.*Access-Control-Allow-Origin.*\\*"], []),
+    ("tls-off", "critical", "TLS verification off", ["(?i:ssl\\s*:\\s*false)|verify\\s*=\\s*False|rejectUnauthorized\\s*:\\s*false|(?i:DISABLE_SSL)"], []),
+    ("sensitive-log", "high", "Sensitive value logged", ["(?:console\\.log|System\\.out\\.print|logger\\.\\w+)\\s*\\(", "(?i)password|senha|token|secret|apikey|api_key|cpf|cnpj|credit.card|card.number"], []),
+    ("hard-coded", "critical", "Hard-coded credential", ["(?i)password\\s*=\\s*['\"][^'\"]{3,}|secret\\s*=\\s*['\"][^'\"]{3,}"], []),
 ]
 
 # Endpoint verbs by annotation (fixed values).
 SPRING = {"GetMapping": "GET", "PostMapping": "POST", "PutMapping": "PUT", "DeleteMapping": "DELETE", "PatchMapping": "PATCH"}
-NAME_PATTERNS = [("Controller", "controller"), ("Service", "service"), ("ServiceImpl", "service"), ("Repository", "repository"), ("Dao", "repository"), ("Mapper", "mapper"), ("Factory", "factory"), ("Builder", "builder"), ("Adapter", "adapter"), ("Listener", "listener"), ("Config", "config"), ("Entity", "entity"), ("Dto", "dto"), ("Test", "test")]
-SQL_NOT_TABLES = ("DUAL", "SELECT", "WHERE", "SET", "VALUES", "TABLE", "ONLY", "LATERAL")
+# Roles by file name, with their confidence, and by content (fixed values).
+CODE = "(ts|js|java|cs|py)$"
+NAME_PATTERNS = [
+    ("[Rr]epository\\." + CODE, "Repository", "resolved"), ("[Dd]ao\\." + CODE, "Repository", "resolved"), ("[Ss]ervice\\." + CODE, "Service", "resolved"), ("[Cc]ontroller\\." + CODE, "Controller", "resolved"),
+    ("[Rr]outer?\\.(ts|js)$", "Controller", "resolved"), ("[Hh]andler\\." + CODE, "Controller", "inferred"), ("[Ff]actory\\." + CODE, "Factory", "resolved"), ("[Ff]acade\\." + CODE, "Facade", "resolved"),
+    ("[Dd][Tt][Oo]\\." + CODE, "DTO", "resolved"), ("[Rr]equest\\.(ts|js|java|cs)$", "DTO", "inferred"), ("[Rr]esponse\\.(ts|js|java|cs)$", "DTO", "inferred"), ("[Ee]ntity\\." + CODE, "Entity", "resolved"),
+    ("[Mm]odel\\." + CODE, "Entity", "inferred"), ("[Mm]apper\\." + CODE, "Mapper", "resolved"), ("[Mm]iddleware\\.(ts|js|py)$", "Middleware", "resolved"), ("[Ii]nterceptor\\.(ts|java|cs)$", "Interceptor", "resolved"),
+    ("[Gg]uard\\.(ts|java|cs)$", "Guard", "resolved"), ("[Pp]rovider\\.(ts|js)$", "Provider", "resolved"), ("[Uu]se[Cc]ase\\." + CODE, "UseCase", "resolved"),
+]
+CONTENT_PATTERNS = [
+    ("(?i)@Repository|@JpaRepository|extends.*Repository", "Repository"), ("(?i)@Service|@Injectable.*service", "Service"), ("(?i)@Controller|@RestController|@RequestMapping", "Controller"),
+    ("(?i)@Component\\b|@Injectable\\b", "Service"), ("(?i)@Mapper\\b|implements.*Mapper", "Mapper"), ("(?i)@Middleware|implements.*Middleware", "Middleware"), ("(?i)@UseInterceptors|@Interceptor", "Interceptor"),
+    ("(?i)@UseGuards|@Guard\\b|implements.*Guard", "Guard"), ("(?i)@EventListener|@Subscribe|implements.*Observer", "Observer"), ("(?i)implements.*Strategy\\b|Strategy\\s*\\{", "Strategy"),
+    ("(?i)implements.*UseCase|class.*UseCase\\b", "UseCase"), ("(?i)@Entity\\b|@Table\\b|@ORM\\b", "Entity"),
+]
+PATTERN_EXTENSIONS = ("ts", "tsx", "js", "jsx", "java", "py", "cs", "kt")
+# Words after FROM, JOIN, INTO and UPDATE that are no tables (fixed values).
+SQL_NOT_TABLES = (
+    "DUAL WHERE SET VALUES SELECT INTO FROM JOIN ON AND OR NOT NULL AS BY GROUP ORDER HAVING UNION ALL EXCEPT INTERSECT CONNECT WITH USING CROSS INNER OUTER LEFT RIGHT FULL NATURAL "
+    "LATERAL PARTITION PIVOT UNPIVOT SAMPLE SUBQUERY XMLTABLE TABLE ONLY ROWS FETCH NEXT FIRST LAST LIMIT OFFSET"
+).split()
+# File words that name no domain (fixed values).
+GENERIC = (
+    "list get set add create update delete remove fetch load save find search query request response result data item items detail details info base common default main index "
+    "home page view form modal table row col cell card panel user users admin auth login logout register reset config setting settings util utils helper helpers type types model "
+    "models store service controller resource api client repo repository handler component module hook mixin guard pipe"
+).split()
 
 
 def rule_hits(lines: DataFrame, rules=RISKS) -> DataFrame:
@@ -162,13 +188,18 @@ def orm_entities(lines: DataFrame) -> DataFrame:
 
 
 def transactions(lines: DataFrame) -> DataFrame:
-    """(class, method, propagation, read_only, file, line_no) of @Transactional."""
+    """(class, method, propagation, read_only, rollback_for, scope, file, line_no) of
+    @Transactional; its arguments may take six lines."""
     t = F.col("text")
     d = lines.withColumn("class", last_marker(F.when(t.rlike("\\bclass\\s+\\w+"), F.regexp_extract(t, "\\bclass\\s+(\\w+)", 1)))).withColumn("near", context(0, 5))
-    d = d.withColumn("next", next_meaningful(t.rlike("(\\w+\\s*\\(|\\bclass\\b)") & ~t.rlike("^\\s*@"), 7))
-    p = F.regexp_extract("near", "propagation\\s*=\\s*(?:Propagation\\.)?(\\w+)", 1)
-    method = F.coalesce(F.nullif(F.regexp_extract("next", "(\\w+)\\s*\\(", 1), F.lit("")), F.regexp_extract("next", "\\bclass\\s+(\\w+)", 1))
-    return d.where(t.rlike("@Transactional\\b")).select("class", method.alias("method"), F.when(p == "", "REQUIRED").otherwise(p).alias("propagation"), F.col("text").rlike("readOnly\\s*=\\s*true").alias("read_only"), "file", "line_no")
+    d = d.withColumn("next", F.trim(next_meaningful((F.trim(t) != "") & ~t.rlike("^\\s*(@|//|\\*)"), 7)))
+    of_class = F.coalesce(F.col("next").rlike("class\\s+\\w+"), F.lit(False))
+    method = F.nullif(F.regexp_extract("next", "^(?:public|protected|private)?\\s*(?:static\\s+)?[\\w<>,\\[\\] ]+\\s+(\\w+)\\s*\\(", 1), F.lit(""))
+    p = F.upper(F.regexp_extract("near", "(?i)propagation\\s*=\\s*(?:Propagation\\.)?(\\w+)", 1))
+    return d.where(t.rlike("(?i)@Transactional\\b")).select(
+        "class", F.when(~of_class, method).alias("method"), F.when(p == "", "REQUIRED").otherwise(p).alias("propagation"), F.col("near").rlike("(?i)readOnly\\s*=\\s*true").alias("read_only"),
+        F.nullif(F.regexp_extract("near", "(?i)rollbackFor\\s*=\\s*(\\w[\\w.]+)", 1), F.lit("")).alias("rollback_for"), F.when(of_class, "class").otherwise("method").alias("scope"), "file", "line_no",
+    )
 
 
 def jobs(lines: DataFrame) -> DataFrame:
@@ -200,10 +231,14 @@ def permissions(lines: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def patterns(files: DataFrame) -> DataFrame:
-    """(file, pattern) by file name, one per pair."""
-    stem = F.regexp_replace(F.element_at(F.split("file", "/"), -1), "\\.[^.]*$", "")
-    found = F.filter(F.array(*[F.when(stem.endswith(s), F.lit(p)) for s, p in NAME_PATTERNS]), lambda x: x.isNotNull())
-    return files.select("file", F.explode(found).alias("pattern")).distinct()
+    """(file, pattern, confidence) by file name and by content, one a file and pattern: the
+    first that fits, names before contents."""
+    name = F.element_at(F.split("file", "/"), -1)
+    found = [F.when(name.rlike(p), F.struct(F.lit(role).alias("pattern"), F.lit(sure).alias("confidence"), F.lit(i).alias("turn"))) for i, (p, role, sure) in enumerate(NAME_PATTERNS)]
+    found += [F.when(F.col("text").rlike(p), F.struct(F.lit(role).alias("pattern"), F.lit("resolved").alias("confidence"), F.lit(100 + i).alias("turn"))) for i, (p, role) in enumerate(CONTENT_PATTERNS)]
+    code = files.where(F.lower(F.regexp_extract("file", "\\.([^./]+)$", 1)).isin(*PATTERN_EXTENSIONS))
+    each = code.select("file", F.explode(F.filter(F.array(*found), lambda x: x.isNotNull())).alias("p")).select("file", "p.*")
+    return each.groupBy("file", "pattern").agg(F.min_by("confidence", "turn").alias("confidence"))
 
 
 def inheritance(lines: DataFrame) -> DataFrame:
@@ -246,20 +281,33 @@ def resolve_imports(found: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def match_calls(calls: DataFrame, found: DataFrame) -> DataFrame:
-    """(url, file, route): each call with the first endpoint whose template fits, equal
-    in length or the call's end, segment by segment; blocked by the last segment."""
-    from ..functions.scalars import url_template
-
-    c = calls.withColumn("cs", F.split(url_template(F.col("url")), "/"))
-    e = found.select(F.col("route").alias("route"), F.col("file").alias("to_file"), F.split(url_template(F.col("route")), "/").alias("es"))
-    # Endpoints are blocked by their last segment; those ending in a parameter, by "*".
-    c = c.withColumn("block", F.explode(F.array_distinct(F.array(F.element_at("cs", -1), F.lit("*")))))
-    ends = e.withColumn("block", F.element_at("es", -1))
-    open_end = c.where(F.element_at("cs", -1) == "*").select("url").limit(1).count() > 0
-    met = c.join(ends, "block").where(F.size("cs") >= F.size("es")) if not open_end else c.where("block = '*'").join(e, F.size("cs") >= F.size("es"))
-    aligned = F.slice("cs", F.size("cs") - F.size("es") + 1, F.size("es"))
-    fits = F.forall(F.zip_with(aligned, "es", lambda a, b: (a == b) | (a == "*") | (b == "*")), lambda x: x) & ((F.size("cs") == F.size("es")) | ((F.element_at("es", -1) != "*") & (F.element_at("cs", -1) != "*")))
-    return met.where(fits).groupBy("file", "line_no", "method", "url").agg(F.min(F.struct("route", "to_file")).alias("m")).select("file", "line_no", "method", "url", "m.route", "m.to_file")
+    """(file, line_no, method, url, route, to_file): each call with the first endpoint, by
+    file and line, whose path fits: segment by segment where both are as long; else the
+    shorter one is the other's end, and its last segment is no parameter.
+
+    Both are blocked by their last segment, an endpoint's parameter by "*"; only calls that
+    end in "*" meet every endpoint.
+    """
+    c = calls.withColumn("cs", path_segments(F.col("url"))).where(F.size("cs") > 0).withColumn("end", F.element_at("cs", -1))
+    c = c.withColumn("block", F.explode(F.array(F.when(F.col("end") == "*", "any").otherwise(F.concat(F.lit("="), "end")), F.lit("*"))))
+    at = F.col("line_no") if "line_no" in found.columns else F.lit(0)
+    e = found.select("route", F.col("file").alias("to_file"), at.alias("at"), route_segments(F.col("route")).alias("es")).where(F.size("es") > 0).withColumn("last", F.element_at("es", -1))
+    e = e.withColumn("block", F.explode(F.array(F.when(F.col("last") == "*", "*").otherwise(F.concat(F.lit("="), "last")), F.lit("any"))))
+    met = c.join(e, "block")
+    n = F.least(F.size("cs"), F.size("es"))
+    tail = F.zip_with(F.slice("cs", F.size("cs") - n + 1, n), F.slice("es", F.size("es") - n + 1, n), lambda a, b: (a == b) | (b == "*") | ((F.size("cs") != F.size("es")) & (a == "*")))
+    shorter = F.when(F.size("cs") < F.size("es"), F.col("end")).otherwise(F.col("last"))
+    fits = F.forall(tail, lambda x: x) & ((F.size("cs") == F.size("es")) | (shorter != "*"))
+    return met.where(fits).groupBy("file", "line_no", "method", "url").agg(F.min(F.struct("to_file", "at", "route")).alias("m")).select("file", "line_no", "method", "url", "m.route", "m.to_file")
+
+
+def match_by_name(files: DataFrame, found: DataFrame) -> DataFrame:
+    """(file, to_file): files with the first endpoint file of the same domain word, one of at
+    least five letters that isn't generic."""
+    word = domain_keyword(F.col("file"))
+    fit = (F.length("word") >= 5) & ~F.col("word").isin(*GENERIC)
+    known = found.select(F.col("file").alias("to_file")).distinct().withColumn("word", domain_keyword(F.col("to_file"))).groupBy("word").agg(F.min("to_file").alias("to_file"))
+    return files.select("file").distinct().withColumn("word", word).where(fit).join(known, "word").select("file", "to_file")
 
 
 def openapi_paths(found: DataFrame) -> DataFrame:
@@ -268,3 +316,35 @@ def openapi_paths(found: DataFrame) -> DataFrame:
     d = found.select(path.alias("path"), "method").groupBy("path").agg(F.array_join(F.array_sort(F.collect_set("method")), ",").alias("methods"))
     return d.withColumn("params", F.array_join(F.regexp_extract_all("path", F.lit("\\{([^}]*)\\}"), 1), ","))
 
+
+def object_facts(lines: DataFrame) -> DataFrame:
+    """(type, name, package, file, line_no, tables_read, tables_written, on_table,
+    synonym_for) of declared database objects. A statement belongs to the last header
+    above it, between a package's header and its first routine to the package."""
+    found = db_objects(lines)
+    t = F.col("text")
+    near = F.regexp_replace(context(0, 6), "(?is)\\b(declare|begin)\\b.*$", "")
+    d = lines.withColumn("near", near).join(found.withColumnRenamed("file", "_f").withColumnRenamed("line_no", "_n"), (F.col("file") == F.col("_f")) & (F.col("line_no") == F.col("_n")), "left")
+    head = F.struct("type", "name", "package", F.col("line_no").alias("at"))
+    d = d.withColumn("own", last_marker(F.when(F.col("name").isNotNull(), head)))
+    mine = d.where("own IS NOT NULL").select(F.to_json(F.struct(F.col("own.at").alias("a"), "file")).alias("key"), F.col("text").alias("sql"))
+    each = sql_access(mine).groupBy("key").agg(F.array_sort(F.collect_set(F.when(F.col("mode") == "read", F.col("table_name")))).alias("tables_read"), F.array_sort(F.collect_set(F.when(F.col("mode") == "write", F.col("table_name")))).alias("tables_written"))
+    heads = d.where("name IS NOT NULL").select(
+        "type", "name", "package", "file", "line_no", F.to_json(F.struct(F.col("line_no").alias("a"), "file")).alias("key"),
+        F.when(F.col("type") == "trigger", F.nullif(table_name(F.regexp_extract("near", "(?is)\\btrigger\\s+\\S+.*?\\bon\\s+([\\w$#.\"]+)", 1)), F.lit(""))).alias("on_table"),
+        F.when(F.col("type") == "synonym", F.nullif(F.upper(F.regexp_replace(F.regexp_extract(t, "(?i)\\bfor\\s+([\\w$#.\"]+)", 1), "\"", "")), F.lit(""))).alias("synonym_for"))
+    none = F.array().cast("array<string>")
+    return heads.join(each, "key", "left").select("type", "name", "package", "file", "line_no", F.coalesce("tables_read", none).alias("tables_read"), F.coalesce("tables_written", none).alias("tables_written"), "on_table", "synonym_for")
+
+
+def routine_calls(lines: DataFrame) -> DataFrame:
+    """(caller, routine, package, dynamic, file, line_no): calls of ``PKG.PROC`` inside declared
+    routines, and dynamic statements."""
+    found = db_objects(lines).select(F.col("file").alias("_f"), F.col("line_no").alias("_n"), F.col("name").alias("_name"))
+    d = lines.join(found, (F.col("file") == F.col("_f")) & (F.col("line_no") == F.col("_n")), "left").withColumn("caller", last_marker(F.col("_name")))
+    call = "\\b([A-Za-z][\\w$#]*)\\.([A-Za-z][\\w$#]*)\\s*[(;]"
+    bare = F.regexp_replace(F.regexp_replace("text", "--.*$", ""), "'[^']*'", "''")
+    each = d.where("caller IS NOT NULL AND _name IS NULL").select("caller", "file", "line_no", F.explode(F.regexp_extract_all(bare, F.lit(call), 0)).alias("s"))
+    calls = each.select("caller", F.upper(F.regexp_extract("s", call, 2)).alias("routine"), F.upper(F.regexp_extract("s", call, 1)).alias("package"), F.lit(False).alias("dynamic"), "file", "line_no")
+    free = d.where(F.col("caller").isNotNull() & F.col("text").rlike("(?i)\\bexecute\\s+immediate\\b")).select("caller", F.lit("?").alias("routine"), F.lit(None).cast("string").alias("package"), F.lit(True).alias("dynamic"), "file", "line_no")
+    return calls.unionByName(free)

@@ -6,15 +6,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Folders that a scan skips, and what it reads (fixed values).
-SKIP = ("node_modules", "dist", "build", "target", "out", "coverage", "vendor", "__pycache__", "bin", "obj")
-EXTENSIONS = ("ts", "tsx", "js", "jsx", "java", "kt", "py", "cs", "go", "rb", "php", "sql", "pks", "pkb", "prc", "fnc", "trg", "html", "css", "scss", "vue", "json", "xml", "yml", "yaml", "md")
+SKIP = ("node_modules", ".git", "dist", "build", "out", "target", "coverage", ".next", ".nuxt", ".svelte-kit", "__pycache__", ".venv", "venv", ".idea", ".vscode", "vendor", "bin", "obj")
+EXTENSIONS = (
+    "ts tsx js jsx mjs cjs java kt scala py rb go rs cs cpp c h php swift dart html htm css scss sass less sql plsql pls pck pks pkb prc fnc trg pkg "
+    "json yaml yml toml xml properties env osw md mdx graphql gql proto"
+).split()
 LARGEST = 512 * 1024
 
 
 def scan_files(spark: SparkSession, root: str, most: int | None = None) -> DataFrame:
     """(file, ext, size_bytes, lines, text) below ``root``; skipped folders, dot folders,
     other extensions and files over 512 KB are left out before contents are decoded."""
-    d = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    # The name's end is tested while files are listed: others are never opened.
+    glob = "*.{" + ",".join([*EXTENSIONS, *map(str.upper, EXTENSIONS)]) + "}"
+    d = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root)
     rel = F.regexp_replace(F.regexp_replace("path", "^[a-z]+:/*", "/"), "^" + root.rstrip("/").replace(".", "\\.") + "/", "")
     d = d.withColumn("file", rel).withColumn("ext", F.lower(F.regexp_extract("file", "\\.([^./]+)$", 1)))
     folders = F.slice(F.split("file", "/"), 1, F.size(F.split("file", "/")) - 1)

@@ -8,13 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Shapes of declarations (fixed values).
 CREATE = "(?is)\\bcreate\\s+(?:or\\s+replace\\s+)?table\\s+(?:if\\s+not\\s+exists\\s+)?([\\w\"`.\\[\\]]+)\\s*\\((.*?)\\)\\s*;"
-PRISMA = "(?ms)^model\\s+(\\w+)\\s*\\{(.*?)^\\}"
-DJANGO = "(?ms)^class\\s+(\\w+)\\s*\\(\\s*(?:models\\.)?Model\\s*\\)\\s*:(.*?)(?=^class\\s|\\z)"
-JPA_FIELD = "(?s)(?:@Id\\b\\s*|@Column[^\\n]*\\n\\s*)+(?:(?:private|protected|public)\\s+)?(?:final\\s+)?\\w+(?:<[^>]+>)?\\s+(\\w+)\\s*[;=]"
-TYPEORM_FIELD = "(?s)(?:@(?:PrimaryGeneratedColumn|PrimaryColumn|Column|JoinColumn)\\([^)]*\\)\\s*)+(\\w+)\\s*[!?]?\\s*:"
-SEQUELIZE = "(?s)(?:sequelize\\.define\\(\\s*['\"`]\\w+['\"`]\\s*,|\\.init\\()\\s*\\{(.*?\\})\\s*\\}"
 TABLE_COLUMNS = ["table_name", "column_name", "type", "nullable", "primary_key", "unique_key", "ref_table", "file", "source"]
 SCREEN_SUFFIXES = ("Controller", "Component", "View", "Screen", "Page")
 NGRX = ("action", "reducer", "effect", "selector")
@@ -37,61 +31,108 @@ def _blocks(files: DataFrame, pattern: str) -> DataFrame:
     return d.select("file", F.regexp_extract("s", pattern, 1).alias("name"), F.regexp_extract("s", pattern, 2).alias("body"))
 
 
+NAME = "[\"`\\[]?(\\w+)[\"`\\]]?"
+
+
+def _items(body: Column) -> Column:
+    """A list split at the commas outside parentheses (one level of them), line comments off."""
+    flat = F.regexp_replace(F.regexp_replace(body, "--[^\\n]*", ""), "\\s+", " ")
+    return F.filter(F.transform(F.regexp_extract_all(flat, F.lit("((?:[^,()]|\\([^()]*\\))+)"), 1), lambda x: F.trim(x)), lambda x: x != "")
+
+
 def sql_tables(files: DataFrame) -> DataFrame:
-    """A row a column of CREATE TABLE statements, one column a line."""
-    rows = F.filter(F.transform(F.split("body", "\n"), lambda r: F.regexp_replace(F.trim(F.regexp_replace(r, "[\\t\\r]", " ")), ",\\s*$", "")), lambda r: (r != "") & ~r.startswith("--"))
-    key, foreign = "(?i)^(?:constraint\\s+\\w+\\s+)?primary\\s+key\\s*\\(([^)]+)\\)", "(?i)^(?:constraint\\s+\\w+\\s+)?foreign\\s+key\\s*\\((\\w+)\\)\\s+references\\s+[\"`]?(\\w+)"
-    d = _blocks(files.where(_ext() == "sql"), CREATE).withColumn("rows", rows)
-    keys = F.flatten(F.transform(F.filter("rows", lambda r: r.rlike(key)), lambda r: F.split(F.regexp_replace(F.regexp_extract(r, key, 1), "[\"`\\s]", ""), ",")))
-    refs = F.map_from_entries(F.transform(F.filter("rows", lambda r: r.rlike(foreign)), lambda r: F.struct(F.regexp_extract(r, foreign, 1), F.regexp_extract(r, foreign, 2))))
-    d = d.select("file", F.element_at(F.split(F.regexp_replace("name", "[\"`\\[\\]]", ""), "\\."), -1).alias("table_name"), keys.alias("keys"), refs.alias("refs"), F.explode("rows").alias("r"))
-    d = d.where(~F.col("r").rlike("(?i)^(constraint|primary\\s+key|foreign\\s+key|unique\\s+key|index|key)\\b"))
-    d = d.withColumn("column_name", _first(F.col("r"), "^[\"`]?(\\w+)[\"`]?\\s+\\w+")).where("column_name IS NOT NULL")
-    own = F.col("r").rlike("(?i)primary\\s+key")
+    """A row a column of CREATE TABLE statements; keys and references may be told in the column
+    or in a clause of their own."""
+    d = _blocks(files.where(_ext() == "sql"), CREATE).withColumn("items", _items(F.col("body")))
+    clause = "(?i)^(constraint " + NAME + " )?(primary key|foreign key|unique|check|index|key)\\b"
+    told = F.filter("items", lambda x: x.rlike(clause))
+    listed = lambda word: F.flatten(F.transform(F.filter(told, lambda x: x.rlike(f"(?i)\\b{word}\\b")), lambda x: F.split(F.regexp_replace(F.regexp_extract(x, f"(?i){word}[^(]*\\(([^)]*)\\)", 1), "[\"`\\[\\]\\s]", ""), ",")))
+    to = "(?i)foreign key ?\\( ?" + NAME + " ?\\) ?references (?:\\w+\\.)?" + NAME
+    refs = F.map_from_entries(F.transform(F.filter(told, lambda x: x.rlike(to)), lambda x: F.struct(F.regexp_extract(x, to, 1), F.regexp_extract(x, to, 2))))
+    d = d.select("file", F.element_at(F.split(F.regexp_replace("name", "[\"`\\[\\]]", ""), "\\."), -1).alias("table_name"), listed("primary key").alias("keys"), listed("unique").alias("uniques"), refs.alias("refs"), F.explode("items").alias("r"))
+    column = "^" + NAME + " (\\w+(?: ?\\([^)]*\\))?)(.*)$"
+    d = d.where(~F.col("r").rlike(clause)).withColumn("column_name", _first(F.col("r"), column)).withColumn("rest", F.lower(F.regexp_extract("r", column, 3))).where("column_name IS NOT NULL")
+    key = F.col("rest").contains("primary key") | F.array_contains("keys", F.col("column_name"))
     return d.select(
-        "table_name", "column_name", F.upper(F.regexp_extract("r", "^[\"`]?\\w+[\"`]?\\s+(\\w+(?:\\s*\\([^)]*\\))?)", 1)).alias("type"), (~(F.col("r").rlike("(?i)not\\s+null") | own)).alias("nullable"),
-        (own | F.array_contains("keys", F.col("column_name"))).alias("primary_key"), F.col("r").rlike("(?i)\\bunique\\b").alias("unique_key"),
-        F.coalesce(_first(F.col("r"), "(?i)references\\s+[\"`]?(\\w+)"), F.col("refs")[F.col("column_name")]).alias("ref_table"), "file", F.lit("sql").alias("source"),
-    )
+        "table_name", "column_name", F.upper(F.regexp_extract("r", column, 2)).alias("type"), (~F.col("rest").contains("not null") & ~F.col("rest").contains("primary key")).alias("nullable"), key.alias("primary_key"),
+        (F.col("rest").rlike("\\bunique\\b") | F.array_contains("uniques", F.col("column_name"))).alias("unique_key"),
+        F.coalesce(_first(F.col("r"), "(?i)\\breferences (?:\\w+\\.)?" + NAME), F.col("refs")[F.col("column_name")]).alias("ref_table"), "file", F.lit("sql").alias("source"))
+
+
+def _statements(text: Column, end: str) -> Column:
+    """A text cut where ``end`` fits."""
+    return F.filter(F.transform(F.split(text, end), lambda x: F.trim(x)), lambda x: x != "")
+
+
+def _told(d: DataFrame, source: str, name: Column, kind: Column, nullable: Column, key: Column, unique: Column, ref: Column) -> DataFrame:
+    """TABLE_COLUMNS of rows (file, table_name, r): a declaration each."""
+    out = d.select("table_name", name.alias("column_name"), F.coalesce(kind, F.lit("unknown")).alias("type"), nullable.alias("nullable"), key.alias("primary_key"), unique.alias("unique_key"), ref.alias("ref_table"), "file", F.lit(source).alias("source"))
+    return out.where("column_name IS NOT NULL AND table_name IS NOT NULL")
+
+
+def prisma_tables(files: DataFrame) -> DataFrame:
+    """Models: a field a line, ``name Type? @attributes``; lists are relations, no columns."""
+    d = _blocks(files.where(_ext() == "prisma"), "(?s)\\bmodel\\s+(\\w+)\\s*\\{([^{}]*)\\}").select("file", F.col("name").alias("table_name"), F.explode(_statements(F.col("body"), "\\n")).alias("r"))
+    word = F.split(F.col("r"), "\\s+")
+    kind, rest = F.get(word, F.lit(1)), F.col("r")
+    d = d.where(~rest.startswith("//") & ~rest.startswith("@@") & kind.isNotNull()).where(~F.get(F.split(F.col("r"), "\\s+"), F.lit(1)).endswith("[]"))
+    return _told(d, "prisma", F.get(word, F.lit(0)), F.regexp_replace(kind, "\\?$", ""), kind.endswith("?"), rest.contains("@id"), rest.contains("@unique"), F.lit(None).cast("string"))
+
+
+def django_tables(files: DataFrame) -> DataFrame:
+    """Model classes: what is assigned to a ``models`` field in the class's own body."""
+    python = files.where(_ext() == "py").select("file", F.explode(F.split("text", "(?m)^(?=class\\s)")).alias("s")).where(F.col("s").rlike("^class\\s+\\w+\\s*\\(\\s*(models\\.)?Model\\s*\\)"))
+    d = python.select("file", F.regexp_extract("s", "^class\\s+(\\w+)", 1).alias("table_name"), F.explode(F.regexp_extract_all("s", F.lit("(?m)^(?: {4}|\\t)(\\w+\\s*=\\s*models\\.\\w+\\(.*)$"), 1)).alias("r"))
+    kind, rest = F.regexp_extract("r", "models\\.(\\w+)", 1), F.regexp_replace("r", "\\s", "")
+    points = kind.isin("ForeignKey", "OneToOneField")
+    return _told(d, "django", _first(F.col("r"), "^(\\w+)"), kind, rest.contains("null=True"), rest.contains("primary_key=True"), rest.contains("unique=True"), F.when(points, _first(rest, "\\((?:to=)?['\"]?(\\w+)")))
+
+
+def _annotated(text: Column, member: str) -> Column:
+    """The members of a class body with the annotations before them: the body's statements."""
+    bare = F.regexp_replace(F.regexp_replace(text, "(?s)/\\*.*?\\*/", ""), "//[^\\n]*", "")
+    body = F.regexp_extract(bare, "(?s)\\bclass\\b[^{]*\\{(.*)$", 1)
+    return F.filter(_statements(body, "[;{}](?![^(]*\\))"), lambda x: x.rlike(member))
+
+
+def jpa_tables(files: DataFrame) -> DataFrame:
+    """Entities: fields marked as id or column."""
+    text, r = F.col("text"), F.col("r")
+    named = F.coalesce(_first(text, "@Table\\s*\\([^)]*?name\\s*=\\s*[\"'](\\w+)"), _snake(_first(text, "\\bclass\\s+(\\w+)")))
+    d = files.where((_ext() == "java") & text.contains("@Entity")).select("file", named.alias("table_name"), F.explode(_annotated(text, "@(Id|Column|JoinColumn)\\b")).alias("r"))
+    own = F.regexp_extract(F.regexp_replace(r, "\\s*=.*$", ""), "(\\w+)\\s*$", 1)
+    field = F.regexp_extract(F.regexp_replace(r, "@\\w+\\s*(\\([^)]*\\))?", " "), "(\\w+)\\s*(?:=|$)", 1)
+    name = F.coalesce(_first(r, "@(?:Join)?Column\\s*\\([^)]*?name\\s*=\\s*[\"'](\\w+)"), F.nullif(field, F.lit("")), F.nullif(own, F.lit("")))
+    key = r.rlike("@Id\\b")
+    return _told(d, "jpa", name, F.lit(None).cast("string"), ~key, key, F.lit(False), F.lit(None).cast("string"))
+
+
+def typeorm_tables(files: DataFrame) -> DataFrame:
+    """Entities of scripts: properties below a column decorator."""
+    text, r = F.col("text"), F.col("r")
+    named = F.coalesce(_first(text, "@(?:Entity|Table)\\s*\\(\\s*['\"`](\\w+)"), _snake(F.regexp_replace(_first(text, "\\bclass\\s+(\\w+)"), "Entity$", "")))
+    d = files.where(_ext().isin("ts", "js") & text.contains("@Entity")).select("file", named.alias("table_name"), F.explode(_annotated(text, "@(Primary\\w*|Column|JoinColumn)\\b")).alias("r"))
+    flat = F.regexp_replace(r, "\\s", "")
+    bare = F.regexp_replace(r, "@\\w+\\s*(\\([^)]*\\))?", " ")
+    return _told(d, "typeorm", _first(bare, "(\\w+)\\s*[!?]?\\s*:"), F.lit(None).cast("string"), flat.contains("nullable:true"), flat.contains("@Primary"), flat.contains("unique:true"), F.lit(None).cast("string"))
 
 
-def _fields(d: DataFrame, rows: Column, name: Column, kind: Column, nullable: Column, key: Column, unique: Column, ref: Column, source: str) -> DataFrame:
-    d = d.withColumn("r", F.explode(rows)).withColumn("column_name", name).where("column_name IS NOT NULL")
-    return d.select("table_name", "column_name", kind.alias("type"), nullable.alias("nullable"), key.alias("primary_key"), unique.alias("unique_key"), ref.alias("ref_table"), "file", F.lit(source).alias("source"))
+def sequelize_tables(files: DataFrame) -> DataFrame:
+    """``define`` and ``init`` calls: the objects of their first object."""
+    text, r = F.col("text"), F.col("r")
+    named = F.coalesce(_first(text, "\\.define\\s*\\(\\s*['\"`](\\w+)"), _snake(_first(text, "\\bclass\\s+(\\w+)\\s+extends\\s+Model")))
+    after = F.regexp_extract(text, "(?s)(?:\\.define\\s*\\(\\s*['\"`]\\w+['\"`]\\s*,|\\.init\\s*\\()\\s*\\{(.*)$", 1)
+    d = files.where(_ext().isin("ts", "js") & text.contains("equelize")).select("file", named.alias("table_name"), F.explode(F.regexp_extract_all(after, F.lit("(\\w+\\s*:\\s*\\{[^{}]*\\})"), 1)).alias("r"))
+    flat = F.regexp_replace(r, "\\s", "")
+    return _told(d, "sequelize", _first(r, "^(\\w+)"), _first(r, "DataTypes\\.(\\w+)"), flat.contains("allowNull:true"), flat.contains("primaryKey:true"), flat.contains("unique:true"), F.lit(None).cast("string"))
 
 
 def db_tables(files: DataFrame) -> DataFrame:
-    """TABLE_COLUMNS of all schema dialects: SQL, and five object mappers. A list-valued
-    relation is no column. No cap on columns is set."""
-    r, none, text, unknown = F.col("r"), F.lit(None).cast("string"), F.col("text"), F.lit("unknown")
-    lines = F.transform(F.split("body", "\n"), lambda x: F.trim(x))
-    shape = "^(\\w+)\\s+(\\w+)(\\[\\])?(\\?)?"
-    prisma = _fields(
-        _blocks(files.where(_ext() == "prisma"), PRISMA).withColumnRenamed("name", "table_name"), F.filter(lines, lambda x: x.rlike("^\\w+\\s+\\w+") & ~x.rlike("^\\w+\\s+\\w+\\[\\]")),
-        _first(r, shape), F.regexp_extract(r, shape, 2), F.regexp_extract(r, shape, 4) == "?", r.rlike("@id\\b"), r.rlike("@unique\\b"), none, "prisma")
-    field = "^ {4}(\\w+)\\s*=\\s*models\\.(\\w+)\\((.*)$"
-    django = _fields(
-        _blocks(files.where(_ext() == "py"), DJANGO).withColumnRenamed("name", "table_name"), F.filter(F.split("body", "\n"), lambda x: x.rlike(field)),
-        _first(r, field), F.regexp_extract(r, field, 2), r.rlike("\\bnull\\s*=\\s*True"), r.rlike("primary_key\\s*=\\s*True"), r.rlike("unique\\s*=\\s*True"),
-        F.when(r.rlike("(ForeignKey|OneToOneField)"), _first(r, "\\(\\s*['\"]?(\\w+)['\"]?\\s*,")), "django")
-    named = F.coalesce(_first(text, "@Table\\(\\s*name\\s*=\\s*[\"'](\\w+)"), _snake(_first(text, "\\bclass\\s+(\\w+)")))
-    column = F.coalesce(_first(r, "@Column\\([^)]*name\\s*=\\s*[\"'](\\w+)"), F.regexp_extract(r, JPA_FIELD, 1))
-    jpa = _fields(
-        files.where((_ext() == "java") & text.contains("@Entity")).select("file", named.alias("table_name"), "text"), F.regexp_extract_all("text", F.lit(JPA_FIELD), 0),
-        column, unknown, ~r.rlike("@Id\\b"), r.rlike("@Id\\b"), F.lit(False), none, "jpa")
-    script = files.where(_ext().isin("ts", "js"))
-    named = F.coalesce(_first(text, "@(?:Entity|Table)\\(\\s*['\"`](\\w+)['\"`]"), _snake(F.regexp_replace(_first(text, "\\bclass\\s+(\\w+)"), "Entity$", "")))
-    typeorm = _fields(
-        script.where(text.contains("@Entity")).select("file", named.alias("table_name"), "text"), F.regexp_extract_all("text", F.lit(TYPEORM_FIELD), 0), F.regexp_extract(r, TYPEORM_FIELD, 1),
-        unknown, r.rlike("nullable\\s*:\\s*true"), r.rlike("@Primary"), r.rlike("unique\\s*:\\s*true"), none, "typeorm")
-    named = F.coalesce(_first(text, "sequelize\\.define\\(\\s*['\"`](\\w+)"), _snake(_first(text, "\\bclass\\s+(\\w+)\\s+extends\\s+Model")))
-    sequelize = _fields(
-        script.where(text.contains("equelize")).select("file", named.alias("table_name"), F.concat(F.regexp_extract("text", SEQUELIZE, 1), F.lit("}")).alias("body")).where("table_name IS NOT NULL"),
-        F.regexp_extract_all("body", F.lit("\\w+\\s*:\\s*\\{[^}]+\\}"), 0), _first(r, "^(\\w+)"), F.coalesce(_first(r, "DataTypes\\.(\\w+)"), unknown),
-        r.rlike("allowNull\\s*:\\s*true"), r.rlike("primaryKey\\s*:\\s*true"), r.rlike("unique\\s*:\\s*true"), none, "sequelize")
+    """TABLE_COLUMNS of all schema dialects: SQL, and five object mappers. No cap on columns is
+    set."""
     out = sql_tables(files)
-    for d in (prisma, django, jpa, typeorm, sequelize):
-        out = out.unionByName(d)
+    for tables in (prisma_tables, django_tables, jpa_tables, typeorm_tables, sequelize_tables):
+        out = out.unionByName(tables(files))
     return out.select(*TABLE_COLUMNS)
 
 

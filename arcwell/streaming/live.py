@@ -3,7 +3,7 @@ frame, so a stream's result can be held against the batch on the same events."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,8 +24,8 @@ def windowed_counts(events: DataFrame, size: str = "1 hour", slide: str | None =
 
 def alerts(events: DataFrame, drop: float = 10.0) -> DataFrame:
     """Events worth telling: a health drop of ``drop`` or more, a new critical risk, a
-    rule error, a failed build or CI run."""
-    fit = ((F.col("type") == "health-down") & (F.col("magnitude") >= drop)) | ((F.col("type") == "new-risk") & (F.col("severity") == "critical")) | ((F.col("type") == "rule-violation") & (F.col("severity") == "error")) | F.col("type").isin("ci-failure", "build-failure")
+    critical rule violation, a failed build or CI run."""
+    fit = ((F.col("type") == "health-down") & (F.col("magnitude") >= drop)) | (F.col("type").isin("risk-new", "rule-violation") & (F.col("severity") == "critical")) | F.col("type").isin("ci-failure", "build-failure")
     return events.where(fit)
 
 
@@ -37,6 +37,38 @@ def once_a_day(events: DataFrame, lateness: str = "1 day") -> DataFrame:
     return e.dropDuplicates(["entity", "trigger", "day"])
 
 
+def dispatch_stream(events: DataFrame, cap: int = 5, failures: int = 2, lateness: str = "1 day") -> DataFrame:
+    """``govern.dispatch`` on a stream of (id, ts, entity, trigger, failed_before): the state
+    of a day is its dispatched keys, at most ``cap``. Events of a batch are taken in order
+    of ts and id; a day's state goes when the watermark is a day past it."""
+    import pandas as pd
+    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+    def decide(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        sent = [tuple(x.split("\x1f")) for x in state.get[0]] if state.exists else []
+        for rows in [pd.concat(list(frames)).sort_values(["ts", "id"])]:
+            said = []
+            for entity, trigger, failed in zip(rows["entity"], rows["trigger"], rows["failed_before"], strict=True):
+                name = (str(entity), str(trigger))
+                said.append("duplicate" if name in sent else "capped" if len(sent) >= cap else "blocked" if failed >= failures else "dispatched")
+                if said[-1] == "dispatched":
+                    sent.append(name)
+            state.update((["\x1f".join(x) for x in sent],))
+            state.setTimeoutTimestamp(int((pd.Timestamp(key[0], tz="UTC") + pd.Timedelta(days=2)).timestamp() * 1000))
+            yield pd.DataFrame({"id": rows["id"], "day": key[0], "decision": said})
+
+    e = events.withWatermark("ts", lateness).withColumn("day", F.to_date("ts"))
+    return e.groupBy("day").applyInPandasWithState(decide, "id long, day date, decision string", "sent array<string>", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def keep_last(log: DataFrame, n: int = 500) -> DataFrame:
+    """The newest ``n`` entries of a log (ts, id), as its readers see it."""
+    return log.orderBy(F.desc("ts"), F.desc("id")).limit(n)
+
+
 def changed_files(now: DataFrame, cache: DataFrame) -> DataFrame:
     """Files of ``now`` (file, text) whose content the cache (file, digest) lacks."""
     return now.withColumn("digest", F.sha2("text", 256)).join(cache.select("file", "digest"), ["file", "digest"], "left_anti")

@@ -21,7 +21,7 @@ def rows(names, table):
     return sorted((tuple(None if x is None or x != x else str(x)[:10] if "date" in type(x).__name__ and str(x).endswith("00:00:00") else str(x) for x in r) for r in table), key=repr)
 
 
-@pytest.mark.parametrize("name", sorted(set(queries.oracle_sql()) - {"scc_pairs"}))
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_oracle(spark, con, name):
     got = queries.queries()[name](spark, SF)
     columns = sorted(got.columns)

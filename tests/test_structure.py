@@ -9,42 +9,44 @@ def files(spark, **texts):
     return spark.createDataFrame([(k.replace("__", "."), v) for k, v in texts.items()], "file string, text string")
 
 
-JAVA = """class A {
-    // if (in a comment) {
-    public int classify(int n, boolean flag) throws X {
-        if (n > 10) {
-            for (int i = 0; i < n; i++) {
-                if (i % 2 == 0 && flag) { r += i; }
+# Counted by hand below each: decisions + 1; each structure 1 + its depth, runs of one operator 1.
+LEDGER = """class Ledger {
+    /* while (this is a comment) { */
+    long settle(java.util.List<Entry> book, boolean strict) {
+        long due = 0;
+        for (Entry e : book) {
+            while (e.open() && strict) {
+                if (e.amount() > 7) { due += e.amount(); }
             }
-        } else if (n < 0) {
-            r = -1;
         }
-        while (r > 100 || flag) { r -= 10; }
-        return r;
+        if (due == 0) { return -1; }
+        return due;
     }
-    public void simple() { System.out.println("if (x)"); }
+    String label() { return "for (;;) { if }"; }
 }
 """
-SCRIPT = """export function rank(items: number[], strict: boolean): number {
-  for (const it of items) {
-    if (it > 0 && strict) {
-      score += it;
-    } else if (it < -5) {
-      score -= 1;
+BOARD = """export function place(board: string[][], mark: string): number {
+  let free = 0;
+  for (const row of board) {
+    for (const cell of row) {
+      if (cell === '' || cell === mark) {
+        free += 1;
+      }
     }
   }
-  return score > 0 ? score : 0;
+  return free > 9 ? 9 : free;
 }
-export const noop = (): number => 42;
+export const zero = (): number => 0;
 """
 
 
 def test_function_metrics(spark):
-    got = {r["name"]: tuple(r)[2:] for r in metrics_scan.function_metrics(files(spark, A__java=JAVA, b__ts=SCRIPT, c__py="if x: pass")).collect()}
-    assert got["classify"] == (3, 8, 11, 3) and got["simple"] == (14, 1, 0, 0)
-    assert got["rank"][:2] == (1, 6) and got["noop"][1:] == (1, 0, 0) and len(got) == 4
-    (f,) = metrics_scan.file_function_metrics(metrics_scan.function_metrics(files(spark, A__java=JAVA))).collect()
-    assert (f["cyclomatic"], f["functions"], f["worst"]) == (9, 2, "classify")
+    got = {r["name"]: tuple(r)[2:] for r in metrics_scan.function_metrics(files(spark, Ledger__java=LEDGER, board__ts=BOARD, c__py="if x: pass")).collect()}
+    # settle: for, while, &&, if, if: 1 + 5. for 1, while 2, && 1, if 3, if 1. place: for, for, if, ||, ?: 1 + 5.
+    assert got["settle"] == (3, 6, 8, 3) and got["label"] == (13, 1, 0, 0)
+    assert got["place"][:2] == (1, 6) and got["place"][3] == 3 and got["zero"][1:] == (1, 0, 0) and len(got) == 4
+    (f,) = metrics_scan.file_function_metrics(metrics_scan.function_metrics(files(spark, Ledger__java=LEDGER))).collect()
+    assert (f["cyclomatic"], f["functions"], f["worst"]) == (7, 2, "settle")
 
 
 def test_switch_labels():
@@ -58,14 +60,14 @@ def test_db_tables(spark):
         spark,
         s__sql="CREATE TABLE IF NOT EXISTS app.orders (\n id INT PRIMARY KEY,\n total NUMERIC(10, 2) NOT NULL,\n who INT,\n CONSTRAINT f FOREIGN KEY (who) REFERENCES people (id)\n);",
         p__prisma="model User {\n  id Int @id\n  mail String? @unique\n  posts Post[]\n}\n", m__py="class Car(models.Model):\n    name = models.CharField(max_length=9, null=True)\n    maker = models.ForeignKey('Maker', on_delete=1)\nclass Z:\n    x = 1\n",
-        E__java="@Entity\n@Table(name = \"PEDIDO\")\nclass E {\n  @Id\n  private Long id;\n  @Column(name = \"ST\")\n  private String status;\n}", t__ts="@Entity('user')\nexport class U {\n  @PrimaryGeneratedColumn()\n  id: number;\n  @Column({ nullable: true })\n  name: string;\n}",
+        E__java="@Entity\n@Table(name = \"INVOICE\")\nclass E {\n  @Id\n  private Long id;\n  @Column(name = \"ST\")\n  private String status;\n}", t__ts="@Entity('user')\nexport class U {\n  @PrimaryGeneratedColumn()\n  id: number;\n  @Column({ nullable: true })\n  name: string;\n}",
         q__js="sequelize.define('pet', { name: { type: DataTypes.STRING, allowNull: true }, id: { type: DataTypes.INTEGER, primaryKey: true } })",
     )
     got = {(r["source"], r["table_name"], r["column_name"], r["nullable"], r["primary_key"], r["ref_table"]) for r in structure.db_tables(d).collect()}
     assert got == {
         ("sql", "orders", "id", False, True, None), ("sql", "orders", "total", False, False, None), ("sql", "orders", "who", True, False, "people"),
         ("prisma", "User", "id", False, True, None), ("prisma", "User", "mail", True, False, None), ("django", "Car", "name", True, False, None), ("django", "Car", "maker", False, False, "Maker"),
-        ("jpa", "PEDIDO", "id", False, True, None), ("jpa", "PEDIDO", "ST", True, False, None), ("typeorm", "user", "id", False, True, None), ("typeorm", "user", "name", True, False, None),
+        ("jpa", "INVOICE", "id", False, True, None), ("jpa", "INVOICE", "ST", True, False, None), ("typeorm", "user", "id", False, True, None), ("typeorm", "user", "name", True, False, None),
         ("sequelize", "pet", "name", True, False, None), ("sequelize", "pet", "id", False, True, None),
     }
 
