@@ -22,16 +22,16 @@ from fractions import Fraction
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
 from .shared import checkpoint, small
 from .textscan import Words, chunks, mix, powers
 
-#: 60 bands of 4 registers: a pair at 0.75 shares 19 of them on average, and none once in
-#: 8 * 10**9 pairs, (1 - 0.75**4)**60.
-BANDS, ROWS = 60, 4
+#: 48 bands of 5 registers: a pair at 0.75 shares 11 of them on average, and none once in
+#: 400,000 pairs, (1 - 0.75**5)**48; a test measures the 0.75**5.
+BANDS, ROWS = 48, 5
 #: SetSketch parameters: registers are floor(1 - log_BASE(least point of rate RATE)).
 BASE, RATE, TOP = 1.001, 20.0, 65534
 #: Pairs estimated this far below the threshold (7 standard errors) aren't confirmed.
@@ -215,14 +215,19 @@ def prefix_pairs(sets: DataFrame, labels: DataFrame, threshold: Fraction) -> Dat
     # first of labels, then of the documents of each; those of one label never meet.
     mixed = rare.groupBy("shingle").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a < b").select("shingle")
     rare = checkpoint(rare.join(mixed, "shingle", "left_semi"))
-    named = rare.select("shingle", "label").distinct()
-    across = named.withColumnRenamed("label", "lu").join(named.withColumnRenamed("label", "lv"), "shingle").where("lu < lv")
-    a = rare.select("shingle", F.col("label").alias("lu"), F.col("doc_id").alias("u"), F.col("n").alias("nu"), F.col("place").alias("pu"))
-    b = rare.select("shingle", F.col("label").alias("lv"), F.col("doc_id").alias("v"), F.col("n").alias("nv"), F.col("place").alias("pv"))
-    # Of a pair's first common shingle on, both must hold the overlap that it needs.
-    room = F.least(F.col("nu") - F.col("pu"), F.col("nv") - F.col("pv"))
-    fits = (threshold.numerator + threshold.denominator) * room >= threshold.numerator * (F.col("nu") + F.col("nv"))
-    met = across.join(a, ["shingle", "lu"]).join(b, ["shingle", "lv"]).where(fits)
+    # Of a pair's first common shingle on, both must hold the overlap that it needs: what
+    # the best of a label could hold tells whether any of it can.
+    up, down = threshold.numerator, threshold.denominator
+
+    def fits(room_u: Column, room_v: Column, n_u: Column, n_v: Column) -> Column:
+        return (up + down) * F.least(room_u, room_v) >= up * (n_u + n_v)
+
+    named = rare.groupBy("shingle", "label").agg(F.max(F.col("n") - F.col("place")).alias("room"), F.min("n").alias("n"))
+    left, right = (named.select("shingle", F.col("label").alias("l" + x), F.col("room").alias("r" + x), F.col("n").alias("m" + x)) for x in "uv")
+    across = left.join(right, (left.shingle == right.shingle) & F.expr("lu < lv") & fits(F.col("ru"), F.col("rv"), F.col("mu"), F.col("mv"))).select(left.shingle, "lu", "lv", "rv", "mv")
+    a, b = (rare.select("shingle", F.col("label").alias("l" + x), F.col("doc_id").alias(x), F.col("n").alias("n" + x), F.col("place").alias("p" + x)) for x in "uv")
+    room = F.col("nu") - F.col("pu")
+    met = across.join(a, ["shingle", "lu"]).where(fits(room, F.col("rv"), F.col("nu"), F.col("mv"))).join(b, ["shingle", "lv"]).where(fits(room, F.col("nv") - F.col("pv"), F.col("nu"), F.col("nv")))
     return met.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
 
