@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import checkpoint, join_one
+from .shared import BROADCAST_ROWS, checkpoint, join_one, rows
 
 
 def _ordered(edges: DataFrame) -> DataFrame:
@@ -26,11 +26,16 @@ def components(links: DataFrame) -> DataFrame:
     no list of its neighbours, and a hub's edges are joined where they lie."""
     edges = checkpoint(_ordered(links))
     while not _stars(edges):
+        few = 2 * rows(edges) <= BROADCAST_ROWS  # of nodes, so of minima
+
+        def joined(many: DataFrame, few: bool = few) -> DataFrame:
+            least = many.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+            return many.join(F.broadcast(least.drop("n")), "u") if few else join_one(many, least, "u", "n")
+
         both = edges.union(edges.select(F.col("v"), F.col("u")).toDF("u", "v"))
-        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-        large = join_one(both, least, "u", "n").where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
-        large = checkpoint(_ordered(large))
-        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-        small = join_one(large, least, "u", "n").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", "m"))
-        edges = checkpoint(_ordered(small))
+        large = _ordered(joined(both).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")))
+        large = large if few else checkpoint(large)
+        # Each end goes to the least of the neighbours, and the node itself with it.
+        met = joined(large)
+        edges = checkpoint(_ordered(met.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*")))
     return edges.select(F.col("u").alias("node"), F.col("v").alias("label"))

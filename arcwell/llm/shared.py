@@ -47,9 +47,15 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def rows(df: DataFrame) -> int:
+    """How many rows a frame has, each partition counted where it lies: ``count`` would write
+    a shuffle file a partition for the sum."""
+    return df._jdf.queryExecution().toRdd().count()
+
+
 def small(df: DataFrame) -> DataFrame:
     """A table of a few integers a row, marked for broadcast while its rows are few."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    return F.broadcast(df) if rows(df) <= BROADCAST_ROWS else df
 
 
 def drop_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
