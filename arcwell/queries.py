@@ -240,13 +240,12 @@ def churn_by_file(spark, sf):
     return metrics.churn(facts.touches(spark, sf))
 
 
-@query("""WITH b AS (SELECT DISTINCT user_id || ':' || CAST(ts::DATE AS VARCHAR) AS basket, event_type || '/' || coalesce(CAST(json_extract_string(props, '$.k') AS VARCHAR), '') AS item FROM events), s AS (SELECT basket FROM b GROUP BY 1 HAVING count(*) BETWEEN 2 AND 40),
+@query("""WITH b AS (SELECT DISTINCT user_id AS basket, event_type || '/' || CAST(CAST(extract(isodow FROM ts) AS INTEGER) AS VARCHAR) AS item FROM events), s AS (SELECT basket FROM b GROUP BY 1 HAVING count(*) BETWEEN 2 AND 40),
 k AS (SELECT * FROM b JOIN s USING (basket)), p AS (SELECT x.item AS a, y.item AS b, count(*) AS together FROM k x JOIN k y ON x.basket = y.basket AND x.item < y.item GROUP BY 1, 2 HAVING count(*) >= 2), c AS (SELECT item, count(*) AS k FROM b GROUP BY 1),
 o AS (SELECT p.a, p.b, together, floor(together / least(x.k, y.k)::DOUBLE * 100.0::DOUBLE + 0.5::DOUBLE) / 100.0::DOUBLE AS degree FROM p JOIN c x ON x.item = p.a JOIN c y ON y.item = p.b) SELECT * FROM o WHERE degree >= 0.3 ORDER BY degree DESC, together DESC, a, b LIMIT 200""")
 def change_coupling(spark, sf):
-    item = F.concat("event_type", F.lit("/"), F.coalesce(F.get_json_object("props", "$.k"), F.lit("")))
-    basket = F.concat(F.col("user_id").cast("string"), F.lit(":"), F.to_date("ts").cast("string"))
-    return metrics.change_coupling(table(spark, sf, "events").select(basket.alias("basket"), item.alias("item")))
+    item = F.concat("event_type", F.lit("/"), (F.weekday("ts") + 1).cast("string"))
+    return metrics.change_coupling(table(spark, sf, "events").select(F.col("user_id").alias("basket"), item.alias("item")))
 
 
 BUS = f"WITH {SHARES}, r AS (SELECT *, coalesce(sum(touches) OVER (PARTITION BY module ORDER BY touches DESC, author ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(touches) OVER (PARTITION BY module) AS total FROM sh) SELECT module, CAST(sum(CASE WHEN 2 * before {{op}} total THEN 1 ELSE 0 END) AS BIGINT) AS bus_factor, count(*) AS authors FROM r GROUP BY module"
