@@ -18,6 +18,10 @@ EDGE = ["from_id", "to_id", "from_kind", "to_kind", "via", "confidence"]
 DRIVER_EDGES = 500_000
 #: Levels after which the plan of all known nodes is cut.
 COMPACT = 32
+#: Measured bytes of a frontier up to which it is broadcast; a larger one is joined by key.
+FRONT_BYTES = 32 << 20
+#: Parts of a key in joins by key: a hub's edges spread over so many tasks.
+SALTS = 32
 
 
 def union_edges(*families: DataFrame) -> DataFrame:
@@ -42,6 +46,29 @@ def god_nodes(edges: DataFrame, n: int = 15) -> DataFrame:
     return degrees(edges, pairs=False).orderBy(F.desc("degree"), F.desc("in_degree"), "id").limit(n)
 
 
+def stepped(edges: DataFrame) -> DataFrame:
+    """(here, salt, there, sure) of edges (here, there, sure), one row a pair, persisted:
+    one shuffle deals them by (here, salt) and serves the grouping and every level."""
+    parts = edges.withColumn("salt", F.pmod(F.hash("there"), F.lit(SALTS))).repartition("here", "salt")
+    return parts.groupBy("here", "salt", "there").agg(F.max("sure").alias("sure")).persist()
+
+
+def weigh(front: DataFrame) -> tuple[int, int]:
+    """Rows and about the bytes of a frontier."""
+    size = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c, t in front.dtypes if t == "string"), F.lit(16))
+    rows, held = front.agg(F.count("*"), F.sum(size)).first()
+    return rows, held or 0
+
+
+def follow(steps: DataFrame, front: DataFrame, held: int) -> DataFrame:
+    """The steps from the nodes of ``front`` (id and more), whose ``held`` bytes say how:
+    broadcast, or repeated for each salt and joined by (here, salt)."""
+    near = front.withColumnRenamed("id", "here")
+    if held <= FRONT_BYTES:
+        return steps.join(F.broadcast(near), "here")
+    return steps.join(near.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["here", "salt"])
+
+
 def reach(edges: DataFrame, seeds: DataFrame, max_depth: int = 10, reverse: bool = True, max_nodes: int | None = None) -> DataFrame:
     """(id, depth, confidence) of what reaches the seeds (``reverse``) or is reached.
 
@@ -50,16 +77,16 @@ def reach(edges: DataFrame, seeds: DataFrame, max_depth: int = 10, reverse: bool
     """
     here, there = ("to_id", "from_id") if reverse else ("from_id", "to_id")
     steps = edges.select(F.col(here).alias("here"), F.col(there).alias("there"), F.when(F.col("confidence") == "resolved", 1).otherwise(0).alias("sure"))
-    steps = steps.groupBy("here", "there").agg(F.max("sure").alias("sure")).repartition("here").persist()
+    steps = stepped(steps)
     front = checkpoint(seeds.select("id", F.lit(0).alias("depth"), F.lit(1).alias("sure")))
-    seen, known = front, front.count()
+    seen, (known, held) = front, weigh(front)
     for depth in range(1, max_depth + 1):
         if max_nodes is not None and known >= max_nodes:
             break
-        met = steps.join(front.select(F.col("id").alias("here"), F.col("sure").alias("far")), "here")
+        met = follow(steps, front.select("id", F.col("sure").alias("far")), held)
         met = met.groupBy(F.col("there").alias("id")).agg(F.max(F.least("sure", "far")).alias("sure"))
         front = checkpoint(met.join(seen.select("id"), "id", "left_anti").select("id", F.lit(depth).alias("depth"), "sure"))
-        new = front.count()
+        new, held = weigh(front)
         if not new:
             break
         known += new
@@ -197,28 +224,38 @@ def two_cycles(edges: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(id, component): the smallest id of each weakly connected component."""
-    both = edges.select("from_id", "to_id").union(edges.select("to_id", "from_id")).distinct().persist()
-    label = checkpoint(both.select(F.col("from_id").alias("id")).distinct().withColumn("component", F.col("id")))
-    while True:
-        near = both.join(label.withColumnRenamed("id", "from_id"), "from_id").groupBy(F.col("to_id").alias("id")).agg(F.min("component").alias("m"))
-        new = label.join(near, "id").select("id", F.least("component", "m").alias("component"))
-        jump = new.select(F.col("id").alias("component"), F.col("component").alias("further"))
-        new = checkpoint(new.join(jump, "component").select("id", F.col("further").alias("component")))
-        changed = new.join(label.withColumnRenamed("component", "before"), "id").where("component <> before").limit(1).count()
-        label = new
-        if not changed:
-            break
-    both.unpersist()
+    """(id, component): the smallest id of each weakly connected component. Only nodes
+    whose label changed tell their neighbours; labels then jump to their label's label."""
+    ends = edges.select("from_id", "to_id")
+    both = ends.union(edges.select("to_id", "from_id")).toDF("here", "there")
+    steps = stepped(both.withColumn("sure", F.lit(1)))
+    label = checkpoint(steps.select(F.col("here").alias("id")).distinct().withColumn("component", F.col("id")))
+    front, (moved, held) = label, weigh(label)
+    while moved:
+        near = follow(steps, front, held).groupBy(F.col("there").alias("id")).agg(F.min("component").alias("m"))
+        new = checkpoint(label.join(near, "id", "left").select("id", F.col("component").alias("before"), F.least("component", "m").alias("component")))
+        heads = new.select(F.col("component").alias("id")).distinct().join(new.select("id", F.col("component").alias("further")), "id")
+        heads = checkpoint(heads.where("further <> id").select(F.col("id").alias("here"), "further"))
+        if weigh(heads)[1] <= FRONT_BYTES:
+            jumped = new.join(F.broadcast(heads), F.col("component") == F.col("here"), "left")
+        else:
+            parts = heads.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+            jumped = new.withColumn("salt", F.pmod(F.hash("id"), F.lit(SALTS))).join(parts, (F.col("component") == F.col("here")) & (F.col("salt") == F.col("part")), "left")
+        told = F.coalesce("further", "component")
+        told = checkpoint(jumped.select("id", told.alias("component"), (told < F.col("before")).alias("moved")))
+        label, front = told.select("id", "component"), told.where("moved").select("id", "component")
+        moved, held = weigh(front)
+    steps.unpersist()
     return label
 
 
 def strong_components(edges: DataFrame) -> DataFrame:
     """(id, component) of strongly connected components of two nodes or more, named by
-    their smallest id: trimming, then forward and backward reach of a pivot each turn."""
-    spark = edges.sparkSession
-    e = checkpoint(edges.select("from_id", "to_id").where("from_id <> to_id").distinct().withColumn("confidence", F.lit("resolved")))
-    found = spark.createDataFrame([], "id string, component string")
+    their smallest id. Each turn trims nodes without edges in or out, gives each node the
+    smallest id that reaches it as its colour, and takes from every colour at once the
+    nodes that reach the one it is named by; edges between colours go."""
+    e = checkpoint(edges.select("from_id", "to_id").where("from_id <> to_id").distinct())
+    found = edges.sparkSession.createDataFrame([], "id string, component string")
     while True:
         before = e.count()
         while before:
@@ -227,14 +264,31 @@ def strong_components(edges: DataFrame) -> DataFrame:
             if after == before:
                 break
             before = after
-        pivot = e.agg(F.min("from_id")).first()[0]
-        if pivot is None:
+        if not before:
             return found
-        seed = spark.createDataFrame([(pivot,)], "id string")
-        both = checkpoint(reach(e, seed, 1 << 20, True).select("id").join(reach(e, seed, 1 << 20, False).select("id"), "id", "left_semi"))
-        if both.count() > 1:
-            found = found.union(both.crossJoin(both.agg(F.min("id").alias("component"))))
-        e = checkpoint(e.join(both.withColumnRenamed("id", "from_id"), "from_id", "left_anti").join(both.withColumnRenamed("id", "to_id"), "to_id", "left_anti"))
+        ahead, back = (stepped(e.select(F.col(a).alias("here"), F.col(b).alias("there"), F.lit(1).alias("sure"))) for a, b in (("from_id", "to_id"), ("to_id", "from_id")))
+        colour = checkpoint(ahead.select(F.col("here").alias("id")).distinct().withColumn("colour", F.col("id")))
+        front, (moved, held) = colour, weigh(colour)
+        while moved:
+            near = follow(ahead, front, held).groupBy(F.col("there").alias("id")).agg(F.min("colour").alias("m"))
+            new = checkpoint(colour.join(near, "id", "left").select("id", F.least("colour", "m").alias("colour"), F.coalesce(F.col("m") < F.col("colour"), F.lit(False)).alias("moved")))
+            colour, front = new.select("id", "colour"), new.where("moved").select("id", "colour")
+            moved, held = weigh(front)
+        front = checkpoint(colour.where("id = colour"))
+        seen, (moved, held) = front, weigh(front)
+        while moved:
+            met = follow(back, front, held).select(F.col("there").alias("id"), "colour").distinct()
+            front = checkpoint(met.join(colour, ["id", "colour"], "left_semi").join(seen.select("id"), "id", "left_anti"))
+            moved, held = weigh(front)
+            seen = seen.union(front)
+        seen = checkpoint(seen)
+        others = seen.where("id <> colour")
+        found = found.union(others.select("id", "colour")).union(others.select("colour", "colour").distinct())
+        rest = checkpoint(colour.join(seen.select("id"), "id", "left_anti"))
+        e = e.join(rest.toDF("from_id", "ca"), "from_id").join(rest.toDF("to_id", "cb"), "to_id").where("ca = cb")
+        e = checkpoint(e.select("from_id", "to_id"))
+        ahead.unpersist()
+        back.unpersist()
 
 
 def communities(edges: DataFrame) -> DataFrame:

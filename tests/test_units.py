@@ -2,6 +2,7 @@
 
 from datetime import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from arcwell.functions import scalars
@@ -204,3 +205,34 @@ def test_stream_equals_batch(spark, tmp_path):
     q = live.alerts(stream).writeStream.format("memory").queryName("alerted").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert spark.table("alerted").count() == live.alerts(batch).count() > 0
+
+
+@pytest.mark.parametrize("front_bytes", [graph.FRONT_BYTES, -1])
+def test_iterations_equal_brute_force_with_broadcast_and_salted_fronts(spark, monkeypatch, front_bytes):
+    """Random edges, a hub, a cycle: reach, components and strong components."""
+    monkeypatch.setattr(graph, "FRONT_BYTES", front_bytes)
+    import random
+
+    r = random.Random(7)
+    pairs = {(f"n{r.randrange(24):02}", f"n{r.randrange(24):02}") for _ in range(26)}
+    pairs |= {("hub", f"n{i:02}") for i in range(0, 24, 3)} | {("x1", "x2"), ("x2", "x3"), ("x3", "x1")}
+    pairs = sorted((a, b) for a, b in pairs if a != b)
+    near = {n: {b for a, b in pairs if a == n} for p in pairs for n in p}
+
+    def depths(start, step):
+        seen, todo = {start: 0}, [start]
+        for n in todo:
+            for m in sorted(step[n]):
+                if m not in seen:
+                    seen[m] = seen[n] + 1
+                    todo.append(m)
+        return seen
+
+    e = spark.createDataFrame([(a, b, "resolved") for a, b in pairs], "from_id string, to_id string, confidence string").repartition(3)
+    down = {n: depths(n, near) for n in near}
+    got = graph.reach(e, spark.createDataFrame([("hub",)], "id string"), 30, reverse=False)
+    assert {x["id"]: x["depth"] for x in got.collect()} == down["hub"]
+    strong = {n: min(m for m in down[n] if n in down[m]) for n in near if any(m != n and n in down[m] for m in down[n])}
+    assert {x["id"]: x["component"] for x in graph.strong_components(e).collect()} == strong
+    both = {n: near[n] | {m for m in near if n in near[m]} for n in near}
+    assert {x["id"]: x["component"] for x in graph.components(e).collect()} == {n: min(depths(n, both)) for n in near}
