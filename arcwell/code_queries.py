@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from .functions import scalars
 from .operators import codegraph, govern, metrics, review
 from .plans import code, facts
-from .plans.session import table
+from .plans.session import checkpoint, table
 from .queries import PARTS, QUERIES, SHARES, SQL, TRADE, _daily, query
 from .sources import extract, lines, metrics_scan, repo, resolve, structure
 
@@ -33,22 +33,24 @@ def _modules(spark, sf) -> DataFrame:
 # -- Code to graph -------------------------------------------------------------------
 
 
-def _facts(spark, sf):
+def _facts(spark, sf, kept=False):
+    """``kept``: facts that a query reads several times, cut from the texts once."""
     d = lines.file_lines(code.tiers(spark, sf))
     front, back, data = (d.where(F.col("file").startswith(p)) for p in ("web/", "server/", "db/"))
-    return extract.http_calls(front), extract.endpoints(back), extract.db_calls(back), extract.object_facts(data), extract.routine_calls(data)
+    found = extract.http_calls(front), extract.endpoints(back), extract.db_calls(back), extract.object_facts(data), extract.routine_calls(data)
+    return tuple(checkpoint(x) for x in found) if kept else found
 
 
 @query("SELECT 'http-call' AS via, 'file' AS from_kind, 'file' AS to_kind, 'resolved' AS confidence, count(*) AS n FROM supplier UNION ALL SELECT 'db-call', 'file', 'plsql', 'resolved', count(*) FROM supplier UNION ALL SELECT 'writes', 'plsql', 'table', 'resolved', count(*) FROM supplier UNION ALL SELECT 'defined-in', 'plsql', 'file', 'resolved', count(*) + count(DISTINCT s_nationkey) FROM supplier")
 def code_impact_edges(spark, sf):
     """Files to typed edges, through every extractor on the way."""
-    calls, ends, db_calls, objects, inner = _facts(spark, sf)
+    calls, ends, db_calls, objects, inner = _facts(spark, sf, True)
     e = codegraph.build_impact_graph(http=codegraph.http_edges(calls, ends), db_calls=db_calls, objects=objects, routine_calls=inner)
     return e.groupBy("via", "from_kind", "to_kind", "confidence").agg(F.count("*").alias("n"))
 
 
 def _call_graph(spark, sf):
-    calls, ends, db_calls, objects, inner = _facts(spark, sf)
+    calls, ends, db_calls, objects, inner = _facts(spark, sf, True)
     none = db_calls.select("file", F.lit("").alias("table_name"), F.lit("read").alias("mode"), "confidence").where(F.lit(False))
     return codegraph.call_graph(calls, ends, objects, inner, db_calls, none)
 

@@ -181,6 +181,7 @@ def cross_tier_trace(edges: DataFrame, entry: str, max_nodes: int = 800) -> tupl
     """What depends on ``entry`` across tiers (id, layer, depth), and a sample path from the
     deepest front-end file (else the deepest node) to it. A step of the path goes to the
     smallest node a level nearer."""
+    edges = checkpoint(edges)
     seeds = edges.sparkSession.createDataFrame([(entry,)], "id string")
     up = checkpoint(reach(edges, seeds, 1 << 20, True, max_nodes).select("id", "depth"))
     ext = F.regexp_extract("id", "\\.([^./]+)$", 1)

@@ -11,7 +11,7 @@ from .session import table
 
 def _edges(df: DataFrame, a: str, ak: str, b: str, bk: str, via: str, sure=None) -> DataFrame:
     c = F.lit("resolved") if sure is None else F.when(sure, "resolved").otherwise("inferred")
-    return df.select(F.concat(F.lit(ak + ":"), F.col(a).cast("string")).alias("from_id"), F.concat(F.lit(bk + ":"), F.col(b).cast("string")).alias("to_id"), F.lit(ak).alias("from_kind"), F.lit(bk).alias("to_kind"), F.lit(via).alias("via"), c.alias("confidence")).distinct()
+    return df.select(F.concat(F.lit(ak + ":"), F.col(a).cast("string")).alias("from_id"), F.concat(F.lit(bk + ":"), F.col(b).cast("string")).alias("to_id"), F.lit(ak).alias("from_kind"), F.lit(bk).alias("to_kind"), F.lit(via).alias("via"), c.alias("confidence"))
 
 
 def typed_edges(spark: SparkSession, sf: str) -> DataFrame:

@@ -11,6 +11,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.session import checkpoint
 from .structure import implementors, java_types, resolve_types
 
 # Endings that an import may leave out, in order (fixed values).
@@ -124,18 +125,18 @@ def java_edges(files: DataFrame) -> DataFrame:
     """(from_file, to_file, kind, confidence, method): what a class implements or extends, and
     its calls on a field: to the field's type, or where that is an interface or abstract, to
     what implements it; sure where only one does."""
-    types = java_types(files)
+    types = checkpoint(java_types(files))
     symbols = java_symbols(files)
     fields = symbols.where("kind = 'field'").select("file", F.col("name").alias("field"), F.col("type").alias("simple"))
     bare = F.regexp_replace("text", "(?s)/\\*.*?\\*/|//[^\\n]*|\"(?:\\\\.|[^\"\\\\\\n])*\"", " ")
     call = "\\b(?:this\\.)?(\\w+)\\.(\\w+)\\s*\\("
     used = files.where(F.lower(F.regexp_extract("file", "\\.([^./]+)$", 1)) == "java").select("file", F.explode(F.regexp_extract_all(bare, F.lit(call), 0)).alias("s"))
     used = used.select("file", F.regexp_extract("s", call, 1).alias("field"), F.regexp_extract("s", call, 2).alias("method")).distinct()
-    met = used.join(fields, ["file", "field"]).select("file", "simple", "method")
+    met = checkpoint(used.join(fields, ["file", "field"]).select("file", "simple", "method"))
     meant = resolve_types(met.select("file", "simple").distinct(), types, files).select("file", "simple", "full_name")
     at = types.select("full_name", F.col("file").alias("to_file"))
     by = implementors(types).select(F.col("parent").alias("full_name"), F.col("child"))
-    ways = meant.join(by, "full_name", "left").withColumn("meant", F.coalesce("child", "full_name"))
+    ways = checkpoint(meant.join(by, "full_name", "left").withColumn("meant", F.coalesce("child", "full_name")))
     n = ways.groupBy("file", "simple").agg(F.count_distinct("meant").alias("n"))
     calls = met.join(ways, ["file", "simple"]).join(n, ["file", "simple"]).join(at.withColumnRenamed("full_name", "meant"), "meant")
     calls = calls.select(F.col("file").alias("from_file"), "to_file", F.lit("call").alias("kind"), F.when(F.col("n") == 1, "resolved").otherwise("inferred").alias("confidence"), "method")
