@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import langid, mixing, neardup, packing, search, substring, tokens, toxicity, urls, webp
-from .shared import ship, table
+from . import centroids, codes, langid, mixing, neardup, packing, quality, search, substring, tokens, toxicity, urls, webp
+from .shared import checkpoint, ship, table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 PATTERN = public_tokenizers.PATTERN
@@ -73,8 +75,33 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.digest(table(ship(spark), sf_dir, "documents"), 50)
 
 
+def op11_product_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The code of each usable vector, see ``codes.fit`` and ``codes.encode``: unusable vectors
+    take no part, null labels are one label, repeats are rows of their own, a table without a
+    usable vector gives no rows."""
+    vectors = table(ship(spark), sf_dir, "embeddings")
+    books = codes.fit(vectors)
+    if books is None:
+        return spark.createDataFrame([], "vec_id long, code string, error long, label_error long, codebooks_sha256 string")
+    sha = hashlib.sha256(books.text().encode()).hexdigest()
+    coded = codes.label_errors(checkpoint(codes.encode(vectors, books)))
+    return coded.select("vec_id", "code", "error", "label_error", F.lit(sha).alias("codebooks_sha256"))
+
+
+def op12_sort_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cluster of each vector of 64 components, see ``centroids.sort_means``: unusable
+    vectors take no part, repeats are rows of their own, no usable vector gives no rows."""
+    return centroids.digest(*centroids.sort_means(table(ship(spark), sf_dir, "embeddings")))
+
+
+def op13_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures and verdict of each document, see ``quality.judge``: null and wordless texts
+    fail the base, a null source is no host, repeats are judged each, no rows give no rows."""
+    return quality.digest(table(ship(spark), sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_best_fit_packing, op2_setsketch_near_dedup, op3_ftrl_toxicity, op4_source_mixing, op5_url_filters, op6_exact_top_k, op7_token_counts, op8_lossless_webp, op9_language_id, op10_substring_dedup]
+    own = [op1_best_fit_packing, op2_setsketch_near_dedup, op3_ftrl_toxicity, op4_source_mixing, op5_url_filters, op6_exact_top_k, op7_token_counts, op8_lossless_webp, op9_language_id, op10_substring_dedup, op11_product_codes, op12_sort_means, op13_host_rules]
     return {f.__name__: f for f in own}
 
 
@@ -92,4 +119,4 @@ SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score FROM ranked WHERE r <
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_source_mixing": mixing.ORACLE_SQL, "op6_exact_top_k": OP6_SQL}
+    return {"op4_source_mixing": mixing.ORACLE_SQL, "op6_exact_top_k": OP6_SQL, "op11_product_codes": codes.oracle_sql(), "op12_sort_means": centroids.oracle_sql(), "op13_host_rules": quality.ORACLE_SQL}
