@@ -11,7 +11,7 @@ from .operators import codegraph, govern, metrics, review
 from .plans import code, facts
 from .plans.session import checkpoint, table
 from .queries import PARTS, QUERIES, SHARES, SQL, TRADE, _daily, query
-from .sources import extract, lines, metrics_scan, repo, resolve, structure
+from .sources import dbsource, extract, lines, metrics_scan, repo, resolve, structure, webforms
 
 __all__ = ["QUERIES", "SQL"]
 
@@ -35,9 +35,11 @@ def _modules(spark, sf) -> DataFrame:
 
 def _facts(spark, sf, kept=False):
     """``kept``: facts that a query reads several times, cut from the texts once."""
-    d = lines.file_lines(code.tiers(spark, sf))
+    d = code.tiers(spark, sf)
     front, back, data = (d.where(F.col("file").startswith(p)) for p in ("web/", "server/", "db/"))
-    found = extract.http_calls(front), extract.endpoints(back), extract.db_calls(back), extract.object_facts(data), extract.routine_calls(data)
+    units = dbsource.units(data)
+    units = checkpoint(units) if kept else units
+    found = webforms.http_calls(front), webforms.endpoints(back), extract.db_calls(lines.file_lines(back)), dbsource.object_facts(units), dbsource.routine_calls(units)
     return tuple(checkpoint(x) for x in found) if kept else found
 
 

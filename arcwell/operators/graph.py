@@ -291,63 +291,6 @@ def strong_components(edges: DataFrame) -> DataFrame:
         back.unpersist()
 
 
-def communities(edges: DataFrame) -> DataFrame:
-    """(id, community) by greedy modularity within each connected component (edges:
-    from_id, to_id, weight). Nodes move in id order, ties to the smallest community, so
-    reruns agree; communities are named by their smallest id. A component is one task:
-    it must fit one executor, as a Louvain pass is sequential."""
-    import pandas as pd
-
-    und = edges.select(F.least("from_id", "to_id").alias("a"), F.greatest("from_id", "to_id").alias("b"), "weight").where("a <> b").groupBy("a", "b").agg(F.sum("weight").cast("double").alias("weight"))
-    comp = components(edges)
-    grouped = und.join(comp.withColumnRenamed("id", "a"), "a")
-
-    def louvain(rows: pd.DataFrame) -> pd.DataFrame:
-        near: dict[str, dict[str, float]] = {}
-        for a, b, w in zip(rows.a, rows.b, rows.weight, strict=True):
-            near.setdefault(a, {})[b] = w
-            near.setdefault(b, {})[a] = w
-        member = {n: n for n in near}
-        while True:
-            total = sum(sum(x.values()) for x in near.values())
-            strength = {n: sum(x.values()) for n, x in near.items()}
-            own = {n: n for n in near}
-            size = dict(strength)
-            moved = improved = True
-            any_move = False
-            while moved:
-                moved = False
-                for n in sorted(near):
-                    to: dict[str, float] = {}
-                    for m, w in near[n].items():
-                        if m != n:
-                            to[own[m]] = to.get(own[m], 0.0) + w
-                    size[own[n]] -= strength[n]
-                    gain = {c: w - size[c] * strength[n] / total for c, w in to.items()}
-                    best = min(gain, key=lambda c: (-round(gain[c], 12), c), default=own[n])
-                    stay = to.get(own[n], 0.0) - size[own[n]] * strength[n] / total
-                    target = best if gain and gain[best] > stay + 1e-12 else own[n]
-                    size[target] += strength[n]
-                    if target != own[n]:
-                        own[n], moved, any_move = target, True, True
-            improved = any_move
-            if not improved:
-                break
-            member = {n: own[c] for n, c in member.items()}
-            merged: dict[str, dict[str, float]] = {}
-            for n, x in near.items():
-                for m, w in x.items():
-                    merged.setdefault(own[n], {})
-                    merged[own[n]][own[m]] = merged[own[n]].get(own[m], 0.0) + w
-            near = merged
-        least: dict[str, str] = {}
-        for n, c in member.items():
-            least[c] = min(least.get(c, n), n)
-        return pd.DataFrame({"id": list(member), "community": [least[c] for c in member.values()]})
-
-    return grouped.groupBy("component").applyInPandas(louvain, "id string, community string")
-
-
 def cross_cluster(edges: DataFrame, clusters: DataFrame, n: int = 20) -> DataFrame:
     """Cluster pairs whose weight is at least half the smaller one's inner weight."""
     c = clusters.select("id", "cluster")
@@ -360,8 +303,9 @@ def cross_cluster(edges: DataFrame, clusters: DataFrame, n: int = 20) -> DataFra
 
 
 def criticality(edges: DataFrame, churn: DataFrame, clusters: DataFrame, n: int = 20) -> DataFrame:
-    """round(100 * (0.4 in/max + 0.3 churn/max + 0.3 bridges/max)), positive, top n."""
-    d = degrees(edges).select("id", "in_degree")
+    """round(100 * (0.4 in/max + 0.3 churn/max + 0.3 bridges/max)), positive, top n; every edge
+    counts, parallel ones too."""
+    d = degrees(edges, pairs=False).select("id", "in_degree")
     c = clusters.select("id", "cluster")
     met = edges.select("from_id", "to_id").join(c.toDF("from_id", "ca"), "from_id").join(c.toDF("to_id", "cb"), "to_id").where("ca <> cb")
     ends = met.select(F.col("from_id").alias("id"), F.col("cb").alias("other")).union(met.select(F.col("to_id"), F.col("ca")))

@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import scalars
-from .operators import govern, graph, metrics, search
+from .operators import communities as clusters
+from .operators import cycles, govern, graph, metrics, search, whole_impact
 from .plans import facts
 from .plans.session import table
 from .sources import extract, lines
@@ -178,7 +179,7 @@ def components(spark, sf):
 
 @query()
 def communities_louvain(spark, sf):
-    return graph.communities(facts.nation_trade(spark, sf))
+    return clusters.communities(facts.nation_trade(spark, sf))
 
 
 @query(f"""WITH {TRADE}, n AS (SELECT 'n' || n_nationkey AS id, n_regionkey AS cluster FROM nation), e AS (SELECT least(a.cluster, b.cluster) AS a, greatest(a.cluster, b.cluster) AS b, count(*) AS weight FROM trade JOIN n a ON a.id = from_id JOIN n b ON b.id = to_id GROUP BY 1, 2)
@@ -192,7 +193,7 @@ def surprising_links(spark, sf):
     return table(spark, sf, "events").groupBy(F.format_string("u%d", "user_id").alias("a"), F.col("event_type").alias("b"), F.to_date("ts").alias("day")).agg(F.count("*").alias("n")).where("n = 1").drop("n")
 
 
-@query(f"""WITH {TRADE}, n AS (SELECT 'n' || n_nationkey AS id, n_regionkey AS cluster FROM nation), d AS (SELECT id, count(DISTINCT from_id) AS i FROM (SELECT to_id AS id, from_id FROM trade UNION ALL SELECT from_id, NULL FROM trade) GROUP BY 1),
+@query(f"""WITH {TRADE}, n AS (SELECT 'n' || n_nationkey AS id, n_regionkey AS cluster FROM nation), e AS (SELECT from_id, to_id FROM trade UNION ALL SELECT from_id, to_id FROM trade WHERE weight % 2 = 0), d AS (SELECT id, count(from_id) AS i FROM (SELECT to_id AS id, from_id FROM e UNION ALL SELECT from_id, NULL FROM e) GROUP BY 1),
 ch AS (SELECT 'n' || c_nationkey AS id, count(*) AS churn FROM customer GROUP BY 1),
 x AS (SELECT t.from_id AS id, b.cluster AS o FROM trade t JOIN n a ON a.id = from_id JOIN n b ON b.id = to_id WHERE a.cluster <> b.cluster UNION ALL SELECT t.to_id, a.cluster FROM trade t JOIN n a ON a.id = from_id JOIN n b ON b.id = to_id WHERE a.cluster <> b.cluster),
 br AS (SELECT id, count(DISTINCT o) AS bridges FROM x GROUP BY 1), j AS (SELECT d.id, d.i AS in_degree, coalesce(churn, 0) AS churn, coalesce(bridges, 0) AS bridges FROM d LEFT JOIN ch USING (id) LEFT JOIN br USING (id)),
@@ -200,7 +201,9 @@ m AS (SELECT greatest(max(in_degree), 1)::DOUBLE AS mi, greatest(max(churn), 1):
 SELECT id, in_degree, churn, bridges, CAST(floor(100 * (0.4::DOUBLE * in_degree / mi + 0.3::DOUBLE * churn / mc + 0.3::DOUBLE * bridges / mb) + 0.5::DOUBLE) AS BIGINT) AS score FROM j, m WHERE score > 0 ORDER BY score DESC, id LIMIT 20""")
 def criticality(spark, sf):
     ch = table(spark, sf, "customer").groupBy(F.format_string("n%d", "c_nationkey").alias("id")).agg(F.count("*").alias("churn"))
-    return graph.criticality(facts.nation_trade(spark, sf), ch, table(spark, sf, "nation").select(F.format_string("n%d", "n_nationkey").alias("id"), F.col("n_regionkey").alias("cluster")))
+    trade = facts.nation_trade(spark, sf)
+    more = trade.where("weight % 2 = 0").withColumn("via", F.lit("more"))  # parallel edges
+    return graph.criticality(trade.unionByName(more), ch, table(spark, sf, "nation").select(F.format_string("n%d", "n_nationkey").alias("id"), F.col("n_regionkey").alias("cluster")))
 
 
 @query(f"WITH {EDGES} SELECT from_id, to_id, CASE from_kind WHEN 'order' THEN 'high' ELSE 'medium' END AS severity, min(via) AS via FROM edges WHERE (from_kind = 'order' AND to_kind = 'part') OR (from_kind = 'supplier' AND to_kind = 'nation') GROUP BY ALL")
@@ -349,7 +352,7 @@ HITS = " UNION ALL ".join(f"SELECT '{i}' AS rule, '{level}' AS level, '{title}'
 
 @query(f"WITH {LINES}, h AS ({HITS}) SELECT rule, level, title, file, CAST(min(line_no) AS INTEGER) AS line_no FROM h GROUP BY 1, 2, 3, 4")
 def risk_rules_docs(spark, sf):
-    return extract.rule_hits(lines.file_lines(facts.doc_files(spark, sf)))
+    return extract.rule_hits(lines.file_lines(facts.doc_files(spark, sf)), extensions=None)
 
 
 @query(f"WITH {LINES} SELECT file, CAST(line_no AS INTEGER) AS line_no, CAST(length(string_agg(text, ' ') OVER (PARTITION BY file ORDER BY line_no ROWS BETWEEN 2 PRECEDING AND 4 FOLLOWING)) AS INTEGER) AS n FROM ln")
@@ -589,12 +592,11 @@ def intersect_users(spark, sf):
 
 
 def queries() -> dict[str, Query]:
-    from . import code_queries  # registers itself
+    from . import code_queries, text_queries, whole_queries  # noqa: F401  (register themselves)
 
-    return dict(code_queries.QUERIES)
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import code_queries
-
-    return dict(code_queries.SQL)
+    queries()
+    return dict(SQL)

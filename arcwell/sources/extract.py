@@ -1,6 +1,6 @@
 """Fact extractors: line rules as data, applied by built-in expressions.
 
-Patterns are valid for Java and RE2 alike, so oracles can use the same text.
+Patterns are valid for Java and RE2 alike, but for the look-ahead of weak-crypto.
 """
 
 from __future__ import annotations
@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import domain_keyword, path_segments, route_segments
-from .lines import context, first_by, last_marker, next_meaningful, resettable
+from .lines import context, first_by, last_marker, next_meaningful
+from .resolve import folded
 
 # Risk rules (fixed values): id, level, title, all of, none of.
 RISKS = [
@@ -26,8 +27,11 @@ RISKS = [
     ("hard-coded", "critical", "Hard-coded credential", ["(?i)password\\s*=\\s*['\"][^'\"]{3,}|secret\\s*=\\s*['\"][^'\"]{3,}"], []),
 ]
 
-# Endpoint verbs by annotation (fixed values).
-SPRING = {"GetMapping": "GET", "PostMapping": "POST", "PutMapping": "PUT", "DeleteMapping": "DELETE", "PatchMapping": "PATCH"}
+# Files that hold code, for line rules (fixed values).
+RISK_EXTENSIONS = ("ts", "tsx", "js", "jsx", "java", "py", "cs", "go", "rs", "php", "rb")
+CODE_EXTENSIONS = ("ts", "tsx", "js", "jsx", "java", "py", "cs", "go", "rb", "php")
+BACKEND_EXTENSIONS = ("java", "kt", "cs", "py", "ts", "js", "go", "rb", "php")
+JVM_EXTENSIONS = ("java", "kt")
 # Roles by file name, with their confidence, and by content (fixed values).
 CODE = "(ts|js|java|cs|py)$"
 NAME_PATTERNS = [
@@ -57,8 +61,14 @@ GENERIC = (
 ).split()
 
 
-def rule_hits(lines: DataFrame, rules=RISKS) -> DataFrame:
-    """(rule, level, title, file, line_no), one per (level, title, file): the first."""
+def of_kind(d: DataFrame, *extensions: str) -> DataFrame:
+    """Rows of files with these extensions."""
+    return d.where(F.lower(F.regexp_extract("file", "\\.([^./]+)$", 1)).isin(*extensions))
+
+
+def rule_hits(lines: DataFrame, rules=RISKS, extensions: tuple[str, ...] | None = RISK_EXTENSIONS) -> DataFrame:
+    """(rule, level, title, file, line_no), one per (level, title, file): the first. Only in
+    files with ``extensions`` (None: in all)."""
     def fit(all_of: list[str], none_of: list[str]) -> Column:
         out = F.lit(True)
         for p in all_of:
@@ -68,7 +78,8 @@ def rule_hits(lines: DataFrame, rules=RISKS) -> DataFrame:
         return out
 
     found = F.filter(F.array(*[F.when(fit(a, n), F.struct(F.lit(i).alias("rule"), F.lit(level).alias("level"), F.lit(t).alias("title"))) for i, level, t, a, n in rules]), lambda x: x.isNotNull())
-    hits = lines.select("file", "line_no", F.explode(found).alias("r")).select("r.rule", "r.level", "r.title", "file", "line_no")
+    own = of_kind(lines, *extensions) if extensions else lines
+    hits = own.select("file", "line_no", F.explode(found).alias("r")).select("r.rule", "r.level", "r.title", "file", "line_no")
     return first_by(hits, ["level", "title", "file"], ["line_no"])
 
 
@@ -78,95 +89,30 @@ def long_files(files: DataFrame) -> DataFrame:
     return files.select(F.lit("long-file").alias("rule"), level.alias("level"), F.lit("Long file").alias("title"), "file", F.lit(1).alias("line_no")).where("level IS NOT NULL")
 
 
-def _slashed(*parts: Column) -> Column:
-    return F.regexp_replace(F.concat(F.lit("/"), F.concat_ws("/", *parts)), "/+", "/")
-
-
-def endpoints(lines: DataFrame) -> DataFrame:
-    """(method, route, file, line_no): JVM annotations below their class's base path,
-    and script routers; the first form of a line wins."""
-    verbs = "|".join(SPRING)
-    t = F.col("text")
-    pending = last_marker(F.when(t.rlike("@(RequestMapping|Path|Controller)\\("), F.regexp_extract(t, "@(?:RequestMapping|Path|Controller)\\(\\s*(?:(?:value|path)\\s*=\\s*)?\"([^\"]*)\"", 1)))
-    d = lines.withColumn("pending", pending).withColumn("is_class", t.rlike("\\b(class|interface)\\s+[A-Z]"))
-    base = last_marker(F.when(F.col("is_class"), F.coalesce("pending", F.lit(""))))
-    d = d.withColumn("base", F.coalesce(base, F.lit("")))
-    kind = F.regexp_extract(t, f"@({verbs})", 1)
-    verb = F.element_at(F.create_map(*[F.lit(x) for kv in SPRING.items() for x in kv]), F.when(kind != "", kind))
-    jvm = F.when(verb.isNotNull(), F.struct(verb.alias("method"), _slashed(F.col("base"), F.regexp_extract(t, "Mapping\\(\\s*(?:(?:value|path)\\s*=\\s*)?\"([^\"]*)\"", 1)).alias("route")))
-    script = F.when(t.rlike("\\b(app|router)\\.(get|post|put|delete|patch)\\(\\s*['\"`]/"), F.struct(F.upper(F.regexp_extract(t, "\\b(?:app|router)\\.(get|post|put|delete|patch)\\(", 1)).alias("method"), _slashed(F.regexp_extract(t, "\\(\\s*['\"`]([^'\"`]+)", 1)).alias("route")))
-    python = F.when(t.rlike("@\\w+\\.(get|post|put|delete|patch|route)\\(\\s*['\"]"), F.struct(F.regexp_replace(F.upper(F.regexp_extract(t, "@\\w+\\.(\\w+)\\(", 1)), "ROUTE", "GET").alias("method"), _slashed(F.regexp_extract(t, "\\(\\s*['\"]([^'\"]+)", 1)).alias("route")))
-    out = d.withColumn("e", F.coalesce(jvm, script, python)).where("e IS NOT NULL")
-    return out.select("e.method", F.regexp_replace("e.route", "(.)/$", "$1").alias("route"), "file", "line_no")
-
-
-def http_calls(lines: DataFrame) -> DataFrame:
-    """(method, url, file, line_no, confidence): fetch, axios, HttpClient, XHR, in order."""
-    t, near = F.col("text"), context(2, 4)
-    d = lines.withColumn("near", near)
-    around = F.col("near")
-    guess = F.when(around.rlike("(?i)['\"]POST['\"]"), "POST").when(around.rlike("(?i)['\"]PUT['\"]"), "PUT").when(around.rlike("(?i)['\"]DELETE['\"]"), "DELETE").when(around.rlike("(?i)['\"]PATCH['\"]"), "PATCH").otherwise("GET")
-
-    def form(pattern: str, method: Column, url: int, confidence: str) -> Column:
-        return F.when(t.rlike(pattern), F.struct(method.alias("method"), F.regexp_extract(t, pattern, url).alias("url"), F.lit(confidence).alias("confidence")))
-
-    axios = "\\baxios\\.(get|post|put|delete|patch)\\(\\s*['\"`]([^'\"`]+)"
-    client = "\\bhttp\\w*\\.(get|post|put|delete|patch)(?:<[^>]*>)?\\(\\s*['\"`]([^'\"`$]+)['\"`]"
-    joined = "\\bhttp\\w*\\.(get|post|put|delete|patch)(?:<[^>]*>)?\\([^'\"`]*\\+\\s*['\"`]([^'\"`]+)"
-    xhr = "\\.open\\(\\s*['\"](GET|POST|PUT|DELETE|PATCH)['\"]\\s*,\\s*['\"`]([^'\"`]+)"
-    forms = [
-        form("\\bfetch\\(\\s*['\"]([^'\"]+)", guess, 1, "resolved"), form("\\bfetch\\(\\s*`([^`]+)", guess, 1, "inferred"),
-        form(axios, F.upper(F.regexp_extract(t, axios, 1)), 2, "resolved"), form(client, F.upper(F.regexp_extract(t, client, 1)), 2, "resolved"),
-        form(joined, F.upper(F.regexp_extract(t, joined, 1)), 2, "inferred"), form(xhr, F.regexp_extract(t, xhr, 1), 2, "resolved"),
-    ]
-    return d.withColumn("c", F.coalesce(*forms)).where("c IS NOT NULL").select("c.method", "c.url", "file", "line_no", "c.confidence")
-
-
 def table_name(x: Column) -> Column:
     return F.upper(F.element_at(F.split(F.regexp_replace(x, "[\"`\\[\\]]", ""), "\\."), -1))
 
 
-def sql_access(statements: DataFrame) -> DataFrame:
-    """(key, table_name, mode) of the tables that each SQL text reads and writes; a
-    DELETE counts as both, as the contract has it."""
+def sql_mentions(statements: DataFrame) -> DataFrame:
+    """(key, table_name, mode) of the tables that texts of (key, sql) name as read or written,
+    by the words before them; a DELETE counts as both. For whole statements and their columns
+    see ``sqlscope``."""
     name = "([\\w$#.\"`\\[\\]]+)"
     text = F.col("sql")
-    writes = F.concat(*[F.regexp_extract_all(text, F.lit(p + name), 1) for p in ("(?i)\\binsert\\s+into\\s+", "(?i)\\bupdate\\s+", "(?i)\\bdelete\\s+from\\s+", "(?i)\\bmerge\\s+into\\s+")])
-    reads = F.regexp_extract_all(text, F.lit("(?i)\\b(?:from|join)\\s+" + name), 1)
-    each = F.concat(F.transform(writes, lambda x: F.struct(table_name(x).alias("table_name"), F.lit("write").alias("mode"))), F.transform(reads, lambda x: F.struct(table_name(x).alias("table_name"), F.lit("read").alias("mode"))))
-    return statements.select("key", F.explode(each).alias("a")).select("key", "a.table_name", "a.mode").where(~F.col("table_name").isin(*SQL_NOT_TABLES) & (F.col("table_name") != "")).distinct()
-
 
-def column_access(statements: DataFrame) -> DataFrame:
-    """(key, table_name, column_name, mode): columns written by INSERT lists and UPDATE SETs."""
-    name = "[\\w$#.\"`\\[\\]]+"
-    insert = F.regexp_extract_all("sql", F.lit(f"(?is)\\binsert\\s+into\\s+({name})\\s*\\(([^)]*)\\)"), 0)
-    update = F.regexp_extract_all("sql", F.lit(f"(?is)\\bupdate\\s+{name}\\s+set\\s+.*?(?:\\bwhere\\b|;|$)"), 0)
-    a = statements.select("key", F.explode(insert).alias("s")).select("key", table_name(F.regexp_extract("s", f"(?is)into\\s+({name})", 1)).alias("table_name"), F.explode(F.split(F.regexp_extract("s", "(?s)\\(([^)]*)\\)", 1), ",")).alias("c"))
-    b = statements.select("key", F.explode(update).alias("s")).select("key", table_name(F.regexp_extract("s", f"(?is)update\\s+({name})", 1)).alias("table_name"), F.explode(F.regexp_extract_all("s", F.lit("(?is)(?:set|,)\\s*([\\w$#.\"`]+)\\s*="), 1)).alias("c"))
-    return a.unionByName(b).select("key", "table_name", table_name(F.trim("c")).alias("column_name"), F.lit("write").alias("mode")).where("column_name <> ''").distinct()
+    def named(pattern: str, mode: str) -> Column:
+        return F.transform(F.regexp_extract_all(text, F.lit(pattern + name), 1), lambda x: F.struct(table_name(x).alias("table_name"), F.lit(mode).alias("mode")))
 
-
-def db_objects(lines: DataFrame) -> DataFrame:
-    """(type, name, package, file, line_no) of declared database objects. A routine
-    below a package header and above its END belongs to that package."""
-    t = F.col("text")
-    head = "(?i)^\\s*create\\s+(?:or\\s+replace\\s+)?(?:public\\s+|materialized\\s+)?(package\\s+body|package|procedure|function|trigger|view|sequence|synonym|table|index)\\s+([\\w$#.\"]+)"
-    inner = "(?i)^\\s*(procedure|function)\\s+([\\w$#\"]+)"
-    kind = F.lower(F.regexp_replace(F.regexp_extract(t, head, 1), "\\s+", " "))
-    name = table_name(F.regexp_extract(t, head, 2))
-    d = lines.withColumn("kind", kind).withColumn("name", name)
-    package = resettable(F.when(F.col("kind").startswith("package"), F.col("name")), (F.col("kind") != "") & ~F.col("kind").startswith("package") | t.rlike("^\\s*/\\s*$"))
-    d = d.withColumn("package", package).withColumn("routine", table_name(F.regexp_extract(t, inner, 2)))
-    top = d.where("kind <> ''").select(F.col("kind").alias("type"), "name", F.lit(None).cast("string").alias("package"), "file", "line_no")
-    own = d.where("kind = '' AND routine <> '' AND package IS NOT NULL").select(F.lower(F.regexp_extract("text", inner, 1)).alias("type"), F.col("routine").alias("name"), "package", "file", "line_no")
-    return top.unionByName(own)
+    writes = ("(?i)\\binsert\\s+into\\s+", "(?i)(?<!for )\\bupdate\\s+", "(?i)\\bdelete\\s+(?:from\\s+)?", "(?i)\\bmerge\\s+into\\s+")
+    each = F.concat(*[named(p, "write") for p in writes], named("(?i)\\b(?:from|join)\\s+", "read"))
+    found = statements.select("key", F.explode(each).alias("a")).select("key", "a.table_name", "a.mode")
+    return found.where(~F.col("table_name").isin(*SQL_NOT_TABLES) & F.col("table_name").rlike("^[A-Z][A-Z0-9_$#]+$")).distinct()
 
 
 def db_calls(lines: DataFrame) -> DataFrame:
     """(routine, package, file, line_no, confidence) of stored routine calls in code."""
     t, near = F.col("text"), context(0, 3)
-    d = lines.withColumn("near", near)
+    d = of_kind(lines, *BACKEND_EXTENSIONS).withColumn("near", near)
     exact = F.coalesce(*[F.when(F.regexp_extract(t, p, 1) != "", F.regexp_extract(t, p, 1)) for p in (
         "(?i)procedureName\\s*=\\s*\"([\\w.$]+)\"", "(?i)createStoredProcedureQuery\\(\\s*\"([\\w.$]+)\"", "(?i)@Procedure\\(\\s*\"([\\w.$]+)\"", "(?i)\\{\\s*(?:\\?\\s*=\\s*)?call\\s+([\\w.$]+)", "(?i)callproc\\(\\s*['\"]([\\w.$]+)", "(?i)withProcedureName\\(\\s*\"([\\w.$]+)\"")])
     loose = F.when(F.regexp_extract(t, "\"([A-Z][A-Z0-9_$]+\\.[A-Z][A-Z0-9_$]+)\"", 1) != "", F.regexp_extract(t, "\"([A-Z][A-Z0-9_$]+\\.[A-Z][A-Z0-9_$]+)\"", 1))
@@ -183,7 +129,7 @@ def orm_entities(lines: DataFrame) -> DataFrame:
     t = F.col("text")
     named = last_marker(F.when(t.rlike("@Table\\("), F.regexp_extract(t, "name\\s*=\\s*\"([^\"]+)\"", 1)))
     marked = last_marker(F.when(t.rlike("@Entity\\b"), F.lit("y")))
-    d = lines.withColumn("named", named).withColumn("marked", marked).withColumn("entity", F.regexp_extract(t, "\\bclass\\s+(\\w+)", 1))
+    d = of_kind(lines, *JVM_EXTENSIONS).withColumn("named", named).withColumn("marked", marked).withColumn("entity", F.regexp_extract(t, "\\bclass\\s+(\\w+)", 1))
     return d.where("entity <> '' AND marked = 'y'").select("entity", F.upper(F.coalesce(F.when(F.col("named") != "", F.col("named")), F.col("entity"))).alias("table_name"), "file")
 
 
@@ -191,7 +137,7 @@ def transactions(lines: DataFrame) -> DataFrame:
     """(class, method, propagation, read_only, rollback_for, scope, file, line_no) of
     @Transactional; its arguments may take six lines."""
     t = F.col("text")
-    d = lines.withColumn("class", last_marker(F.when(t.rlike("\\bclass\\s+\\w+"), F.regexp_extract(t, "\\bclass\\s+(\\w+)", 1)))).withColumn("near", context(0, 5))
+    d = of_kind(lines, *JVM_EXTENSIONS).withColumn("class", last_marker(F.when(t.rlike("\\bclass\\s+\\w+"), F.regexp_extract(t, "\\bclass\\s+(\\w+)", 1)))).withColumn("near", context(0, 5))
     d = d.withColumn("next", F.trim(next_meaningful((F.trim(t) != "") & ~t.rlike("^\\s*(@|//|\\*)"), 7)))
     of_class = F.coalesce(F.col("next").rlike("class\\s+\\w+"), F.lit(False))
     method = F.nullif(F.regexp_extract("next", "^(?:public|protected|private)?\\s*(?:static\\s+)?[\\w<>,\\[\\] ]+\\s+(\\w+)\\s*\\(", 1), F.lit(""))
@@ -214,7 +160,7 @@ def jobs(lines: DataFrame) -> DataFrame:
 def business_rules(lines: DataFrame) -> DataFrame:
     """(kind, detail, file, line_no): validations, enums with values, guards, constants."""
     t = F.col("text")
-    d = lines.withColumn("near", context(0, 19))
+    d = of_kind(lines, *CODE_EXTENSIONS).withColumn("near", context(0, 19))
     kind = F.when(t.rlike("@(NotNull|NotBlank|NotEmpty|Size|Min|Max|Email|Pattern)\\b"), "validation").when(t.rlike("\\benum\\s+\\w+"), "enum").when(t.rlike("\\bif\\s*\\(.*\\)\\s*\\{?\\s*throw\\b"), "guard").when(t.rlike("\\b(MAX|MIN|LIMIT|DEFAULT)_[A-Z0-9_]+\\s*="), "constant")
     values = F.array_join(F.slice(F.regexp_extract_all(F.regexp_extract("near", "enum\\s+\\w+\\s*\\{([^}]*)", 1), F.lit("([A-Z][A-Z0-9_]+)"), 1), 1, 6), ", ")
     return d.withColumn("kind", kind).where("kind IS NOT NULL").select("kind", F.when(F.col("kind") == "enum", values).otherwise(F.trim("text")).alias("detail"), "file", "line_no")
@@ -224,7 +170,7 @@ def permissions(lines: DataFrame, found: DataFrame) -> DataFrame:
     """(roles, route, file, line_no): each annotation with the nearest endpoint of the
     same file within the next five lines."""
     t = F.col("text")
-    p = lines.where(t.rlike("@(PreAuthorize|Secured|RolesAllowed|Roles)\\b")).select("file", F.col("line_no").alias("at"), F.array_distinct(F.regexp_extract_all("text", F.lit("['\"](?:ROLE_)?([A-Z][A-Z_]+)['\"]"), 1)).alias("roles"))
+    p = of_kind(lines, *CODE_EXTENSIONS).where(t.rlike("@(PreAuthorize|Secured|RolesAllowed|Roles)\\b")).select("file", F.col("line_no").alias("at"), F.array_distinct(F.regexp_extract_all("text", F.lit("['\"](?:ROLE_)?([A-Z][A-Z_]+)['\"]"), 1)).alias("roles"))
     e = found.select("file", "line_no", "route")
     met = p.join(e, "file", "left").where("line_no IS NULL OR line_no BETWEEN at AND at + 4")
     return met.groupBy("file", "at", "roles").agg(F.min_by("route", "line_no").alias("route")).withColumnRenamed("at", "line_no")
@@ -242,9 +188,9 @@ def patterns(files: DataFrame) -> DataFrame:
 
 
 def inheritance(lines: DataFrame) -> DataFrame:
-    """(child, parent, kind, file) of class headers."""
+    """(child, parent, kind, file) of class headers; lines of comments are none."""
     t = F.col("text")
-    d = lines.withColumn("child", F.regexp_extract(t, "\\b(?:class|interface)\\s+(\\w+)", 1)).where("child <> ''")
+    d = lines.where(~t.rlike("^\\s*(//|\\*|/\\*)")).withColumn("child", F.regexp_extract(t, "\\b(?:class|interface)\\s+(\\w+)", 1)).where("child <> ''")
     up = F.nullif(F.regexp_extract("text", "\\bextends\\s+(\\w+)", 1), F.lit(""))
     a = d.select("child", up.alias("parent"), F.lit("extends").alias("kind"), "file").where("parent IS NOT NULL")
     b = d.select("child", F.explode(F.split(F.regexp_extract("text", "\\bimplements\\s+([\\w\\s,]+)", 1), "\\s*,\\s*")).alias("parent"), F.lit("implements").alias("kind"), "file").withColumn("parent", F.trim("parent")).where("parent <> ''")
@@ -268,14 +214,12 @@ def imports(lines: DataFrame) -> DataFrame:
 
 
 def resolve_imports(found: DataFrame, files: DataFrame) -> DataFrame:
-    """(from_file, to_file): relative targets by the first candidate suffix that exists."""
+    """(from_file, to_file): relative targets by the first candidate suffix that exists; one
+    that leaves the root has none."""
     folder = F.regexp_replace("file", "/?[^/]*$", "")
-    whole = F.split(F.concat_ws("/", F.nullif(folder, F.lit("")), "target"), "/")
-    # Fold ``.`` and ``..`` segment by segment.
-    folded = F.aggregate(whole, F.array().cast("array<string>"), lambda s, p: F.when(p == "..", F.slice(s, 1, F.greatest(F.size(s) - 1, F.lit(0)))).when((p == ".") | (p == ""), s).otherwise(F.concat(s, F.array(p))))
-    stem = F.when(F.col("target").startswith("."), F.array_join(folded, "/")).otherwise(F.replace("target", F.lit("."), F.lit("/")))
+    stem = F.when(F.col("target").startswith("."), folded(F.concat_ws("/", F.nullif(folder, F.lit("")), "target"))).otherwise(F.replace("target", F.lit("."), F.lit("/")))
     ends = ["", ".ts", ".tsx", ".js", ".jsx", ".java", ".py", "/index.ts", "/index.js"]
-    tries = found.withColumn("stem", stem).select("file", "target", F.posexplode(F.array(*[F.concat("stem", F.lit(e)) for e in ends])).alias("turn", "path"))
+    tries = found.withColumn("stem", stem).where("stem IS NOT NULL").select("file", "target", F.posexplode(F.array(*[F.concat("stem", F.lit(e)) for e in ends])).alias("turn", "path"))
     met = tries.join(files.select(F.col("file").alias("path")), "path")
     return met.groupBy("file", "target").agg(F.min_by("path", "turn").alias("to_file")).select(F.col("file").alias("from_file"), "to_file").where("from_file <> to_file").distinct()
 
@@ -317,34 +261,3 @@ def openapi_paths(found: DataFrame) -> DataFrame:
     return d.withColumn("params", F.array_join(F.regexp_extract_all("path", F.lit("\\{([^}]*)\\}"), 1), ","))
 
 
-def object_facts(lines: DataFrame) -> DataFrame:
-    """(type, name, package, file, line_no, tables_read, tables_written, on_table,
-    synonym_for) of declared database objects. A statement belongs to the last header
-    above it, between a package's header and its first routine to the package."""
-    found = db_objects(lines)
-    t = F.col("text")
-    near = F.regexp_replace(context(0, 6), "(?is)\\b(declare|begin)\\b.*$", "")
-    d = lines.withColumn("near", near).join(found.withColumnRenamed("file", "_f").withColumnRenamed("line_no", "_n"), (F.col("file") == F.col("_f")) & (F.col("line_no") == F.col("_n")), "left")
-    head = F.struct("type", "name", "package", F.col("line_no").alias("at"))
-    d = d.withColumn("own", last_marker(F.when(F.col("name").isNotNull(), head)))
-    mine = d.where("own IS NOT NULL").select(F.to_json(F.struct(F.col("own.at").alias("a"), "file")).alias("key"), F.col("text").alias("sql"))
-    each = sql_access(mine).groupBy("key").agg(F.array_sort(F.collect_set(F.when(F.col("mode") == "read", F.col("table_name")))).alias("tables_read"), F.array_sort(F.collect_set(F.when(F.col("mode") == "write", F.col("table_name")))).alias("tables_written"))
-    heads = d.where("name IS NOT NULL").select(
-        "type", "name", "package", "file", "line_no", F.to_json(F.struct(F.col("line_no").alias("a"), "file")).alias("key"),
-        F.when(F.col("type") == "trigger", F.nullif(table_name(F.regexp_extract("near", "(?is)\\btrigger\\s+\\S+.*?\\bon\\s+([\\w$#.\"]+)", 1)), F.lit(""))).alias("on_table"),
-        F.when(F.col("type") == "synonym", F.nullif(F.upper(F.regexp_replace(F.regexp_extract(t, "(?i)\\bfor\\s+([\\w$#.\"]+)", 1), "\"", "")), F.lit(""))).alias("synonym_for"))
-    none = F.array().cast("array<string>")
-    return heads.join(each, "key", "left").select("type", "name", "package", "file", "line_no", F.coalesce("tables_read", none).alias("tables_read"), F.coalesce("tables_written", none).alias("tables_written"), "on_table", "synonym_for")
-
-
-def routine_calls(lines: DataFrame) -> DataFrame:
-    """(caller, routine, package, dynamic, file, line_no): calls of ``PKG.PROC`` inside declared
-    routines, and dynamic statements."""
-    found = db_objects(lines).select(F.col("file").alias("_f"), F.col("line_no").alias("_n"), F.col("name").alias("_name"))
-    d = lines.join(found, (F.col("file") == F.col("_f")) & (F.col("line_no") == F.col("_n")), "left").withColumn("caller", last_marker(F.col("_name")))
-    call = "\\b([A-Za-z][\\w$#]*)\\.([A-Za-z][\\w$#]*)\\s*[(;]"
-    bare = F.regexp_replace(F.regexp_replace("text", "--.*$", ""), "'[^']*'", "''")
-    each = d.where("caller IS NOT NULL AND _name IS NULL").select("caller", "file", "line_no", F.explode(F.regexp_extract_all(bare, F.lit(call), 0)).alias("s"))
-    calls = each.select("caller", F.upper(F.regexp_extract("s", call, 2)).alias("routine"), F.upper(F.regexp_extract("s", call, 1)).alias("package"), F.lit(False).alias("dynamic"), "file", "line_no")
-    free = d.where(F.col("caller").isNotNull() & F.col("text").rlike("(?i)\\bexecute\\s+immediate\\b")).select("caller", F.lit("?").alias("routine"), F.lit(None).cast("string").alias("package"), F.lit(True).alias("dynamic"), "file", "line_no")
-    return calls.unionByName(free)

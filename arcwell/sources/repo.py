@@ -1,11 +1,10 @@
-"""What a repository says of itself: roots, diffs, logs of fixes, stack, modules, artifacts."""
+"""What a repository says of itself: roots, diffs, logs of fixes, stack, artifacts."""
 
 from __future__ import annotations
 
 import json
-import os
 import re
-from collections import Counter, defaultdict
+from pathlib import Path
 from urllib import request
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,28 +21,19 @@ LANGUAGES = {
 }
 PACKAGES = {"react": "React", "vue": "Vue", "@angular/core": "Angular", "next": "Next.js", "nuxt": "Nuxt", "express": "Express", "fastify": "Fastify", "nestjs": "NestJS", "@nestjs/core": "NestJS", "electron": "Electron"}
 MANAGERS = {"package-lock.json": "npm", "yarn.lock": "yarn", "pnpm-lock.yaml": "pnpm", "pom.xml": "maven", "build.gradle": "gradle", "requirements.txt": "pip", "Cargo.toml": "cargo", "go.mod": "go modules"}
-# Folders that name no module, folders that hold source trees, endings of sub-projects (fixed values).
-NO_MODULE = (
-    "src main test java kotlin resources webapp dist build target generated out output app lib internal pkg cmd assets static public styles environments i18n "
-    "locale fonts images icons themes scss less com br org net io co gov edu uk de fr ru"
-).split()
-SOURCE_DIRS = "src app lib packages modules apps internal pkg cmd source sources".split()
-SHORT_NAMES = "frontend backend api web app core service worker server client ui gateway proxy admin mobile cli bff".split()
-SUB_PROJECT = "(?i)(^|[-_.])(frontend|front|backend|back|api|web|ui|client|server|mobile|bff|gateway|admin)$"
-MANY_FILES, GROUP_FILES, MOST_DEPTH = 80, 5, 10
+def _side(name: str) -> str | None:
+    return next((side for side, pattern in (("front", FRONTEND_DIRS), ("back", BACKEND_DIRS)) if re.match(pattern, name, re.IGNORECASE)), None)
 
 
 def find_scan_root(path: str) -> str:
-    """The parent of a folder that is one half of a front end and a back end side by side."""
-    base, parent = os.path.basename(path.rstrip("/")), os.path.dirname(path.rstrip("/"))
-    half = lambda n, p: re.match(p, n, re.IGNORECASE)
-    if not parent or not (half(base, FRONTEND_DIRS) or half(base, BACKEND_DIRS)):
-        return path
+    """Where a front end and a back end lie side by side and ``path`` is one of them, the folder
+    of both; else, and where that folder can't be read, ``path``."""
+    here = Path(path)
     try:
-        near = [e.name for e in os.scandir(parent) if e.is_dir()]
+        sides = {_side(p.name) for p in here.parent.iterdir() if p.is_dir()}
     except OSError:
         return path
-    return parent if any(half(n, FRONTEND_DIRS) for n in near) and any(half(n, BACKEND_DIRS) for n in near) else path
+    return str(here.parent) if _side(here.name) and sides >= {"front", "back"} else path
 
 
 def changed_names(spark: SparkSession, *paths: str) -> DataFrame:
@@ -118,104 +108,6 @@ def stack(files: DataFrame) -> DataFrame:
     return told("framework", found).unionByName(told("manager", [F.when(F.col(f"m{i}"), F.lit(v)) for i, v in enumerate(MANAGERS.values())]))
 
 
-# -- Modules -----------------------------------------------------------------------
-
-
-def _short(name: str) -> str:
-    parts = re.split("[-_]", name)
-    for i in range(len(parts) - 1, -1, -1):
-        if parts[i].lower() in SHORT_NAMES:
-            return "-".join(parts[i:])
-    return parts[-1]
-
-
-def _depth(folders: dict[str, int]) -> int:
-    """Where a sub-project splits: the depth at which two differently named groups have
-    GROUP_FILES files each. folders: path inside it and its files."""
-    for depth in range(1, MOST_DEPTH + 1):
-        groups: Counter[str] = Counter()
-        for folder, n in folders.items():
-            parts = folder.split("/") if folder else []
-            if len(parts) >= depth:
-                groups["/".join(parts[:depth])] += n
-        if not groups:
-            break
-        last = {k: k.rsplit("/", 1)[-1] for k in groups}
-        if len({last[k] for k, n in groups.items() if n >= GROUP_FILES and last[k] not in NO_MODULE}) >= 2:
-            return depth
-        if len(groups) > 1 and not all(x in NO_MODULE for x in last.values()):
-            break
-    return 1
-
-
-def name_modules(folders: dict[str, int], most: int | None = 25) -> dict[str, str | None]:
-    """The module of each folder, from its files: sub-projects split where they branch, one
-    level of a source tree, equal names of one top folder merged and others told apart,
-    small modules folded into their top folder's. None: a root with too few files, and what
-    is beyond the ``most`` largest."""
-    tops: dict[str, dict[str, int]] = defaultdict(dict)
-    for folder, n in folders.items():
-        top, _, rest = folder.partition("/")
-        tops[top][rest] = n
-    key: dict[str, str | None] = {}
-    subs = set()
-    for top, inner in tops.items():
-        path = lambda rest, top=top: f"{top}/{rest}" if rest else top
-        if not top:
-            key[""] = "__root__" if inner[""] >= GROUP_FILES else None
-            continue
-        sub = bool(re.search(SUB_PROJECT, top))
-        if top not in SOURCE_DIRS and (sum(inner.values()) >= MANY_FILES or sub):
-            depth = _depth(inner)
-            own = {rest: f"{top}/{'/'.join(rest.split('/')[:depth]) if rest else '__root__'}" for rest in inner}
-            if len(set(own.values())) > 1:
-                subs.add(top)
-                key.update({path(rest): k for rest, k in own.items()})
-                continue
-            if sub:
-                subs.add(top)
-            key.update({path(rest): f"{top}/__root__" if sub else top for rest in inner})
-            continue
-        for rest in inner:
-            key[path(rest)] = f"{top}/{rest.split('/')[0]}" if top in SOURCE_DIRS and rest else top
-    size: Counter[str] = Counter()
-    for folder, k in key.items():
-        if k:
-            size[k] += folders[folder]
-    taken: dict[str, tuple[str, int]] = {}  # name: top folder and files
-    name: dict[str, str] = {}
-    for k in sorted(size, key=lambda k: (-size[k], k)):
-        top, last = k.split("/")[0], k.rsplit("/", 1)[-1]
-        said = (_short(top) if last == "__root__" else f"{_short(top)}/{last}") if top in subs and "/" in k else last
-        if said in taken and taken[said][0] != top:
-            said = f"{top}/{said}"
-        taken[said] = (taken.get(said, (top, 0))[0], taken.get(said, (top, 0))[1] + size[k])
-        name[k] = said
-    order = sorted(taken, key=lambda m: (-taken[m][1], m))
-    host = {m: m for m in order}
-    held = {m: taken[m][1] for m in order}
-    for m in order:
-        if held[m] >= GROUP_FILES or len(order) == 1:
-            continue
-        top = taken[m][0]
-        to = next((x for x in (_short(top), top, "__root__", *(x for x in order if taken[x][0] == top)) if x in held and x != m and host[x] == x), None)
-        if to and held[to] >= GROUP_FILES:
-            host[m], held[to] = to, held[to] + held[m]
-    kept = sorted({host[m] for m in order}, key=lambda m: (-held[m], m))[:most]
-    return {f: (host[name[k]] if k and host[name[k]] in kept else None) for f, k in key.items()}
-
-
-def detect_modules(files: DataFrame, most: int | None = 25) -> DataFrame:
-    """(file, module) of all files. Only folders and their counts reach the driver, which names
-    them: there are far fewer than files."""
-    folder = F.when(F.contains(F.col("file"), F.lit("/")), F.regexp_replace("file", "/[^/]*$", "")).otherwise("")
-    d = files.select("file", folder.alias("folder"))
-    counts = {r["folder"]: r["n"] for r in d.groupBy("folder").agg(F.count("*").alias("n")).toLocalIterator()}
-    named = [(f, m) for f, m in name_modules(counts, most).items()]
-    told = files.sparkSession.createDataFrame(named, "folder string, module string")
-    return d.join(told, "folder").select("file", "module")
-
-
 # -- Sinks ------------------------------------------------------------------------
 
 
@@ -288,11 +180,12 @@ def webhook(url: str, most: int = 100, timeout: float = 8.0):
 
 def replace_index(tables: dict[str, DataFrame], root: str, spark: SparkSession) -> None:
     """Rebuild an index beside the old one, and put it in its place when it is whole."""
-    for name, d in tables.items():
-        d.write.mode("overwrite").parquet(f"{root}.next/{name}")
     jvm = spark.sparkContext._jvm
     path = lambda p: jvm.org.apache.hadoop.fs.Path(p)
     fs = path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.delete(path(f"{root}.next"), True)  # what a failed run left
+    for name, d in tables.items():
+        d.write.mode("overwrite").parquet(f"{root}.next/{name}")
     if fs.exists(path(root)):
         fs.delete(path(f"{root}.old"), True)
         fs.rename(path(root), path(f"{root}.old"))

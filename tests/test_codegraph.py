@@ -5,7 +5,7 @@ import json
 from pyspark.sql import functions as F
 
 from arcwell.operators import codegraph, review, search
-from arcwell.sources import extract, lines, repo, resolve
+from arcwell.sources import dbsource, modules, repo, resolve
 
 
 def files(spark, texts):
@@ -55,14 +55,14 @@ CREATE SYNONYM CHARGES FOR other.DUES;
 
 
 def test_database_facts_and_routines(spark):
-    ln = lines.file_lines(files(spark, {"p.pkb": SQL}))
-    objects = extract.object_facts(ln)
+    units = dbsource.units(files(spark, {"p.pkb": SQL}))
+    objects = dbsource.object_facts(units)
     got = {(r["type"], r["name"]): (r["package"], r["tables_read"], r["tables_written"], r["on_table"], r["synonym_for"]) for r in objects.collect()}
     assert got[("procedure", "BERTH")] == ("PORT_API", ["SHIP"], ["BERTH"], None, None)
     assert got[("trigger", "T_SHIP")][2:4] == (["LOG_BOOK"], "SHIP") and got[("synonym", "CHARGES")][4] == "OTHER.DUES"
-    calls = {(r["caller"], r["package"], r["routine"], r["dynamic"]) for r in extract.routine_calls(ln).collect()}
+    calls = {(r["caller"], r["package"], r["routine"], r["dynamic"]) for r in dbsource.routine_calls(units).collect()}
     assert ("BERTH", "DUES", "CHARGE", False) in calls and ("BERTH", None, "?", True) in calls
-    e = {(r["from_id"], r["to_id"], r["via"], r["confidence"]) for r in codegraph.build_impact_graph(objects=objects, routine_calls=extract.routine_calls(ln)).collect()}
+    e = {(r["from_id"], r["to_id"], r["via"], r["confidence"]) for r in codegraph.build_impact_graph(objects=objects, routine_calls=dbsource.routine_calls(units)).collect()}
     assert e >= {("plsql:PORT_API.BERTH", "table:SHIP", "reads", "resolved"), ("plsql:T_SHIP", "table:SHIP", "trigger-on", "resolved"), ("plsql:PORT_API.BERTH", "plsql:DUES.CHARGE", "plsql-call", "inferred"), ("plsql:PORT_API.BERTH", "file:p.pkb", "defined-in", "resolved")}
     assert not any("?" in x[1] for x in e)
     declared = spark.createDataFrame([("procedure", "GO", "A", "f", 1, None), ("procedure", "GO", "B", "f", 2, None), ("procedure", "ONE", None, "f", 3, None), ("synonym", "UNO", None, "f", 4, "x.ONE")], "type string, name string, package string, file string, line_no int, synonym_for string")
@@ -94,12 +94,28 @@ def test_trace_and_entries(spark):
     assert {r["module"] for r in told.collect()} == {"s", None} and counts.agg(F.sum("n")).first()[0] == 3 and not cut
 
 
-def test_modules():
-    folders = {"shop-backend/src/main/java/com/x/boats": 6, "shop-backend/src/main/java/com/x/crew": 7, "shop-backend": 1, "shop-frontend/src": 9, "src/a": 5, "src/b": 2, "": 6, "docs": 1}
-    got = repo.name_modules(folders)
-    assert got["shop-backend/src/main/java/com/x/boats"] == "backend/boats" and got["shop-backend/src/main/java/com/x/crew"] == "backend/crew"
-    assert got["shop-frontend/src"].startswith("frontend") and got["src/a"] == "a" and got[""] == "__root__" and got["docs"] == "__root__"
-    assert repo.name_modules({"": 2})[""] is None and len(set(repo.name_modules({f"d{i}": 9 for i in range(40)}).values())) == 26
+def test_modules(spark):
+    def named(folders, most=25):
+        d = spark.createDataFrame(list(folders.items()), "folder string, n long")
+        return {r["folder"]: r["module"] for r in modules.name_folders(d, most).collect()}
+
+    got = named({"shop-backend/src/main/java/com/x/boats": 6, "shop-backend/src/main/java/com/x/crew": 7, "shop-backend": 1, "shop-frontend/src": 9, "src/a": 5, "src/b": 2, "": 6, "docs": 1})
+    assert got == {
+        "shop-backend/src/main/java/com/x/boats": "backend/boats", "shop-backend/src/main/java/com/x/crew": "backend/crew", "shop-backend": "backend",  # the first module that could take it is itself: it stays
+        "shop-frontend/src": "frontend", "src/a": "a", "src/b": "__root__", "": "__root__", "docs": "docs"}
+    assert named({"": 2})[""] is None and len(set(named({f"d{i}": 9 for i in range(40)}).values())) == 26
+    # A folder alone goes on, two that name modules but are small end the search, infrastructure is passed.
+    assert named({"x-api/only/p": 5, "x-api/only/q": 5})["x-api/only/p"] == "api/p"
+    assert named({"x-api/p": 2, "x-api/q/r": 6, "x-api/q/s": 6})["x-api/q/r"] == "api/q"
+    assert named({"x-api/main/p": 5, "x-api/test/q": 5})["x-api/test/q"] == "api/q"
+    # Equal names of two top folders are told apart; src/main and src/test of one are one.
+    both = named({"web/shop/a": 50, "web/b": 40, "old-web/shop": 9, "old-web/b": 8})
+    assert both["web/shop/a"] == "web/shop" and both["old-web/shop"] == "old-web/web/shop"
+    assert named({"src/a": 9, "app/a": 7}) == {"src/a": "a", "app/a": "app/a"}
+    # Small ones stay where nothing large enough takes them.
+    assert named({"src/a": 3, "src/b": 2}) == {"src/a": "a", "src/b": "b"}
+    files_ = spark.createDataFrame([(f"lib/x/f{i}.ts",) for i in range(6)] + [("README.md",)], "file string")
+    assert {(r["file"], r["module"]) for r in modules.detect_modules(files_).collect()} >= {("lib/x/f0.ts", "x"), ("README.md", None)}
 
 
 def test_repository_facts(spark, tmp_path):
