@@ -2,61 +2,53 @@
 
 A level holds nodes (id, strength, community) and links in both directions. In each round
 half of the nodes, drawn anew by a hash, move at once to the neighbouring community of the
-best gain; the other half holds still, so that neighbours seldom swap. The best labelling
-seen is kept. Communities then become the nodes of the next level by grouping. Every step
-is a join or a grouped aggregation over links: a graph that is one component is as many
-tasks as any other.
+best gain; the other half holds still, so that neighbours seldom swap. Communities then
+become the nodes of the next level by grouping, as long as that adds modularity. Every
+step is a join or a grouped aggregation over links: a graph that is one component is as
+many tasks as any other. A round is one job that writes its nodes, and one that counts
+how many moved.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.session import checkpoint
-from .graph import FRONT_BYTES, weigh
+from ..plans.session import round_checkpoint as checkpoint
 
-#: Rounds of a level at most, and rounds without a better labelling after which it ends.
-ROUNDS, PATIENCE = 40, 4
-#: Modularity that a round or a level must add.
+#: Rounds of a level at most; a level ends earlier when two rounds together, each half of
+#: the nodes, move less than one in CALM of them.
+ROUNDS, CALM = 16, 50
+#: Modularity that a level must add.
 LEAST_GAIN = 1e-6
 
 
-def _told(d: DataFrame) -> DataFrame:
-    """A table that is joined by key, broadcast while its measured bytes are few."""
-    return F.broadcast(d) if weigh(d)[1] <= FRONT_BYTES else d
-
-
-def _level(nodes: DataFrame, links: DataFrame, inner: float, total: float) -> tuple[DataFrame, float]:
-    """((id, community), modularity) of nodes (id, strength) and links (a, b, weight), whose
-    weights between different nodes are there in both directions; ``inner`` is the weight
-    within nodes, twice, and ``total`` all strength."""
-    state = checkpoint(nodes.withColumn("community", F.col("id")))
-    best, best_score, since = state, float("-inf"), 0
+def _level(nodes: DataFrame, links: DataFrame, total: float) -> DataFrame:
+    """(id, strength, community) of nodes (id, strength) and links (a, b, weight), which are there
+    in both directions; ``total`` is the strength of all."""
+    state = checkpoint(nodes.withColumn("community", F.col("id")).withColumn("moved", F.lit(False)))
+    count, before = state.count(), 0
     for turn in range(ROUNDS):
-        own = _told(state.select("id", "community"))
-        near = links.join(own.toDF("b", "community"), "b").groupBy("a", "community").agg(F.sum("weight").alias("weight"))
-        near = checkpoint(near.join(_told(state.toDF("a", "strength", "own")), "a"))
-        sizes = checkpoint(state.groupBy("community").agg(F.sum("strength").alias("size")))
-        within = near.where("community = own").agg(F.coalesce(F.sum("weight"), F.lit(0.0))).first()[0]
-        squares = sizes.agg(F.sum(F.col("size") * F.col("size"))).first()[0]
-        score = (within + inner) / total - squares / total / total
-        if score > best_score + LEAST_GAIN:
-            best, best_score, since = state, score, 0
-        else:
-            since += 1
-            if since >= PATIENCE:
-                break
+        own = state.select("id", "strength", "community")
+        near = links.join(own.select(F.col("id").alias("b"), "community"), "b").groupBy("a", "community").agg(F.sum("weight").alias("weight"))
+        # Staying is a choice as well, with whatever links there are.
+        choices = near.unionByName(own.select(F.col("id").alias("a"), "community", F.lit(0.0).alias("weight")))
         awake = F.pmod(F.xxhash64("a", F.lit(turn)), F.lit(2)) == 0
-        stay = state.select(F.col("id").alias("a"), "community", F.lit(0.0).alias("weight"), "strength", F.col("community").alias("own"))
-        rows = near.select("a", "community", "weight", "strength", "own").union(stay).where(awake).groupBy("a", "community", "strength", "own").agg(F.sum("weight").alias("weight"))
-        size = F.col("size") - F.when(F.col("community") == F.col("own"), F.col("strength")).otherwise(0.0)
-        gain: Column = F.round(F.col("weight") - size * F.col("strength") / total, 9)
-        rated = rows.join(_told(sizes), "community").select("a", "community", "own", gain.alias("gain"))
+        choices = choices.where(awake).groupBy("a", "community").agg(F.sum("weight").alias("weight"))
+        sizes = own.groupBy("community").agg(F.sum("strength").alias("size"))
+        rated = choices.join(sizes, "community").join(own.toDF("a", "strength", "own"), "a")
+        stays = F.col("community") == F.col("own")
+        size = F.col("size") - F.when(stays, F.col("strength")).otherwise(0.0)
+        gain = F.round(F.col("weight") - size * F.col("strength") / total, 9)
         # Of equal gains staying wins, then the smallest community.
-        chosen = rated.groupBy("a").agg(F.min_by("community", F.struct(-F.col("gain"), F.col("community") != F.col("own"), "community")).alias("to"))
-        state = checkpoint(state.join(chosen.withColumnRenamed("a", "id"), "id", "left").select("id", "strength", F.coalesce("to", "community").alias("community")))
-    return best.select("id", "community"), best_score
+        chosen = rated.groupBy(F.col("a").alias("id")).agg(F.min_by("community", F.struct(-gain, ~stays, "community")).alias("to"))
+        to = F.coalesce("to", "community")
+        state = checkpoint(own.join(chosen, "id", "left").select("id", "strength", to.alias("community"), (to != F.col("community")).alias("moved")))
+        moved = state.where("moved").count()
+        if turn and (moved + before) * CALM <= count:
+            break
+        before = moved
+    return state.drop("moved")
 
 
 def communities(edges: DataFrame, levels: int = 32) -> DataFrame:
@@ -69,29 +61,28 @@ def communities(edges: DataFrame, levels: int = 32) -> DataFrame:
     nodes = checkpoint(links.groupBy(F.col("a").alias("id")).agg(F.sum("weight").alias("strength")))
     member = nodes.select("id", F.col("id").alias("community"))
     total = nodes.agg(F.sum("strength")).first()[0]
-    if not total:
-        return member
-    inner, before = 0.0, float("-inf")
-    for _ in range(levels):
-        found, score = _level(nodes, links, inner, total)
-        if score <= before + LEAST_GAIN:
-            break
-        before = score
-        told = _told(found)
-        member = checkpoint(member.join(told.toDF("community", "next"), "community").select("id", F.col("next").alias("community")))
-        joined = links.join(told.toDF("a", "ca"), "a").join(told.toDF("b", "cb"), "b").groupBy("ca", "cb").agg(F.sum("weight").alias("weight"))
+    inner, score = 0.0, float("-inf")
+    for _ in range(levels if total else 0):
+        found = _level(nodes, links, total)
+        of = found.select("id", "community")
+        joined = links.join(of.toDF("a", "ca"), "a").join(of.toDF("b", "cb"), "b").groupBy("ca", "cb").agg(F.sum("weight").alias("weight"))
         joined = checkpoint(joined)
+        nodes = checkpoint(found.groupBy(F.col("community").alias("id")).agg(F.sum("strength").alias("strength")))
         inner += joined.where("ca = cb").agg(F.coalesce(F.sum("weight"), F.lit(0.0))).first()[0]
-        nodes = checkpoint(nodes.join(told, "id").groupBy(F.col("community").alias("id")).agg(F.sum("strength").alias("strength")))
+        reached = inner / total - nodes.agg(F.sum(F.col("strength") * F.col("strength"))).first()[0] / total / total
+        if reached <= score + LEAST_GAIN:
+            break
+        score = reached
+        member = checkpoint(member.join(of.toDF("community", "next"), "community").select("id", F.col("next").alias("community")))
         links = joined.where("ca <> cb").toDF("a", "b", "weight")
     names = member.groupBy("community").agg(F.min("id").alias("name"))
-    return member.join(_told(checkpoint(names)), "community").select("id", F.col("name").alias("community"))
+    return member.join(names, "community").select("id", F.col("name").alias("community"))
 
 
 def modularity(edges: DataFrame, member: DataFrame) -> float:
     """Of an undirected weighted graph (from_id, to_id, weight) and (id, community)."""
     e = edges.where("from_id <> to_id").select("from_id", "to_id", F.col("weight").cast("double").alias("weight"))
-    m = _told(member.select("id", "community"))
+    m = member.select("id", "community")
     e = checkpoint(e.join(m.toDF("from_id", "ca"), "from_id").join(m.toDF("to_id", "cb"), "to_id").groupBy("ca", "cb").agg(F.sum("weight").alias("w")))
     total = e.agg(F.sum("w")).first()[0]
     sizes = e.select(F.col("ca").alias("c"), "w").union(e.select("cb", "w")).groupBy("c").agg(F.sum("w").alias("s"))

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.session import checkpoint
+from ..plans.session import round_checkpoint as checkpoint
 from .graph import COMPACT, follow, stepped
 
 #: Counts up to here are exact, longer ones estimated (the contract's bound of a list).

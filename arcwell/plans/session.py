@@ -31,3 +31,13 @@ def checkpoint(df: DataFrame) -> DataFrame:
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="arcwell-"))
     return df.checkpoint(eager=True)
+
+
+def round_checkpoint(df: DataFrame) -> DataFrame:
+    """``checkpoint`` for loops that join a round's rows with themselves. A checkpoint keeps the
+    optimizer's estimate of its plan, and estimates of joins multiply: after some twenty such
+    rounds they are numbers of millions of digits, and planning stands still. Here the rows
+    come back without an estimate; joins go by what the shuffles turn out to hold."""
+    kept = checkpoint(df)
+    session = df.sparkSession
+    return DataFrame(session._jsparkSession.internalCreateDataFrame(kept._jdf.queryExecution().toRdd(), kept._jdf.schema(), False), session)
