@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import glob_pattern, iso_week
+from ..functions.scalars import glob_pattern, half_up, iso_week
 
 # States of the triage machine and where each may go (fixed values).
 MOVES = {
@@ -115,6 +115,28 @@ def self_delta(snapshots: DataFrame) -> DataFrame:
     return d.select("ts", F.when(F.col("delta") < 0, "health-down").otherwise("health-up").alias("type"), sev.alias("severity"), F.abs("delta").alias("magnitude"))
 
 
+def analysis_delta(before: dict[str, DataFrame], now: dict[str, DataFrame]) -> DataFrame:
+    """(type, severity, entity, detail): what changed between two analyses, each of health
+    (score, one row), risks (file, title, level), violations (rule, severity, from_file,
+    to_file) and modules (module). Rows that repeat are one; a health that rounds to the
+    same tenth, or is unknown once, is no change; where ``before`` is empty altogether
+    everything is new."""
+    score = now["health"].select(F.lit(1).alias("k"), "score").union(before["health"].select(F.lit(0), "score")).agg(*[F.max(F.when(F.col("k") == k, F.col("score"))).alias(c) for k, c in ((1, "new"), (0, "old"))])
+    step = score.withColumn("d", half_up(F.col("new") - F.col("old"), 1)).where("d <> 0")
+    down = F.col("d") < 0
+    health = step.select(
+        F.when(down, "health-down").otherwise("health-up").alias("type"), F.when(F.col("d") <= -10, "critical").when(down, "warn").otherwise("info").alias("severity"),
+        F.lit(None).cast("string").alias("entity"), F.format_string("%.1f to %.1f", "old", "new").alias("detail"))
+    level = F.when(F.col("level") == "critical", "critical").when(F.col("level") == "high", "warn").otherwise("info")
+    risks = new_rows(now["risks"].select("file", "title", "level").distinct(), before["risks"], ["file", "title", "level"])
+    risks = risks.select(F.lit("risk-new").alias("type"), level.alias("severity"), F.concat(F.lit("file:"), "file").alias("entity"), F.concat_ws(" ", "level", "title").alias("detail"))
+    broken = new_rows(now["violations"].select("rule", "severity", "from_file", "to_file").distinct(), before["violations"], ["rule", "from_file", "to_file"])
+    broken = broken.select(F.lit("rule-violation").alias("type"), F.when(F.col("severity") == "error", "critical").otherwise("warn").alias("severity"), F.concat(F.lit("file:"), "from_file").alias("entity"), F.concat_ws(" ", "rule", "to_file").alias("detail"))
+    moved = set_delta(now["modules"].select("module"), before["modules"].select("module"))
+    moved = moved.select(F.concat(F.lit("module-"), "change").alias("type"), F.lit("info").alias("severity"), F.lit(None).cast("string").alias("entity"), F.col("module").alias("detail"))
+    return health.unionByName(risks).unionByName(broken).unionByName(moved)
+
+
 def prediction_feedback(before: DataFrame, now: DataFrame, floor: int = 60) -> DataFrame:
     """Predictions of ``floor`` or more whose files had more fixes since."""
     b = before.where(F.col("score") >= floor).select("file", F.col("fixes").alias("was"))

@@ -179,3 +179,43 @@ def health(scalars: DataFrame) -> DataFrame:
     out = scalars.select(*[v.alias(k) for k, v in parts.items()])
     out = out.withColumn("score", F.greatest(F.lit(0.0), half_up(100 - sum((F.col(k) for k in parts), F.lit(0.0)), 1)))
     return out.withColumn("grade", grade(F.col("score")))
+
+
+# Weight of a risk by its level (fixed values).
+RISK_WEIGHT = {"critical": 4.0, "high": 2.0, "medium": 0.5, "low": 0.1}
+# Most points that a dimension can cost (fixed values).
+HEALTH_MOST = {"debt": 25, "risks": 25, "violations": 15, "deadCode": 10, "coupling": 15, "resolution": 10}
+
+
+def health_report(files: DataFrame, risks: DataFrame, violations: DataFrame, dead: DataFrame, edges: DataFrame) -> DataFrame:
+    """(dimension, penalty, raw, most, score, grade): the health of an analysis, a row a
+    dimension, from its facts: files (lines, debt, coupling_in, coupling_out), risks (level),
+    violations and dead parts (a row each), edges (confidence).
+
+    Risks weigh by level; nulls weigh nothing. ``raw`` is what is counted: debt a thousand
+    lines, the risks' weight, numbers of violations, dead parts and files of more than 20
+    neighbours, and the share of edges that aren't resolved. No files and no lines count as one.
+    """
+    one = lambda d, **sums: d.agg(*[F.coalesce(v, F.lit(0.0)).cast("double").alias(k) for k, v in sums.items()])
+    weight = F.element_at(F.create_map(*[F.lit(x) for kv in RISK_WEIGHT.items() for x in kv]), F.col("level"))
+    # Each fact is one row; named values are put together by grouping.
+    facts = [
+        one(files, files=F.count("*"), lines=F.sum("lines"), debt=F.sum("debt"), coupled=F.count_if(F.col("coupling_in") + F.col("coupling_out") > 20)),
+        one(risks, risks=F.sum(weight)), one(violations, violations=F.count("*")), one(dead, dead=F.count("*")),
+        one(edges, edges=F.count("*"), loose=F.count_if(~F.col("confidence").eqNullSafe("resolved")))]
+    told = None
+    for f in facts:
+        values = f.select(F.explode(F.array(*[F.struct(F.lit(c).alias("k"), F.col(c).alias("v")) for c in f.columns])).alias("x")).select("x.*")
+        told = values if told is None else told.union(values)
+    names = [c for f in facts for c in f.columns]
+    row = told.agg(*[F.max(F.when(F.col("k") == c, F.col("v"))).alias(c) for c in names])
+    kloc, many = F.greatest(F.col("lines"), F.lit(1.0)) / 1000, F.greatest(F.col("files"), F.lit(1.0))
+    share = F.when(F.col("edges") > 0, 100 * F.col("loose") / F.col("edges")).otherwise(0.0)
+    costs = {
+        "debt": (F.col("debt") / kloc, F.col("debt") / kloc / 2), "risks": (F.col("risks"), 2 * F.col("risks") / kloc), "violations": (F.col("violations"), 200 * F.col("violations") / many),
+        "deadCode": (F.col("dead"), 100 * F.col("dead") / many), "coupling": (F.col("coupled"), 100 * F.col("coupled") / many), "resolution": (share, share / 10)}
+    each = [F.struct(F.lit(k).alias("dimension"), half_up(F.least(F.greatest(cost, F.lit(0.0)), F.lit(float(HEALTH_MOST[k]))), 1).alias("penalty"), half_up(raw, 2).alias("raw"), F.lit(HEALTH_MOST[k]).alias("most")) for k, (raw, cost) in costs.items()]
+    row = row.select(F.array(*each).alias("d"))
+    lost = F.aggregate("d", F.lit(0.0), lambda a, x: a + x["penalty"])
+    row = row.withColumn("score", F.greatest(F.lit(0.0), half_up(100 - lost, 1)))
+    return row.select(F.explode("d").alias("d"), "score").select("d.*", "score", grade(F.col("score")).alias("grade"))

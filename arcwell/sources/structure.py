@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.session import round_checkpoint
+
 CREATE = "(?is)\\bcreate\\s+(?:or\\s+replace\\s+)?table\\s+(?:if\\s+not\\s+exists\\s+)?([\\w\"`.\\[\\]]+)\\s*\\((.*?)\\)\\s*;"
 TABLE_COLUMNS = ["table_name", "column_name", "type", "nullable", "primary_key", "unique_key", "ref_table", "file", "source"]
 SCREEN_SUFFIXES = ("Controller", "Component", "View", "Screen", "Page")
@@ -162,17 +164,36 @@ def store_items(lines: DataFrame) -> DataFrame:
     return lines.where(_ext().isin("ts", "tsx")).select(kind.alias("type"), name.alias("name"), "file", "line_no").where("type IS NOT NULL")
 
 
+def json_strings(files: DataFrame, most_depth: int = 12) -> DataFrame:
+    """(file, value): the different strings in the JSON texts of (file, text), of any object and
+    array down to ``most_depth``; keys are none. A text that isn't JSON has none."""
+    front = files.select("file", F.try_parse_json("text").alias("v")).where("v IS NOT NULL")
+    found = None
+    for _ in range(most_depth + 1):
+        front = round_checkpoint(front.withColumn("kind", F.schema_of_variant("v")))
+        told = front.where("kind = 'STRING'").select("file", F.variant_get("v", "$", "string").alias("value"))
+        found = told if found is None else found.union(told)
+        open_ = front.where("kind LIKE 'OBJECT%' OR kind LIKE 'ARRAY%'").select("file", "v")
+        if open_.isEmpty():
+            break
+        inner = files.sparkSession.tvf.variant_explode(F.col("v").outer()).select(F.col("value").alias("w"))
+        front = open_.lateralJoin(inner).select("file", F.col("w").alias("v"))
+    return found.distinct()
+
+
 def screen_links(files: DataFrame) -> DataFrame:
     """(from_id, to_id, confidence) of screen files (``.osw``) and the code files that
     their name or a string in them names; resolved when the name has one file only. The
-    bare name is inferred."""
+    bare name is inferred. A screen that isn't JSON is searched for strings as it is."""
     stem = F.regexp_extract("file", "([^/]+)\\.[^.]*$", 1)
     code = files.where(_ext().isin("ts", "tsx", "js", "jsx")).select(F.col("file").alias("to_id"), stem.alias("base"))
     sizes = code.groupBy("base").agg(F.count("*").alias("n"))
     own = F.concat(F.upper(F.substring(stem, 1, 1)), F.substring(stem, 2, 1 << 20))
-    told = F.transform(F.regexp_extract_all("text", F.lit("\"([A-Z][A-Za-z0-9_]{2,60})\""), 1), lambda x: F.struct(x.alias("base"), F.lit(True).alias("sure")))
+    screens = files.where(_ext() == "osw").select("file", "text")
+    broken = screens.where(F.try_parse_json("text").isNull()).select("file", F.explode(F.regexp_extract_all("text", F.lit("\"([A-Z][A-Za-z0-9_]{2,60})\""), 1)).alias("value"))
+    told = json_strings(screens).where(F.col("value").rlike("^[A-Z][A-Za-z0-9_]{2,60}$")).union(broken).select(F.col("file").alias("from_id"), F.col("value").alias("base"), F.lit(True).alias("sure"))
     by_name = F.array(*[F.struct(F.concat(own, F.lit(s)).alias("base"), F.lit(True).alias("sure")) for s in SCREEN_SUFFIXES], F.struct(own.alias("base"), F.lit(False).alias("sure")))
-    tries = files.where(_ext() == "osw").select(F.col("file").alias("from_id"), F.explode(F.concat(by_name, told)).alias("x")).select("from_id", "x.base", "x.sure").distinct()
+    tries = screens.select(F.col("file").alias("from_id"), F.explode(by_name).alias("x")).select("from_id", "x.base", "x.sure").union(told).distinct()
     met = tries.join(sizes, "base").join(code, "base").groupBy("from_id", "to_id").agg(F.max(F.col("sure") & (F.col("n") == 1)).alias("one"))
     return met.select("from_id", "to_id", F.when(F.col("one"), "resolved").otherwise("inferred").alias("confidence"))
 
