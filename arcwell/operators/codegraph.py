@@ -241,6 +241,22 @@ def graph_level(edges: DataFrame, files: DataFrame, layers: list[str] = (), modu
     return matrix(d, F.col("ca"), F.col("cb"))
 
 
+def symbol_level(methods: DataFrame, files: DataFrame, opened: list[str], layers: list[str] = (), modules: list[str] = ()) -> DataFrame:
+    """(a, b, weight, resolved) of the method edges that touch an ``opened`` file (from_file,
+    from_method, to_file, to_method, confidence): the opened files' symbols, and for other
+    ends their file's container at the level, see ``container``. A call within one symbol is
+    no edge."""
+    held = container(files, list(layers), list(modules))
+    e = methods.where(F.col("from_file").isin(opened) | F.col("to_file").isin(opened))
+
+    def shown(end: str) -> Column:
+        name = F.substring_index(F.coalesce(f"{end}_method", F.lit("")), ".", -1)
+        return F.when(F.col(f"{end}_file").isin(opened), F.concat(F.lit("symbol:"), f"{end}_file", F.lit("#"), name)).otherwise(F.col(f"c_{end}"))
+
+    met = e.join(held.toDF("from_file", "c_from"), "from_file", "left").join(held.toDF("to_file", "c_to"), "to_file", "left")
+    return matrix(met, shown("from"), shown("to"))
+
+
 def unified_level(edges: DataFrame, files: DataFrame, layers: list[str] = (), modules: list[str] = ()) -> DataFrame:
     """(a, b, weight, via) of impact edges: files and methods in their containers, database
     nodes by kind unless the layer ``database`` is expanded; via is the dominant relation."""

@@ -94,3 +94,17 @@ def answers(name: str, key: str, shapes: int, columns: str, rows: list[tuple]) -
 
     cases = " UNION ALL ".join(f"SELECT {key} AS k, {', '.join(f'{literal(x)} AS {c.strip()}' for c, x in zip(columns.split(','), row[1:], strict=True))} FROM {name} WHERE {key} % {shapes} = {row[0]}" for row in rows)
     return cases
+
+
+#: ({path: text}, [(from file, type, method, to file, method, confidence)]) of scripts.
+SCRIPTS = [
+    ({"w<k>/page.ts": "import { Api<k> } from './api';\nexport class Page<k> {\n  constructor(private api: Api<k>) {}\n  load() { this.api.save(1); }\n}\n", "w<k>/api.ts": "export class Api<k> {\n  save(x) { return x; }\n}\n"},
+     [("w<k>/page.ts", "Page<k>", "load", "w<k>/api.ts", "save", "resolved")]),
+    ({"w<k>/one.ts": "class One<k> {\n  a() { this.b(); help<k>(2); }\n  b() { if (x) { return; } }\n}\nfunction help<k>(n) { const o = new One<k>(); o.a(); }\n"},
+     [("w<k>/one.ts", "One<k>", "a", "w<k>/one.ts", "b", "resolved"), ("w<k>/one.ts", "One<k>", "a", "w<k>/one.ts", "help<k>", "resolved"), ("w<k>/one.ts", None, "help<k>", "w<k>/one.ts", "a", "resolved")]),
+    ({"w<k>/use.js": "export const use<k> = (c) => {\n  const t = new Two<k>();\n  t.go(); t.stay();\n};\n", "w<k>/a.ts": "class Two<k> { go() {} }\n", "w<k>/b.ts": "class Two<k> { go() {} stay() {} }\n"},
+     [("w<k>/use.js", None, "use<k>", "w<k>/a.ts", "go", "inferred"), ("w<k>/use.js", None, "use<k>", "w<k>/b.ts", "go", "inferred"), ("w<k>/use.js", None, "use<k>", "w<k>/b.ts", "stay", "inferred")]),
+    ({"w<k>/no.ts": "class No<k> {\n  private x: Far<k>;\n  a() { /* this.x.f() */ const s = 'this.x.f()'; y.f(); this.x.unknown(); }\n}\nclass Far<k> { f() {} }\n", "w<k>/no.md": "class Md<k> { a() { this.a(); } }\n"}, []),
+    ({"w<k>/in.ts": "export class In<k> {\n  svc = inject(Svc<k>);\n  private late: Svc<k> = new Svc<k>();\n  run() { list.map(() => { this.svc.ping(); }); }\n  more(p: Svc<k>) { p.pong(); this.late.ping(); }\n}\n", "w<k>/svc.ts": "export class Svc<k> {\n  ping(): void {}\n  async pong<T>(a: T): Promise<T> { return a; }\n}\n"},
+     [("w<k>/in.ts", "In<k>", "run", "w<k>/svc.ts", "ping", "resolved"), ("w<k>/in.ts", "In<k>", "more", "w<k>/svc.ts", "pong", "resolved"), ("w<k>/in.ts", "In<k>", "more", "w<k>/svc.ts", "ping", "resolved")]),
+]

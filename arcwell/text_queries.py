@@ -6,8 +6,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .plans import shapes
+from .plans.session import table
 from .queries import query
-from .sources import dbsource, sqlscope, webforms
+from .sources import dbsource, scripts, sqlscope, webforms
 
 CALLS = [(i, *row) for i, (_, found) in enumerate(shapes.CALLS) for row in found]
 ENDPOINTS = [(i, path, *row) for i, (path, _, found) in enumerate(shapes.ENDPOINTS) for row in found]
@@ -57,3 +58,16 @@ def database_units(spark, sf):
     """Objects with nested blocks, local routines, initialisers and statements after their end."""
     d = dbsource.object_facts(dbsource.units(_files(spark, sf, "db/u%d.sql", [t for t, _ in shapes.UNITS])))
     return d.select("file", "type", "name", "package", "params", "return_type", "line_no", "end_line", F.array_join("tables_read", ",").alias("tables_read"), F.array_join("tables_written", ",").alias("tables_written"))
+
+
+METHODS = [(i, *row) for i, (_, found) in enumerate(shapes.SCRIPTS) for row in found]
+
+
+@query(f"SELECT from_file, from_type, from_method, to_file, to_method, confidence FROM ({shapes.answers('supplier', 's_suppkey', len(shapes.SCRIPTS), 'from_file, from_type, from_method, to_file, to_method, confidence', METHODS)})")
+def script_methods(spark, sf):
+    """Calls on fields, parameters, names and the own class, imported or declared elsewhere."""
+    s = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("k"))
+    each = F.array(*[F.array(*[F.struct(F.lit(p).alias("file"), F.lit(t).alias("text")) for p, t in tree.items()]) for tree, _ in shapes.SCRIPTS])
+    d = s.select("k", F.explode(F.get(each, (F.col("k") % len(shapes.SCRIPTS)).cast("int"))).alias("f"))
+    fill = lambda c: F.replace(c, F.lit("<k>"), F.col("k").cast("string"))
+    return scripts.script_method_edges(d.select(fill(F.col("f.file")).alias("file"), fill(F.col("f.text")).alias("text")))
