@@ -224,20 +224,32 @@ def resolve_imports(found: DataFrame, files: DataFrame) -> DataFrame:
     return met.groupBy("file", "target").agg(F.min_by("path", "turn").alias("to_file")).select(F.col("file").alias("from_file"), "to_file").where("from_file <> to_file").distinct()
 
 
+def _first_fixed(segments: Column, n: Column) -> Column:
+    """``n|place|segment`` of the first segment that is no parameter; ``n|*`` where all are."""
+    at = F.array_min(F.filter(F.transform(segments, lambda x, i: F.when(x != "*", i)), lambda i: i.isNotNull()))
+    return F.concat_ws("|", n.cast("string"), F.coalesce(at.cast("string"), F.lit("*")), F.when(at.isNotNull(), F.get(segments, at)))
+
+
 def match_calls(calls: DataFrame, found: DataFrame) -> DataFrame:
     """(file, line_no, method, url, route, to_file): each call with the first endpoint, by
     file and line, whose path fits: segment by segment where both are as long; else the
     shorter one is the other's end, and its last segment is no parameter.
 
-    Both are blocked by their last segment, an endpoint's parameter by "*"; only calls that
-    end in "*" meet every endpoint.
+    Both are blocked. An endpoint that is as long as a call, or longer, is met by that many
+    of its last segments and the first of them that is no parameter; of those that are
+    parameters alone any call meets the first only. A shorter one is met by its last
+    segment. Only calls that end in "*" meet every endpoint.
     """
-    c = calls.withColumn("cs", path_segments(F.col("url"))).where(F.size("cs") > 0).withColumn("end", F.element_at("cs", -1))
-    c = c.withColumn("block", F.explode(F.array(F.when(F.col("end") == "*", "any").otherwise(F.concat(F.lit("="), "end")), F.lit("*"))))
+    c = calls.withColumn("cs", path_segments(F.col("url"))).where(F.size("cs") > 0).withColumn("end", F.element_at("cs", -1)).withColumn("n", F.size("cs"))
+    own = F.transform("cs", lambda x, i: F.concat_ws("|", F.col("n").cast("string"), i.cast("string"), x))
+    c = c.withColumn("block", F.explode(F.concat(own, F.array(F.concat_ws("|", F.col("n").cast("string"), F.lit("*")), F.when(F.col("end") == "*", "any").otherwise(F.concat(F.lit("="), "end"))))))
     at = F.col("line_no") if "line_no" in found.columns else F.lit(0)
     e = found.select("route", F.col("file").alias("to_file"), at.alias("at"), route_segments(F.col("route")).alias("es")).where(F.size("es") > 0).withColumn("last", F.element_at("es", -1))
-    e = e.withColumn("block", F.explode(F.array(F.when(F.col("last") == "*", "*").otherwise(F.concat(F.lit("="), "last")), F.lit("any"))))
-    met = c.join(e, "block")
+    suffixes = F.transform(F.sequence(F.lit(1), F.size("es")), lambda n: _first_fixed(F.slice("es", F.size("es") - n + 1, n), n))
+    e = e.withColumn("block", F.explode(F.concat(suffixes, F.array(F.lit("any")), F.when(F.col("last") != "*", F.array(F.concat(F.lit("="), "last"))).otherwise(F.array().cast("array<string>")))))
+    wild = F.col("block").endswith("|*")
+    first = e.where(wild).groupBy("block").agg(F.min(F.struct("to_file", "at", "route", "es", "last")).alias("m")).select("m.route", "m.to_file", "m.at", "m.es", "m.last", "block")
+    met = c.join(e.where(~wild).unionByName(first), "block")
     n = F.least(F.size("cs"), F.size("es"))
     tail = F.zip_with(F.slice("cs", F.size("cs") - n + 1, n), F.slice("es", F.size("es") - n + 1, n), lambda a, b: (a == b) | (b == "*") | ((F.size("cs") != F.size("es")) & (a == "*")))
     shorter = F.when(F.size("cs") < F.size("es"), F.col("end")).otherwise(F.col("last"))
