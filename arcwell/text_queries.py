@@ -5,10 +5,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .plans import shapes
+from .operators import codegraph
+from .plans import facts, shapes
 from .plans.session import table
-from .queries import query
-from .sources import dbsource, scripts, sqlscope, webforms
+from .queries import TRADE, query
+from .sources import dbsource, extract, scripts, sqlscope, webforms
 
 CALLS = [(i, *row) for i, (_, found) in enumerate(shapes.CALLS) for row in found]
 ENDPOINTS = [(i, path, *row) for i, (path, _, found) in enumerate(shapes.ENDPOINTS) for row in found]
@@ -71,3 +72,39 @@ def script_methods(spark, sf):
     d = s.select("k", F.explode(F.get(each, (F.col("k") % len(shapes.SCRIPTS)).cast("int"))).alias("f"))
     fill = lambda c: F.replace(c, F.lit("<k>"), F.col("k").cast("string"))
     return scripts.script_method_edges(d.select(fill(F.col("f.file")).alias("file"), fill(F.col("f.text")).alias("text")))
+
+
+@query(f"""SELECT 'endpoint' AS kind, method || ' ' || route AS label, file FROM ({shapes.answers('customer', 'c_custkey', len(shapes.ENDPOINTS), 'file, method, route, line_no', ENDPOINTS)})
+UNION ALL SELECT 'root', 'web/r' || c_custkey || '.tsx', 'web/r' || c_custkey || '.tsx' FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')""")
+def code_entry_points(spark, sf):
+    """Endpoints, and screens that no file imports."""
+    c = table(spark, sf, "customer").select(F.format_string("web/r%d.tsx", "c_custkey").alias("file"), F.lit("tsx").alias("ext"), F.lit("frontend").alias("layer"))
+    imports = table(spark, sf, "orders").where("o_orderstatus = 'P'").select(F.format_string("web/o%d.ts", "o_orderkey").alias("from_file"), F.format_string("web/r%d.tsx", "o_custkey").alias("to_file"))
+    ends = endpoint_forms(spark, sf)
+    return codegraph.entry_points(ends, ends.select(F.lit("").alias("kind"), "method", "file").where("false"), c, imports)
+
+
+@query(f"""WITH {TRADE} SELECT (SELECT string_agg(x, ',') FROM (SELECT DISTINCT to_id AS x FROM trade WHERE from_id = n.id ORDER BY x LIMIT 20)) AS callees,
+(SELECT string_agg(x, ',') FROM (SELECT DISTINCT from_id AS x FROM trade WHERE to_id = n.id ORDER BY x LIMIT 10)) AS callers, (SELECT string_agg(x, ',') FROM (SELECT r_name AS x FROM region ORDER BY x LIMIT 5)) AS symbols FROM (SELECT min(to_id) AS id FROM trade) AS n""")
+def file_profile(spark, sf):
+    """What a file uses, what uses it, and its types."""
+    e = facts.nation_trade(spark, sf).select(F.col("from_id").alias("from_file"), F.col("to_id").alias("to_file"), "confidence")
+    file = e.agg(F.min("to_file")).first()[0]
+    d = codegraph.file_profile(file or "", e, table(spark, sf, "region").select(F.lit(file).alias("file"), F.col("r_name").alias("name")))
+    return d.select(*[F.nullif(F.array_join(c, ","), F.lit("")).alias(c) for c in ("callees", "callers", "symbols")])
+
+
+@query("SELECT 'web/harbour' || s_suppkey || '-service.ts' AS file, 'api/Harbour' || s_suppkey || 'Controller.java' AS to_file FROM supplier WHERE s_nationkey < 12")
+def name_fallback(spark, sf):
+    """Files and the first endpoint file of the same domain word; general and short words have none."""
+    s = table(spark, sf, "supplier")
+    named = lambda d, p: d.select(F.format_string(p, "s_suppkey").alias("file"))
+    ends = named(s.where("s_nationkey < 12"), "api/Harbour%dController.java").unionByName(named(s, "api/ListController.java%.0s")).unionByName(named(s.where("s_nationkey < 12"), "z/harbour%d-api.ts")).unionByName(named(s, "api/AbcController.java%.0s"))
+    return extract.match_by_name(named(s, "web/harbour%d-service.ts").unionByName(named(s, "web/list.ts%.0s")).unionByName(named(s, "web/abc.ts%.0s")), ends)
+
+
+@query(f"SELECT column_name, mode, k || '.java' AS file FROM ({shapes.answers('orders', 'o_orderkey', len(shapes.STATEMENTS), 'table_name, column_name, mode', COLUMNS)}) WHERE table_name = 'SRC'")
+def column_lineage(spark, sf):
+    """Files that read or write a table's columns."""
+    d = sqlscope.column_access(_statements(spark, sf)).withColumn("file", F.format_string("a/%d.java", "key"))
+    return codegraph.column_lineage(d, "src")
