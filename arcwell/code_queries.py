@@ -11,7 +11,7 @@ from .operators import codegraph, govern, metrics, review
 from .plans import code, facts
 from .plans.session import checkpoint, table
 from .queries import PARTS, QUERIES, SHARES, SQL, TRADE, _daily, query
-from .sources import dbsource, extract, lines, metrics_scan, repo, resolve, structure, webforms
+from .sources import dbcalls, dbsource, extract, lines, metrics_scan, repo, resolve, structure, webforms
 
 __all__ = ["QUERIES", "SQL"]
 
@@ -39,7 +39,7 @@ def _facts(spark, sf, kept=False):
     front, back, data = (d.where(F.col("file").startswith(p)) for p in ("web/", "server/", "db/"))
     units = dbsource.units(data)
     units = checkpoint(units) if kept else units
-    found = webforms.http_calls(front), webforms.endpoints(back), extract.db_calls(lines.file_lines(back)), dbsource.object_facts(units), dbsource.routine_calls(units)
+    found = webforms.http_calls(front), webforms.endpoints(back), dbcalls.db_calls(back), dbsource.object_facts(units), dbsource.routine_calls(units)
     return tuple(checkpoint(x) for x in found) if kept else found
 
 

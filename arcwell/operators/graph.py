@@ -97,8 +97,9 @@ def reach(edges: DataFrame, seeds: DataFrame, max_depth: int = 10, reverse: bool
     return seen.select("id", "depth", F.when(F.col("sure") == 1, "resolved").otherwise("inferred").alias("confidence"))
 
 
-def impact(edges: DataFrame, node: str, max_depth: int = 10, max_nodes: int = 2000) -> DataFrame:
-    """(id, kind, depth, confidence) of all that depends on ``node``, itself left out."""
+def impact(edges: DataFrame, node: str, max_depth: int = 10, max_nodes: int | None = None) -> DataFrame:
+    """(id, kind, depth, confidence) of all that depends on ``node``, itself left out. Nothing is
+    cut unless ``max_nodes`` says so; ``codegraph.impact_report`` tells whether it did."""
     spark = edges.sparkSession
     seeds = spark.createDataFrame([(node,)], "id string")
     return reach(edges, seeds, max_depth, True, max_nodes).where("depth > 0").select("id", F.substring_index("id", ":", 1).alias("kind"), "depth", "confidence")
@@ -106,7 +107,7 @@ def impact(edges: DataFrame, node: str, max_depth: int = 10, max_nodes: int = 20
 
 def blast_radius(edges: DataFrame, node: str, n: int = 20, max_depth: int = 10) -> DataFrame:
     """The n affected nodes with the most dependents."""
-    hit = impact(edges, node, max_depth, 1 << 40)
+    hit = impact(edges, node, max_depth)
     met = hit.join(degrees(edges).select("id", F.col("in_degree").alias("dependents")), "id", "left")
     return met.select("id", "kind", "depth", F.coalesce("dependents", F.lit(0)).cast("long").alias("dependents")).orderBy(F.desc("dependents"), "depth", "id").limit(n)
 

@@ -108,3 +108,17 @@ SCRIPTS = [
     ({"w<k>/in.ts": "export class In<k> {\n  svc = inject(Svc<k>);\n  private late: Svc<k> = new Svc<k>();\n  run() { list.map(() => { this.svc.ping(); }); }\n  more(p: Svc<k>) { p.pong(); this.late.ping(); }\n}\n", "w<k>/svc.ts": "export class Svc<k> {\n  ping(): void {}\n  async pong<T>(a: T): Promise<T> { return a; }\n}\n"},
      [("w<k>/in.ts", "In<k>", "run", "w<k>/svc.ts", "ping", "resolved"), ("w<k>/in.ts", "In<k>", "more", "w<k>/svc.ts", "pong", "resolved"), ("w<k>/in.ts", "In<k>", "more", "w<k>/svc.ts", "ping", "resolved")]),
 ]
+
+
+#: (path, text, [(routine, package, confidence, line)]) of calls of stored routines.
+ROUTINE_CALLS = [
+    ("s/A<k>.java", '@Procedure(procedureName = "pkg.load<k>")\nvoid a();\n@Procedure("save<k>")\nvoid b();\n', [("LOAD<k>", "PKG", "resolved", 1), ("SAVE<k>", None, "resolved", 3)]),
+    ("s/B<k>.kt", '@NamedStoredProcedureQuery(\n  name = "x",\n  procedureName = "app.pkg.run<k>")\nclass B\n', [("RUN<k>", "PKG", "resolved", 1)]),
+    ("s/C<k>.java", 'new SimpleJdbcCall(t)\n  .withCatalogName("cat<k>")\n  .withProcedureName("go");\nnew SimpleJdbcCall(t).withProcedureName("solo<k>");\n', [("GO", "CAT<k>", "resolved", 2), ("SOLO<k>", None, "resolved", 4)]),
+    ("s/D<k>.java", 'c.prepareCall("{call app.pkg.put<k>(?)}");\nc.prepareCall("{? = call f<k>(?)}");\nString s = "PKG.OTHER<k>";\n', [("PUT<k>", "PKG", "resolved", 1), ("F<k>", None, "resolved", 2), ("OTHER<k>", "PKG", "inferred", 3)]),
+    ("s/e<k>.js", "const oracledb = require('oracledb');\nawait c.execute(`BEGIN pkg.one<k>(:a); END;`);\nawait c.execute('select 1 from t');\n", [("ONE<k>", "PKG", "resolved", 2)]),
+    ("s/f<k>.py", "import cx_Oracle\ncur.callproc('pkg.two<k>', [1])\n", [("TWO<k>", "PKG", "resolved", 2)]),
+    ("s/g<k>.cs", 'var a = new OracleCommand("pkg.three<k>", c);\nvar b = new SqlCommand("select x from y", c);\n', [("THREE<k>", "PKG", "resolved", 1)]),
+    ("s/H<k>.java", 'em.createStoredProcedureQuery("four<k>");\n// em.createStoredProcedureQuery("never")\n', [("FOUR<k>", None, "resolved", 1)]),
+    ("s/I<k>.java", 'String s = "PKG.NO_KEYWORD<k>";\n', []), ("s/J<k>.test.ts", "cur.callproc('pkg.no<k>')\n", []), ("s/k<k>.md", "cur.callproc('pkg.no<k>')\n", []),
+]

@@ -109,21 +109,6 @@ def sql_mentions(statements: DataFrame) -> DataFrame:
     return found.where(~F.col("table_name").isin(*SQL_NOT_TABLES) & F.col("table_name").rlike("^[A-Z][A-Z0-9_$#]+$")).distinct()
 
 
-def db_calls(lines: DataFrame) -> DataFrame:
-    """(routine, package, file, line_no, confidence) of stored routine calls in code."""
-    t, near = F.col("text"), context(0, 3)
-    d = of_kind(lines, *BACKEND_EXTENSIONS).withColumn("near", near)
-    exact = F.coalesce(*[F.when(F.regexp_extract(t, p, 1) != "", F.regexp_extract(t, p, 1)) for p in (
-        "(?i)procedureName\\s*=\\s*\"([\\w.$]+)\"", "(?i)createStoredProcedureQuery\\(\\s*\"([\\w.$]+)\"", "(?i)@Procedure\\(\\s*\"([\\w.$]+)\"", "(?i)\\{\\s*(?:\\?\\s*=\\s*)?call\\s+([\\w.$]+)", "(?i)callproc\\(\\s*['\"]([\\w.$]+)", "(?i)withProcedureName\\(\\s*\"([\\w.$]+)\"")])
-    loose = F.when(F.regexp_extract(t, "\"([A-Z][A-Z0-9_$]+\\.[A-Z][A-Z0-9_$]+)\"", 1) != "", F.regexp_extract(t, "\"([A-Z][A-Z0-9_$]+\\.[A-Z][A-Z0-9_$]+)\"", 1))
-    catalog = F.regexp_extract("near", "(?i)withCatalogName\\(\\s*\"([\\w$]+)\"", 1)
-    full = F.coalesce(exact, loose)
-    parts = F.split(F.upper(full), "\\.")
-    out = d.withColumn("parts", parts).withColumn("catalog", catalog).withColumn("sure", exact.isNotNull()).where("parts IS NOT NULL")
-    package = F.when(F.size("parts") > 1, F.element_at("parts", -2)).when(F.col("catalog") != "", F.upper("catalog"))
-    return out.select(F.element_at("parts", -1).alias("routine"), package.alias("package"), "file", "line_no", F.when(F.col("sure"), "resolved").otherwise("inferred").alias("confidence"))
-
-
 def orm_entities(lines: DataFrame) -> DataFrame:
     """(entity, table_name, file): @Entity classes and their tables."""
     t = F.col("text")

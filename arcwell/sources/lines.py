@@ -37,6 +37,8 @@ def next_meaningful(fits: Column, within: int) -> Column:
 
 
 def first_by(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
-    """The first row of each key."""
-    w = Window.partitionBy(*key).orderBy(*order)
-    return df.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+    """The first row of each key, found before the shuffle; of rows equal in ``order`` the
+    smallest."""
+    rest = [c for c in df.columns if c not in key]
+    row = F.struct(*order, *[c for c in rest if c not in order])
+    return df.groupBy(*key).agg(F.min(row).alias("_r")).select(*[F.col(c) if c in key else F.col(f"_r.{c}") for c in df.columns])

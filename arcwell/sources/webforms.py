@@ -32,9 +32,9 @@ def balance(line: Column) -> Column:
 
 
 def marked(files: DataFrame, marker: str) -> DataFrame:
-    """(file, line_no, line, said, before, after, ahead): each line of (file, text) that
+    """(file, line_no, line, said, before, after, near, ahead): each line of (file, text) that
     ``marker`` fits and that is no comment; the statement that begins on it, up to
-    STATEMENT_LINES lines; the two lines before and after it; and the first line after the
+    STATEMENT_LINES lines; the two lines before and after it; it and three more; and the first line after the
     statement that is neither empty nor an annotation nor a comment. A null text has none."""
     rows = files.where(F.col("text").rlike(marker)).select("file", F.split("text", "\n", -1).alias("rows"))
     told = lambda x: x.rlike(marker) & ~x.rlike("^\\s*(//|\\*|/\\*|#(?!\\{))")
@@ -44,7 +44,7 @@ def marked(files: DataFrame, marker: str) -> DataFrame:
     step = lambda s, x: F.when(s["over"], s).otherwise(F.struct((s["depth"] + balance(x)).alias("depth"), (s["n"] + 1).alias("n"), (s["depth"] + balance(x) <= 0).alias("over")))
     d = d.withColumn("n", F.aggregate(F.slice("next", 1, STATEMENT_LINES), begin, step)["n"])
     rest = F.filter(F.slice("next", F.col("n") + 1, 6), lambda x: ~x.rlike("^\\s*(@|//|\\*|/\\*|$)"))
-    return d.select("file", "line_no", "line", F.array_join(F.slice("next", 1, F.col("n")), "\n").alias("said"), F.array_join("before", "\n").alias("before"), F.array_join(F.slice("next", 2, 2), "\n").alias("after"), F.get(rest, F.lit(0)).alias("ahead"))
+    return d.select("file", "line_no", "line", F.array_join(F.slice("next", 1, F.col("n")), "\n").alias("said"), F.array_join("before", "\n").alias("before"), F.array_join(F.slice("next", 2, 2), "\n").alias("after"), F.array_join(F.slice("next", 1, 4), "\n").alias("near"), F.get(rest, F.lit(0)).alias("ahead"))
 
 
 def http_calls(files: DataFrame) -> DataFrame:

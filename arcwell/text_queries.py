@@ -9,7 +9,7 @@ from .operators import codegraph
 from .plans import facts, shapes
 from .plans.session import table
 from .queries import TRADE, query
-from .sources import dbsource, extract, scripts, sqlscope, webforms
+from .sources import dbcalls, dbsource, extract, scripts, sqlscope, webforms
 
 CALLS = [(i, *row) for i, (_, found) in enumerate(shapes.CALLS) for row in found]
 ENDPOINTS = [(i, path, *row) for i, (path, _, found) in enumerate(shapes.ENDPOINTS) for row in found]
@@ -108,3 +108,14 @@ def column_lineage(spark, sf):
     """Files that read or write a table's columns."""
     d = sqlscope.column_access(_statements(spark, sf)).withColumn("file", F.format_string("a/%d.java", "key"))
     return codegraph.column_lineage(d, "src")
+
+
+ROUTINES = [(i, path, *row) for i, (path, _, found) in enumerate(shapes.ROUTINE_CALLS) for row in found]
+
+
+@query(f"SELECT routine, package, file, CAST(line_no AS INTEGER) AS line_no, confidence FROM ({shapes.answers('customer', 'c_custkey', len(shapes.ROUTINE_CALLS), 'file, routine, package, confidence, line_no', ROUTINES)})")
+def routine_call_forms(spark, sf):
+    """Stored routines called in nine styles, over several lines, and names in strings."""
+    paths = shapes.pick(spark, sf, "customer", "c_custkey", [p for p, _, _ in shapes.ROUTINE_CALLS]).withColumnRenamed("text", "file")
+    texts = shapes.pick(spark, sf, "customer", "c_custkey", [t for _, t, _ in shapes.ROUTINE_CALLS])
+    return dbcalls.db_calls(paths.join(texts, "k").select("file", "text"))

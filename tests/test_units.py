@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from arcwell.functions import scalars
 from arcwell.operators import communities, govern, graph, metrics, search
-from arcwell.sources import extract, files, lines, sqlscope, webforms
+from arcwell.sources import dbcalls, extract, files, lines, sqlscope, webforms
 from arcwell.streaming import live
 
 EDGE = "from_id string, to_id string, from_kind string, to_kind string, via string, confidence string"
@@ -167,7 +167,7 @@ def test_java_extractors(spark):
     assert {r["rule"] for r in extract.rule_hits(ln).collect()} >= {"todo", "eval"}
     (t,) = extract.transactions(ln).collect()  # the line after it is no method's: the contract looks no further
     assert (t["class"], t["method"], t["propagation"], t["read_only"], t["scope"]) == ("BoatController", None, "REQUIRES_NEW", True, "method")
-    (c,) = extract.db_calls(ln).collect()
+    (c,) = dbcalls.db_calls(spark.createDataFrame([("A.java", JAVA)], "file string, text string")).collect()
     assert (c["package"], c["routine"], c["confidence"]) == ("PKG_BOAT", "STORE", "resolved")
 
 
