@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import glob_pattern, half_up, iso_week
+from .ordered import with_position, with_previous
 
 # States of the triage machine and where each may go (fixed values).
 MOVES = {
@@ -77,8 +78,8 @@ def by_reference(entries: DataFrame, kind: str, number: int) -> DataFrame:
 
 def archive_weeks(entries: DataFrame, keep: int) -> DataFrame:
     """Entries beyond the latest ``keep``, counted by ISO week."""
-    order = Window.orderBy(F.desc("ts"), F.desc("id"))
-    return entries.withColumn("r", F.row_number().over(order)).where(F.col("r") > keep).groupBy(iso_week(F.col("ts")).alias("week")).agg(F.count("*").alias("n"))
+    placed = with_position(entries.select("ts", "id"), [F.desc("ts"), F.desc("id")], "r")
+    return placed.where(F.col("r") > keep).groupBy(iso_week(F.col("ts")).alias("week")).agg(F.count("*").alias("n"))
 
 
 def dispatch(events: DataFrame, cap: int = 5, failures: int = 2) -> DataFrame:
@@ -101,11 +102,12 @@ def dispatch(events: DataFrame, cap: int = 5, failures: int = 2) -> DataFrame:
 
 def portfolio(projects: DataFrame) -> DataFrame:
     """Worst health first; unknown health last, as 101."""
-    return projects.withColumn("position", F.row_number().over(Window.orderBy(F.coalesce("health", F.lit(101.0)), "project")))
+    return with_position(projects, [F.coalesce("health", F.lit(101.0)).asc(), F.col("project").asc()])
 
 
 def snapshot_deltas(snapshots: DataFrame) -> DataFrame:
-    return snapshots.withColumn("delta", F.col("score") - F.lag("score").over(Window.orderBy("ts")))
+    """``snapshots`` (ts, score) with the change since the one before."""
+    return with_previous(snapshots, ["ts"], "score", "_was").withColumn("delta", F.col("score") - F.col("_was")).drop("_was")
 
 
 def self_delta(snapshots: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.graph import union_edges
+from ..operators.ordered import with_previous
 from .session import table
 
 
@@ -34,7 +35,7 @@ def upper_edges(spark: SparkSession, sf: str) -> DataFrame:
 
 def user_steps(spark: SparkSession, sf: str, least: int) -> DataFrame:
     """Consecutive users of the event log, kept when seen ``least`` times."""
-    e = table(spark, sf, "events").select("user_id", F.lag("user_id").over(Window.orderBy("ts", "event_id")).alias("before")).where("before IS NOT NULL AND before <> user_id")
+    e = with_previous(table(spark, sf, "events").select("user_id", "ts", "event_id"), ["ts", "event_id"], "user_id", "before").where("before IS NOT NULL AND before <> user_id")
     e = e.groupBy("before", "user_id").agg(F.count("*").alias("weight")).where(F.col("weight") >= least)
     return e.select(F.format_string("u%d", "before").alias("from_id"), F.format_string("u%d", "user_id").alias("to_id"), "weight", F.lit("next").alias("via"), F.lit("resolved").alias("confidence"))
 
