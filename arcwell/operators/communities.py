@@ -88,3 +88,19 @@ def modularity(edges: DataFrame, member: DataFrame) -> float:
     sizes = e.select(F.col("ca").alias("c"), "w").union(e.select("cb", "w")).groupBy("c").agg(F.sum("w").alias("s"))
     within, squares = e.where("ca = cb").agg(F.coalesce(F.sum("w"), F.lit(0.0))).first()[0], sizes.agg(F.sum(F.col("s") * F.col("s"))).first()[0]
     return within / total - squares / (4 * total * total)
+
+
+def composition(member: DataFrame) -> DataFrame:
+    """(community, size, kinds) of (id, community): how many nodes of each kind, the part of an
+    id before its colon, as a map."""
+    kinds = member.groupBy("community", F.substring_index("id", ":", 1).alias("kind")).agg(F.count("*").alias("n"))
+    return kinds.groupBy("community").agg(F.sum("n").alias("size"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("kind", "n")))).alias("kinds"))
+
+
+def coupling(edges: DataFrame, member: DataFrame, n: int | None = None) -> DataFrame:
+    """(a, b, weight): edges between each two communities (a < b), in either direction, the
+    heaviest ``n`` first."""
+    m = member.select("id", "community")
+    e = edges.select("from_id", "to_id").join(m.toDF("from_id", "ca"), "from_id").join(m.toDF("to_id", "cb"), "to_id").where("ca <> cb")
+    out = e.groupBy(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).agg(F.count("*").alias("weight"))
+    return out.orderBy(F.desc("weight"), "a", "b").limit(n) if n else out

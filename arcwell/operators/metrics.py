@@ -219,3 +219,21 @@ def health_report(files: DataFrame, risks: DataFrame, violations: DataFrame, dea
     lost = F.aggregate("d", F.lit(0.0), lambda a, x: a + x["penalty"])
     row = row.withColumn("score", F.greatest(F.lit(0.0), half_up(100 - lost, 1)))
     return row.select(F.explode("d").alias("d"), "score").select("d.*", "score", grade(F.col("score")).alias("grade"))
+
+
+def start_here(ownership: DataFrame, n: int = 5) -> DataFrame:
+    """(module, hours): the ``n`` modules of low difficulty that take longest to learn, of
+    ``ownership``; where a newcomer begins."""
+    return ownership.where("difficulty = 'low'").orderBy(F.desc("hours"), "module").limit(n).select("module", "hours")
+
+
+def skills_overview(suggestions: DataFrame, predictions: DataFrame, out_of_scope: DataFrame, triage: DataFrame) -> DataFrame:
+    """(part, n): how much of each there is, and the triage queue in all and by two states (state)."""
+    count = lambda d, part: d.agg(F.lit(part).alias("part"), F.count("*").alias("n"))
+    states = triage.agg(*[F.count_if(F.col("state") == s).alias(s) for s in ("ready-for-agent", "needs-triage")])
+    told = states.select(F.explode(F.array(*[F.struct(F.lit(c).alias("part"), F.col(f"`{c}`").alias("n")) for c in states.columns])).alias("x")).select("x.*")
+    parts = [count(suggestions, "suggestions"), count(predictions, "predictions"), count(out_of_scope, "out-of-scope"), count(triage, "triage"), told]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .operators import cycles, govern, metrics, rules, whole_impact
+from .functions import scalars
+from .operators import communities, cycles, govern, metrics, rules, whole_impact
 from .plans import facts
 from .plans.session import table
 from .queries import EDGES, TRADE, query
@@ -153,3 +154,37 @@ def analysis_delta(spark, sf):
     return govern.analysis_delta(
         {"health": score("customer", "c_acctbal"), "risks": risks.where("title = 'q1'"), "violations": broken.where("n_nationkey < 10"), "modules": p.where("p_size % 50 > 1").select("module").union(gone)},
         {"health": score("supplier", "s_acctbal"), "risks": risks, "violations": broken, "modules": p.select("module")})
+
+
+MEMBERS = f"""{EDGES}, me AS (SELECT 'customer:' || c_custkey AS id, c_mktsegment AS community FROM customer UNION ALL SELECT 'supplier:' || s_suppkey, 'S' || s_nationkey % 3 FROM supplier UNION ALL SELECT 'order:' || o_orderkey, o_orderpriority FROM orders UNION ALL SELECT 'nation:' || n_nationkey, 'S0' FROM nation)"""
+
+
+def _members(spark, sf):
+    one = lambda name, kind, key, c: table(spark, sf, name).select(F.concat(F.lit(kind + ":"), F.col(key).cast("string")).alias("id"), c.alias("community"))
+    nations = one("nation", "nation", "n_nationkey", F.lit("S0"))
+    return one("customer", "customer", "c_custkey", F.col("c_mktsegment")).union(one("supplier", "supplier", "s_suppkey", F.format_string("S%d", F.col("s_nationkey") % 3))).union(one("orders", "order", "o_orderkey", F.col("o_orderpriority"))).union(nations)
+
+
+@query(f"WITH {MEMBERS}, k AS (SELECT community, split_part(id, ':', 1) AS kind, count(*) AS n FROM me GROUP BY ALL) SELECT community, CAST(sum(n) AS BIGINT) AS size, string_agg(kind || '=' || n, ',' ORDER BY kind) AS kinds FROM k GROUP BY 1")
+def community_composition(spark, sf):
+    d = communities.composition(_members(spark, sf))
+    return d.select("community", "size", F.array_join(F.transform(F.map_entries("kinds"), lambda x: F.concat_ws("=", x["key"], x["value"].cast("string"))), ",").alias("kinds"))
+
+
+@query(f"WITH {MEMBERS} SELECT least(a.community, b.community) AS a, greatest(a.community, b.community) AS b, count(*) AS weight FROM edges JOIN me a ON a.id = from_id JOIN me b ON b.id = to_id WHERE a.community <> b.community GROUP BY ALL")
+def community_coupling(spark, sf):
+    return communities.coupling(facts.typed_edges(spark, sf), _members(spark, sf))
+
+
+@query("SELECT 'suggestions' AS part, count(*) AS n FROM region UNION ALL SELECT 'predictions', count(*) FROM part UNION ALL SELECT 'out-of-scope', count(*) FROM nation UNION ALL SELECT 'triage', count(*) FROM orders UNION ALL SELECT 'ready-for-agent', count(*) FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT 'needs-triage', count(*) FROM orders WHERE o_orderstatus = 'O'")
+def skills_overview(spark, sf):
+    state = F.element_at(F.create_map(*map(F.lit, ("F", "ready-for-agent", "O", "needs-triage", "P", "done"))), F.col("o_orderstatus"))
+    return metrics.skills_overview(table(spark, sf, "region"), table(spark, sf, "part"), table(spark, sf, "nation"), table(spark, sf, "orders").select(state.alias("state")))
+
+
+@query("WITH h AS (SELECT 'm' || s_suppkey AS module, CAST(abs(floor(s_acctbal)) AS BIGINT) % 60 AS hours FROM supplier) SELECT * FROM h WHERE hours <= 16 ORDER BY hours DESC, module LIMIT 5")
+def start_here(spark, sf):
+    """Modules of low difficulty, the longest to learn first."""
+    hours = (F.abs(F.floor("s_acctbal")).cast("long") % 60).alias("hours")
+    d = table(spark, sf, "supplier").select(F.format_string("m%d", "s_suppkey").alias("module"), hours)
+    return metrics.start_here(d.withColumn("difficulty", scalars.difficulty(F.col("hours"))))
