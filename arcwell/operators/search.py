@@ -73,7 +73,8 @@ def bm25(docs: DataFrame, prefixes: list[str], n: int = 20) -> DataFrame:
         return F.size(F.filter("terms", lambda t: t.startswith(prefix)))
 
     tf = [fitting(p).alias(f"tf{i}") for i, p in enumerate(prefixes)]
-    rows = checkpoint(docs.where(F.size("terms") > 0).select("file", F.size("terms").alias("dl"), *tf))
+    # The condition comes after the checkpoint: before it, it would be pushed below the terms and read the texts again.
+    rows = checkpoint(docs.select("file", F.size("terms").alias("dl"), *tf)).where("dl > 0")
     whole = rows.agg(F.count("*").alias("docs"), F.avg("dl").alias("avg_dl"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(prefixes))])
     score = F.lit(0.0)
     for i in range(len(prefixes)):
