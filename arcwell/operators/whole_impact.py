@@ -54,8 +54,8 @@ def _lists(pairs: DataFrame, exact: int) -> DataFrame:
             done = checkpoint(done)
 
 
-def _estimates(pairs: DataFrame, lists: DataFrame, lg_k: int) -> DataFrame:
-    """(id, n) of the nodes whose list isn't whole."""
+def _estimates(pairs: DataFrame, lists: DataFrame, lg_k: int, rounds: int | None) -> DataFrame:
+    """(id, n) of the nodes whose list isn't whole, after ``rounds`` at most."""
     large = checkpoint(lists.where("NOT whole").select("id"))
     own = checkpoint(pairs.join(large.withColumnRenamed("id", "here"), "here", "left_semi"))
     whole = lists.where("whole").select(F.col("id").alias("there"), "found")
@@ -65,7 +65,9 @@ def _estimates(pairs: DataFrame, lists: DataFrame, lg_k: int) -> DataFrame:
     between = own.join(large.withColumnRenamed("id", "there"), "there", "left_semi").select(F.col("there").alias("here"), F.col("here").alias("there"), F.lit(1).alias("sure"))
     steps = stepped(between)
     front = known.select("id", "s")
-    while not front.isEmpty():
+    turn = 0
+    while (rounds is None or turn < rounds) and not front.isEmpty():
+        turn += 1
         held = front.count() * ((1 << lg_k) + 64)
         met = follow(steps, front, held).groupBy(F.col("there").alias("id")).agg(F.hll_union_agg("s").alias("t"))
         grown = known.join(met, "id").select("id", F.hll_union("s", "t").alias("s"), F.col("n").alias("before")).withColumn("n", F.hll_sketch_estimate("s"))
@@ -76,7 +78,7 @@ def _estimates(pairs: DataFrame, lists: DataFrame, lg_k: int) -> DataFrame:
     return known.select("id", "n")
 
 
-def impact_index(edges: DataFrame, exact: int = EXACT, shown: tuple[int, int] = SHOWN, lg_k: int = LG_K) -> DataFrame:
+def impact_index(edges: DataFrame, exact: int = EXACT, shown: tuple[int, int] = SHOWN, lg_k: int = LG_K, rounds: int | None = None) -> DataFrame:
     """(id, direct, transitive, estimated, direct_ids, transitive_ids) of every node that
     something depends on, of edges (from_id, to_id).
 
@@ -84,11 +86,14 @@ def impact_index(edges: DataFrame, exact: int = EXACT, shown: tuple[int, int] =
     node, itself too where it lies on a cycle: exactly up to ``exact``, else by a sketch
     (``estimated``). The lists show the first of each in order of (level, id). Self-loops and
     nulls are no dependence; an edge that repeats counts once.
+
+    Sketches take as many rounds as the longest shortest way between nodes of long lists has
+    edges; with ``rounds`` they stop there, and what lies farther off isn't counted.
     """
     pairs = checkpoint(edges.where("from_id <> to_id").select(F.col("to_id").alias("here"), F.col("from_id").alias("there")).distinct())
     lists = _lists(pairs, exact)
     direct = pairs.groupBy("here").agg(F.count("*").alias("direct")).withColumnRenamed("here", "id")
-    out = lists.join(direct, "id").join(_estimates(pairs, lists, lg_k), "id", "left")
+    out = lists.join(direct, "id").join(_estimates(pairs, lists, lg_k, rounds), "id", "left")
     count = F.when(F.col("whole"), F.size("found").cast("long")).otherwise(F.greatest("n", F.lit(exact + 1), "direct"))
     return out.select(
         "id", "direct", count.alias("transitive"), (~F.col("whole")).alias("estimated"),
