@@ -77,7 +77,7 @@ def cross_tier_trace(spark, sf):
     none = edges.select(F.lit("").alias("from_file"), F.lit("").alias("to_file"), F.lit("").alias("kind"), F.lit("").alias("confidence")).where(F.lit(False))
     first = table(spark, sf, "supplier").agg(F.min("s_nationkey")).first()[0]
     entry = codegraph.resolve_entry(nodes, f"stock_{first}")
-    return codegraph.cross_tier_trace(codegraph.trace_edges(none, edges), entry)[0]
+    return codegraph.cross_tier_trace(codegraph.trace_edges(none, edges), entry, None)[0]
 
 
 @query("SELECT 'LOAD_' || s_suppkey AS name, 'PKG_' || s_nationkey AS package, 'db/pkg_' || s_nationkey || '.pkb' AS file FROM supplier WHERE s_nationkey % 2 = 0")

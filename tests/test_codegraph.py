@@ -172,3 +172,11 @@ def test_search_surface(spark):
 def test_communities_are_named(spark):
     m = spark.createDataFrame([("file:a/b/x.ts", 1), ("file:a/b/y.ts", 1), ("table:ORD_X", 2), ("plsql:ORD.GO", 2), ("file:z.ts", 2)], "id string, community long")
     assert {r["community"]: r["name"] for r in codegraph.community_names(m).collect()} == {1: "a/b", 2: "db/ORD"}
+
+
+def test_trace_query_has_all_levels_of_a_large_package(spark, tmp_path):
+    from arcwell import queries
+
+    spark.range(900).select(F.col("id").alias("s_suppkey"), F.lit(3).alias("s_nationkey")).write.parquet(f"{tmp_path}/supplier.parquet")
+    got = queries.queries()["cross_tier_trace"](spark, str(tmp_path)).groupBy("depth").count().collect()
+    assert {r["depth"]: r["count"] for r in got} == {1: 1, 2: 900, 3: 900}
