@@ -27,3 +27,11 @@ def test_oracle(spark, con, name):
     columns = sorted(got.columns)
     told = con.sql(f"SELECT {', '.join(chr(34) + c + chr(34) for c in columns)} FROM ({queries.oracle_sql()[name]})").fetchall()
     assert rows(columns, got.select(*columns).collect()) == rows(columns, told)
+
+
+def test_profile_without_trade_has_its_types(spark, tmp_path):
+    for t, key in (("lineitem", "l_orderkey bigint, l_suppkey bigint"), ("orders", "o_orderkey bigint, o_custkey bigint"), ("supplier", "s_suppkey bigint, s_nationkey int"), ("customer", "c_custkey bigint, c_nationkey int")):
+        spark.createDataFrame([], key).write.parquet(f"{tmp_path}/{t}.parquet")
+    spark.createDataFrame([(1, "B"), (0, "A")], "r_regionkey int, r_name string").write.parquet(f"{tmp_path}/region.parquet")
+    got = queries.queries()["file_profile"](spark, str(tmp_path)).first()
+    assert (got["callees"], got["callers"], got["symbols"]) == (None, None, "A,B")
