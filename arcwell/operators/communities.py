@@ -101,6 +101,6 @@ def coupling(edges: DataFrame, member: DataFrame, n: int | None = None) -> DataF
     """(a, b, weight): edges between each two communities (a < b), in either direction, the
     heaviest ``n`` first."""
     m = member.select("id", "community")
-    e = edges.select("from_id", "to_id").join(m.toDF("from_id", "ca"), "from_id").join(m.toDF("to_id", "cb"), "to_id").where("ca <> cb")
+    e = edges.select("from_id", "to_id").join(m.toDF("to_id", "cb"), "to_id").select("from_id", "cb").join(m.toDF("from_id", "ca"), "from_id").where("ca <> cb")
     out = e.groupBy(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).agg(F.count("*").alias("weight"))
     return out.orderBy(F.desc("weight"), "a", "b").limit(n) if n else out
