@@ -75,15 +75,33 @@ def reach(edges: DataFrame, seeds: DataFrame, max_depth: int = 10, reverse: bool
     A node's confidence is that of its best shortest path: the weakest edge on it.
     With ``max_nodes``, no level is begun once so many nodes are known.
     """
+    steps = _steps(edges, reverse)
+    seen = _reach(steps, seeds, max_depth, max_nodes)
+    steps.unpersist()
+    return seen
+
+
+def _steps(edges: DataFrame, reverse: bool) -> DataFrame:
     here, there = ("to_id", "from_id") if reverse else ("from_id", "to_id")
-    steps = edges.select(F.col(here).alias("here"), F.col(there).alias("there"), F.when(F.col("confidence") == "resolved", 1).otherwise(0).alias("sure"))
-    steps = stepped(steps)
+    return stepped(edges.select(F.col(here).alias("here"), F.col(there).alias("there"), F.when(F.col("confidence") == "resolved", 1).otherwise(0).alias("sure")))
+
+
+def _reach(steps: DataFrame, seeds: DataFrame, max_depth: int, max_nodes: int | None = None) -> DataFrame:
+    """``reach`` along persisted steps. Of a large frontier only the nodes from which a step goes
+    on are repeated for the salts: most of a last level are ends."""
+    heads = None
     front = checkpoint(seeds.select("id", F.lit(0).alias("depth"), F.lit(1).alias("sure")))
     seen, (known, held) = front, weigh(front)
     for depth in range(1, max_depth + 1):
         if max_nodes is not None and known >= max_nodes:
             break
-        met = follow(steps, front.select("id", F.col("sure").alias("far")), held)
+        if held > FRONT_BYTES:
+            heads = checkpoint(steps.select(F.col("here").alias("id")).distinct()) if heads is None else heads
+            ahead = checkpoint(front.join(heads, "id", "left_semi"))
+            held = weigh(ahead)[1]
+        else:
+            ahead = front
+        met = follow(steps, ahead.select("id", F.col("sure").alias("far")), held)
         met = met.groupBy(F.col("there").alias("id")).agg(F.max(F.least("sure", "far")).alias("sure"))
         front = checkpoint(met.join(seen.select("id"), "id", "left_anti").select("id", F.lit(depth).alias("depth"), "sure"))
         new, held = weigh(front)
@@ -93,22 +111,30 @@ def reach(edges: DataFrame, seeds: DataFrame, max_depth: int = 10, reverse: bool
         seen = seen.union(front)
         if depth % COMPACT == 0:
             seen = checkpoint(seen)
-    steps.unpersist()
     return seen.select("id", "depth", F.when(F.col("sure") == 1, "resolved").otherwise("inferred").alias("confidence"))
 
 
 def impact(edges: DataFrame, node: str, max_depth: int = 10, max_nodes: int | None = None) -> DataFrame:
     """(id, kind, depth, confidence) of all that depends on ``node``, itself left out. Nothing is
     cut unless ``max_nodes`` says so; ``codegraph.impact_report`` tells whether it did."""
-    spark = edges.sparkSession
-    seeds = spark.createDataFrame([(node,)], "id string")
-    return reach(edges, seeds, max_depth, True, max_nodes).where("depth > 0").select("id", F.substring_index("id", ":", 1).alias("kind"), "depth", "confidence")
+    return _affected(reach(edges, _node(edges, node), max_depth, True, max_nodes))
+
+
+def _node(edges: DataFrame, node: str) -> DataFrame:
+    return edges.sparkSession.createDataFrame([(node,)], "id string")
+
+
+def _affected(seen: DataFrame) -> DataFrame:
+    return seen.where("depth > 0").select("id", F.substring_index("id", ":", 1).alias("kind"), "depth", "confidence")
 
 
 def blast_radius(edges: DataFrame, node: str, n: int = 20, max_depth: int = 10) -> DataFrame:
-    """The n affected nodes with the most dependents."""
-    hit = impact(edges, node, max_depth)
-    met = hit.join(degrees(edges).select("id", F.col("in_degree").alias("dependents")), "id", "left")
+    """The n affected nodes with the most dependents, counted in the steps of the search."""
+    steps = _steps(edges, True)
+    hit = _affected(_reach(steps, _node(edges, node), max_depth))
+    dependents = checkpoint(steps.groupBy(F.col("here").alias("id")).agg(F.count("*").alias("dependents")))
+    steps.unpersist()
+    met = hit.join(dependents, "id", "left")
     return met.select("id", "kind", "depth", F.coalesce("dependents", F.lit(0)).cast("long").alias("dependents")).orderBy(F.desc("dependents"), "depth", "id").limit(n)
 
 

@@ -149,3 +149,16 @@ def test_cycles_are_shortest(spark, seed):
         assert rows[0][1] == root and rows[-1][2] == root and all(x[2] == y[1] for x, y in zip(rows, rows[1:], strict=False))
         assert all((a, b) in set(pairs) for _, a, b, _ in rows) and len(rows) == plain_cycle(pairs, members, root)
     assert cycles.circular_violations(d, 3).count() == 3
+
+
+def test_only_nodes_with_further_steps_are_repeated_for_salts(spark, monkeypatch):
+    """100 ends of a large last level aren't repeated; the result is that of a broadcast."""
+    pairs = [("mid", "top")] + [(f"end{i}", "mid") for i in range(100)]
+    e = spark.createDataFrame([(a, b, "resolved") for a, b in pairs], "from_id string, to_id string, confidence string")
+    seeds = spark.createDataFrame([("top",)], "id string")
+    told = sorted(map(tuple, graph.reach(e, seeds).collect()))
+    fronts, follow = [], graph.follow
+    monkeypatch.setattr(graph, "FRONT_BYTES", 0)
+    monkeypatch.setattr(graph, "follow", lambda steps, front, held: fronts.append(front.count()) or follow(steps, front, held))
+    assert sorted(map(tuple, graph.reach(e, seeds).collect())) == told
+    assert fronts == [1, 1, 0]
