@@ -12,6 +12,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from bisect import bisect_left
 from collections.abc import Generator, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -35,6 +36,22 @@ NEAR = sorted(((x, y) for y in range(8) for x in range(-7, 9) if y or x > 0), ke
 
 #: Longest prefix code that the encoder makes, and payload bytes in one stored image.
 MAX_CODE, TILE = 11, 8_192
+#: Extra bits of each length or distance prefix; prefixes from FAR on are for longer distances
+#: than a stored image has.
+EXTRA = np.maximum((np.arange(DISTANCES) - 2) >> 1, 0)
+FAR = 30
+#: Where all images together have fewer pixels than so many times the largest, a symbol of each
+#: a step on arrays takes longer than a symbol at a time.
+FEW_LANES = 16
+#: Steps between two looks at which images are done.
+STEPS = 64
+#: Pixels of a copy at least and at most, and bits of the colour caches that are tried.
+LEAST_COPY, MOST_COPY, CACHES = 6, 4_096, (4, 3, 2, 1)
+#: Log2 of the side of a block that has a predictor of its own.
+BLOCK = 4
+#: A way is looked at in full where a glance finds it at most so much longer than another; of
+#: two files that seem to differ by less, both are written.
+NEARLY = 1.05
 
 
 # -- Reading -------------------------------------------------------------------
@@ -63,6 +80,12 @@ class Request:
     meta_bits: int = 0
     pixels: np.ndarray | None = None
 
+    def grey(self) -> bool:
+        """Whether only green and distances take bits, by one group of codes, without a
+        cache, and a symbol and its extra bits lie in one window of 25 bits."""
+        one = self.meta is None and not self.cache_bits and len(self.groups) == 1 and all(len(c) == 1 for c in self.groups[0][1:4])
+        return one and self.width * self.height <= TILE and max(len(self.groups[0][0]), len(self.groups[0][4])) <= 1 << MAX_CODE and int(self.groups[0][4].max()) >> 4 < FAR
+
     def literal(self) -> bool:
         """Whether only green takes bits, and all its symbols are literals."""
         return len(self.groups) == 1 and all(len(c) == 1 for c in self.groups[0][1:4]) and int(self.groups[0][0].max()) >> 4 < 256
@@ -201,6 +224,10 @@ def read_file(data: bytes) -> Generator[Request, None, np.ndarray]:
 def decode_requests(requests: list[Request]) -> None:
     """Pixels of all requests, a symbol of each a step; bit positions move on."""
     requests = sorted(requests, key=lambda r: -r.width * r.height)
+    if not all(r.literal() for r in requests) and sum(r.width * r.height for r in requests) < FEW_LANES * requests[0].width * requests[0].height:
+        for r in requests:
+            decode_one(r)
+        return
     at, parts, table_at, tables = 0, [], 0, []
     pos = np.zeros(len(requests), dtype=np.int64)
     data_of: dict[int, int] = {}
@@ -345,6 +372,139 @@ def literal_lockstep(requests: list[Request], pos: np.ndarray, size: np.ndarray,
         r.pixels = (entries[: size[i], i] >> 4).astype(np.uint32) << np.uint32(8) | fixed
 
 
+def decode_one(r: Request) -> None:
+    """The same, of one image, a symbol at a time: where few images are decoded at once."""
+    data, at = r.bits.data + b"\0" * 8, r.bits.at
+    groups = [[(c.tolist(), len(c) - 1) for c in g] for g in r.groups]
+    group, blocks_wide = groups[0], -(-r.width >> r.meta_bits)
+    size, cache, shift = r.width * r.height, [0] * (1 << r.cache_bits), 32 - r.cache_bits
+    out: list[int] = []
+
+    def symbol_of(code: tuple[list[int], int]) -> int:
+        nonlocal at
+        e = code[0][(int.from_bytes(data[at >> 3 : (at >> 3) + 4], "little") >> (at & 7)) & code[1]]
+        at += e & 15
+        return e >> 4
+
+    def number(prefix: int) -> int:
+        nonlocal at
+        n = int(EXTRA[prefix])
+        more = (int.from_bytes(data[at >> 3 : (at >> 3) + 4], "little") >> (at & 7)) & ((1 << n) - 1)
+        at += n
+        return (prefix if prefix < 4 else ((2 + (prefix & 1)) << n) + more) + 1
+
+    while len(out) < size:
+        if r.meta is not None:
+            y, x = divmod(len(out), r.width)
+            group = groups[int(r.meta[(y >> r.meta_bits) * blocks_wide + (x >> r.meta_bits)])]
+        s = symbol_of(group[0])
+        if s < 256:
+            red, blue, alpha = (symbol_of(c) for c in group[1:4])
+            new = [alpha << 24 | red << 16 | s << 8 | blue]
+        elif s >= 256 + LENGTHS:
+            new = [cache[s - 256 - LENGTHS]]
+        else:
+            n = number(s - 256)
+            code = number(symbol_of(group[4]))
+            away = code - len(NEAR) if code > len(NEAR) else max(1, NEAR[code - 1][0] + NEAR[code - 1][1] * r.width)
+            if away > len(out):
+                raise ValueError("a copy reaches before the first pixel")
+            if n > size - len(out):
+                raise ValueError("a copy reaches past the last pixel")
+            new = (out[-away:] * (n // away + 1))[:n]
+        out += new
+        if r.cache_bits:
+            for color in new:
+                cache[(CACHE_FACTOR * color & 0xFFFFFFFF) >> shift] = color
+    r.bits.at, r.pixels = at, np.array(out, dtype=np.uint32)
+
+
+def grey_lockstep(requests: list[Request]) -> None:
+    """Pixels of grey images with copies. A step reads a green symbol, or after one that
+    begins a copy the distance, with its extra bits; lanes that are done leave after each
+    STEPS steps, and what they read beyond their end isn't used."""
+    own = [r.groups[0] for r in requests]
+    at = np.cumsum([0, *(len(r.bits.data) + 8 for r in requests)])
+    raw = np.frombuffer(b"".join(x for r in requests for x in (r.bits.data, b"\0" * 8)) + b"\0" * (4 * STEPS), np.uint8).astype(np.uint32)
+    window = raw[:-3] | raw[1:-2] << np.uint32(8) | raw[2:-1] << np.uint32(16) | raw[3:] << np.uint32(24)
+    greens, aways = [c[0] for c in own], [c[4] for c in own]
+    entry = np.concatenate((*greens, *aways)).astype(np.uint32)
+    symbol, bits = entry >> np.uint32(4), entry & np.uint32(15)
+    near = sum(map(len, greens))
+    copy = symbol >= 256
+    prefix = np.where(copy, symbol - np.uint32(256), symbol).astype(np.int64)
+    more = np.where(copy | (np.arange(len(entry)) >= near), EXTRA[np.minimum(prefix, len(EXTRA) - 1)], 0).astype(np.uint32)
+    # symbol, its code's bits, all bits, and whether a distance follows
+    table = symbol | bits << np.uint32(16) | (bits + more) << np.uint32(20) | copy.astype(np.uint32) << np.uint32(31)
+    begin = np.cumsum([0, *map(len, greens), *map(len, aways)])[:-1].reshape(2, -1)
+    mask = np.array([[len(c) - 1 for c in greens], [len(c) - 1 for c in aways]], dtype=np.uint32)
+    size = np.array([r.width * r.height for r in requests])
+    to = np.cumsum([0, *size])
+    out = np.zeros(to[-1], dtype=np.uint8)
+    lane, p = np.arange(len(requests)), at[:-1] * 8 + np.array([r.bits.at for r in requests])
+    begun, ended = p.copy(), p.copy()
+    done, owed = np.zeros(len(requests), dtype=np.int64), np.zeros(len(requests), dtype=np.int64)
+    copies: list[tuple[np.ndarray, ...]] = []  # lane, first pixel, length, distance code
+    while len(lane):
+        n = len(lane)
+        bases, masks, columns = begin[:, lane].reshape(-1), mask[:, lane].reshape(-1), np.arange(n)
+        which = np.where(owed > 0, n, 0) + columns
+        codes, seen = np.empty((STEPS, n), dtype=np.uint32), np.empty((STEPS, n), dtype=np.uint32)
+        for step in range(STEPS):
+            code = window.take(p >> 3)
+            code >>= (p & 7).astype(np.uint32)
+            e = table.take((code & masks.take(which)) + bases.take(which))
+            codes[step], seen[step] = code, e
+            p = p + ((e >> np.uint32(20)) & np.uint32(63))
+            which = (e >> np.uint32(31)) * np.uint32(n) + columns
+        starts = seen >> np.uint32(31) != 0
+        symbol, bits, all_bits = seen & np.uint32(0xFFFF), (seen >> np.uint32(16)) & np.uint32(15), (seen >> np.uint32(20)) & np.uint32(63)
+        told = np.concatenate((owed[None] > 0, starts[:-1]))  # where a distance is read
+
+        def number(row: np.ndarray, column: np.ndarray, prefix: np.ndarray) -> np.ndarray:
+            n = EXTRA[prefix]
+            x = (codes[row, column] >> bits[row, column]).astype(np.int64) & ((1 << n) - 1)
+            return np.where(prefix < 4, prefix, ((2 + (prefix & 1)) << n) + x) + 1
+
+        row, column = np.nonzero(starts)
+        length = number(row, column, symbol[row, column].astype(np.int64) - 256)
+        made = (~(starts | told)).astype(np.int64)  # pixels of each step, a copy's with its distance
+        made[0] += owed
+        inside = row + 1 < STEPS
+        made[row[inside] + 1, column[inside]] = length[inside]
+        owed = np.zeros(n, dtype=np.int64)
+        owed[column[~inside]] = length[~inside]
+        first = np.cumsum(made, 0) - made + done[lane]
+        used = first < size[lane]
+        ended[lane] += (all_bits * used).sum(0, dtype=np.int64)
+        row, column = np.nonzero(used & ~starts & ~told)
+        out[to[lane[column]] + first[row, column]] = symbol[row, column]
+        row, column = np.nonzero(used & told)
+        copies.append((lane[column], first[row, column], made[row, column], number(row, column, symbol[row, column].astype(np.int64))))
+        done[lane] += made.sum(0)
+        live = done[lane] < size[lane]
+        lane, p, owed = lane[live], p[live], owed[live]
+    of, first, length, code = (np.concatenate(x) for x in zip(*copies, strict=True))
+    order = np.lexsort((first, of))
+    of, first, length, code = of[order], first[order], length[order], code[order]
+    offsets = np.array([(x, y) for x, y in NEAR], dtype=np.int64)
+    wide = np.array([r.width for r in requests])[of]
+    x, y = offsets[np.minimum(code, len(NEAR)) - 1].T
+    away = np.where(code > len(NEAR), code - len(NEAR), np.maximum(1, x + y * wide))
+    if (away > first).any():
+        raise ValueError("a copy reaches before the first pixel")
+    if (first + length > size[of]).any():
+        raise ValueError("a copy reaches past the last pixel")
+    whole = bytearray(out)
+    for i, n, d in zip((first + to[of]).tolist(), length.tolist(), away.tolist(), strict=True):
+        whole[i : i + n] = whole[i - d : i - d + n] if d >= n else (whole[i - d : i] * (n // d + 1))[:n]
+    green = np.frombuffer(whole, np.uint8)
+    for i, r in enumerate(requests):
+        r.bits.at += int(ended[i] - begun[i])
+        fixed = np.uint32(int(own[i][1][0] >> 4) << 16 | int(own[i][2][0] >> 4) | int(own[i][3][0] >> 4) << 24)
+        r.pixels = green[to[i] : to[i + 1]].astype(np.uint32) << np.uint32(8) | fixed
+
+
 def resolve(pixels: np.ndarray, symbols: np.ndarray, copies: list[tuple[int, int, int]], r: Request) -> np.ndarray:
     """Copies and colour cache symbols, in order."""
     out = np.zeros(r.width * r.height, dtype=np.uint32)
@@ -501,9 +661,9 @@ def decode(files: list[bytes]) -> list[np.ndarray]:
             except StopIteration as end:
                 out[i] = end.value
                 del going[i]
-        kinds = [r.literal() for r in asked]
+        kinds = [0 if r.literal() else 1 if r.grey() else 2 for r in asked]
         for kind in set(kinds):
-            decode_requests([r for r, k in zip(asked, kinds, strict=True) if k == kind])
+            (grey_lockstep if kind == 1 else decode_requests)([r for r, k in zip(asked, kinds, strict=True) if k == kind])
     return out
 
 
@@ -720,48 +880,276 @@ def header(width: int, height: int) -> Writer:
     return w
 
 
-#: Prefix codes of one symbol for red 0, blue 0, alpha 255 and distance 0.
-GREY = ((1 | 1 << 2, 11), (1 | 1 << 2, 11), (1 | 1 << 2 | 255 << 3, 11), (1 | 1 << 2, 11))
+def one_symbol(w: Writer, symbol: int) -> None:
+    """A prefix code of one symbol, which takes no bits."""
+    w.put(1 | 1 << 2 | symbol << 3, 11)
 
 
-def write_green(w: Writer, values: np.ndarray, main: bool) -> None:
-    """An entropy-coded image of opaque pixels that have green alone."""
-    w.put(0, 2 if main else 1)
-    code, size = write_code(w, np.bincount(values, minlength=256 + LENGTHS))
-    for value, n in GREY:
-        w.put(value, n)
-    if size.any():
-        w.stream(code[values], size[values])
+@lru_cache(maxsize=1)
+def prefixes() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``prefix_of`` all lengths and distance codes of a stored image; 0 is none."""
+    told = np.array([(0, 0, 0), *map(prefix_of, range(1, TILE + len(NEAR) + 1))], dtype=np.int64)
+    return told[:, 0].copy(), told[:, 1].copy(), told[:, 2].copy()
+
+
+@lru_cache(maxsize=64)
+def distance_codes(width: int) -> np.ndarray:
+    """The code of each distance in pixels, the smallest where it has several."""
+    out = np.arange(TILE + 1) + len(NEAR)
+    for code in range(len(NEAR), 0, -1):
+        x, y = NEAR[code - 1]
+        if 0 < x + y * width <= TILE:
+            out[x + y * width] = code
+    return out
+
+
+@dataclass
+class Coding:
+    """How an image's pixels are told: ``symbols`` of the pixels ``kept``, the copies among
+    them as (first pixel, length, distance code), and the bits that all that takes, about."""
+
+    symbols: np.ndarray
+    kept: np.ndarray
+    copies: tuple[np.ndarray, np.ndarray, np.ndarray] | None
+    cache_bits: int = 0
+    bits: float = 0.0
+
+
+@lru_cache(maxsize=1)
+def logs() -> tuple[np.ndarray, np.ndarray]:
+    """log2(n) and n * log2(n) of every n that an image's counts can be; 0 for 0."""
+    n = np.arange(TILE + 1)
+    log = np.log2(np.maximum(n, 1))
+    return log, n * log
+
+
+def entropy(counts: np.ndarray) -> float:
+    """Bits of all symbols by their own frequencies, and about those that tell their code."""
+    different, total = np.count_nonzero(counts), int(counts.sum())
+    return float(logs()[1][total] - logs()[1][counts].sum()) + 5 * different if different > 1 else 0.0
+
+
+def weighed(c: Coding) -> Coding:
+    shown = c.symbols[c.kept]
+    c.bits = entropy(np.bincount(shown))
+    if c.copies:
+        symbol, _, extra = prefixes()
+        _, n, code = c.copies
+        c.bits += entropy(np.bincount(symbol[code])) + int(extra[n].sum() + extra[code].sum())
+    return c
+
+
+def find_copies(values: np.ndarray, width: int) -> Coding | None:
+    """Copies of at least LEAST_COPY pixels from the last place with the same LEAST_COPY,
+    taken from the left where they cost less than their pixels by themselves."""
+    n = len(values)
+    if n <= LEAST_COPY:
+        return None
+    key = np.ndarray(n - LEAST_COPY + 1, "<u8", values.tobytes() + b"\0" * 8, 0, (1,)) << np.uint64(64 - 8 * LEAST_COPY)
+    ranked = np.sort(key | np.arange(len(key), dtype=np.uint64))  # keys, each in order of place
+    again = np.flatnonzero(ranked[1:] ^ ranked[:-1] < np.uint64(1 << 16))
+    if not len(again):
+        return None
+    order = ranked.astype(np.uint16).astype(np.int64)
+    away = np.zeros(len(key) + 1, dtype=np.int64)
+    away[order[again + 1]] = order[again + 1] - order[again]
+    ends = np.flatnonzero(away[1:] != away[:-1]) + 1  # a run of one distance is one copy, from any of its places
+    at = np.flatnonzero(away)
+    runs = np.zeros(len(away), dtype=np.int64)
+    runs[ends] = 1
+    length = np.minimum(ends[(np.cumsum(runs))[at]] - at + LEAST_COPY - 1, MOST_COPY)
+    code = distance_codes(width)[away[at]]
+    counts = np.bincount(values, minlength=256)
+    price = np.zeros(n + 1)
+    np.cumsum((logs()[0][n] - logs()[0][counts])[values], out=price[1:])
+    symbol, _, extra = prefixes()
+    good = price[at + length] - price[at] > 8 + extra[length] + extra[code]
+    at, length, code = at[good], length[good], code[good]
+    if not len(at):
+        return None
+    taken, i, begins, ending = [], 0, at.tolist(), (at + length).tolist()
+    while i < len(begins):
+        taken.append(i)
+        i = bisect_left(begins, ending[i], i + 1)
+    at, length, code = at[taken], length[taken], code[taken]
+    kept = np.zeros(n + 1, dtype=np.int64)
+    kept[at + 1] += 1
+    kept[at + length] -= 1
+    symbols = values.astype(np.int64)
+    symbols[at] = 256 + symbol[length]
+    return weighed(Coding(symbols, np.cumsum(kept[:-1]) == 0, (at, length, code)))
+
+
+@lru_cache(maxsize=16)
+def places(alpha: int, bits: int) -> np.ndarray:
+    """Where a colour cache holds each green value."""
+    color = np.arange(256, dtype=np.uint64) << np.uint64(8) | np.uint64(alpha << 24)
+    return ((np.uint64(CACHE_FACTOR) * color & np.uint64(0xFFFFFFFF)) >> np.uint64(32 - bits)).astype(np.uint32)
+
+
+def with_cache(values: np.ndarray, alpha: int, plain: Coding, bits: int) -> Coding:
+    """``plain`` with a colour cache: pixels that lie in it are told by their place."""
+    ranked = np.sort(places(alpha, bits)[values] << np.uint32(16) | np.arange(len(values), dtype=np.uint32))
+    order = ranked & np.uint32(0xFFFF)
+    held = values[order]
+    same = ((ranked[1:] ^ ranked[:-1]) < 1 << 16) & (held[1:] == held[:-1])
+    symbols, hit = plain.symbols.copy(), order[1:][same]
+    hit = hit[symbols[hit] < 256]
+    symbols[hit] = 256 + LENGTHS + places(alpha, bits)[values[hit]]
+    return weighed(Coding(symbols, plain.kept, plain.copies, bits))
+
+
+def write_green(w: Writer, coding: Coding, alpha: int, main: bool = True) -> None:
+    """An entropy-coded image of pixels that have green alone."""
+    w.put(1 if coding.cache_bits else 0, 1)
+    if coding.cache_bits:
+        w.put(coding.cache_bits, 4)
+    if main:
+        w.put(0, 1)
+    shown = coding.symbols[coding.kept]
+    code, size = write_code(w, np.bincount(shown, minlength=256 + LENGTHS + (1 << coding.cache_bits if coding.cache_bits else 0)))
+    for symbol in (0, 0, alpha):
+        one_symbol(w, symbol)
+    if not coding.copies:
+        one_symbol(w, 0)
+        if size.any():
+            w.stream(code[shown], size[shown])
+        return
+    symbol, extra, extra_bits = prefixes()
+    at, length, distance = coding.copies
+    away, away_bits = write_code(w, np.bincount(symbol[distance], minlength=DISTANCES))
+    place = (np.cumsum(coding.kept) - 1)[at]
+    values, sizes = np.zeros((2, len(shown), 4), dtype=np.int64)
+    values[:, 0], sizes[:, 0] = code[shown], size[shown]
+    values[place, 1:] = np.stack((extra[length], away[symbol[distance]], extra[distance]), 1)
+    sizes[place, 1:] = np.stack((extra_bits[length], away_bits[symbol[distance]], extra_bits[distance]), 1)
+    w.stream(values.reshape(-1), sizes.reshape(-1))
+
+
+def residuals(g: np.ndarray) -> np.ndarray:
+    """(14, height, width) uint8: green less what each predictor says."""
+    high, wide = g.shape
+    x = g.astype(np.int16)
+    up = np.concatenate((x[:1], x[:-1]))
+    left = np.concatenate((x[:, :1], x[:, :-1]), 1)
+    corner = np.concatenate((up[:, :1], up[:, :-1]), 1)
+    right = np.concatenate((up[:, 1:], x[:, :1]), 1)
+    to_left, to_up = np.abs(up - corner), np.abs(left - corner)
+    half = (left + up) >> 1
+    lean = half - corner
+    guess = np.stack((
+        np.zeros_like(x), left, up, right, corner, (((left + right) >> 1) + up) >> 1, (left + corner) >> 1, half, (corner + up) >> 1, (up + right) >> 1,
+        (((left + corner) >> 1) + ((up + right) >> 1)) >> 1, np.where(to_left < to_up, left, up), np.clip(left + up - corner, 0, 255), np.clip(half + np.where(lean < 0, -(-lean >> 1), lean >> 1), 0, 255)))
+    guess[:, 0, 1:], guess[:, 1:, 0], guess[:, 0, 0] = x[0, :-1], x[:-1, 0], 0
+    return (x - guess).astype(np.uint8)
+
+
+def smooth(g: np.ndarray) -> bool:
+    """Whether a neighbour to the left, above, or to the left above tells about as much of a
+    pixel as the frequencies of all pixels do."""
+    x = g.reshape(-1)
+    wide = g.shape[1]
+    rest = np.concatenate([x - np.concatenate((x[:n], x[:-n])) for n in (1, wide, wide + 1) if n < len(x)]).astype(np.int64)
+    kinds = len(rest) // len(x)
+    counts = np.bincount(np.concatenate((x, rest + np.arange(1, kinds + 1).repeat(len(x)) * 256)), minlength=256 * (kinds + 1)).reshape(-1, 256)
+    told = logs()[1][counts].sum(1)  # the more, the fewer bits
+    whole = logs()[1][len(x)]
+    return bool(whole - told[1:].max() < NEARLY * (whole - told[0])) if kinds else False
+
+
+def predicted(g: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """Each block's predictor, what is left of green, and about the bits of both. A block takes
+    the predictor by whose frequencies over the whole image it is shortest."""
+    high, wide = g.shape
+    left = residuals(g)
+    shift = np.arange(len(left)) * 256
+    index = left.reshape(len(left), -1) + shift[:, None]
+    counts = np.bincount(index.reshape(-1), minlength=256 * len(left))
+    price = (logs()[0][g.size] - logs()[0][counts])[index].reshape(left.shape)
+    rows, columns = np.arange(0, high, 1 << BLOCK), np.arange(0, wide, 1 << BLOCK)
+    modes = np.add.reduceat(np.add.reduceat(price, rows, 1), columns, 2).argmin(0)
+    own = modes.repeat(1 << BLOCK, 0)[:high].repeat(1 << BLOCK, 1)[:, :wide]
+    rest = np.take_along_axis(left, own[None], 0)[0]
+    return modes.reshape(-1), rest, entropy(np.bincount(rest.reshape(-1))) + entropy(np.bincount(modes.reshape(-1))) + 60
+
+
+def uneven(values: np.ndarray) -> bool:
+    """Whether each quarter's own frequencies tell it much shorter than the whole's: what a
+    cache gains comes from colours that are frequent in some places alone."""
+    n = len(values)
+    counts = np.bincount(values + (np.arange(n) * 4 // n << 8), minlength=1024).reshape(4, 256)
+    log, total = logs()[1], counts.sum(0)
+    return bool((log[counts.sum(1)] - log[counts].sum(1)).sum() < 0.9 * (log[n] - log[total].sum()))
+
+
+def codings(values: np.ndarray, width: int, alpha: int) -> tuple[Coding, Coding]:
+    """The image told by literals, and as seems shortest: so, with copies, or with a cache."""
+    plain = weighed(Coding(values.astype(np.int64), np.ones(len(values), dtype=bool), None))
+    copied = find_copies(values, width)
+    best = min([c for c in (plain, copied) if c], key=lambda c: c.bits)
+    cached = min((with_cache(values, alpha, best, b) for b in CACHES), key=lambda c: c.bits) if uneven(values) else None
+    return plain, min([c for c in (plain, copied, cached) if c], key=lambda c: c.bits)
+
+
+def contenders(plain: Coding, best: Coding) -> list[Coding]:
+    """Those of the two that may be the shorter."""
+    return [plain] if best is plain else [best] if NEARLY * best.bits < plain.bits else [plain, best]
 
 
 def encode_grey(samples: np.ndarray) -> bytes:
-    """A grey image (height x width, uint8). Up to 16 values: a palette image, several
-    to a pixel, by falling frequency. More: green subtracted from red and blue."""
+    """A grey image (height x width, uint8), as short as the ways below make it. Up to 16
+    values: a palette image, several to a pixel, by falling frequency. More: green
+    subtracted from red and blue, then a predictor a block where that is shorter. Either is
+    told by literals, with copies, or with a colour cache, whichever seems shortest."""
     height, width = samples.shape
     flat = samples.reshape(-1)
     counts = np.bincount(flat, minlength=256)
     values = np.flatnonzero(counts)
-    w = header(width, height)
-    w.put(1, 1)
-    if len(values) > 16:
-        w.put(SUBTRACT_GREEN, 2)
+
+    def begun() -> Writer:
+        w = header(width, height)
+        w.put(1, 1)
+        return w
+
+    def finished(w: Writer, coding: Coding, alpha: int) -> bytes:
         w.put(0, 1)
-        write_green(w, flat, True)
+        write_green(w, coding, alpha)
         return riff(w.bytes())
+
+    if len(values) > 16:
+        def plain() -> Writer:
+            w = begun()
+            w.put(SUBTRACT_GREEN, 2)
+            return w
+
+        told = codings(flat, width, 255)
+        files = [finished(plain(), c, 255) for c in contenders(*told)]
+        modes, rest, bits = predicted(samples) if smooth(samples) else (None, None, told[0].bits)
+        if bits < told[0].bits and modes.any():
+            own = codings(rest.reshape(-1), width, 0)[1]
+            w = plain()
+            w.put(1, 1)
+            w.put(PREDICTOR, 2)
+            w.put(BLOCK - 2, 3)
+            write_green(w, Coding(modes, np.ones(len(modes), dtype=bool), None), 255, False)
+            files.append(finished(w, own, 0))
+        return min(files, key=len)
     values = values[np.lexsort((values, -counts[values]))]
     index = np.zeros(256, dtype=np.int64)
     index[values] = np.arange(len(values))
-    w.put(COLOR_INDEXING, 2)
-    w.put(len(values) - 1, 8)
     delta = channels(values.astype(np.uint32) * np.uint32(0x010101) | np.uint32(BLACK))
     delta = np.concatenate((delta[:1], delta[1:] - delta[:-1])).astype(np.uint8)
-    write_image(w, delta.reshape(-1).view(np.uint32), False)
-    w.put(0, 1)
     pack = 3 if len(values) <= 2 else 2 if len(values) <= 4 else 1
     wide = -(-width >> pack)
     own = np.pad(index[samples], ((0, 0), (0, (wide << pack) - width))).reshape(height, wide, 1 << pack)
-    write_green(w, (own << (np.arange(1 << pack) * (8 >> pack))).sum(2).reshape(-1), True)
-    return riff(w.bytes())
+    files = []
+    for c in contenders(*codings((own << (np.arange(1 << pack) * (8 >> pack))).sum(2).reshape(-1).astype(np.uint8), wide, 255)):
+        w = begun()
+        w.put(COLOR_INDEXING, 2)
+        w.put(len(values) - 1, 8)
+        write_image(w, delta.reshape(-1).view(np.uint32), False)
+        files.append(finished(w, c, 255))
+    return min(files, key=len)
 
 
 # -- Texts as images --------------------------------------------------------------------

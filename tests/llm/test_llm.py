@@ -516,6 +516,59 @@ def test_webp_grey(values):
     assert (webp.channels(webp.decode([webp.encode_grey(samples)])[0])[..., 1] == samples).all()
 
 
+def told_by(file):
+    """Each main image's transforms, copies and cache, as its header and codes tell them."""
+    kinds, images = set(), []
+    going = webp.read_file(file)
+    for r in going:
+        webp.decode_requests([r])
+        images.append(r)
+    last = images[-1]
+    bits = webp.Bits(file[20:], 40)
+    if bits.read(1):
+        kinds.add(bits.read(2))
+        if webp.SUBTRACT_GREEN in kinds and bits.read(1):
+            kinds.add(bits.read(2))
+    symbols = last.groups[0][0] >> 4
+    return kinds, bool(((symbols >= 256) & (symbols < 256 + webp.LENGTHS)).any()), last.cache_bits
+
+
+def test_webp_writes_copies_predictors_and_caches():
+    """Each where it shortens, never where literals are shorter, and all are read back."""
+    rng = np.random.default_rng(5)
+    words = [bytes(rng.integers(97, 123, n, dtype=np.uint8)) for n in rng.integers(3, 11, 60)]
+    text = webp.payload_of(b" ".join(words[i] for i in rng.integers(0, 60, 600)))
+    slope = np.clip(np.add.outer(np.arange(96) * 1.9, np.arange(64) * 1.1) + rng.integers(0, 2, (96, 64)), 0, 255).astype(np.uint8)
+    local = np.concatenate([rng.choice(rng.permutation(64)[:2], 64) for _ in range(100)]).astype(np.uint8).reshape(-1, 64)
+    noise = rng.integers(0, 256, (32, 64)).astype(np.uint8)
+    binary = np.tile(rng.integers(0, 2, 704).astype(np.uint8), 4).reshape(-1, 64)
+    images = {"text": np.frombuffer(text, np.uint8)[: webp.TILE].reshape(-1, 64), "slope": slope, "local": local, "noise": noise, "binary": binary}
+    files = {k: webp.encode_grey(x) for k, x in images.items()}
+    for together in (list(files), *([k] for k in files)):
+        for k, got in zip(together, webp.decode([files[k] for k in together]), strict=True):
+            assert (webp.channels(got)[..., 1] == images[k]).all()
+    told = {k: told_by(f) for k, f in files.items()}
+    assert told["text"][1] and len(files["text"]) < 0.75 * webp.entropy(np.bincount(images["text"].reshape(-1))) / 8
+    assert webp.PREDICTOR in told["slope"][0] and len(files["slope"]) < slope.size / 3
+    assert told["local"][2] and told["noise"] == ({webp.SUBTRACT_GREEN}, False, 0)
+    assert told["binary"][0] == {webp.COLOR_INDEXING} and told["binary"][1]
+
+
+def test_webp_grey_copies_in_lockstep():
+    """The lockstep of grey images reads what the symbol at a time reads, lanes of any size."""
+    rng = np.random.default_rng(6)
+    images = [np.frombuffer(webp.payload_of(bytes(rng.integers(97, 117, 40, dtype=np.uint8)) * int(n)), np.uint8)[: webp.TILE].reshape(-1, 64) for n in rng.integers(1, 300, 90)]
+    files = [webp.encode_grey(x) for x in images]
+    kinds = set()
+    for file in files:
+        for r in webp.read_file(file):
+            kinds.add(r.grey() and not r.literal())
+            webp.decode_one(r)
+    assert True in kinds
+    for x, got in zip(images, webp.decode(files), strict=True):
+        assert (webp.channels(got)[..., 1] == x).all()
+
+
 def test_op9_language(spark, none):
     rng = random.Random(3)
     parts = {"en": "the and ing ion er".split(), "fr": "eau les oui ent que".split()}
