@@ -4,10 +4,10 @@ as well. ``<k>`` in a text and in its answers is the row's key."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .session import table
+from .session import dealt, table
 
 #: (text, [(method, url, confidence, line)]).
 CALLS = [
@@ -82,9 +82,19 @@ UNITS = [
 
 def pick(spark: SparkSession, sf: str, name: str, key: str, choices: list[str]) -> DataFrame:
     """(k, text): each row of a table with one of the texts, its key filled in."""
-    d = table(spark, sf, name).select(F.col(key).alias("k"))
+    d = dealt(table(spark, sf, name).select(F.col(key).alias("k")), "k")
+    return d.select("k", _picked(choices).alias("text"))
+
+
+def pick_files(spark: SparkSession, sf: str, name: str, key: str, choices: list[tuple[str, str]]) -> DataFrame:
+    """(file, text): each row of a table with one of the (path, text), its key filled in."""
+    d = dealt(table(spark, sf, name).select(F.col(key).alias("k")), "k")
+    return d.select(_picked([p for p, _ in choices]).alias("file"), _picked([t for _, t in choices]).alias("text"))
+
+
+def _picked(choices: list[str]) -> Column:
     text = F.get(F.array(*map(F.lit, choices)), (F.col("k") % len(choices)).cast("int"))
-    return d.select("k", F.replace(text, F.lit("<k>"), F.col("k").cast("string")).alias("text"))
+    return F.replace(text, F.lit("<k>"), F.col("k").cast("string"))
 
 
 def answers(name: str, key: str, shapes: int, columns: str, rows: list[tuple]) -> str:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .extract import sql_mentions, table_name
+from .extract import mentions, table_name
 
 HIDDEN = re.compile(r"--[^\n]*|/\*.*?(?:\*/|\Z)|'(?:[^']|'')*(?:'|\Z)", re.DOTALL)
 NAME = r'[\w$#"]+(?:\.[\w$#"]+)*'
@@ -149,20 +149,19 @@ def _told(pattern: str, group: int = 1) -> Column:
 def object_facts(found: DataFrame) -> DataFrame:
     """(type, name, package, file, line_no, end_line, params, return_type, tables_read,
     tables_written, on_table, synonym_for) of ``units``. A DELETE reads and writes."""
-    named = found.where("name IS NOT NULL").withColumn("key", F.to_json(F.struct("file", "line_no", "name")))
+    named = found.where("name IS NOT NULL")
     text = F.array_join(F.transform("own", lambda x: x["text"]), "\n")
-    mine = named.select("key", F.when(F.col("type") == "trigger", F.regexp_replace(text, "(?is)^.*?\\b(declare|begin)\\b", "")).otherwise(text).alias("sql"))
-    each = sql_mentions(mine).groupBy("key").agg(*[F.array_sort(F.collect_set(F.when(F.col("mode") == mode, F.col("table_name")))).alias(c) for mode, c in (("read", "tables_read"), ("write", "tables_written"))])
+    mine = F.when(F.col("type") == "trigger", F.regexp_replace(text, "(?is)^.*?\\b(declare|begin)\\b", "")).otherwise(text)
+    said = named.withColumn("said", mentions(mine))  # a unit's lines say it all: nothing is joined
     params = F.trim(F.regexp_replace(_told("(?s)^[^(]*?\\b(?:procedure|PROCEDURE|function|FUNCTION)\\s+[\\w$#.\"]+\\s*\\((.*)\\)", 1), "\\s+", " "))
     routine = F.col("type").isin("procedure", "function")
     on = table_name(_told("(?is)\\bon\\s+([\\w$#.\"]+)"))
-    none = F.array().cast("array<string>")
-    met = named.join(each, "key", "left")
-    read = F.when(F.col("type") == "index", F.array(on)).otherwise(F.coalesce("tables_read", none))
-    return met.select(
+    named_as = lambda mode: F.array_sort(F.transform(F.filter("said", lambda x: x["mode"] == mode), lambda x: x["table_name"]))
+    read = F.when(F.col("type") == "index", F.array(on)).otherwise(named_as("read"))
+    return said.select(
         "type", "name", "package", "file", "line_no", "end_line", F.when(routine, params).alias("params"),
         F.when(F.col("type") == "function", F.upper(_told("(?is)\\breturn\\s+([\\w$#.%]+)[^()]*$"))).alias("return_type"),
-        read.alias("tables_read"), F.coalesce("tables_written", none).alias("tables_written"), F.when(F.col("type") == "trigger", on).alias("on_table"),
+        read.alias("tables_read"), named_as("write").alias("tables_written"), F.when(F.col("type") == "trigger", on).alias("on_table"),
         F.when(F.col("type") == "synonym", F.upper(F.regexp_replace(_told("(?i)\\bfor\\s+([\\w$#.\"]+)"), "\"", ""))).alias("synonym_for"))
 
 
