@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.session import round_checkpoint as checkpoint
-from .graph import COMPACT, follow, stepped
+from .graph import COMPACT, FRONT_BYTES, follow, stepped, weigh
 
 #: Counts up to here are exact, longer ones estimated (the contract's bound of a list).
 EXACT = 200
@@ -57,12 +57,14 @@ def _lists(pairs: DataFrame, exact: int) -> DataFrame:
 def _estimates(pairs: DataFrame, lists: DataFrame, lg_k: int, rounds: int | None) -> DataFrame:
     """(id, n) of the nodes whose list isn't whole, after ``rounds`` at most."""
     large = checkpoint(lists.where("NOT whole").select("id"))
-    own = checkpoint(pairs.join(large.withColumnRenamed("id", "here"), "here", "left_semi"))
+    # While the ids are few, the pairs meet them where they lie.
+    ids = F.broadcast(large) if weigh(large)[1] <= FRONT_BYTES else large
+    own = checkpoint(pairs.join(ids.withColumnRenamed("id", "here"), "here", "left_semi"))
     whole = lists.where("whole").select(F.col("id").alias("there"), "found")
     told = own.join(whole, "there", "left").select("here", F.explode(F.concat(F.array("there"), F.coalesce("found", F.array().cast("array<string>")))).alias("x"))
     begun = told.groupBy(F.col("here").alias("id")).agg(F.hll_sketch_agg("x", F.lit(lg_k)).alias("s"))
     known = checkpoint(begun.groupBy("id").agg(F.hll_union_agg("s").alias("s")).withColumn("n", F.hll_sketch_estimate("s")))
-    between = own.join(large.withColumnRenamed("id", "there"), "there", "left_semi").select(F.col("there").alias("here"), F.col("here").alias("there"), F.lit(1).alias("sure"))
+    between = own.join(ids.withColumnRenamed("id", "there"), "there", "left_semi").select(F.col("there").alias("here"), F.col("here").alias("there"), F.lit(1).alias("sure"))
     steps = stepped(between)
     front = known.select("id", "s")
     turn = 0
@@ -78,19 +80,21 @@ def _estimates(pairs: DataFrame, lists: DataFrame, lg_k: int, rounds: int | None
     return known.select("id", "n")
 
 
-def impact_index(edges: DataFrame, exact: int = EXACT, shown: tuple[int, int] = SHOWN, lg_k: int = LG_K, rounds: int | None = None) -> DataFrame:
+def impact_index(edges: DataFrame, exact: int = EXACT, shown: tuple[int, int] = SHOWN, lg_k: int = LG_K, rounds: int | None = None, told_apart: bool = False) -> DataFrame:
     """(id, direct, transitive, estimated, direct_ids, transitive_ids) of every node that
     something depends on, of edges (from_id, to_id).
 
     ``direct`` counts different dependents, always exactly; ``transitive`` all that reach the
     node, itself too where it lies on a cycle: exactly up to ``exact``, else by a sketch
     (``estimated``). The lists show the first of each in order of (level, id). Self-loops and
-    nulls are no dependence; an edge that repeats counts once.
+    nulls are no dependence; an edge that repeats counts once. Edges of which none repeats
+    need no shuffle to tell them apart (``told_apart``).
 
     Sketches take as many rounds as the longest shortest way between nodes of long lists has
     edges; with ``rounds`` they stop there, and what lies farther off isn't counted.
     """
-    pairs = checkpoint(edges.where("from_id <> to_id").select(F.col("to_id").alias("here"), F.col("from_id").alias("there")).distinct())
+    pairs = edges.where("from_id <> to_id").select(F.col("to_id").alias("here"), F.col("from_id").alias("there"))
+    pairs = checkpoint(pairs if told_apart else pairs.distinct())
     lists = _lists(pairs, exact)
     direct = pairs.groupBy("here").agg(F.count("*").alias("direct")).withColumnRenamed("here", "id")
     out = lists.join(direct, "id").join(_estimates(pairs, lists, lg_k, rounds), "id", "left")

@@ -24,7 +24,7 @@ di AS (SELECT id, count(*) AS direct, array_to_string(list_slice(list_sort(list(
 @query(f"WITH {LEVELS} SELECT id, direct, CASE WHEN n <= 200 THEN n END AS transitive, n > 200 AS estimated, direct_ids FROM di JOIN ct USING (id)")
 def impact_index(spark, sf):
     """Direct and transitive dependents of every node; what is estimated is a test's."""
-    d = whole_impact.impact_index(facts.typed_edges(spark, sf))
+    d = whole_impact.impact_index(facts.typed_edges(spark, sf), told_apart=True)
     return d.select("id", "direct", F.when(~F.col("estimated"), F.col("transitive")).alias("transitive"), "estimated", F.array_join("direct_ids", ",").alias("direct_ids"))
 
 

@@ -46,6 +46,15 @@ def test_impact_index_equals_search(spark, exact):
             assert r["transitive"] == len(found)
 
 
+@pytest.mark.parametrize("least", [0, 32 << 20])
+def test_impact_index_of_edges_told_apart(spark, monkeypatch, least):
+    """The same of different edges without telling them apart, and of ids too many to broadcast."""
+    monkeypatch.setattr(whole_impact, "FRONT_BYTES", least)
+    pairs = sorted(set(random_graph(3, 30, 60)))
+    got, want = ({r["id"]: tuple(r) for r in whole_impact.impact_index(spark.createDataFrame(p, PAIR), 5, told_apart=apart).collect()} for p, apart in ((pairs, True), (pairs * 2, False)))
+    assert got == want and any(r[3] for r in got.values())
+
+
 def test_impact_estimates_are_near(spark):
     """2**12 registers: a standard error of 1.6 %; four of them are never passed here."""
     pairs = [(f"leaf{i}", f"m{i % 40}") for i in range(8000)] + [(f"m{i}", f"t{i % 7}") for i in range(40)] + [(f"t{i}", "root") for i in range(7)] + [("root", "t0")]
